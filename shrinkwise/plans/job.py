@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shrinkwise.config import JobRequest
-from shrinkwise.functions.paths import archive_plan, audit_paths, file_extension, normalize_path
+from shrinkwise.functions.paths import archive_plan, audit_paths, file_extension, paths_overlap
 from shrinkwise.operators.accounting import job_totals
 from shrinkwise.operators.archives import archive_outcomes, repack_candidates
 from shrinkwise.operators.payloads import Handler, transform_payloads
@@ -52,10 +52,8 @@ class CollidingOutputs(ValueError):
 
 
 def check_roots(spark: SparkSession, request: JobRequest) -> None:
-    from shrinkwise.functions.paths import paths_overlap
-
     roots = spark.range(1).select(F.lit(request.input_dir).alias("a"), F.lit(request.output_dir).alias("b"))
-    if roots.select(paths_overlap(normalize_path("a"), normalize_path("b")).alias("bad")).first().bad:
+    if roots.select(paths_overlap("a", "b").alias("bad")).first().bad:
         raise OverlappingRoots(f"{request.input_dir} and {request.output_dir} overlap")
 
 

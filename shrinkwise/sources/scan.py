@@ -102,4 +102,6 @@ def read_labels(spark: SparkSession, folder: str, languages: Iterable[str] | Non
 
 
 def read_audit(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(AUDIT_SCHEMA).option("header", "true").csv(path)
+    """Audit CSV as written by write_audit; blank text fields come back as ''."""
+    texts = [f.name for f in AUDIT_SCHEMA.fields if f.dataType.typeName() == "string"]
+    return spark.read.schema(AUDIT_SCHEMA).option("header", "true").csv(path).fillna("", subset=texts)
