@@ -22,11 +22,6 @@ def parent_dir(path: Column | str) -> Column:
     return F.substring(path, F.lit(1), F.greatest(F.length(path) - F.length(base_name(path)) - 1, F.lit(0)))
 
 
-def join_path(*parts: Column) -> Column:
-    """Join with '/', skipping empty parts."""
-    return F.concat_ws("/", *[F.when(p != "", p) for p in parts])
-
-
 def _suffix(name: Column) -> Column:
     """Text after the last dot; '' unless something other than the dot stands before it."""
     tail = F.substring_index(name, ".", -1)
@@ -38,10 +33,15 @@ def file_extension(path: Column | str) -> Column:
     return F.lower(_suffix(base_name(path)))
 
 
+def without_suffix(path: Column | str) -> Column:
+    """The path without its last suffix: parent folder and stem."""
+    path = _col(path)
+    suffix = _suffix(base_name(path))
+    return F.when(suffix != "", F.substring(path, F.lit(1), F.length(path) - F.length(suffix) - 1)).otherwise(path)
+
+
 def stem(path: Column | str) -> Column:
-    name = base_name(path)
-    suffix = _suffix(name)
-    return F.when(suffix != "", F.substring(name, F.lit(1), F.length(name) - F.length(suffix) - 1)).otherwise(name)
+    return without_suffix(base_name(path))
 
 
 def relative_path(path: Column | str, base: Column | str) -> Column:
@@ -91,7 +91,9 @@ def overlapping_roots(df: DataFrame, a: str = "input_root", b: str = "output_roo
 
 def archive_plan(df: DataFrame, path: str = "archive_path", output_base: str = "") -> DataFrame:
     """Where an archive's contents and its regenerated file go, relative to `output_base`."""
-    folder = join_path(F.lit(output_base), parent_dir(path), stem(path))
+    folder = without_suffix(path)
+    if output_base:
+        folder = F.concat(F.lit(f"{output_base.rstrip('/')}/"), folder)
     return df.withColumns(
         {
             "folder_output_root": folder,
@@ -104,12 +106,12 @@ def audit_paths(
     df: DataFrame, repack: bool = False, archive: str = "archive_path", inner: str = "rel_path"
 ) -> DataFrame:
     """Audit columns of an archive member: `zip::inner`, its output path, and the repack note."""
-    folder = join_path(parent_dir(archive), stem(archive))
+    folder = without_suffix(archive)
     note = F.concat(F.lit("zip_archive="), folder, F.lit(f".{ARCHIVE_EXT}"))
     return df.withColumns(
         {
             "audit_input": F.concat_ws("::", F.col(archive), F.col(inner)),
-            "audit_output": join_path(folder, F.col(inner)),
+            "audit_output": F.concat_ws("/", folder, F.col(inner)),
             "notes": note if repack else F.lit(""),
         }
     )

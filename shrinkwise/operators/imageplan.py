@@ -75,6 +75,12 @@ def mask_join(images: DataFrame, heavy_rows: int = HEAVY_ROWS) -> DataFrame:
     return plain.unionByName(masked)
 
 
+def _first_places(placements: DataFrame, order_by: Sequence[str]) -> DataFrame:
+    """Where each image is first placed, and how often it is placed at all."""
+    place = F.struct(*order_by, "rect_w", "rect_h")
+    return placements.groupBy(*KEYS).agg(F.min(place).alias("_first"), F.count(F.lit(1)).alias("uses"))
+
+
 def decide_images(
     placements: DataFrame,
     images: DataFrame,
@@ -88,12 +94,7 @@ def decide_images(
     work is planned once per image however often it is placed. `order_by` must be unique in a
     document.
     """
-    place = F.struct(*order_by, "rect_w", "rect_h")
-    first = (
-        _valid(placements)
-        .groupBy(*KEYS)
-        .agg(F.min(place).alias("_first"), F.count(F.lit(1)).alias("uses"))
-    )
+    first = _first_places(_valid(placements), order_by)
     described = mask_join(images, heavy_rows).withColumn("_found", F.lit(True))
     joined = first.join(described, KEYS, "left")
     rect_w, rect_h = F.col("_first.rect_w"), F.col("_first.rect_h")
@@ -153,6 +154,11 @@ def decide_images(
     )
 
 
+def _first_status() -> Column:
+    r = F.col("result")
+    return F.when(r.isin("replaced", "pending"), r).otherwise(F.concat(F.lit("skip_"), r))
+
+
 def image_decisions(
     placements: DataFrame,
     images: DataFrame,
@@ -167,14 +173,14 @@ def image_decisions(
     """
     decided = decide_images(placements, images, target_dpi, order_by, heavy_rows)
     used = [*KEYS, "first_use_at", "result", *DETAIL_COLUMNS]
-    rows = spread_join(_valid(placements), decided.select(*used), KEYS, list(order_by), "left", heavy_rows)
+    valid = _valid(placements)
+    # Reading `_first` as well keeps this the aggregation of decide_images, so its shuffle is reused.
+    counts = _first_places(valid, order_by).where(F.col("_first").isNotNull())
+    counts = counts.select(*KEYS, F.col("uses").alias("_rows"))
+    rows = spread_join(valid, decided.select(*used), KEYS, list(order_by), "left", heavy_rows, counts)
     is_first = F.struct(*order_by) == F.col("first_use_at")
-    counted = F.col("result").isin("replaced", "pending")
-    status = (
-        F.when(is_first & counted, F.col("result"))
-        .when(is_first, F.concat(F.lit("skip_"), F.col("result")))
-        .otherwise(F.concat(F.lit("skip_already_processed:"), F.col("result")))
-    )
+    repeat = F.concat(F.lit("skip_already_processed:"), F.col("result"))
+    status = F.when(is_first, _first_status()).otherwise(repeat)
     labelled = rows.select(
         *placements.columns,
         is_first.alias("first_use"),
@@ -264,17 +270,49 @@ def distinct_list(df: DataFrame, col: str, by: Sequence[str] = (), out: str | No
     return values.groupBy(*by).agg(F.array_join(F.array_sort(F.collect_list(col)), ", ").alias(out or col))
 
 
+def first_uses(
+    placements: DataFrame,
+    images: DataFrame,
+    target_dpi: int = TARGET_DPI,
+    order_by: Sequence[str] = ORDER,
+    heavy_rows: int = HEAVY_ROWS,
+) -> DataFrame:
+    """The rows of `image_decisions` in which an image, or a missing reference, first appears.
+
+    Read from the per-image decisions, so repeats are never labelled or joined.
+    """
+    decided = decide_images(placements, images, target_dpi, order_by, heavy_rows)
+    shown = decided.select(
+        "doc_id",
+        *[F.col(f"first_use_at.{c}").alias(c) for c in order_by],
+        "xref",
+        F.lit(True).alias("first_use"),
+        _first_status().alias("status"),
+        *DETAIL_COLUMNS,
+    )
+    missing = _first_places(_missing(placements), order_by).select(
+        "doc_id",
+        *[F.col(f"_first.{c}").alias(c) for c in order_by],
+        "xref",
+        F.lit(False).alias("first_use"),
+        F.lit("skip_xref_missing").alias("status"),
+    )
+    return shown.unionByName(missing, allowMissingColumns=True)
+
+
 def first_use_detail(
     decisions: DataFrame, n: int = DETAIL_ROWS, order_by: Sequence[str] = ORDER
 ) -> DataFrame:
     """The first row of each image of a document, the first `n` of those.
 
-    Both ranks are limits Spark applies in every task before the shuffle.
+    Takes `image_decisions` or the much smaller `first_uses`. Both ranks are limits Spark applies
+    in every task before the shuffle.
     """
+    candidates = decisions.where(F.col("first_use") | (F.col("status") == "skip_xref_missing"))
     per_image = Window.partitionBy(*KEYS).orderBy(*order_by)
     per_doc = Window.partitionBy("doc_id").orderBy(*order_by)
     return (
-        decisions.withColumn("_use", F.row_number().over(per_image))
+        candidates.withColumn("_use", F.row_number().over(per_image))
         .where(F.col("_use") == 1)
         .withColumn("detail_rank", F.row_number().over(per_doc))
         .where(F.col("detail_rank") <= n)

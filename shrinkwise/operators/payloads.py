@@ -38,11 +38,13 @@ def transform_payloads(
     key: str = "ext",
     content: str = "content",
     keep_unhandled: bool = True,
+    keep_original: bool = False,
 ) -> DataFrame:
     """Apply `handlers[ext](bytes) -> bytes`; adds out_content, out_size, ok, error.
 
     Only rows with a handler cross into Python, the others are added back with ok = null. The
-    original bytes are dropped on the way out; the other columns are carried along.
+    original bytes are replaced by out_content; with `keep_original` that holds the original where
+    there is no result (ok is then false or null and out_size null). Other columns are carried along.
     """
     carried = [f for f in df.schema.fields if f.name != content]
     schema = T.StructType(carried + RESULT_FIELDS)
@@ -50,12 +52,14 @@ def transform_payloads(
     names = [f.name for f in carried]
     table = dict(handlers)
 
+    def outcome(kind: str, payload: bytes) -> tuple:
+        result = _run(table[kind], payload)
+        return (payload, *result[1:]) if keep_original and not result[2] else result
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = batch.column(key).to_pylist()
-            results = [
-                _run(table[k], payload.as_py()) for k, payload in zip(keys, batch.column(content), strict=True)
-            ]
+            kinds = batch.column(key).to_pylist()
+            results = [outcome(kind, blob.as_py()) for kind, blob in zip(kinds, batch.column(content), strict=True)]
             columns = [batch.column(n) for n in names]
             columns += [
                 pa.array([r[i] for r in results], type=arrow_schema.field(f.name).type)
@@ -65,12 +69,14 @@ def transform_payloads(
                 [c.cast(f.type) for c, f in zip(columns, arrow_schema, strict=True)], schema=arrow_schema
             )
 
-    handled = F.col(key).isin(*table) & F.col(content).isNotNull() if table else F.lit(False)
-    handled = F.coalesce(handled, F.lit(False))
+    handled = F.coalesce(F.col(key).isin(*table) & F.col(content).isNotNull(), F.lit(False)) if table else F.lit(False)
     done = df.where(handled).mapInArrow(work, schema)
     if not keep_unhandled:
         return done
-    rest = df.where(~handled).select(*names, *[F.lit(None).cast(f.dataType).alias(f.name) for f in RESULT_FIELDS])
+    blank = {f.name: F.lit(None).cast(f.dataType) for f in RESULT_FIELDS}
+    if keep_original:
+        blank["out_content"] = F.col(content)
+    rest = df.where(~handled).select(*names, *[value.alias(name) for name, value in blank.items()])
     return done.unionByName(rest)
 
 

@@ -14,10 +14,13 @@ from shrinkwise.session import pinned
 HEAVY_ROWS = 2_000_000
 
 
-def heavy_keys(rows: DataFrame, keys: Sequence[str], heavy_rows: int = HEAVY_ROWS) -> DataFrame:
-    """Keys above the limit, with the number of shares their rows are split into."""
-    counted = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    return counted.where(F.col("_rows") > heavy_rows).select(
+def key_counts(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+
+
+def heavy_keys(counts: DataFrame, keys: Sequence[str], heavy_rows: int = HEAVY_ROWS) -> DataFrame:
+    """Keys whose `_rows` exceed the limit, with the number of shares their rows are split into."""
+    return counts.where(F.col("_rows") > heavy_rows).select(
         *keys, F.ceil(F.col("_rows") / heavy_rows).cast("int").alias("_shares")
     )
 
@@ -29,14 +32,18 @@ def spread_join(
     spread_by: Sequence[str],
     how: str = "left",
     heavy_rows: int = HEAVY_ROWS,
+    counts: DataFrame | None = None,
 ) -> DataFrame:
     """Join many rows to a lookup holding each key once; heavy keys are split over several tasks.
 
     Rows of a heavy key get a share number from `spread_by`, and only that key's lookup row is
     repeated per share. Ordinary keys are shuffled once, as in a plain join. Rows with a null key
-    match nothing, exactly as in SQL.
+    match nothing, exactly as in SQL. `counts` (keys, _rows) saves counting when an aggregation of
+    the same rows exists already; a key it lacks is taken as ordinary.
     """
-    heavy = F.broadcast(heavy_keys(rows, keys, heavy_rows))
+    if counts is None:
+        counts = key_counts(rows, keys)
+    heavy = F.broadcast(heavy_keys(counts, keys, heavy_rows))
     shares = F.coalesce(F.col("_shares"), F.lit(1))
     left = (
         rows.join(heavy, list(keys), "left")

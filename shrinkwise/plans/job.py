@@ -9,7 +9,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shrinkwise.config import JobRequest
+from shrinkwise.config import COMPRESSIBLE_EXTS, JobRequest
 from shrinkwise.functions.paths import archive_plan, audit_paths, file_extension, paths_overlap
 from shrinkwise.operators.accounting import job_totals
 from shrinkwise.operators.archives import archive_outcomes, repack_candidates
@@ -64,45 +64,54 @@ def _archive_copies(archives: DataFrame) -> DataFrame:
         F.col("rel_path").alias("audit_output"),
         F.col("archive_output_path").alias("output_path"),
         "ext",
+        F.col("size").alias("orig_size"),
         "content",
         F.concat(F.lit("zip_archive="), F.col("rel_path")).alias("notes"),
     )
 
 
-def plan_tasks(spark: SparkSession, request: JobRequest) -> tuple[DataFrame, DataFrame | None]:
-    """All tasks with their bytes, and the expansion verdicts when archives are opened."""
-    files = scan_files(spark, request.input_dir, with_content=True).select(
-        F.col("rel_path").alias("audit_input"),
-        F.col("rel_path").alias("audit_output"),
-        F.col("rel_path").alias("output_path"),
+def _plain_files(spark: SparkSession, request: JobRequest) -> DataFrame:
+    """Files outside archives; without mirroring, bytes of types nobody handles are never read."""
+    files = scan_files(spark, request.input_dir, True, None if request.mirror else COMPRESSIBLE_EXTS)
+    if not request.mirror:
+        others = scan_files(spark, request.input_dir).where(~compressible("ext"))
+        files = files.unionByName(others.withColumn("content", F.lit(None).cast("binary")))
+    return files.select(
+        *[F.col("rel_path").alias(c) for c in ("audit_input", "audit_output", "output_path")],
         "ext",
+        F.col("size").alias("orig_size"),
         "content",
         F.lit("").alias("notes"),
     )
+
+
+def plan_tasks(spark: SparkSession, request: JobRequest) -> tuple[DataFrame, DataFrame | None]:
+    """All tasks with their bytes, and the expansion verdicts when archives are opened."""
     archives = scan_archives(spark, request.input_dir)
-    expanded = None
+    none = archives.where(F.lit(False))
+    opened = expand_archives(
+        (archives if request.extract else none).select(F.col("rel_path").alias("path"), "content"),
+        request.max_nesting,
+        request.quota,
+    )
+    verdicts = None
     if request.extract:
-        opened = expand_archives(
-            archives.select(F.col("rel_path").alias("path"), "content"), request.max_nesting, request.quota
-        )
-        expanded = saved_table(opened, "expanded")
-        members = expanded_members(expanded)
-    else:
-        members = expand_archives(archives.where(F.lit(False)).select("path", "content"))
-    members = audit_paths(members, repack=request.repack_archives).select(
+        opened = saved_table(opened, "expanded")
+        verdicts = expanded_verdicts(opened)
+    members = audit_paths(expanded_members(opened), repack=request.repack_archives).select(
         "archive_path",
         "audit_input",
         "audit_output",
         F.col("rel_path").alias("inner_path"),
         F.col("audit_output").alias("output_path"),
         file_extension("rel_path").alias("ext"),
+        F.col("file_size").alias("orig_size"),
         F.col("payload").alias("content"),
         "notes",
     )
-    members = members.where(not_archive("ext"))
     copied = request.mirror and not request.repack_archives
-    copies = _archive_copies(archives if copied else archives.where(F.lit(False)))
-    return build_tasks(files, members, copies), (expanded_verdicts(expanded) if expanded is not None else None)
+    copies = _archive_copies(archives if copied else none)
+    return build_tasks(_plain_files(spark, request), members.where(not_archive("ext")), copies), verdicts
 
 
 def run_job(
@@ -125,23 +134,18 @@ def run_job(
     if clash is not None:
         raise CollidingOutputs(f"{clash.output_path} would be written by {clash.writers} sources")
 
-    work = route(tasks).withColumns(
-        {"orig_size": F.octet_length("content").cast("bigint"), "original": F.col("content")}
-    )
-    work = work.withColumn("key", F.when((F.col("origin") != "archive_copy") & compressible("ext"), F.col("ext")))
-    done = transform_payloads(work, handlers, key="key")
     copy = F.col("origin") == "archive_copy"
-    processed = F.coalesce(F.col("ok"), F.lit(False))
-    done = final_action(done.withColumn("processed", processed), request.mirror).withColumns(
+    work = route(tasks).withColumn("key", F.when(~copy & compressible("ext"), F.col("ext")))
+    done = transform_payloads(work, handlers, key="key", keep_original=True)
+    done = done.withColumn("processed", F.coalesce(F.col("ok"), F.lit(False)))
+    done = final_action(done, request.mirror).withColumns(
         {
             "final_action": F.when(copy, F.lit(ACTION_ARCHIVE_COPY)).otherwise(F.col("final_action")),
             "out_size": F.coalesce("out_size", "orig_size"),
-            "written_content": F.when(processed, F.col("out_content")).when(
-                F.lit(request.mirror) | copy, F.col("original")
-            ),
+            "written_content": F.when(F.col("processed") | F.lit(request.mirror), F.col("out_content")),
         }
     )
-    results = saved_table(done.drop("original", "out_content", "key"), "results")
+    results = saved_table(done.drop("out_content", "key"), "results")
 
     outputs = results.where(F.col("written_content").isNotNull())
     in_archive = (F.col("origin") == "member") & F.lit(request.repack_archives)

@@ -349,7 +349,8 @@ def image_summary(spark: SparkSession, d: str) -> DataFrame:
 
 
 def first_use_top50(spark: SparkSession, d: str) -> DataFrame:
-    detail = imageplan.first_use_detail(image_decisions(spark, d), 50, src.PLACEMENT_ORDER)
+    shown = imageplan.first_uses(*_placed(spark, d), order_by=src.PLACEMENT_ORDER)
+    detail = imageplan.first_use_detail(shown, 50, src.PLACEMENT_ORDER)
     return detail.select("doc_id", *src.PLACEMENT_ORDER, "xref", "status", "detail_rank")
 
 

@@ -40,12 +40,22 @@ def _described(files: DataFrame, root: str, with_content: bool) -> DataFrame:
     return files.select(*columns, *(["content"] if with_content else []))
 
 
-def scan_files(spark: SparkSession, root: str, with_content: bool = False) -> DataFrame:
+def suffix_glob(exts: Iterable[str]) -> str:
+    """File-name pattern matching any of the suffixes in any case."""
+    cases = ["".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in ext) for ext in exts]
+    return "*.{" + ",".join(cases) + "}"
+
+
+def scan_files(
+    spark: SparkSession, root: str, with_content: bool = False, exts: Iterable[str] | None = None
+) -> DataFrame:
     """All files below `root` except archives. Bytes are read only with `with_content`.
 
-    Spark skips names that start with '_' or '.'.
+    `exts` limits the listing itself, so files of other types are never opened. Spark skips names
+    that start with '_' or '.'.
     """
-    return _described(_files(spark, root), root, with_content).where(not_archive("ext"))
+    files = _files(spark, root, suffix_glob(exts) if exts is not None else None)
+    return _described(files, root, with_content).where(not_archive("ext"))
 
 
 def scan_archives(spark: SparkSession, root: str, with_content: bool = True) -> DataFrame:
