@@ -26,6 +26,7 @@ PART_BYTES = 32 * 1024 * 1024
 # Fixed values of the ZIP format (PKWARE application note).
 LOCAL_HEADER, CENTRAL_HEADER = 30, 46
 OFFSET_EXTRA = 12
+END_RECORD, LONG_END_RECORDS = 22, 76
 LIMIT_32, LIMIT_16 = 0xFFFFFFFF, 0xFFFF
 DEFLATED, STORED = 8, 0
 FIRST_DOS_DATE = 0x0021
@@ -48,6 +49,7 @@ PART_SCHEMA = T.StructType(
         T.StructField("parts", T.LongType()),
         T.StructField("start", T.LongType()),
         T.StructField("file_count", T.LongType()),
+        T.StructField("archive_bytes", T.LongType()),
         T.StructField("content", T.BinaryType()),
     ]
 )
@@ -124,6 +126,7 @@ SEGMENT_SCHEMA = T.StructType(
         T.StructField("part", T.LongType()),
         T.StructField("parts", T.LongType()),
         T.StructField("file_count", T.LongType()),
+        T.StructField("archive_bytes", T.LongType()),
         T.StructField("position", T.LongType()),
         T.StructField("bytes", T.BinaryType()),
     ]
@@ -153,7 +156,7 @@ def _assemble(group: pa.Table) -> pa.Table:
     first = ordered.slice(0, 1).to_pylist()[0]
     part = {
         "archive_path": first["archive_path"], "part": first["part"], "parts": first["parts"],
-        "start": first["position"], "file_count": first["file_count"],
+        "start": first["position"], "file_count": first["file_count"], "archive_bytes": first["archive_bytes"],
         "content": b"".join(ordered.column("bytes").to_pylist()),
     }
     return pa.Table.from_pylist([part], schema=to_arrow_schema(PART_SCHEMA))
@@ -183,7 +186,7 @@ def pack_archives(
     content: str = "content",
     part_bytes: int = PART_BYTES,
 ) -> DataFrame:
-    """One deflated ZIP per group: archive_path, part, parts, start, file_count, content.
+    """One deflated ZIP per group: archive_path, part, parts, start, file_count, archive_bytes, content.
 
     Folders come first, then files, both by path; names ending in '/' are empty folders. Names are
     unique in an archive. Parts joined in order (or written at `start`) are the archive; part
@@ -215,13 +218,18 @@ def pack_archives(
         {"far": far, "directory_size": per_entry * F.col("entries") + F.col("all_names"), "per_entry": per_entry}
     )
     end_at = F.col("directory_start") + F.col("directory_size")
+    long_end = (F.col("entries") >= LIMIT_16) | far | (F.col("directory_size") >= LIMIT_32)
     totals = totals.withColumns(
-        {"end_position": end_at, "parts": F.floor(end_at / part_bytes).cast("bigint") + 1}
+        {
+            "end_position": end_at,
+            "parts": F.floor(end_at / part_bytes).cast("bigint") + 1,
+            "archive_bytes": end_at + END_RECORD + F.when(long_end, LONG_END_RECORDS).otherwise(0),
+        }
     ).drop("all_names")
     placed = spread_join(ordered, totals, ["archive_path"], ["name"], "inner")
     common = [
         "archive_path", "name", "crc", "raw_size", "packed_size", "entry_offset", "file_count", "entries",
-        "directory_start", "directory_size", "far", "parts",
+        "directory_start", "directory_size", "far", "parts", "archive_bytes",
     ]
     no_bytes = F.lit(None).cast("binary").alias("packed")
     local = placed.select(*common, F.lit(LOCAL).alias("section"), F.col("entry_offset").alias("position"))

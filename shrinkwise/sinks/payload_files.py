@@ -42,10 +42,14 @@ def _replace_file(root: str, relative: str, data: bytes) -> None:
             os.remove(scratch)
 
 
-def _write_at(root: str, relative: str, start: int, data: bytes) -> None:
-    """Put one part of a larger file in place; the same bytes at the same offset on every retry."""
+def _write_at(root: str, relative: str, start: int, total: int, data: bytes) -> None:
+    """Put one part of a larger file in place; the same bytes at the same offset on every retry.
+
+    Every part sets the final length, so nothing of an older, longer file stays behind.
+    """
     descriptor = os.open(_target(root, relative), os.O_CREAT | os.O_WRONLY, 0o644)
     try:
+        os.ftruncate(descriptor, total)
         view = memoryview(data)
         while view:
             written = os.pwrite(descriptor, view, start)
@@ -54,21 +58,21 @@ def _write_at(root: str, relative: str, start: int, data: bytes) -> None:
         os.close(descriptor)
 
 
-def _writer(root: str, path: str, content: str, start: str | None):
+def _writer(root: str, path: str, content: str, in_place: bool = False):
     schema = to_arrow_schema(WRITTEN_SCHEMA)
     root = os.path.abspath(root)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            starts = batch.column(start).to_pylist() if start else [None] * batch.num_rows
             rows = []
-            for where, blob, at in zip(batch.column(path).to_pylist(), batch.column(content), starts, strict=True):
-                data = blob.as_py() or b""
+            for i, where in enumerate(batch.column(path).to_pylist()):
+                data = batch.column(content)[i].as_py() or b""
                 try:
-                    if at is None:
-                        _replace_file(root, where, data)
+                    if in_place:
+                        start, total = (batch.column(c)[i].as_py() for c in ("start", "archive_bytes"))
+                        _write_at(root, where, start, total, data)
                     else:
-                        _write_at(root, where, at, data)
+                        _replace_file(root, where, data)
                     rows.append({"output_path": where, "bytes_written": len(data), "error": None})
                 except Exception as exc:  # noqa: BLE001 - reported in the row
                     rows.append({"output_path": where, "bytes_written": None, "error": f"{type(exc).__name__}: {exc}"})
@@ -83,13 +87,13 @@ def write_payloads(df: DataFrame, out_root: str, path: str = "output_path", cont
     The returned frame must be consumed for the writes to happen; consuming it twice writes the
     same files twice.
     """
-    return df.select(path, content).mapInArrow(_writer(out_root, path, content, None), WRITTEN_SCHEMA)
+    return df.select(path, content).mapInArrow(_writer(out_root, path, content), WRITTEN_SCHEMA)
 
 
 def write_archive_parts(parts: DataFrame, out_root: str) -> DataFrame:
     """Write the output of pack_archives; parts of one large archive are placed in parallel."""
     single = parts.where(F.col("parts") == 1)
-    several = parts.where(F.col("parts") > 1).select("archive_path", "content", "start")
+    several = parts.where(F.col("parts") > 1).select("archive_path", "content", "start", "archive_bytes")
     return write_payloads(single, out_root, "archive_path", "content").unionByName(
-        several.mapInArrow(_writer(out_root, "archive_path", "content", "start"), WRITTEN_SCHEMA)
+        several.mapInArrow(_writer(out_root, "archive_path", "content", in_place=True), WRITTEN_SCHEMA)
     )

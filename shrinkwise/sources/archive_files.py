@@ -8,7 +8,7 @@ import zipfile
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -92,6 +92,24 @@ def list_members(archives: DataFrame, path: str = "path", content: str = "conten
     return archives.select(path, content).mapInArrow(work, LISTING_SCHEMA)
 
 
+class ArchiveMembers:
+    """Table function behind `archive_members(content)`."""
+
+    def eval(self, content: bytes):
+        with zipfile.ZipFile(io.BytesIO(content)) as archive_file:
+            for idx, info in enumerate(archive_file.infolist()):
+                yield idx, info.filename, info.file_size, info.external_attr
+
+
+def register_archive_members(spark: SparkSession, name: str = "archive_members") -> None:
+    """SQL form of the listing: SELECT a.path, m.* FROM archives a, LATERAL archive_members(a.content) m.
+
+    Unlike list_members, an unreadable archive fails the query.
+    """
+    returns = "idx int, name string, file_size bigint, external_attr bigint"
+    spark.udtf.register(name, F.udtf(ArchiveMembers, returnType=returns))
+
+
 def _parts(name: str) -> list[str]:
     return [p for p in name.replace("\\", "/").split("/") if p not in ("", ".")]
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -108,6 +108,31 @@ def on_batch(
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
+def by_target(callbacks: Mapping[str, Callable[[DataFrame, int], None]]) -> Callable[[DataFrame, int], None]:
+    """A batch callback giving each target's rows of dispatch_events to its own callback, as a frame."""
+
+    def deliver(frame: DataFrame, batch_id: int) -> None:
+        frame.persist()
+        try:
+            for target, callback in callbacks.items():
+                callback(frame.where(F.col("target") == target), batch_id)
+        finally:
+            frame.unpersist()
+
+    return deliver
+
+
+def observed(results: DataFrame, name: str = "progress") -> tuple[DataFrame, Observation]:
+    """Count files and bytes while the frame is computed for something else; read `.get` afterwards."""
+    observation = Observation(name)
+    metrics = [
+        F.count(F.lit(1)).alias("files_done"),
+        F.coalesce(F.sum("orig_size"), F.lit(0)).alias("orig_total"),
+        F.coalesce(F.sum("out_size"), F.lit(0)).alias("out_total"),
+    ]
+    return results.observe(observation, *metrics), observation
+
+
 def publish_state(states: DataFrame, out: str, checkpoint: str, once: bool = True) -> StreamingQuery:
     """Keep the changes of a running aggregate as a table: each micro-batch rewrites its own folder,
     so a repeated batch changes nothing and no state passes through the driver."""

@@ -88,6 +88,13 @@ def test_listing(spark):
     assert [(r.idx, r.name) for r in bad] == [(-1, None)] and "BadZipFile" in bad[0].error
 
 
+def test_listing_in_sql(spark):
+    archive_files.register_archive_members(spark)
+    frame(spark, {"a.zip": zip_bytes({"x": b"1", "y": b"22"})}).createOrReplaceTempView("some_archives")
+    rows = spark.sql("SELECT a.path, m.* FROM some_archives a, LATERAL archive_members(a.content) m").collect()
+    assert sorted((r.path, r.idx, r.name, r.file_size) for r in rows) == [("a.zip", 0, "x", 1), ("a.zip", 1, "y", 2)]
+
+
 def outcome_of(spark, blob, **options):
     expanded = expand_archives(frame(spark, {"outer.zip": blob}), **options)
     counts = archives.archive_outcomes(expanded_verdicts(expanded)).first()
@@ -170,6 +177,7 @@ def test_more_entries_than_the_short_count_holds(spark):
     )
     (part,) = pack_archives(df).collect()
     opened = zipfile.ZipFile(io.BytesIO(bytes(part.content)))
+    assert part.archive_bytes == len(part.content)
     assert len(opened.namelist()) == 66_000 and opened.read("065999") == b"65999"
 
 

@@ -92,7 +92,10 @@ def test_archive_parts_are_written_in_place(spark, tmp_path):
 
     rows = [("packs/big.zip", f"{i:03}.bin", bytes([i % 251]) * i) for i in range(200)] + [("small.zip", "x", b"1")]
     df = spark.createDataFrame(rows, "archive_path string, rel_path string, content binary")
+    write_tree(tmp_path, {"packs/big.zip": b"old" * 100_000})
     assert write_archive_parts(pack_archives(df, part_bytes=2000), str(tmp_path)).where("error is not null").count() == 0
+    sizes = {r.archive_path: r.archive_bytes for r in pack_archives(df, part_bytes=2000).collect()}
+    assert tree_sizes(tmp_path) == sizes
     with zipfile.ZipFile(tmp_path / "packs/big.zip") as big, zipfile.ZipFile(tmp_path / "small.zip") as small:
         assert big.testzip() is None and len(big.namelist()) == 200 and small.read("x") == b"1"
 

@@ -1,5 +1,3 @@
-import shutil
-
 import pytest
 from conftest import write_tree
 from pyspark.sql import functions as F
@@ -61,6 +59,30 @@ def test_dispatch_streams_like_it_batches(spark, event_stream, tmp_path):
     assert rows(spark.read.parquet(out).drop("batch")) == rows(monitor.dispatch_events(job_events(table)))
 
 
+def test_each_target_gets_its_own_rows(spark, event_stream, tmp_path):
+    table, stream = event_stream
+    counts = {}
+
+    def counter(target):
+        def add(frame, _):
+            counts[target] = counts.get(target, 0) + frame.count()
+
+        return add
+
+    callbacks = {t: counter(t) for t in ("log", "progress", "stats")}
+    dispatched = monitor.dispatch_events(job_events(stream))
+    monitor.on_batch(dispatched, monitor.by_target(callbacks), str(tmp_path / "progress")).awaitTermination()
+    expected = monitor.dispatch_events(job_events(table)).where("target <> 'status'").groupBy("target").count()
+    assert counts == {r[0]: r[1] for r in expected.collect()}
+
+
+def test_observed_totals(spark, tmp_path):
+    df = spark.createDataFrame([(10, 4), (5, 5)], "orig_size bigint, out_size bigint")
+    watched, observation = monitor.observed(df)
+    watched.write.parquet(str(tmp_path / "out"))
+    assert observation.get == {"files_done": 2, "orig_total": 15, "out_total": 9}
+
+
 def test_dispatch_rules(spark):
     events = [
         ("j", None, "log", "hi", None, None, None, None, None, None), ("j", None, "log", None, None, None, None, None, None, None),
@@ -98,8 +120,7 @@ def test_folder_intake_picks_up_only_new_files(spark, tmp_path):
     write_tree(root, {"d/c.ZIP": b"333"})
     sweep()
     assert seen == [("c.ZIP", "zip", 3)]
-    archives = spark.readStream and monitor.watch_folder(spark, str(root), archives_only=True, files_per_trigger=1)
+    archives = monitor.watch_folder(spark, str(root), archives_only=True, files_per_trigger=1)
     seen.clear()
     monitor.on_batch(archives, collect, str(tmp_path / "other")).awaitTermination()
     assert sorted(s[0] for s in seen) == ["b.zip", "c.ZIP"]
-    shutil.rmtree(root)
