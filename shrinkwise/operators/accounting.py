@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shrinkwise.functions.scalars import saved_bytes, saved_pct
-from shrinkwise.operators.skew import HEAVY_ROWS, spread_join
+from shrinkwise.operators.skew import HEAVY_ROWS, heavy_keys, key_counts, spread_join
 
 
 def with_savings(df: DataFrame, orig: str = "orig_size", out: str = "out_size") -> DataFrame:
@@ -68,32 +68,35 @@ def progress(
     job: str = "job_id",
     finished_at: str = "finished_at",
     task: str = "task_id",
-    bucket_seconds: int = 1,
+    bucket_seconds: int = 60,
+    heavy_rows: int = HEAVY_ROWS,
 ) -> DataFrame:
     """Number every finished task within its job: current, total, pct.
 
-    A job may hold most of the rows, so ranks are taken inside (job, time bucket) and shifted by
-    the counts of earlier buckets. The bucket table has one row per bucket a job was active in,
-    which its running time bounds whatever the number of tasks.
+    A job may hold most of the rows. Such jobs are cut into time buckets: ranks are taken inside
+    (job, bucket) and shifted by the counts of earlier buckets, of which there are as many as the
+    job's running time has. All other jobs form one bucket each.
     """
-    width = bucket_seconds * 1_000_000
-    bucketed = df.withColumn("_bucket", F.floor(_micros(df, finished_at) / width))
     keys = [job, "_bucket"]
+    heavy = F.broadcast(heavy_keys(key_counts(df, [job]), [job], heavy_rows))
+    cut = F.col("_shares").isNotNull()
+    time_bucket = F.floor(_micros(df, finished_at) / (bucket_seconds * 1_000_000))
+    bucketed = df.join(heavy, job, "left").withColumn("_bucket", F.when(cut, time_bucket).otherwise(0))
     per_job = Window.partitionBy(job)
     earlier = per_job.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        bucketed.groupBy(*keys)
+        bucketed.where(cut)
+        .groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("_n"))
-        .select(
-            *keys,
-            F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset"),
-            F.sum("_n").over(per_job).alias("total"),
-        )
+        .select(*keys, F.sum("_n").over(earlier).alias("_offset"), F.sum("_n").over(per_job).alias("_total"))
     )
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(finished_at, task))
+    in_bucket = Window.partitionBy(*keys)
+    rank = F.row_number().over(in_bucket.orderBy(finished_at, task))
     return (
-        bucketed.join(offsets, keys)
-        .withColumn("current", (F.col("_offset") + rank).cast("bigint"))
+        bucketed.drop("_shares")
+        .join(offsets, keys, "left")
+        .withColumn("current", (F.coalesce("_offset", F.lit(0)) + rank).cast("bigint"))
+        .withColumn("total", F.coalesce("_total", F.count(F.lit(1)).over(in_bucket)))
         .withColumn("pct", progress_percent(F.col("current"), F.col("total")))
-        .drop("_bucket", "_offset")
+        .drop("_bucket", "_offset", "_total")
     )

@@ -415,7 +415,7 @@ def progress_rank(spark: SparkSession, d: str) -> DataFrame:
     finished = src.read(spark, d, "events").select(
         F.col("user_id").alias("job_id"), F.col("ts").alias("finished_at"), F.col("event_id").alias("task_id")
     )
-    return accounting.progress(finished, bucket_seconds=3600).select("job_id", "task_id", "current", "total", "pct")
+    return accounting.progress(finished).select("job_id", "task_id", "current", "total", "pct")
 
 
 def event_dispatch(spark: SparkSession, d: str) -> DataFrame:
