@@ -19,25 +19,29 @@ def base_name(path: Column | str) -> Column:
 def parent_dir(path: Column | str) -> Column:
     """Everything before the last '/', or '' when there is none."""
     path = _col(path)
-    return F.substring(path, F.lit(1), F.greatest(F.length(path) - F.length(base_name(path)) - 1, F.lit(0)))
+    below = F.length(path) - F.length(base_name(path)) - 1
+    return F.substring(path, F.lit(1), F.greatest(below, F.lit(0)))
 
 
 def _suffix(name: Column) -> Column:
-    """Text after the last dot; '' unless something other than the dot stands before it."""
+    """Text after the last dot of a file name: '.jpg' and 'a.' have none, '..jpg' does.
+
+    Plain string functions, which measured faster than a regular expression here.
+    """
     tail = F.substring_index(name, ".", -1)
     return F.when(F.length(name) > F.length(tail) + 1, tail).otherwise("")
 
 
 def file_extension(path: Column | str) -> Column:
-    """Lower-case suffix without the dot ('.jpg' alone and 'a.' have none)."""
+    """Lower-case suffix without the dot, '' when there is none."""
     return F.lower(_suffix(base_name(path)))
 
 
 def without_suffix(path: Column | str) -> Column:
     """The path without its last suffix: parent folder and stem."""
     path = _col(path)
-    suffix = _suffix(base_name(path))
-    return F.when(suffix != "", F.substring(path, F.lit(1), F.length(path) - F.length(suffix) - 1)).otherwise(path)
+    suffix = F.length(_suffix(base_name(path)))
+    return F.substring(path, F.lit(1), F.length(path) - F.when(suffix > 0, suffix + 1).otherwise(0))
 
 
 def stem(path: Column | str) -> Column:

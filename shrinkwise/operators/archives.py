@@ -32,7 +32,7 @@ def name_violation(name: Column | str) -> Column:
     return (
         F.when(F.startswith(path, F.lit("/")), "absolute_path")
         .when(F.contains(F.concat(F.lit("/"), path, F.lit("/")), F.lit("/../")), "path_traversal")
-        .when(path.rlike(DRIVE_PART), "drive_path")
+        .when(F.contains(path, F.lit(":")) & path.rlike(DRIVE_PART), "drive_path")
     )
 
 
@@ -83,10 +83,11 @@ def first_violation(
         .groupBy("archive_path")
         .agg(F.min(F.struct(position.alias("at"), "violation", "name")).alias("_unsafe"))
     )
-    suspects = totals.where(F.col("quota_violation") == OVER_BYTES).select("archive_path")
+    counts = totals.select("archive_path", F.col("member_count").alias("_rows"), "total_bytes", "quota_violation")
+    suspects = counts.where(F.col("quota_violation") == OVER_BYTES).select("archive_path", "_rows")
     run = Window.partitionBy("archive_path").orderBy(*order_by).rowsBetween(Window.unboundedPreceding, 0)
     # Reading both totals keeps this plan equal to the others over `totals`, so its shuffle is reused.
-    counts = totals.where(F.col("total_bytes").isNotNull()).select("archive_path", F.col("member_count").alias("_rows"))
+    counts = counts.where(F.col("total_bytes").isNotNull())
     over = (
         spread_join(members, suspects, ["archive_path"], list(order_by), "left_semi", heavy_rows, counts)
         .withColumn("_running", F.sum(F.greatest(F.col("file_size"), F.lit(0))).over(run))

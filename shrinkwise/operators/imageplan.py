@@ -119,16 +119,23 @@ def decide_images(
         *[c for c in described.columns if c not in (*KEYS, "ext", "_found")],
     )
     r = F.col("result")
-    extracted = ~r.isin("zero_rect", "no_extract")
-    opened = extracted & ~r.isin("unsupported_ext", "pil_open_failed")
+    decided = decided.withColumns(
+        {
+            "_extracted": ~r.isin("zero_rect", "no_extract"),
+            "_opened": r.isin("pending", "replaced", "not_smaller"),
+        }
+    )
+    extracted, opened = F.col("_extracted"), F.col("_opened")
+    dpi = effective_dpi("width", "height", "rect_w", "rect_h")
+    decided = decided.withColumn("effective_dpi", F.when(opened, dpi))
+    as_png = F.col("_ext").isin(*PNG_LIKE_EXTS) | F.col("has_transparency")
+    decided = decided.withColumns(
+        {"_dims": dpi_dims("width", "height", "effective_dpi", target_dpi), "_png": F.coalesce(opened & as_png, F.lit(False))}
+    )
 
     def when_opened(value: Column) -> Column:
         return F.when(opened, value)
 
-    dpi = effective_dpi("width", "height", "rect_w", "rect_h")
-    decided = decided.withColumn("effective_dpi", when_opened(dpi))
-    decided = decided.withColumn("_dims", dpi_dims("width", "height", "effective_dpi", target_dpi))
-    as_png = F.col("_ext").isin(*PNG_LIKE_EXTS) | F.col("has_transparency")
     return decided.select(
         *KEYS,
         "uses",
@@ -147,10 +154,10 @@ def decide_images(
         when_opened(F.col("soft_mask_error")).alias("soft_mask_error"),
         F.when(extracted, F.col("size")).alias("orig_size"),
         when_opened(F.col("new_size")).alias("new_size"),
-        when_opened(F.when(as_png, "PNG").otherwise("JPEG")).alias("output_format"),
+        when_opened(F.when(F.col("_png"), "PNG").otherwise("JPEG")).alias("output_format"),
         when_opened(F.coalesce(F.col("is_cmyk"), F.lit(False))).alias("is_cmyk"),
-        when_opened(F.when(as_png, F.col("quantizer"))).alias("quantizer"),
-        when_opened(F.when(as_png, F.col("fallback_reason"))).alias("fallback_reason"),
+        F.when(F.col("_png"), F.col("quantizer")).alias("quantizer"),
+        F.when(F.col("_png"), F.col("fallback_reason")).alias("fallback_reason"),
     )
 
 
@@ -172,28 +179,29 @@ def image_decisions(
     pages is labelled by several tasks (see spread_join).
     """
     decided = decide_images(placements, images, target_dpi, order_by, heavy_rows)
-    used = [*KEYS, "first_use_at", "result", *DETAIL_COLUMNS]
+    detail = F.struct(*DETAIL_COLUMNS).alias("detail")
+    lookup = decided.select(*KEYS, "first_use_at", "result", detail, F.col("uses").alias("_rows"))
     valid = _valid(placements)
     # Reading `_first` as well keeps this the aggregation of decide_images, so its shuffle is reused.
     counts = _first_places(valid, order_by).where(F.col("_first").isNotNull())
     counts = counts.select(*KEYS, F.col("uses").alias("_rows"))
-    rows = spread_join(valid, decided.select(*used), KEYS, list(order_by), "left", heavy_rows, counts)
-    is_first = F.struct(*order_by) == F.col("first_use_at")
+    rows = spread_join(valid, lookup, KEYS, list(order_by), "left", heavy_rows, counts)
+    rows = rows.withColumn("first_use", F.struct(*order_by) == F.col("first_use_at"))
+    first = F.col("first_use")
     repeat = F.concat(F.lit("skip_already_processed:"), F.col("result"))
-    status = F.when(is_first, _first_status()).otherwise(repeat)
     labelled = rows.select(
         *placements.columns,
-        is_first.alias("first_use"),
-        status.alias("status"),
-        *[F.when(is_first, F.col(c)).alias(c) for c in DETAIL_COLUMNS],
-    )
+        "first_use",
+        F.when(first, _first_status()).otherwise(repeat).alias("status"),
+        F.when(first, F.col("detail")).alias("detail"),
+    ).select(*placements.columns, "first_use", "status", "detail.*")
     missing = _missing(placements).select(
         "*", F.lit(False).alias("first_use"), F.lit("skip_xref_missing").alias("status")
     )
     return labelled.unionByName(missing, allowMissingColumns=True)
 
 
-# Results of a first use that are reported as skips.
+# Results of a first use that are reported as skips. Counter names follow from them.
 SKIP_RESULTS = ("zero_rect", "no_extract", "unsupported_ext", "pil_open_failed", "not_smaller")
 
 
@@ -202,11 +210,13 @@ def image_counters(
     images: DataFrame,
     order_by: Sequence[str] = ORDER,
     heavy_rows: int = HEAVY_ROWS,
+    documents: DataFrame | None = None,
 ) -> DataFrame:
     """Counters per document, computed from the per-image decisions and their number of uses.
 
     Repeats are `uses - 1`, so no placement has to be labelled first. `image_infos_seen` and
     `replaced` are at once the document's placement total and its number of changed images.
+    `documents` (doc_id, pages) adds the page count and the documents without any image.
     """
     decided = decide_images(placements, images, order_by=order_by, heavy_rows=heavy_rows)
     r = F.col("result")
@@ -234,11 +244,13 @@ def image_counters(
         "doc_id",
         *[(F.col("n") if c in ("image_infos_seen", "skip_xref_missing") else F.lit(0)).alias(c) for c in counters],
     )
-    return (
-        per_image.unionByName(missing)
-        .groupBy("doc_id")
-        .agg(*[F.sum(c).cast("bigint").alias(c) for c in counters])
-    )
+    counted = per_image.unionByName(missing)
+    pages = []
+    if documents is not None:
+        empty = documents.select("doc_id", "pages", *[F.lit(0).alias(c) for c in counters])
+        counted = counted.unionByName(empty, allowMissingColumns=True)
+        pages = [F.max("pages").alias("pages")]
+    return counted.groupBy("doc_id").agg(*pages, *[F.sum(c).cast("bigint").alias(c) for c in counters])
 
 
 def count_decisions(decisions: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shrinkwise.session import pinned
@@ -18,11 +18,15 @@ def key_counts(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
 
 
+def _shares(rows: Column, heavy_rows: int) -> Column:
+    """How many tasks a key's rows are split over; one unless it is heavy."""
+    return F.when(rows > heavy_rows, F.ceil(rows / heavy_rows)).otherwise(1).cast("int")
+
+
 def heavy_keys(counts: DataFrame, keys: Sequence[str], heavy_rows: int = HEAVY_ROWS) -> DataFrame:
-    """Keys whose `_rows` exceed the limit, with the number of shares their rows are split into."""
-    return counts.where(F.col("_rows") > heavy_rows).select(
-        *keys, F.ceil(F.col("_rows") / heavy_rows).cast("int").alias("_shares")
-    )
+    """Keys whose `_rows` exceed the limit, with their number of shares."""
+    heavy = counts.where(F.col("_rows") > heavy_rows)
+    return heavy.select(*keys, _shares(F.col("_rows"), heavy_rows).alias("_shares"))
 
 
 def spread_join(
@@ -38,8 +42,11 @@ def spread_join(
 
     Rows of a heavy key get a share number from `spread_by`, and only that key's lookup row is
     repeated per share. Ordinary keys are shuffled once, as in a plain join. Rows with a null key
-    match nothing, exactly as in SQL. `counts` (keys, _rows) saves counting when an aggregation of
-    the same rows exists already; a key it lacks is taken as ordinary.
+    match nothing, exactly as in SQL.
+
+    `counts` (keys, _rows) saves counting when an aggregation of the same rows exists already; a key
+    it lacks is taken as ordinary. A lookup column `_rows` with those same counts saves looking
+    them up again; it is dropped.
     """
     if counts is None:
         counts = key_counts(rows, keys)
@@ -50,11 +57,11 @@ def spread_join(
         .withColumn("_share", F.pmod(F.xxhash64(*spread_by), shares).cast("int"))
         .drop("_shares")
     )
-    right = (
-        lookup.join(heavy, list(keys), "left")
-        .withColumn("_share", F.explode(F.sequence(F.lit(0), shares - 1)))
-        .drop("_shares")
-    )
+    if "_rows" in lookup.columns:
+        known = lookup.withColumn("_shares", _shares(F.col("_rows"), heavy_rows)).drop("_rows")
+    else:
+        known = lookup.join(heavy, list(keys), "left")
+    right = known.withColumn("_share", F.explode(F.sequence(F.lit(0), shares - 1))).drop("_shares")
     return left.join(right, [*keys, "_share"], how).drop("_share")
 
 

@@ -25,7 +25,7 @@ from shrinkwise.operators.routing import (
 )
 from shrinkwise.session import saved_table
 from shrinkwise.sinks.archive_files import pack_archives
-from shrinkwise.sinks.audit import audit_or_skip, audit_rows, default_audit_name
+from shrinkwise.sinks.audit import audit_headers, audit_or_skip, audit_rows, default_audit_name
 from shrinkwise.sinks.payload_files import write_archive_parts, write_payloads
 from shrinkwise.sources.archive_files import expand_archives, expanded_members, expanded_verdicts
 from shrinkwise.sources.scan import scan_archives, scan_files
@@ -163,7 +163,8 @@ def run_job(
     audit_error = None
     if request.audit:
         name = default_audit_name(started_at.strftime("%Y%m%d_%H%M%S"))
-        audit_error = audit_or_skip(audit, request.audit_path or f"{request.output_dir}/{name}")
+        headers = audit_headers(labels, request.language) if labels is not None else None
+        audit_error = audit_or_skip(audit, request.audit_path or f"{request.output_dir}/{name}", headers=headers)
     archives = archive_outcomes(verdicts) if verdicts is not None else None
     return JobReport(
         results=results.drop("written_content"),

@@ -166,6 +166,12 @@ DETAIL = (
     "soft_mask_error orig_size new_size output_format"
 ).split()
 
+COUNTERS = (
+    "image_infos_seen unique_xrefs_seen skip_xref_missing skip_already_processed skip_zero_rect skip_no_extract "
+    "skip_unsupported_ext skip_pil_open_failed skip_not_smaller replaced cmyk_converted soft_mask_seen "
+    "soft_mask_applied soft_mask_failed pngquant_used pillow_png_fallback_used"
+).split()
+
 JOB_EVENTS = """
 job_events AS (
   SELECT event_id, user_id AS job_id, ts,
@@ -442,11 +448,9 @@ ORACLE = {
                count(*) FILTER (output_format = 'PNG' AND quantizer = 'pngquant') AS pngquant_used,
                count(*) FILTER (output_format = 'PNG' AND quantizer <> 'pngquant') AS pillow_png_fallback_used
         FROM decided WHERE opened GROUP BY doc_id)
-      SELECT c.*, coalesce(cmyk_converted, 0) AS cmyk_converted, coalesce(soft_mask_seen, 0) AS soft_mask_seen,
-             coalesce(soft_mask_applied, 0) AS soft_mask_applied, coalesce(soft_mask_failed, 0) AS soft_mask_failed,
-             coalesce(pngquant_used, 0) AS pngquant_used,
-             coalesce(pillow_png_fallback_used, 0) AS pillow_png_fallback_used
-      FROM counted c LEFT JOIN opened o ON o.doc_id = c.doc_id""",
+      SELECT p_partkey AS doc_id, p_size AS pages,
+             {", ".join(f"coalesce({c}, 0) AS {c}" for c in COUNTERS)}
+      FROM part LEFT JOIN counted c ON c.doc_id = p_partkey LEFT JOIN opened o ON o.doc_id = p_partkey""",
     "decision_counts": f"""WITH {DECISIONS}
       SELECT doc_id, count(*) AS image_infos_seen, count(*) FILTER (first_use) AS unique_xrefs_seen,
              count(*) FILTER (status LIKE 'skip_already_processed:%') AS skip_already_processed,

@@ -337,7 +337,8 @@ def placement_status(spark: SparkSession, d: str) -> DataFrame:
 
 
 def image_counters(spark: SparkSession, d: str) -> DataFrame:
-    return imageplan.image_counters(*_placed(spark, d), order_by=src.PLACEMENT_ORDER)
+    documents = src.read(spark, d, "part").select(F.col("p_partkey").alias("doc_id"), F.col("p_size").alias("pages"))
+    return imageplan.image_counters(*_placed(spark, d), order_by=src.PLACEMENT_ORDER, documents=documents)
 
 
 def decision_counts(spark: SparkSession, d: str) -> DataFrame:

@@ -20,6 +20,8 @@ def configure(builder: SparkSession.Builder) -> SparkSession.Builder:
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        # Plans here are built from many small expressions; recording a call site for each is slow.
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
         **PAYLOAD_BATCH_CONF,
     }
     for key, value in settings.items():

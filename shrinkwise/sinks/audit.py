@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Mapping
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shrinkwise.config import FALLBACK_LANGUAGE
 from shrinkwise.functions.scalars import fmt1, iso_ts
 from shrinkwise.operators.accounting import with_savings
 from shrinkwise.operators.labels import label
@@ -42,9 +45,26 @@ def default_audit_name(stamp: str) -> str:
     return f"compression_log_{stamp}.csv"
 
 
-def write_audit(df: DataFrame, path: str, fmt: str = "csv", mode: str = "errorifexists") -> None:
-    """CSV with a header in every part file, or Parquet. A folder, as any distributed writer makes."""
-    writer = df.select([f.name for f in AUDIT_SCHEMA.fields]).write.mode(mode)
+def audit_headers(labels: DataFrame, lang: str) -> dict[str, str]:
+    """Column titles in a language: the ten `csv_header_<column>` labels, English where missing."""
+    columns = [f.name for f in AUDIT_SCHEMA.fields]
+    wanted = labels.where(
+        F.col("key").isin(*[f"csv_header_{c}" for c in columns]) & F.col("lang").isin(lang, FALLBACK_LANGUAGE)
+    )
+    found = {(r.lang, r.key.removeprefix("csv_header_")): r.text for r in wanted.collect()}
+    return {c: found.get((lang, c), found.get((FALLBACK_LANGUAGE, c), c)) for c in columns}
+
+
+def write_audit(
+    df: DataFrame, path: str, fmt: str = "csv", mode: str = "errorifexists", headers: Mapping[str, str] | None = None
+) -> None:
+    """CSV with a header in every part file, or Parquet. A folder, as any distributed writer makes.
+
+    `headers` titles the CSV columns; reading back goes by position.
+    """
+    titles = headers if headers and fmt == "csv" else {}
+    columns = [F.col(f.name).alias(titles.get(f.name, f.name)) for f in AUDIT_SCHEMA.fields]
+    writer = df.select(columns).write.mode(mode)
     if fmt == "csv":
         writer.option("header", "true").option("encoding", "UTF-8").option("emptyValue", "").csv(path)
     elif fmt == "parquet":
@@ -53,14 +73,13 @@ def write_audit(df: DataFrame, path: str, fmt: str = "csv", mode: str = "errorif
         raise ValueError(f"unknown audit format: {fmt}")
 
 
-def audit_or_skip(df: DataFrame, path: str, fmt: str = "csv") -> str | None:
+def audit_or_skip(
+    df: DataFrame, path: str, fmt: str = "csv", headers: Mapping[str, str] | None = None
+) -> str | None:
     """Write the audit but never fail the job for it; returns the error text, if any."""
     try:
-        write_audit(df, path, fmt)
+        write_audit(df, path, fmt, headers=headers)
     except Exception as exc:  # noqa: BLE001 - the audit is optional by contract
         return f"{type(exc).__name__}: {exc}"
     return None
 
-
-def empty_audit(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([], AUDIT_SCHEMA)

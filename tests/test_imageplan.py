@@ -117,9 +117,21 @@ def test_counters_agree_with_the_labelled_rows(spark, random_estate):
             assert direct[row.doc_id][name] == value
 
 
+def test_documents_without_images_are_counted_too(spark, random_estate):
+    placements, images = random_estate
+    p, i = spark.createDataFrame(placements, PLACEMENTS), spark.createDataFrame(images, IMAGES)
+    documents = spark.createDataFrame([(d, d + 3) for d in range(14)], "doc_id bigint, pages int")
+    rows = {r.doc_id: r for r in imageplan.image_counters(p, i, documents=documents).collect()}
+    assert {d: r.pages for d, r in rows.items()} == {d: d + 3 for d in range(14)}
+    assert rows[13].image_infos_seen == rows[13].replaced == 0 < rows[0].image_infos_seen
+
+
 def test_detail_lists_the_first_images_of_each_document(spark, random_estate):
     placements, images = random_estate
     rows = imageplan.first_use_detail(decisions(spark, placements, images), n=4).collect()
+    p, i = spark.createDataFrame(placements, PLACEMENTS), spark.createDataFrame(images, IMAGES)
+    short = imageplan.first_use_detail(imageplan.first_uses(p, i), n=4).collect()
+    assert {(r.doc_id, r.seq, r.status) for r in short} == {(r.doc_id, r.seq, r.status) for r in rows}
     expected = set()
     for doc in range(12):
         shown = set()

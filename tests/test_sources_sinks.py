@@ -65,10 +65,13 @@ def test_audit_round_trip(spark, tmp_path):
     df = spark.createDataFrame(
         rows, "audit_input string, audit_output string, ext string, final_action string, orig_size bigint, out_size bigint, notes string"
     )
-    catalog = spark.createDataFrame([("en", "csv_action_jpeg", "JPEG compression")], "lang string, key string, text string")
+    texts = [("en", "csv_action_jpeg", "JPEG compression"), ("en", "csv_header_ext", "type"), ("ja", "csv_header_ext", "種別")]
+    catalog = spark.createDataFrame(texts, "lang string, key string, text string")
+    headers = audit.audit_headers(catalog, "ja")
+    assert headers["ext"] == "種別" and headers["notes"] == "notes" and audit.audit_headers(catalog, "fr")["ext"] == "type"
     out = audit.audit_rows(df, F.lit(datetime(2024, 1, 2, 3, 4, 5)), labels=catalog)
     for fmt in ("csv", "parquet"):
-        audit.write_audit(out, str(tmp_path / fmt), fmt)
+        audit.write_audit(out, str(tmp_path / fmt), fmt, headers=headers)
     back = sorted(map(tuple, scan.read_audit(spark, str(tmp_path / "csv")).collect()))
     assert back == [
         ("2024-01-02T03:04:05", "in/a,1.jpg", "out/a.jpg", "jpg", "JPEG compression", 200, 100, 100, "50.0", ""),
