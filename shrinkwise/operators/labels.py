@@ -7,22 +7,34 @@ from pyspark.sql import functions as F
 
 from shrinkwise.config import FALLBACK_LANGUAGE
 from shrinkwise.functions.scalars import normalize_language
-
-
-def label(df: DataFrame, key: str, lang: str | Column, labels: DataFrame, out: str = "label") -> DataFrame:
+from shrinkwise.operators.skew import HEAVY_ROWS, spread_join
+
+
+def label(
+    df: DataFrame,
+    key: str,
+    lang: str | Column,
+    labels: DataFrame,
+    out: str = "label",
+    large_catalog: bool = False,
+    heavy_rows: int = HEAVY_ROWS,
+) -> DataFrame:
     """Text in the row's language, else English, else the key itself.
 
     The catalog is folded to one row per key first, so one join serves both lookups. No broadcast
-    is forced: Spark chooses it when the measured catalog size is below its threshold.
+    is forced: Spark chooses it while the catalog's size is below its threshold, and then popular
+    keys do no harm. For catalogs above it, `large_catalog` splits keys asked for very often.
     """
-    language = normalize_language(lang)
     texts = labels.groupBy(F.col("key").alias("_key")).agg(
         F.map_from_entries(F.collect_set(F.struct("lang", "text"))).alias("_texts")
     )
-    joined = df.join(texts, F.col(key) == F.col("_key"), "left")
-    return joined.withColumn(
-        out, F.coalesce(F.col("_texts")[language], F.col("_texts")[FALLBACK_LANGUAGE], F.col(key))
-    ).drop("_key", "_texts")
+    asked = df.withColumns({"_key": F.col(key), "_lang": normalize_language(lang)})
+    if large_catalog:
+        joined = spread_join(asked, texts, ["_key"], df.columns, "left", heavy_rows)
+    else:
+        joined = asked.join(texts, "_key", "left")
+    text = F.coalesce(F.col("_texts")[F.col("_lang")], F.col("_texts")[FALLBACK_LANGUAGE], F.col(key))
+    return joined.withColumn(out, text).drop("_key", "_lang", "_texts")
 
 
 def overlay(base: DataFrame, local: DataFrame) -> DataFrame:

@@ -16,6 +16,7 @@ from shrinkwise.session import local_session  # noqa: E402
 @pytest.fixture(scope="session")
 def spark():
     session = local_session(cores=4, app="tests")
+    session.conf.set("spark.sql.shuffle.partitions", "3")
     yield session
     session.stop()
 

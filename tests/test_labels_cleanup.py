@@ -10,6 +10,9 @@ def test_label_falls_back_to_english_then_key(spark):
     texts = catalog(spark, [("en", "a", "A"), ("en", "b", "B"), ("ja", "a", "あ")])
     asked = spark.createDataFrame([("a", "ja_JP"), ("b", "ja"), ("c", "ja"), ("a", "fr"), ("a", None)], "k string, l string")
     assert [r.label for r in labels.label(asked, "k", "l", texts).collect()] == ["あ", "B", "c", "A", "A"]
+    split = labels.label(asked, "k", "l", texts, large_catalog=True, heavy_rows=1)
+    assert split.columns == ["k", "l", "label"]
+    assert sorted(map(str, split.collect())) == sorted(map(str, labels.label(asked, "k", "l", texts).collect()))
 
 
 def test_overlay(spark):
