@@ -359,11 +359,15 @@ ORACLE = {
       SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN name ELSE rel_path END AS below, name,
              CASE WHEN doc_id % 3 = 0 THEN '/other/' ELSE '/data/in/' END || regexp_replace(rel_path, '/[^/]+$', '') AS parent,
              regexp_replace(name, '\\.[^.]+$', '') AS stem, ext FROM named""",
-    "overlapping_roots": """
-      SELECT doc_id, source || '/' || lang AS input_root,
-             CASE doc_id % 6 WHEN 0 THEN source || '/' || lang WHEN 1 THEN source || '/' || lang || '/sub'
-                  WHEN 2 THEN source WHEN 5 THEN source || '/' || lang || '/./a/../' END AS output_root
-      FROM documents WHERE doc_id % 6 IN (0, 1, 2, 5)""",
+    "overlapping_roots": """WITH roots AS (
+        SELECT doc_id, folder AS input_root,
+               CASE doc_id % 6 WHEN 0 THEN folder WHEN 1 THEN folder || '/sub' WHEN 2 THEN source
+                    WHEN 3 THEN folder || 'x' WHEN 4 THEN '' ELSE folder || '/./a/../' END AS output_root
+        FROM (SELECT *, source || '/' || lang AS folder FROM documents)),
+      resolved AS (SELECT *, replace(output_root, '/./a/../', '') AS target FROM roots)
+      SELECT doc_id, input_root, output_root FROM resolved
+      WHERE target <> '' AND (input_root = target OR starts_with(input_root, target || '/')
+                              OR starts_with(target, input_root || '/'))""",
     "resize_long_edge": f"""WITH {IMAGES}
       SELECT doc_id, xref, {_resize("new", "edge")} FROM images""",
     "resize_manual": f"""WITH {IMAGES}

@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import posixpath
 import zipfile
+from collections import OrderedDict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -140,59 +141,80 @@ def _reject_reason(infos: list[zipfile.ZipInfo], quota: Quota) -> str | None:
     return None
 
 
-def _open(blob: bytes, quota: Quota) -> tuple[zipfile.ZipFile | None, str | None]:
-    try:
-        opened = zipfile.ZipFile(io.BytesIO(blob))
-        return opened, _reject_reason(opened.infolist(), quota)
-    except Exception:  # noqa: BLE001 - any broken file is one failed archive
-        return None, "unreadable"
-
-
 def _is_archive(target: str) -> bool:
     return target.lower().endswith(f".{ARCHIVE_EXT}")
 
 
+class _Containers:
+    """The archives inside one top-level archive, opened on demand.
+
+    Only the last few stay open, so memory follows the nesting, not the number of inner archives.
+    `origin` tells in which container, at which index, an inner archive lies.
+    """
+
+    KEEP_OPEN = 4
+
+    def __init__(self, blob: bytes):
+        self.blob = blob
+        self.origin: dict[str, tuple[str, int]] = {}
+        self.recent: OrderedDict[str, zipfile.ZipFile] = OrderedDict()
+
+    def open(self, container: str) -> zipfile.ZipFile:
+        if container not in self.recent:
+            data = self.read(*self.origin[container]) if container else self.blob
+            self.recent[container] = zipfile.ZipFile(io.BytesIO(data))
+            if len(self.recent) > self.KEEP_OPEN:
+                self.recent.popitem(last=False)
+        self.recent.move_to_end(container)
+        return self.recent[container]
+
+    def members(self, container: str) -> list[zipfile.ZipInfo]:
+        return self.open(container).infolist()
+
+    def read(self, container: str, idx: int) -> bytes:
+        opened = self.open(container)
+        return opened.read(opened.infolist()[idx])
+
+
 def _expand(archive: str, blob: bytes, quota: Quota, max_depth: int) -> Iterator[dict]:
     """Rows of one top-level archive. Members land beside the archive that held them, later ones
     replace earlier ones at the same path, and a broken inner archive fails alone."""
-    tree: dict[str, tuple[zipfile.ZipFile, zipfile.ZipInfo, str, int, int]] = {}
-    seen: set[str] = set()
-    waiting: list[tuple[str, bytes]] = [("", blob)]
+    containers = _Containers(blob)
+    tree: dict[str, tuple[str, int, int, int]] = {}  # target -> container, idx, depth, size
+    waiting = [("", len(blob))]
     for depth in range(max_depth):
-        if not waiting:
-            break
-        for container, data in waiting:
-            opened, reason = _open(data, quota)
-            count = len(opened.infolist()) if opened is not None and reason is None else 0
+        for container, size in waiting:
+            try:
+                infos = containers.members(container)
+                reason = _reject_reason(infos, quota)
+            except Exception:  # noqa: BLE001 - any broken file is one failed archive
+                infos, reason = [], "unreadable"
+            if reason is not None:
+                infos = []
             yield {
                 "archive_path": archive, "kind": "archive", "container": container, "depth": depth,
-                "file_size": len(data), "member_count": count, "error": reason,
+                "file_size": size, "member_count": len(infos), "error": reason,
             }
-            if opened is None or reason is not None:
-                continue
             folder = posixpath.dirname(container)
-            for idx, info in enumerate(opened.infolist()):
+            for idx, info in enumerate(infos):
                 parts = _parts(info.filename)
                 if parts and not info.is_dir():
-                    tree[posixpath.join(folder, *parts)] = (opened, info, container, depth, idx)
-        waiting = []
-        for target in sorted(t for t in tree if _is_archive(t) and t not in seen):
-            seen.add(target)
-            opened, info, _, _, _ = tree[target]
-            try:
-                waiting.append((target, opened.read(info)))
-            except Exception:  # noqa: BLE001 - fails as an archive in the next round
-                waiting.append((target, b""))
-    for target in sorted(t for t in tree if not _is_archive(t)):
-        opened, info, container, depth, idx = tree[target]
+                    tree[posixpath.join(folder, *parts)] = (container, idx, depth, info.file_size)
+        fresh = sorted(t for t in tree if _is_archive(t) and t not in containers.origin)
+        containers.origin.update({t: tree[t][:2] for t in fresh})
+        waiting = [(t, tree[t][3]) for t in fresh]
+        if not waiting:
+            break
+    files = [(place, target) for target, place in tree.items() if not _is_archive(target)]
+    for (container, idx, depth, size), target in sorted(files):
         payload, error = None, None
         try:
-            payload = opened.read(info)
+            payload = containers.read(container, idx)
         except Exception as exc:  # noqa: BLE001 - reported in the row
             error = f"{type(exc).__name__}: {exc}"
         yield {
             "archive_path": archive, "kind": "member", "container": container, "rel_path": target,
-            "depth": depth, "idx": idx, "file_size": info.file_size, "payload": payload, "error": error,
+            "depth": depth, "idx": idx, "file_size": size, "payload": payload, "error": error,
         }
 
 
@@ -206,8 +228,9 @@ def expand_archives(
     """Unpack archives, and archives inside them, into rows.
 
     kind = 'archive': one verdict per archive met (error null when accepted, member_count incl.
-    directories). kind = 'member': the surviving files with their bytes. The unit of work is one
-    top-level archive; its members are emitted one by one in size-limited batches.
+    directories). kind = 'member': the surviving files with their bytes; one that cannot be read has
+    an error instead. The unit of work is one top-level archive; its members are emitted one by one
+    in size-limited batches, and inner archives are opened a few at a time.
     """
     schema = to_arrow_schema(EXPANDED_SCHEMA)
 

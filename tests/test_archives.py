@@ -131,6 +131,22 @@ def test_quota_and_depth(spark):
     assert (extracted, failed, sorted(members)) == (2, 0, ["t2.txt", "t3.txt"])
 
 
+def test_many_inner_archives_are_reopened_on_demand(spark):
+    inner = {f"d{i}/in{i}.zip": zip_bytes({f"x{i}.txt": b"%d" % i, "deep.zip": zip_bytes({f"y{i}.txt": b"y"})}) for i in range(9)}
+    extracted, failed, members, _ = outcome_of(spark, zip_bytes(inner))
+    assert (extracted, failed) == (19, 0)
+    assert members == {f"d{i}/x{i}.txt": b"%d" % i for i in range(9)} | {f"d{i}/y{i}.txt": b"y" for i in range(9)}
+
+
+def test_a_damaged_member_is_reported_alone(spark):
+    blob = bytearray(zip_bytes({"good.txt": b"good", "bad.txt": b"payload-to-damage"}))
+    at = blob.index(b"bad.txt") + len(b"bad.txt") + 2
+    blob[at] ^= 0xFF
+    rows = {r.rel_path: r for r in expand_archives(frame(spark, {"a.zip": bytes(blob)})).where("kind = 'member'").collect()}
+    assert bytes(rows["good.txt"].payload) == b"good" and rows["good.txt"].error is None
+    assert rows["bad.txt"].payload is None and rows["bad.txt"].error
+
+
 def test_last_writer_wins(spark):
     blob = zip_bytes({"x.txt": b"outer", "in.zip": zip_bytes({"x.txt": b"inner"}), "y.txt": b"y"})
     assert outcome_of(spark, blob)[2] == {"x.txt": b"inner", "y.txt": b"y"}
