@@ -30,15 +30,21 @@ def fields(df: DataFrame, columns: list[str], more: str) -> T.StructType:
     return T.StructType(kept + T.StructType.fromDDL(more).fields)
 
 
-def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], dict[str, object] | None], schema: T.StructType) -> DataFrame:
-    """Applies a function from a record batch to columns by name; a batch without result gives None."""
+def map_batches(
+    df: DataFrame, function: Callable[..., dict[str, object] | None], schema: T.StructType, setup: Callable[[], object] | None = None
+) -> DataFrame:
+    """Applies a function from a record batch to columns by name; a batch without result gives None.
+
+    `setup` makes what a task needs only once; the function gets it as its second argument.
+    """
     from pyspark.sql.pandas.types import to_arrow_schema
 
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        more = (setup(),) if setup else ()
         for batch in batches:
-            if batch.num_rows and (columns := function(batch)) is not None:
+            if batch.num_rows and (columns := function(batch, *more)) is not None:
                 yield batch_of(columns, arrow)
 
     return df.mapInArrow(run, schema)

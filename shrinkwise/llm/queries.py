@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shrinkwise.llm.common import table
+from shrinkwise.llm.embedding_pairs import embedding_near_duplicates
 from shrinkwise.llm.exact_dedup import exact_duplicates
+from shrinkwise.llm.packing import pack_files
 from shrinkwise.llm.simhash import simhash_near_duplicates
 
 
@@ -25,7 +28,18 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(documents(spark, sf_dir)).withColumnRenamed("rel_path", "doc_id")
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = pack_files(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+    return packed.withColumnRenamed("rel_path", "doc_id")
+
+
+def op10_embedding_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_packing": op3_packing,
+    "op10_embedding_pairs": op10_embedding_pairs,
 }
