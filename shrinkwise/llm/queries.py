@@ -13,6 +13,7 @@ from shrinkwise.llm.embedding_pairs import embedding_near_duplicates
 from shrinkwise.llm.exact_dedup import exact_duplicates
 from shrinkwise.llm.packing import pack_files
 from shrinkwise.llm.simhash import simhash_near_duplicates
+from shrinkwise.llm.substring_dedup import remove_repeated_passages
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,6 +34,11 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.withColumnRenamed("rel_path", "doc_id")
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = remove_repeated_passages(documents(spark, sf_dir)).withColumnRenamed("rel_path", "doc_id")
+    return left.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_embedding_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_near_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -41,5 +47,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_packing": op3_packing,
+    "op4_substring_dedup": op4_substring_dedup,
     "op10_embedding_pairs": op10_embedding_pairs,
 }
