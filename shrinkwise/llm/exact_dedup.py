@@ -32,6 +32,8 @@ def exact_duplicates(files: DataFrame, rel_path: str = "rel_path", text: str = "
     rows = rows.withColumn("_sha", F.sha2("_text", 256))
     digests = rows.select("_key", "_sha")
     shared = saved_table(digests.groupBy("_sha").count().where("count > 1").select("_sha"), "shared")
+    # What the joins are with grows with the input: no broadcast, at any size.
+    shared = shared.hint("merge")
     alone = digests.join(shared, "_sha", "left_anti").select(
         "_key", F.col("_key").alias("_keep"), F.lit(1).cast("bigint").alias("group_size"), F.lit(True).alias("kept"), "_sha"
     )
