@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shrinkwise.llm.common import table
@@ -14,6 +14,10 @@ from shrinkwise.llm.exact_dedup import exact_duplicates
 from shrinkwise.llm.packing import pack_files
 from shrinkwise.llm.simhash import simhash_near_duplicates
 from shrinkwise.llm.substring_dedup import remove_repeated_passages
+from shrinkwise.llm.toxicity import score_toxicity
+
+#: Scores from here on are decided as label 1.
+DECISION = 0.3
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,6 +43,27 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def held_out(rel_path: Column, folds: int, fold: int) -> Column:
+    """Rows of the fold that labels are never learned from."""
+    return F.crc32(rel_path.cast("string").cast("binary")) % folds == fold
+
+
+def learnable(spark: SparkSession, sf_dir: str, folds: int, fold: int) -> DataFrame:
+    """Labels of the other folds."""
+    labels = table(spark, sf_dir, "labels").withColumnRenamed("doc_id", "rel_path")
+    return labels.where(~held_out(F.col("rel_path"), folds, fold))
+
+
+def decided(scored: DataFrame, folds: int, fold: int) -> DataFrame:
+    out = held_out(F.col("rel_path"), folds, fold).alias("held_out")
+    predicted = (F.col("score") >= DECISION).cast("int").alias("predicted")
+    return scored.select(F.col("rel_path").alias("doc_id"), out, "score", predicted)
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decided(score_toxicity(documents(spark, sf_dir), learnable(spark, sf_dir, 4, 2)), 4, 2)
+
+
 def op10_embedding_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_near_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -48,5 +73,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": op2_exact_dedup,
     "op3_packing": op3_packing,
     "op4_substring_dedup": op4_substring_dedup,
+    "op5_toxicity": op5_toxicity,
     "op10_embedding_pairs": op10_embedding_pairs,
 }
