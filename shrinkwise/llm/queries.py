@@ -12,6 +12,7 @@ from shrinkwise.llm.common import table
 from shrinkwise.llm.embedding_pairs import embedding_near_duplicates
 from shrinkwise.llm.exact_dedup import exact_duplicates
 from shrinkwise.llm.packing import pack_files
+from shrinkwise.llm.quality import score_quality
 from shrinkwise.llm.simhash import simhash_near_duplicates
 from shrinkwise.llm.substring_dedup import remove_repeated_passages
 from shrinkwise.llm.toxicity import score_toxicity
@@ -64,6 +65,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decided(score_toxicity(documents(spark, sf_dir), learnable(spark, sf_dir, 4, 2)), 4, 2)
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decided(score_quality(documents(spark, sf_dir), learnable(spark, sf_dir, 5, 0)), 5, 0)
+
+
 def op10_embedding_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_near_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -74,5 +79,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_packing": op3_packing,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_toxicity": op5_toxicity,
+    "op9_quality": op9_quality,
     "op10_embedding_pairs": op10_embedding_pairs,
 }
