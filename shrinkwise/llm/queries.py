@@ -15,7 +15,7 @@ from shrinkwise.llm.packing import pack_files
 from shrinkwise.llm.quality import score_quality
 from shrinkwise.llm.simhash import simhash_near_duplicates
 from shrinkwise.llm.substring_dedup import remove_repeated_passages
-from shrinkwise.llm.toxicity import score_toxicity
+from shrinkwise.llm.toxicity import fit_toxicity, score_toxicity
 
 #: Scores from here on are decided as label 1.
 DECISION = 0.3
@@ -62,7 +62,8 @@ def decided(scored: DataFrame, folds: int, fold: int) -> DataFrame:
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decided(score_toxicity(documents(spark, sf_dir), learnable(spark, sf_dir, 4, 2)), 4, 2)
+    files = documents(spark, sf_dir)
+    return decided(score_toxicity(files, fit_toxicity(files, learnable(spark, sf_dir, 4, 2))), 4, 2)
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

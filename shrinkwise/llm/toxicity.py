@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -46,31 +47,47 @@ LETTER_SIGNS = str.maketrans("0134578@$!", "oieastbasi")
 _EDGES = re.compile(r"^[\W\d_]+|[\W\d_]+$")
 
 
-def score_toxicity(
+@dataclass(frozen=True)
+class ToxicityModel:
+    """Lexicon terms with their weights, and the weights of the features, the constant last."""
+
+    lexicon: dict[str, float]
+    weights: np.ndarray
+
+
+def fit_toxicity(
     files: DataFrame, labels: DataFrame, rel_path: str = "rel_path", text: str = "text", toxic: str = "toxic", sample_rows: int = SAMPLE_ROWS
-) -> DataFrame:
-    """Toxicity of every file's text from 0 to 1: (rel_path, score), a row per input row.
-
-    `labels` (rel_path, toxic) are the labels to learn from, 1 for toxic; scores depend on the text only. From
-    at most `sample_rows` files of each label, words and word beginnings that toxic texts use far more often
-    become a lexicon trie, with log odds as weights. Every distinct word is run through the trie: as it is, with
-    signs read as letters, and, for longer words, as a Levenshtein automaton of distance one intersected with
-    the trie. A hit weighs less among quotation marks or after a reporting word, more beside a word that
-    addresses someone. The sum of the hits' weights, alone and per word, goes through a logistic regression
-    fitted on the same sample.
-
-    Null and empty texts are scored as texts without hits. Without labels of both kinds the score is the share
-    of toxic labels, 0 if there is none. Rows that share a rel_path are scored each by its own text. Other
-    columns are ignored. No rows give no rows.
+) -> ToxicityModel:
+    """Learns from `labels` (rel_path, toxic), 1 for toxic, and the texts of those files.
+
+    From at most `sample_rows` files of each label, words and word beginnings that toxic texts use far more
+    often become the lexicon, with log odds as weights; a logistic regression on the hits in the same files
+    makes scores. Labels that are null or neither 0 nor 1, and null paths, are left out. Without labels of both
+    kinds nothing is learned: every score is near 1 if all labels are 1, else near 0.
     """
     sample = labelled_sample(files, labels, rel_path, text, toxic, sample_rows)
     lexicon = learn_lexicon(sample)
-    weights = _fit(sample, lexicon)
+    return ToxicityModel(lexicon, _fit(sample, lexicon))
+
+
+def score_toxicity(files: DataFrame, model: ToxicityModel, rel_path: str = "rel_path", text: str = "text") -> DataFrame:
+    """Toxicity of every file's text from 0 to 1: (rel_path, score), a row per input row. Only the text counts.
+
+    Every distinct word is run through the lexicon's trie: as it is, with signs read as letters, and, for
+    longer words, as a Levenshtein automaton of distance one intersected with the trie. A hit weighs less
+    among quotation marks or after a reporting word, more beside a word that addresses someone. The sum of
+    the hits' weights, alone and per word, goes through the model's logistic regression.
+
+    Null and empty texts are scored as texts without hits. Rows that share a rel_path are scored each by its
+    own text; rel_path may be any column, also a struct. Other columns are ignored. No rows give no rows.
+    """
+    weights = model.weights
 
     def run(batch: pa.RecordBatch, matcher: Matcher) -> dict[str, object]:
         x = np.array([features(t or "", matcher) for t in batch.column(1).to_pylist()])
         return {rel_path: batch.column(0), "score": sigmoid(x @ weights[:-1] + weights[-1])}
 
+    lexicon = model.lexicon
     return map_batches(files.select(rel_path, text), run, fields(files, [rel_path], "score double"), lambda: Matcher(lexicon))
 
 
