@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from shrinkwise.llm.common import table
 from shrinkwise.llm.embedding_pairs import embedding_near_duplicates
 from shrinkwise.llm.exact_dedup import exact_duplicates
+from shrinkwise.llm.main_text import extract_main_text, fit_block_labeller
 from shrinkwise.llm.packing import pack_files
 from shrinkwise.llm.quality import score_quality
 from shrinkwise.llm.simhash import simhash_near_duplicates
@@ -66,6 +67,13 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decided(score_toxicity(files, fit_toxicity(files, learnable(spark, sf_dir, 4, 2))), 4, 2)
 
 
+def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").withColumnRenamed("html", "content")
+    labeller = fit_block_labeller(pages.withColumnRenamed("page_id", "rel_path"))
+    texts = extract_main_text(pages.select(F.struct("page_id", "url").alias("rel_path"), "content"), labeller)
+    return texts.select("rel_path.page_id", "rel_path.url", "text", F.length("text").cast("bigint").alias("n_chars"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decided(score_quality(documents(spark, sf_dir), learnable(spark, sf_dir, 5, 0)), 5, 0)
 
@@ -80,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_packing": op3_packing,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_toxicity": op5_toxicity,
+    "op8_main_text": op8_main_text,
     "op9_quality": op9_quality,
     "op10_embedding_pairs": op10_embedding_pairs,
 }
