@@ -13,6 +13,7 @@ from shrinkwise.llm.embedding_pairs import embedding_near_duplicates
 from shrinkwise.llm.exact_dedup import exact_duplicates
 from shrinkwise.llm.main_text import extract_main_text, fit_block_labeller
 from shrinkwise.llm.packing import pack_files
+from shrinkwise.llm.piece_codec import decode_files, encode_files, load_piece_model
 from shrinkwise.llm.quality import score_quality
 from shrinkwise.llm.simhash import simhash_near_duplicates
 from shrinkwise.llm.substring_dedup import remove_repeated_passages
@@ -67,6 +68,16 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decided(score_toxicity(files, fit_toxicity(files, learnable(spark, sf_dir, 4, 2))), 4, 2)
 
 
+def op6_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per chunk of a document: its ids by number and checksum, and the checksum of the text they decode to."""
+    model = load_piece_model(public_tokenizers.path("piece_bpe_32k.model"))
+    encoded = encode_files(documents(spark, sf_dir), model)
+    carried = encoded.select(F.struct("rel_path", F.size("ids").alias("n_ids"), F.crc32(F.to_json("ids").cast("binary")).alias("ids_crc32")).alias("rel_path"), "chunk", "start", "ids")
+    texts = decode_files(carried, model)
+    names = F.col("rel_path.rel_path").alias("doc_id"), "chunk", "start", "rel_path.n_ids", "rel_path.ids_crc32"
+    return texts.select(*names, F.length("text").alias("n_chars"), F.crc32(F.col("text").cast("binary")).alias("text_crc32"))
+
+
 def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").withColumnRenamed("html", "content")
     labeller = fit_block_labeller(pages.withColumnRenamed("page_id", "rel_path"))
@@ -88,6 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_packing": op3_packing,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_toxicity": op5_toxicity,
+    "op6_piece_codec": op6_piece_codec,
     "op8_main_text": op8_main_text,
     "op9_quality": op9_quality,
     "op10_embedding_pairs": op10_embedding_pairs,
