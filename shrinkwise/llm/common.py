@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from shrinkwise.session import new_shared_path
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: For bytes.translate: A-Z to a-z, every other byte as it is.
 ASCII_LOWER = bytes.maketrans(UPPER.encode(), UPPER.lower().encode())
@@ -55,6 +57,19 @@ def batch_of(columns: dict[str, object], arrow: pa.Schema) -> pa.RecordBatch:
     return pa.record_batch([_array(columns[f.name], f.type) for f in arrow], schema=arrow)
 
 
+def portions(column: pa.Array, letters: int) -> Iterator[tuple[int, list[str]]]:
+    """Texts of a column, null as empty, in lists of about so many letters, each with the place of its first."""
+    first, held, size = 0, [], 0
+    for text in column:
+        held.append(text.as_py() or "")
+        size += len(held[-1])
+        if size >= letters:
+            yield first, held
+            first, held, size = first + len(held), [], 0
+    if held:
+        yield first, held
+
+
 def _array(values: object, kind: pa.DataType) -> pa.Array:
     if isinstance(values, pa.ChunkedArray):
         values = values.combine_chunks()
@@ -63,6 +78,13 @@ def _array(values: object, kind: pa.DataType) -> pa.Array:
     return pa.array(values, type=kind)
 
 
+def saved_texts(df: DataFrame, label: str) -> DataFrame:
+    """Like saved_table, for tables with whole texts: packed more tightly."""
+    path = new_shared_path(df.sparkSession, label)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def local_forest(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Links between integers as (node, smallest node of its group), for all nodes but the smallest of each.
 

@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from shrinkwise.llm.common import batch_of, fields, map_batches
+from shrinkwise.llm.common import batch_of, fields, map_batches, saved_texts
 from shrinkwise.session import saved_table
 
 #: Words of a window.
@@ -26,13 +27,20 @@ _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def remove_repeated_passages(
-    files: DataFrame, rel_path: str = "rel_path", text: str = "text", window: int = WINDOW, bucket: int = BUCKET
+    files: DataFrame,
+    rel_path: str = "rel_path",
+    text: str = "text",
+    window: int = WINDOW,
+    bucket: int = BUCKET,
+    whole: bool = False,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
     """Texts without the passages that occur elsewhere: (rel_path, n_words, n_removed, kept), a row per input row.
 
     Words are what ASCII white space separates. A window is `window` consecutive words; every word covered
     by a window whose words also start anywhere else, in the same text or another, is removed. Windows are
-    judged on the texts as given, so no occurrence is spared. `kept` is the remaining words joined by a space.
+    judged on the texts as given, so no occurrence is spared. `kept` is the remaining words joined by a space;
+    with `whole`, a text that loses nothing is returned as it was. Columns named in `carry` follow the others.
 
     Consecutive windows that share a minimiser (the smallest hash of `GRAM` consecutive words inside) make
     a super-k-mer. Equal windows have equal minimisers, so only super-k-mers whose minimiser occurs again,
@@ -45,16 +53,21 @@ def remove_repeated_passages(
     other, so all of their windows go. Other columns are ignored, whatever their names. No rows give none.
     """
     ident = F.struct(F.col(rel_path).alias("key"), F.xxhash64(text).alias("hash")).alias("_id")
-    docs = files.select(ident, F.col(text).alias("_text"))
-    runs = _runs(docs, window)
+    docs = files.select(ident, F.col(text).alias("_text"), F.struct(*[F.col(c) for c in carry], F.lit(0).alias("_")).alias("_more"))
+    runs = _runs(docs.select("_id", "_text"), window)
     again = runs.groupBy("value").agg(F.sum("weight").alias("n")).where("n >= 2").select("value")
     suspects = runs.join(saved_table(again, "again"), "value").groupBy("_id")
     suspects = suspects.agg(F.collect_set(F.struct("first", "last", "value", "weight")).alias("runs"))
-    suspects = saved_table(docs.join(suspects, "_id"), "suspects")
+    # One shuffle of the texts: those without a run that occurs again are done, the others are a smaller table.
+    texts = saved_texts(docs.join(suspects.hint("merge"), "_id", "left"), "texts")
+    suspects = texts.where("runs is not null")
     kinds, copies = _kinds(suspects, window)
     spans = copies.union(_bucket_spans(suspects, kinds, window, bucket))
     spans = saved_table(spans.groupBy("_id").agg(F.collect_set(F.struct("first", "last")).alias("spans")), "spans")
-    return _without(docs.join(spans, "_id", "left"), window).toDF(rel_path, "n_words", "n_removed", "kept")
+    spans = texts.where("runs is null").withColumn("spans", F.lit(None).cast(spans.schema["spans"].dataType)).unionByName(
+        suspects.join(spans.hint("merge"), "_id", "left")
+    )
+    return _without(spans, window, whole, carry).withColumnRenamed("key", rel_path)
 
 
 def _runs(docs: DataFrame, window: int) -> DataFrame:
@@ -209,18 +222,22 @@ def repeated_windows(rows: list[dict], window: int) -> list[tuple[dict, int, int
     return out
 
 
-def _without(docs: DataFrame, window: int) -> DataFrame:
-    """(key, n_words, n_removed, kept) of (_id, _text, spans)."""
+def _without(docs: DataFrame, window: int, whole: bool, carry: Sequence[str]) -> DataFrame:
+    """(key, n_words, n_removed, kept, carried columns) of (_id, _text, _more, spans)."""
 
     def run(batch: pa.RecordBatch) -> dict[str, object]:
-        texts, spans = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-        out = [without((t or "").encode().split(), s or [], window) for t, s in zip(texts, spans, strict=True)]
-        total, removed, kept = zip(*out)
-        return {"key": batch.column(0).field(0), "n_words": total, "n_removed": removed, "kept": kept}
-
-    rows = docs.select("_id", "_text", "spans")
-    schema = fields(rows.select("_id.key"), ["key"], "n_words bigint, n_removed bigint, kept string")
-    return map_batches(rows, run, schema)
+        total, removed, kept = [], [], []
+        for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            n, gone, rest = without((text or "").encode().split(), spans or [], window)
+            total.append(n)
+            removed.append(gone)
+            kept.append(text if whole and not gone else rest)
+        return {"_id": batch.column(0), "n_words": total, "n_removed": removed, "kept": kept, "_more": batch.column(3)}
+
+    rows = docs.select("_id", "_text", "spans", "_more")
+    schema = T.StructType([*fields(rows, ["_id"], "n_words bigint, n_removed bigint, kept string"), rows.schema["_more"]])
+    out = map_batches(rows, run, schema)
+    return out.select("_id.key", "n_words", "n_removed", "kept", *[F.col(f"_more.`{c}`") for c in carry])
 
 
 def without(words: list[bytes], spans: list[dict], window: int) -> tuple[int, int, str]:
