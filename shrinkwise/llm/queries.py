@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from shrinkwise.llm.common import table
 from shrinkwise.llm.embedding_pairs import embedding_near_duplicates
 from shrinkwise.llm.exact_dedup import exact_duplicates
+from shrinkwise.llm.licenses import scan_licenses
 from shrinkwise.llm.main_text import extract_main_text, fit_block_labeller
 from shrinkwise.llm.packing import pack_files
 from shrinkwise.llm.piece_codec import decode_files, encode_files, load_piece_model
@@ -78,6 +79,12 @@ def op6_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts.select(*names, F.length("text").alias("n_chars"), F.crc32(F.col("text").cast("binary")).alias("text_crc32"))
 
 
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_licenses(documents(spark, sf_dir))
+    names = F.array_join("licenses", ",").alias("licenses")
+    return found.select(F.col("rel_path").alias("doc_id"), names, F.size("findings").alias("n_findings"), "n_open")
+
+
 def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").withColumnRenamed("html", "content")
     labeller = fit_block_labeller(pages.withColumnRenamed("page_id", "rel_path"))
@@ -100,6 +107,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_substring_dedup": op4_substring_dedup,
     "op5_toxicity": op5_toxicity,
     "op6_piece_codec": op6_piece_codec,
+    "op7_licenses": op7_licenses,
     "op8_main_text": op8_main_text,
     "op9_quality": op9_quality,
     "op10_embedding_pairs": op10_embedding_pairs,
