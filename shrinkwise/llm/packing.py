@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,7 +14,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shrinkwise.llm.common import fields, map_batches
+from shrinkwise.llm.common import fields, map_batches, portions
 from shrinkwise.session import saved_table
 
 CAPACITY = 4096
@@ -20,8 +23,14 @@ END_ID = 2
 #: Pieces in a group, about: a group is packed by one call and knows only lengths.
 GROUP_PIECES = 8192
 #: Encoded words a worker remembers before it starts anew.
-REMEMBERED_WORDS = 1 << 18
-_WORD = regex.compile(r"[^ \t-\r]+")
+REMEMBERED_WORDS = 3 << 19
+LETTERS_AT_ONCE = 6_000_000
+_WORD = re.compile(r"[^ \t-\r]+")
+_SEPARATOR = re.compile(r"[\x1c-\x1f]")
+# Letters whose lower case is one letter, without marks that combine and without white space.
+_PLAIN = re.compile(r"[!-~\u00a1-\u012f]+")
+# The tokenizer's own splitting rule, a fixed value.
+_PART = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
 
 def pack_files(
@@ -41,8 +50,8 @@ def pack_files(
     over the rooms finds in logarithmic time. Offsets run without gaps from 0; padding follows the pieces
     and comes to less than one sequence in a group besides what no piece fits.
 
-    `tokenizer` is the path of a tokenizers file that splits at white space; every distinct word of a text
-    is encoded once and remembered. A null or empty text is END_ID alone. Rows that share a rel_path are
+    `tokenizer` is the path of the tokenizers file with words and word ends, which splits at white space; every
+    distinct word, and part of a word by the file's splitting rule, is encoded once and remembered. A null or empty text is END_ID alone. Rows that share a rel_path are
     packed each on its own, as are rows where it is null; other columns are ignored. No rows give none.
     """
     pieces = saved_table(_pieces(files, tokenizer, rel_path, text, capacity), "pieces")
@@ -64,43 +73,64 @@ def pack_files(
 def _pieces(files: DataFrame, tokenizer: str, rel_path: str, text: str, capacity: int) -> DataFrame:
     """(rel_path, start, length, ids_crc32, doc_tokens) with every text cut at multiples of the capacity."""
 
+    # A worker process keeps its copy of this through all of its tasks: what one has encoded, the next one knows.
+    known = files.sparkSession.sparkContext.broadcast({})
+
     def run(batch: pa.RecordBatch, words: Remembered) -> dict[str, object]:
         rows, out = [], []
-        for i, each in enumerate(batch.column(1).to_pylist()):
-            ids = words.encode(each or "") + END_ID.to_bytes(4, "little")
-            for at in range(0, len(ids), 4 * capacity):
-                piece = ids[at : at + 4 * capacity]
-                rows.append(i)
-                out.append((at // 4, len(piece) // 4, zlib.crc32(piece), len(ids) // 4))
+        for first, texts in portions(batch.column(1), LETTERS_AT_ONCE):
+            for i, code in enumerate(words.encode(texts), first):
+                ids = code + END_ID.to_bytes(4, "little")
+                for at in range(0, len(ids), 4 * capacity):
+                    piece = ids[at : at + 4 * capacity]
+                    rows.append(i)
+                    out.append((at // 4, len(piece) // 4, zlib.crc32(piece), len(ids) // 4))
         columns = dict(zip(("start", "length", "ids_crc32", "doc_tokens"), np.array(out, np.int64).T, strict=True))
         return {rel_path: batch.column(0).take(pa.array(rows, pa.int64())), **columns}
 
     schema = fields(files, [rel_path], "start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint")
-    return map_batches(files.select(rel_path, text), run, schema, lambda: Remembered(tokenizer))
+    return map_batches(files.select(rel_path, text), run, schema, lambda: Remembered(tokenizer, known.value))
 
 
-class Remembered(dict):
-    """Word to its ids as little-endian 32-bit integers, encoded when first asked for.
+class Remembered:
+    """Ids of texts as little-endian 32-bit integers; every distinct word is encoded once and kept in `words`.
 
-    ASCII white space always separates words of the tokenizer's own splitting rule, so a text's ids are
-    those of its words in order.
+    ASCII white space always separates words of the tokenizer's own splitting rule, so a text's ids are those
+    of its words in order. Words of plain Latin letters and signs, lower-cased as the tokenizer does, fall
+    into the rule's parts, which are words themselves; any other word is encoded as it is.
     """
 
-    def __init__(self, path: str):
-        super().__init__()
-        from tokenizers import Tokenizer
+    def __init__(self, path: str, words: dict[str, bytes] | None = None):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-
-    def __missing__(self, word: str) -> bytes:
-        ids = self.tokenizer.encode(word, add_special_tokens=False).ids
-        data = self[word] = np.array(ids, "<u4").tobytes()
-        return data
-
-    def encode(self, text: str) -> bytes:
-        if len(self) > REMEMBERED_WORDS:
-            self.clear()
-        return b"".join(map(self.__getitem__, _WORD.findall(text)))
+        # For parts, which are lower-cased and split already.
+        self.part_tokenizer = Tokenizer(self.tokenizer.model)
+        self.part_tokenizer.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.words = {} if words is None else words
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        if len(self.words) > REMEMBERED_WORDS:
+            self.words.clear()
+        # str.split also splits at four separators that are no white space to the tokenizer.
+        split = [_WORD.findall(t) if _SEPARATOR.search(t) else t.split() for t in texts]
+        self._learn(set().union(*split).difference(self.words))
+        return [b"".join(map(self.words.__getitem__, words)) for words in split]
+
+    def _learn(self, new: set[str]) -> None:
+        letters = {w for w in new if w.islower() and w.isalpha() and (w.isascii() or _PLAIN.fullmatch(w))}
+        new -= letters
+        odd = [w for w in new if not _PLAIN.fullmatch(w) or "<|" in w]
+        self._keep(odd, self.tokenizer)
+        several = {w: _PART.findall(w.lower()) for w in new.difference(odd)}
+        self._keep(list(letters.union(*several.values()).difference(self.words)), self.part_tokenizer)
+        for word, parts in several.items():
+            self.words[word] = b"".join([self.words[p] for p in parts])
+
+    def _keep(self, words: list[str], tokenizer: "Tokenizer") -> None:  # noqa: F821
+        for word, code in zip(words, tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True):
+            self.words[word] = array("I", code.ids).tobytes()
 
 
 def first_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
