@@ -56,7 +56,7 @@ RULES = (
 )
 
 _SIGNS = re.compile(r"[^a-z0-9.+\s-]+")
-_BREAK = re.compile(r"(?:[.;:!?]+(?=\s|$)|\n\s*\n)")
+_BREAK = re.compile(r"(?:(?<!dentifier)[.;:!?]+(?=\s|$)|\n\s*\n)")
 _LINES = re.compile(r"\n+")
 #: Any known sentence and any notice has one of these; texts without them are not split.
 _HINT = re.compile(r"licen[sc]|spdx|permission|redistribut|warranty|copyright notice|copyright holder|public domain|compliance|free software", re.IGNORECASE)

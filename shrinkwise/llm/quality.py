@@ -26,6 +26,7 @@ VOCABULARY = 8_000
 REACH = 2
 HIDDEN = 24
 ROUNDS = 400
+DECAY = 5e-3
 #: Share of the sample kept for the temperature.
 CALIBRATION = 5
 REMEMBERED_WORDS = 1 << 18
@@ -196,7 +197,7 @@ class Network:
             h = np.tanh(x[at] @ w + b)
             d = weight[at] * (sigmoid(h @ v + c) - y[at]) / len(at)
             dh = d[:, None] * v * (1 - h * h)
-            grads = [x[at].T @ dh + 1e-4 * w, dh.sum(axis=0), h.T @ d + 1e-4 * v, np.array([d.sum()])]
+            grads = [x[at].T @ dh + DECAY * w, dh.sum(axis=0), h.T @ d + DECAY * v, np.array([d.sum()])]
             rate = 3e-3 * min(1.0, 2 - 2 * t / (ROUNDS * 10))
             for i, g in enumerate(grads):
                 first[i] = 0.9 * first[i] + 0.1 * g

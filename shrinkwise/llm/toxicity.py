@@ -20,7 +20,7 @@ from shrinkwise.session import saved_table
 SAMPLE_ROWS = 3000
 #: Terms in the lexicon at most; toxic files that have a term, and its evidence (the G statistic of its uses), at least.
 LEXICON_TERMS = 400
-LEAST_FILES = 8
+LEAST_FILES = 4
 LEAST_EVIDENCE = 40.0
 LEAST_ODDS = 1.5
 #: Uses of a term in one file that count as evidence, so that a text that repeats one line does not outweigh others.
