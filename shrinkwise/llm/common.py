@@ -15,6 +15,7 @@ from shrinkwise.session import new_shared_path
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: For bytes.translate: A-Z to a-z, every other byte as it is.
 ASCII_LOWER = bytes.maketrans(UPPER.encode(), UPPER.lower().encode())
+SLICE_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,7 +38,8 @@ def map_batches(
 ) -> DataFrame:
     """Applies a function from a record batch to columns by name; a batch without result gives None.
 
-    `setup` makes what a task needs only once; the function gets it as its second argument.
+    Batches are cut to about `SLICE_BYTES`, so that a worker holds few rows as Python objects at a time. `setup`
+    makes what a task needs only once; the function gets it as its second argument.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -46,8 +48,10 @@ def map_batches(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         more = (setup(),) if setup else ()
         for batch in batches:
-            if batch.num_rows and (columns := function(batch, *more)) is not None:
-                yield batch_of(columns, arrow)
+            rows = max(1, batch.num_rows * SLICE_BYTES // max(SLICE_BYTES, batch.nbytes))
+            for first in range(0, batch.num_rows, rows):
+                if (columns := function(batch.slice(first, rows), *more)) is not None:
+                    yield batch_of(columns, arrow)
 
     return df.mapInArrow(run, schema)
 
@@ -57,19 +61,6 @@ def batch_of(columns: dict[str, object], arrow: pa.Schema) -> pa.RecordBatch:
     return pa.record_batch([_array(columns[f.name], f.type) for f in arrow], schema=arrow)
 
 
-def portions(column: pa.Array, letters: int) -> Iterator[tuple[int, list[str]]]:
-    """Texts of a column, null as empty, in lists of about so many letters, each with the place of its first."""
-    first, held, size = 0, [], 0
-    for text in column:
-        held.append(text.as_py() or "")
-        size += len(held[-1])
-        if size >= letters:
-            yield first, held
-            first, held, size = first + len(held), [], 0
-    if held:
-        yield first, held
-
-
 def _array(values: object, kind: pa.DataType) -> pa.Array:
     if isinstance(values, pa.ChunkedArray):
         values = values.combine_chunks()

@@ -14,7 +14,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shrinkwise.llm.common import fields, map_batches, portions
+from shrinkwise.llm.common import fields, map_batches
 from shrinkwise.session import saved_table
 
 CAPACITY = 4096
@@ -24,7 +24,6 @@ END_ID = 2
 GROUP_PIECES = 8192
 #: Encoded words a worker remembers before it starts anew.
 REMEMBERED_WORDS = 3 << 19
-LETTERS_AT_ONCE = 6_000_000
 _WORD = re.compile(r"[^ \t-\r]+")
 _SEPARATOR = re.compile(r"[\x1c-\x1f]")
 # Letters whose lower case is one letter, without marks that combine and without white space.
@@ -78,13 +77,12 @@ def _pieces(files: DataFrame, tokenizer: str, rel_path: str, text: str, capacity
 
     def run(batch: pa.RecordBatch, words: Remembered) -> dict[str, object]:
         rows, out = [], []
-        for first, texts in portions(batch.column(1), LETTERS_AT_ONCE):
-            for i, code in enumerate(words.encode(texts), first):
-                ids = code + END_ID.to_bytes(4, "little")
-                for at in range(0, len(ids), 4 * capacity):
-                    piece = ids[at : at + 4 * capacity]
-                    rows.append(i)
-                    out.append((at // 4, len(piece) // 4, zlib.crc32(piece), len(ids) // 4))
+        for i, code in enumerate(words.encode([t or "" for t in batch.column(1).to_pylist()])):
+            ids = code + END_ID.to_bytes(4, "little")
+            for at in range(0, len(ids), 4 * capacity):
+                piece = ids[at : at + 4 * capacity]
+                rows.append(i)
+                out.append((at // 4, len(piece) // 4, zlib.crc32(piece), len(ids) // 4))
         columns = dict(zip(("start", "length", "ids_crc32", "doc_tokens"), np.array(out, np.int64).T, strict=True))
         return {rel_path: batch.column(0).take(pa.array(rows, pa.int64())), **columns}
 
