@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 # Type groups, limits and defaults every result depends on.
 ARCHIVE_EXT = "zip"
 JPEG_EXTS = ("jpg", "jpeg")
+RASTER_EXTS = ("jpg", "jpeg", "png")
 COMPRESSIBLE_EXTS = ("pdf", "jpg", "jpeg", "png")
 INPUT_CLEANUP_EXTS = ("pdf", "jpg", "jpeg", "png", "zip")
 OUTPUT_CLEANUP_EXTS = ("pdf", "jpg", "jpeg", "png", "csv", "zip")
@@ -14,11 +15,9 @@ PNG_LIKE_EXTS = ("png", "bmp", "tiff", "tif", "gif")
 UNSUPPORTED_IMAGE_EXTS = ("jbig2", "jpx")
 LANGUAGES = ("ja", "en")
 FALLBACK_LANGUAGE = "en"
-EVENT_KINDS = ("log", "progress", "stats", "status", "error")
 TARGET_DPI = 150
 MAX_QUALITY = 100
 MAX_DPI = 2400
-FORM_DPI_RANGE = (36, 600)
 MAX_EDGE = 65_535
 MAX_NESTING = 25
 DETAIL_ROWS = 50
@@ -26,10 +25,14 @@ DETAIL_ROWS = 50
 
 @dataclass(frozen=True)
 class Quota:
-    """Limits above which a whole archive is rejected (both comparisons are strict)."""
+    """Limits above which a whole archive is rejected (all comparisons are strict).
+
+    `max_total_bytes` limits the sum over a file's archive and all archives inside it.
+    """
 
     max_members: int = 10_000
     max_bytes: int = 1_000_000_000
+    max_total_bytes: int = 10_000_000_000
 
 
 @dataclass(frozen=True)

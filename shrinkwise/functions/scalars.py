@@ -195,18 +195,34 @@ def normalize_language(s: Column | str) -> Column:
 def fill_template(template: Column | str, **values: Column) -> Column:
     """Replace `{name}` by the named columns in one pass; the raw template if anything is missing.
 
-    A format after ':' is ignored, so numbers are passed preformatted (see fmt1).
+    `{{` and `}}` stand for single braces. `{name:.1f}` formats a number with one decimal; texts, and
+    numbers with other formats, are inserted as they are.
     """
     template = _col(template)
-    placeholder = r"\{([A-Za-z_][A-Za-z0-9_]*)(?:[:!][^{}]*)?\}"
-    names = F.regexp_extract_all(template, F.lit(placeholder), F.lit(1))
-    texts = F.split(template, placeholder, -1)
-    pairs = [item for key, value in values.items() for item in (F.lit(key), F.coalesce(value.cast("string"), F.lit("None")))]
-    lookup = F.create_map(*pairs) if pairs else F.create_map().cast("map<string,string>")
-    filled = F.zip_with(texts, names, lambda text, name: F.concat(text, F.coalesce(lookup[name], F.lit(""))))
-    unknown = F.exists(names, lambda name: ~F.map_contains_key(lookup, name)) if pairs else F.size(names) > 0
+    # Doubled braces step aside, as characters that templates do not hold, while single ones are read.
+    # Of an odd number of closing braces the first one closes a placeholder.
+    hidden = F.regexp_replace(F.replace(template, F.lit("{{"), F.lit("\x01")), r"\}\}(?=(\}\})*([^}]|$))", "\x02")
+    placeholder = r"\{([A-Za-z_][A-Za-z0-9_]*)((?:[:!][^{}]*)?)\}"
+    names = F.regexp_extract_all(hidden, F.lit(placeholder), F.lit(1))
+    formats = F.regexp_extract_all(hidden, F.lit(placeholder), F.lit(2))
+    texts = F.split(hidden, placeholder, -1)
+
+    def shown(value: Column, decimal: bool) -> Column:
+        text = F.coalesce(value.cast("string"), F.lit("None"))
+        number = F.when(F.typeof(value) != "string", value.cast("string").try_cast("double"))
+        return F.coalesce(fmt1(number), text) if decimal else text
+
+    def table(decimal: bool) -> Column:
+        pairs = [item for key, value in values.items() for item in (F.lit(key), shown(value, decimal))]
+        return F.create_map(*pairs) if pairs else F.create_map().cast("map<string,string>")
+
+    plain, decimals = table(False), table(True)
+    inserted = F.zip_with(names, formats, lambda name, form: F.when(form == ":.1f", decimals[name]).otherwise(plain[name]))
+    filled = F.zip_with(texts, inserted, lambda text, value: F.concat(text, F.coalesce(value, F.lit(""))))
+    unknown = F.exists(names, lambda name: ~F.map_contains_key(plain, name)) if values else F.size(names) > 0
     malformed = F.exists(texts, lambda text: text.rlike(r"[{}]"))
-    return F.when(F.coalesce(unknown | malformed, F.lit(False)), template).otherwise(F.array_join(filled, ""))
+    joined = F.translate(F.array_join(filled, ""), "\x01\x02", "{}")
+    return F.when(F.coalesce(unknown | malformed, F.lit(False)), template).otherwise(joined)
 
 
 def clean_error(message: Column | str, *paths: Column, limit: int = 240) -> Column:

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from shrinkwise.functions.scalars import saved_bytes, saved_pct
-from shrinkwise.operators.skew import HEAVY_ROWS, heavy_keys, key_counts, spread_join
+from shrinkwise.operators.skew import HEAVY_ROWS, spread_join
+from shrinkwise.session import pinned
 
 
 def with_savings(df: DataFrame, orig: str = "orig_size", out: str = "out_size") -> DataFrame:
@@ -52,51 +52,29 @@ def job_totals(
     )
 
 
-def _micros(df: DataFrame, ts: str) -> Column:
-    """Microseconds that rise with `ts` whatever the session time zone."""
-    if isinstance(df.schema[ts].dataType, T.TimestampNTZType):
-        return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col(ts))
-    return F.unix_micros(ts)
-
-
 def progress_percent(current, total):
     return F.when(total > 0, (current / total * 100).cast("int")).otherwise(100)
 
 
-def progress(
-    df: DataFrame,
-    job: str = "job_id",
-    finished_at: str = "finished_at",
-    task: str = "task_id",
-    bucket_seconds: int = 60,
-    heavy_rows: int = HEAVY_ROWS,
-) -> DataFrame:
+def progress(df: DataFrame, job: str = "job_id", finished_at: str = "finished_at", task: str = "task_id") -> DataFrame:
     """Number every finished task within its job: current, total, pct.
 
-    A job may hold most of the rows. Such jobs are cut into time buckets: ranks are taken inside
-    (job, bucket) and shifted by the counts of earlier buckets, of which there are as many as the
-    job's running time has. All other jobs form one bucket each.
+    A job may hold most of the rows, all at one instant. Rows are range-partitioned on job, time and task into
+    slices, pinned by a reliable checkpoint; ranks are taken inside (job, slice) and shifted by the counts of
+    the job's earlier slices. Jobs, times and tasks may be null; nulls come first.
     """
-    keys = [job, "_bucket"]
-    heavy = F.broadcast(heavy_keys(key_counts(df, [job]), [job], heavy_rows))
-    cut = F.col("_shares").isNotNull()
-    time_bucket = F.floor(_micros(df, finished_at) / (bucket_seconds * 1_000_000))
-    bucketed = df.join(heavy, job, "left").withColumn("_bucket", F.when(cut, time_bucket).otherwise(0))
+    sliced = pinned(df.repartitionByRange(job, finished_at, task).withColumn("_slice", F.spark_partition_id()))
+    keys = F.struct(job, "_slice")
     per_job = Window.partitionBy(job)
-    earlier = per_job.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        bucketed.where(cut)
-        .groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .select(*keys, F.sum("_n").over(earlier).alias("_offset"), F.sum("_n").over(per_job).alias("_total"))
+    earlier = per_job.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    counts = sliced.groupBy(job, "_slice").agg(F.count(F.lit(1)).alias("_n"))
+    counts = counts.select(
+        keys.alias("_keys"), F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset"), F.sum("_n").over(per_job).alias("total")
     )
-    in_bucket = Window.partitionBy(*keys)
-    rank = F.row_number().over(in_bucket.orderBy(finished_at, task))
+    rank = F.row_number().over(Window.partitionBy(job, "_slice").orderBy(finished_at, task))
+    ranked = sliced.withColumns({"_rank": rank, "_keys": keys}).join(counts, "_keys")
     return (
-        bucketed.drop("_shares")
-        .join(offsets, keys, "left")
-        .withColumn("current", (F.coalesce("_offset", F.lit(0)) + rank).cast("bigint"))
-        .withColumn("total", F.coalesce("_total", F.count(F.lit(1)).over(in_bucket)))
+        ranked.withColumn("current", (F.col("_offset") + F.col("_rank")).cast("bigint"))
         .withColumn("pct", progress_percent(F.col("current"), F.col("total")))
-        .drop("_bucket", "_offset", "_total")
+        .select(*df.columns, "current", "total", "pct")
     )

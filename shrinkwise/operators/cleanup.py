@@ -74,16 +74,25 @@ def snapshot_select(df: DataFrame, path: str = "path", position: str = "position
 def tree_diff(before: DataFrame, after: DataFrame, path: str = "rel_path", size: str = "size") -> DataFrame:
     """Paths added, removed or resized between two snapshots; no rows means unchanged.
 
-    Both trees meet in one aggregation by path, so neither is sorted or broadcast.
+    Both trees meet in one aggregation by path, so neither is sorted or broadcast. A path is there if it has a
+    row, whatever its size; unknown sizes are equal to each other and to nothing else.
     """
-    none = F.lit(None).cast("bigint")
-    sides = before.select(path, F.col(size).cast("bigint").alias("before_size"), none.alias("after_size")).unionByName(
-        after.select(path, none.alias("before_size"), F.col(size).cast("bigint").alias("after_size"))
+
+    def side(df: DataFrame, name: str, other: str) -> DataFrame:
+        known = {f"{name}_size": F.col(size).cast("bigint"), f"in_{name}": F.lit(True)}
+        blank = {f"{other}_size": F.lit(None).cast("bigint"), f"in_{other}": F.lit(False)}
+        return df.select(path, *[c.alias(n) for n, c in (known | blank).items()])
+
+    sides = side(before, "before", "after").unionByName(side(after, "after", "before"))
+    change = (
+        F.when(~F.col("in_before"), "added")
+        .when(~F.col("in_after"), "removed")
+        .when(~F.col("before_size").eqNullSafe(F.col("after_size")), "resized")
     )
-    b, a = F.col("before_size"), F.col("after_size")
     return (
         sides.groupBy(path)
-        .agg(F.max("before_size").alias("before_size"), F.max("after_size").alias("after_size"))
-        .withColumn("change", F.when(b.isNull(), "added").when(a.isNull(), "removed").when(a != b, "resized"))
+        .agg(*[F.max(c).alias(c) for c in ("before_size", "after_size", "in_before", "in_after")])
+        .withColumn("change", change)
         .where(F.col("change").isNotNull())
+        .drop("in_before", "in_after")
     )

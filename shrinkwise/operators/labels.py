@@ -21,11 +21,13 @@ def label(
 ) -> DataFrame:
     """Text in the row's language, else English, else the key itself.
 
-    The catalog is folded to one row per key first, so one join serves both lookups. No broadcast
+    The catalog is folded to one row per key first, so one join serves both lookups; of several texts for one
+    language and key the greatest counts. No broadcast
     is forced: Spark chooses it while the catalog's size is below its threshold, and then popular
     keys do no harm. For catalogs above it, `large_catalog` splits keys asked for very often.
     """
-    texts = labels.groupBy(F.col("key").alias("_key")).agg(
+    single = labels.groupBy("key", "lang").agg(F.max("text").alias("text"))
+    texts = single.groupBy(F.col("key").alias("_key")).agg(
         F.map_from_entries(F.collect_set(F.struct("lang", "text"))).alias("_texts")
     )
     asked = df.withColumns({"_key": F.col(key), "_lang": normalize_language(lang)})

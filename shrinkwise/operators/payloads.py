@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Callable, Iterator, Mapping
+from datetime import datetime
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -20,6 +22,7 @@ RESULT_FIELDS = [
     T.StructField("out_size", T.LongType()),
     T.StructField("ok", T.BooleanType()),
     T.StructField("error", T.StringType()),
+    T.StructField("finished_at", T.TimestampNTZType()),
 ]
 
 
@@ -40,11 +43,12 @@ def transform_payloads(
     keep_unhandled: bool = True,
     keep_original: bool = False,
 ) -> DataFrame:
-    """Apply `handlers[ext](bytes) -> bytes`; adds out_content, out_size, ok, error.
+    """Apply `handlers[ext](bytes) -> bytes`; adds out_content, out_size, ok, error, finished_at.
 
-    Only rows with a handler cross into Python, the others are added back with ok = null. The
-    original bytes are replaced by out_content; with `keep_original` that holds the original where
-    there is no result (ok is then false or null and out_size null). Other columns are carried along.
+    One pass over the rows, so every file is read and handled once; bytes that have no handler pass through the
+    worker in their Arrow buffers, without a copy. Those rows have ok = null. The original bytes are replaced
+    by out_content; with `keep_original` that holds the original where there is no result (ok is then false or
+    null and out_size null). finished_at is the time when a row was done. Other columns are carried along.
     """
     carried = [f for f in df.schema.fields if f.name != content]
     schema = T.StructType(carried + RESULT_FIELDS)
@@ -52,42 +56,49 @@ def transform_payloads(
     names = [f.name for f in carried]
     table = dict(handlers)
 
-    def outcome(kind: str, payload: bytes) -> tuple:
-        result = _run(table[kind], payload)
-        return (payload, *result[1:]) if keep_original and not result[2] else result
-
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kinds = batch.column(key).to_pylist()
-            results = [outcome(kind, blob.as_py()) for kind, blob in zip(kinds, batch.column(content), strict=True)]
-            columns = [batch.column(n) for n in names]
-            columns += [
-                pa.array([r[i] for r in results], type=arrow_schema.field(f.name).type)
-                for i, f in enumerate(RESULT_FIELDS)
-            ]
+            kinds, blobs = batch.column(key).to_pylist(), batch.column(content)
+            handled = [i for i, kind in enumerate(kinds) if kind in table and blobs[i].is_valid]
+            done = {i: (*_run(table[kinds[i]], blobs[i].as_py()), datetime.now()) for i in handled}
+            none = (None, None, None, None, datetime.now())
+            rows = [done.get(i, none) for i in range(batch.num_rows)]
+            if keep_original and len(done) < batch.num_rows:
+                # Runs of rows that keep their bytes are slices of the input; nothing of them becomes a Python object.
+                keeps = [i not in done or rows[i][0] is None for i in range(batch.num_rows)]
+                pieces, at = [], 0
+                for keep, run in groupby(keeps):
+                    n = len(list(run))
+                    kind = arrow_schema.field("out_content").type
+                    pieces.append(blobs.slice(at, n).cast(kind) if keep else pa.array([r[0] for r in rows[at : at + n]], kind))
+                    at += n
+                contents = pa.concat_arrays(pieces)
+            else:
+                rows = [(blobs[i].as_py() if keep_original and r[0] is None else r[0], *r[1:]) for i, r in enumerate(rows)]
+                contents = pa.array([r[0] for r in rows], type=arrow_schema.field("out_content").type)
+            columns = [batch.column(n) for n in names] + [contents]
+            columns += [pa.array([r[i] for r in rows], type=arrow_schema.field(f.name).type) for i, f in enumerate(RESULT_FIELDS) if i]
             yield pa.RecordBatch.from_arrays(
                 [c.cast(f.type) for c, f in zip(columns, arrow_schema, strict=True)], schema=arrow_schema
             )
 
-    handled = F.coalesce(F.col(key).isin(*table) & F.col(content).isNotNull(), F.lit(False)) if table else F.lit(False)
-    done = df.where(handled).mapInArrow(work, schema)
     if not keep_unhandled:
-        return done
-    blank = {f.name: F.lit(None).cast(f.dataType) for f in RESULT_FIELDS}
-    if keep_original:
-        blank["out_content"] = F.col(content)
-    rest = df.where(~handled).select(*names, *[value.alias(name) for name, value in blank.items()])
-    return done.unionByName(rest)
+        df = df.where(F.col(key).isin(*table) & F.col(content).isNotNull() if table else F.lit(False))
+    return df.mapInArrow(work, schema)
 
 
-def recompress_payloads(df: DataFrame, level: int = 9, content: str = "content") -> DataFrame:
+def recompress_payloads(df: DataFrame, level: int = 9, content: str = "content", keep_original: bool = False) -> DataFrame:
     """Lossless deflate of every payload, kept only if smaller than the original.
 
-    Adds orig_size, new_size, accepted, kept_size and out_content (null when the original stays).
+    Adds orig_size, new_size, accepted, kept_size and out_content (null when the original stays). With
+    `keep_original` the original stays in its column as well.
     """
+    if keep_original:
+        df = df.withColumn("_original", F.col(content))
     tagged = df.withColumns({"_kind": F.lit("any"), "orig_size": F.octet_length(content).cast("bigint")})
     packed = transform_payloads(
         tagged, {"any": lambda data: zlib.compress(data, level)}, key="_kind", content=content
     )
     judged = keep_smaller(packed.withColumnRenamed("out_size", "new_size"), "orig_size", "new_size")
-    return judged.withColumn("out_content", F.when(F.col("accepted"), F.col("out_content"))).drop("_kind")
+    judged = judged.withColumn("out_content", F.when(F.col("accepted"), F.col("out_content"))).drop("_kind", "finished_at")
+    return judged.withColumnRenamed("_original", content)

@@ -9,8 +9,7 @@ from pyspark.sql import functions as F
 
 from shrinkwise.session import pinned
 
-# A key with more rows than this is split. It also bounds the broadcast list of such keys:
-# there can be at most (rows / HEAVY_ROWS) of them.
+# A key with more rows than this is split. Adaptive execution broadcasts the list of such keys if it is small.
 HEAVY_ROWS = 2_000_000
 
 
@@ -50,7 +49,7 @@ def spread_join(
     """
     if counts is None:
         counts = key_counts(rows, keys)
-    heavy = F.broadcast(heavy_keys(counts, keys, heavy_rows))
+    heavy = heavy_keys(counts, keys, heavy_rows)
     shares = F.coalesce(F.col("_shares"), F.lit(1))
     left = (
         rows.join(heavy, list(keys), "left")
@@ -86,7 +85,9 @@ def running_sums(
         )
     )
     before = Window.partitionBy(*slice_keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    out = sliced.join(bases, slice_keys)
+    # Groups may be null: keys are compared with nulls as equal.
+    bases = bases.select(F.struct(*slice_keys).alias("_keys"), *[f"_base_{name}" for name in sums])
+    out = sliced.withColumn("_keys", F.struct(*slice_keys)).join(bases, "_keys").drop("_keys")
     for name, column in sums.items():
         within = F.coalesce(F.sum(column).over(before), F.lit(0))
         out = out.withColumn(name, (F.col(f"_base_{name}") + within).cast("bigint"))

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from shrinkwise.config import COMPRESSIBLE_EXTS, JobRequest
 from shrinkwise.functions.paths import archive_plan, audit_paths, file_extension, paths_overlap
-from shrinkwise.operators.accounting import job_totals
+from shrinkwise.functions.scalars import size_summary
+from shrinkwise.operators.accounting import job_totals, progress
 from shrinkwise.operators.archives import archive_outcomes, repack_candidates
 from shrinkwise.operators.payloads import Handler, transform_payloads
 from shrinkwise.operators.routing import (
@@ -27,7 +28,7 @@ from shrinkwise.session import saved_table
 from shrinkwise.sinks.archive_files import pack_archives
 from shrinkwise.sinks.audit import audit_headers, audit_or_skip, audit_rows, default_audit_name
 from shrinkwise.sinks.payload_files import write_archive_parts, write_payloads
-from shrinkwise.sources.archive_files import expand_archives, expanded_members, expanded_verdicts
+from shrinkwise.sources.archive_files import expand_archives, expanded_verdicts
 from shrinkwise.sources.scan import scan_archives, scan_files
 
 
@@ -37,7 +38,7 @@ class JobReport:
 
     results: DataFrame
     totals: DataFrame
-    archives: DataFrame
+    archives: DataFrame | None
     written: DataFrame
     audit: DataFrame
     audit_error: str | None
@@ -98,7 +99,9 @@ def plan_tasks(spark: SparkSession, request: JobRequest) -> tuple[DataFrame, Dat
     if request.extract:
         opened = saved_table(opened, "expanded")
         verdicts = expanded_verdicts(opened)
-    members = audit_paths(expanded_members(opened), repack=request.repack_archives).select(
+    # A member that cannot be read stays a task: it fails with its error and gets its audit row.
+    found = opened.where(F.col("kind") == "member")
+    members = audit_paths(found, repack=request.repack_archives).select(
         "archive_path",
         "audit_input",
         "audit_output",
@@ -108,6 +111,7 @@ def plan_tasks(spark: SparkSession, request: JobRequest) -> tuple[DataFrame, Dat
         F.col("file_size").alias("orig_size"),
         F.col("payload").alias("content"),
         "notes",
+        F.col("error").alias("read_error"),
     )
     copied = request.mirror and not request.repack_archives
     copies = _archive_copies(archives if copied else none)
@@ -123,8 +127,9 @@ def run_job(
 ) -> JobReport:
     """Run the job and return what happened. `handlers` maps an extension to bytes -> bytes.
 
-    A file whose handler fails keeps ok = false; mirroring then copies the original. Files the job
-    has no handler for count as not processed. Results are written to the shared folder once, and
+    A file whose handler fails keeps ok = false; mirroring then copies the original. An archive member that cannot
+    be read also has ok = false and its error, and nothing is copied. Files the job has no handler for count
+    as not processed. Audit rows carry the time when their file was done. Results are written to the shared folder once, and
     outputs, archives, audit and totals are all read from there.
     """
     check_roots(spark, request)
@@ -137,15 +142,18 @@ def run_job(
     copy = F.col("origin") == "archive_copy"
     work = route(tasks).withColumn("key", F.when(~copy & compressible("ext"), F.col("ext")))
     done = transform_payloads(work, handlers, key="key", keep_original=True)
-    done = done.withColumn("processed", F.coalesce(F.col("ok"), F.lit(False)))
-    done = final_action(done, request.mirror).withColumns(
+    unread = F.col("read_error").isNotNull()
+    done = done.withColumns(
+        {"ok": F.when(unread, False).otherwise(F.col("ok")), "error": F.coalesce("read_error", "error"), "processed": F.coalesce("ok", F.lit(False))}
+    )
+    done = final_action(done, F.lit(request.mirror) & ~unread).withColumns(
         {
             "final_action": F.when(copy, F.lit(ACTION_ARCHIVE_COPY)).otherwise(F.col("final_action")),
             "out_size": F.coalesce("out_size", "orig_size"),
             "written_content": F.when(F.col("processed") | F.lit(request.mirror), F.col("out_content")),
         }
     )
-    results = saved_table(done.drop("out_content", "key"), "results")
+    results = saved_table(done.drop("out_content", "key", "read_error"), "results")
 
     outputs = results.where(F.col("written_content").isNotNull())
     in_archive = (F.col("origin") == "member") & F.lit(request.repack_archives)
@@ -159,7 +167,7 @@ def run_job(
         written = written.unionByName(write_archive_parts(parts, request.output_dir))
     written = saved_table(written, "written")
 
-    audit = audit_rows(results, F.lit(started_at), labels=labels, lang=request.language)
+    audit = audit_rows(results, F.col("finished_at"), labels=labels, lang=request.language)
     audit_error = None
     if request.audit:
         name = default_audit_name(started_at.strftime("%Y%m%d_%H%M%S"))
@@ -176,6 +184,27 @@ def run_job(
     )
 
 
+def job_events(results: DataFrame, job_id: str) -> DataFrame:
+    """The events of a finished job, as dispatch_events and job_state read them: for every file a progress event, and
+    a log or error event with its text; then the job's totals and its last status."""
+    text = F.concat(F.col("audit_input"), F.lit(": "), F.coalesce(F.col("error"), size_summary("orig_size", "out_size")))
+    failed = F.coalesce(~F.col("ok"), F.lit(False))
+    done = progress(results.withColumn("job_id", F.lit(job_id)), task="audit_input")
+    per_file = done.select(
+        "job_id", F.col("finished_at").alias("ts"), F.concat(F.lit("1 "), "audit_input").alias("event_id"),
+        F.explode(F.array(F.lit("progress"), F.when(failed, "error").otherwise("log"))).alias("kind"),
+        text.alias("message"), "current", "total",
+    )
+    per_file = per_file.withColumn("message", F.when(F.col("kind") != "progress", F.col("message")))
+    last = results.agg(F.max("finished_at").alias("ts")).crossJoin(job_totals(results))
+    ends = last.select(
+        F.lit(job_id).alias("job_id"), "ts", F.lit("2").alias("event_id"), F.explode(F.array(F.lit("stats"), F.lit("status"))).alias("kind"),
+        "orig_total", "out_total", "saved", "saved_pct",
+    )
+    ends = ends.withColumn("message", F.when(F.col("kind") == "status", F.lit("status_complete")))
+    return per_file.unionByName(ends, allowMissingColumns=True)
+
+
 def archives_to_repack(results: DataFrame) -> DataFrame:
     """Archives of a finished job that have at least one output of their own."""
     members = results.where(F.col("origin") == "member")

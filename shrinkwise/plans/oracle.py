@@ -547,4 +547,32 @@ ORACLE = {
              NULL AS error FROM entries""",
     "archive_roundtrip": f"""WITH {PACKED_PAGES}
       SELECT archive_path, rel_path, CAST(strlen(html) AS BIGINT) AS file_size, md5(html) AS fingerprint FROM packed""",
+    "payload_recompress": """
+      SELECT page_id, url AS path, CAST(strlen(html) AS BIGINT) AS orig_size, true AS judged, true AS not_larger, true AS ok, NULL AS error FROM pages""",
+    "nested_expansion": f"""
+      SELECT 'outer/' || (page_id // {PACK_SIZE} // 5) || '.zip' AS archive_path, 'in/' || (page_id // {PACK_SIZE}) || '/part.zip' AS container,
+             'in/' || (page_id // {PACK_SIZE}) || '/html/' || (page_id % 7) || '/' || page_id || '.html' AS rel_path, 1 AS depth,
+             md5(html) AS fingerprint FROM pages""",
+    "unopened_depth": f"""WITH n AS (SELECT DISTINCT page_id // {PACK_SIZE} AS n FROM pages)
+      SELECT 'outer/' || (n // 5) || '.zip' AS archive_path, '' AS container, 0 AS depth,
+             CAST(2 * count(*) + 1 AS BIGINT) AS member_count, NULL AS violation FROM n GROUP BY n // 5
+      UNION ALL SELECT 'outer/' || (n // 5) || '.zip', 'in/' || n || '/part.zip', 1, 0, 'nesting_limit' FROM n""",
+    "damaged_members": f"""
+      SELECT 'pages/' || (page_id // {PACK_SIZE}) || '.zip' AS archive_path, 'unreadable_member' AS violation, CAST(1 AS BIGINT) AS unreadable,
+             CASE WHEN count(*) > 1 THEN count(*) - 1 END AS readable FROM pages GROUP BY page_id // {PACK_SIZE}""",
+    "member_collisions": f"""
+      SELECT 'twice/' || (page_id // {PACK_SIZE}) || '.zip' AS archive_path, page_id || '.html' AS rel_path,
+             CASE WHEN page_id % 2 = 0 THEN 1 ELSE 0 END AS depth,
+             CASE WHEN page_id % 2 = 0 THEN md5(html || '<!-- new -->') ELSE md5(html) END AS fingerprint FROM pages""",
+    "folder_roundtrip": """
+      SELECT 'p' || (page_id % 10) || '/' || page_id || '.html' AS rel_path, page_id || '.html' AS name, 'html' AS ext,
+             CAST(strlen(html) AS BIGINT) AS size, md5(html) AS fingerprint FROM pages""",
+    "folder_intake": """
+      SELECT page_id || '.html' AS name, 'html' AS ext, CAST(strlen(html) AS BIGINT) AS size, md5(html) AS fingerprint FROM pages""",
+    "labels_roundtrip": """
+      SELECT 'en' AS lang, 'part_' || p_partkey AS key, p_name AS text FROM part
+      UNION ALL SELECT 'ja', 'part_' || p_partkey, p_name FROM part WHERE p_partkey % 3 = 0""",
+    "observed_totals": f"""WITH {RESULTS}
+      SELECT count(*) AS files_done, CAST(sum(orig_size) AS BIGINT) AS orig_total, CAST(sum(out_size) AS BIGINT) AS out_total FROM results""",
 }
+ORACLE["audit_roundtrip"] = ORACLE["audit_rows"]

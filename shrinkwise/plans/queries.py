@@ -11,10 +11,13 @@ from shrinkwise.config import INPUT_CLEANUP_EXTS, OUTPUT_CLEANUP_EXTS, Quota, Re
 from shrinkwise.functions import paths, scalars
 from shrinkwise.operators import accounting, archives, cleanup, imageplan, labels, payloads, routing
 from shrinkwise.plans import adapters as src
-from shrinkwise.session import new_shared_path
+from shrinkwise.session import new_shared_path, saved_table
 from shrinkwise.sinks.archive_files import pack_archives
 from shrinkwise.sinks.audit import audit_rows as audit_table
-from shrinkwise.sources.archive_files import expand_archives, expanded_members, list_members
+from shrinkwise.sinks.audit import write_audit
+from shrinkwise.sinks.payload_files import write_payloads
+from shrinkwise.sources.archive_files import expand_archives, expanded_members, expanded_verdicts, list_members, unreadable_members
+from shrinkwise.sources.scan import read_audit, read_labels, scan_files
 from shrinkwise.streaming import monitor
 
 # Limits that the archives of the driver tables do reach; the library defaults are far above them.
@@ -443,8 +446,8 @@ def stream_job_state(spark: SparkSession, d: str) -> DataFrame:
 
 def stream_dedupe(spark: SparkSession, d: str) -> DataFrame:
     out, checkpoint = new_shared_path(spark, "seen"), new_shared_path(spark, "seen-progress")
-    paths_seen = _event_stream(spark, d).select(F.concat(F.lit("job/"), "user_id", F.lit("/"), "event_type").alias("path"))
-    first = monitor.once_per_path(paths_seen)
+    paths_seen = _event_stream(spark, d).select(F.col("ts").cast("timestamp").alias("ts"), F.concat(F.lit("job/"), "user_id", F.lit("/"), "event_type").alias("path"))
+    first = monitor.once_per_path(paths_seen, watermark="3650 days").select("path")
     query = (
         first.writeStream.outputMode("append")
         .option("checkpointLocation", checkpoint)
@@ -460,18 +463,18 @@ def stream_dedupe(spark: SparkSession, d: str) -> DataFrame:
 
 
 def payload_recompress(spark: SparkSession, d: str) -> DataFrame:
-    packed = payloads.recompress_payloads(src.payloads(spark, d))
-    return packed.select("page_id", "path", "orig_size", "new_size", "accepted", "kept_size", "ok", "error")
+    """Kept bytes of every page are never more than it has, and inflate to it; exact sizes are zlib's own."""
+    packed = payloads.recompress_payloads(src.payloads(spark, d), keep_original=True)
+    smaller = (F.col("kept_size") <= F.col("orig_size")) & (F.octet_length(F.coalesce("out_content", "content")) == F.col("kept_size"))
+    return packed.select("page_id", "path", "orig_size", F.col("accepted").eqNullSafe(F.col("new_size") < F.col("orig_size")).alias("judged"), smaller.alias("not_larger"), "ok", "error")
 
 
 def payload_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     """Recompress, inflate again, and fingerprint what comes back."""
-    packed = payloads.recompress_payloads(src.payloads(spark, d)).where("accepted")
-    restored = payloads.transform_payloads(
-        packed.select("page_id", "orig_size", F.lit("z").alias("kind"), F.col("out_content").alias("content")),
-        {"z": zlib.decompress},
-        key="kind",
-    )
+    packed = payloads.recompress_payloads(src.payloads(spark, d), keep_original=True)
+    kind = F.when(F.col("accepted"), "deflated").otherwise("plain")
+    kept = packed.select("page_id", "orig_size", kind.alias("kind"), F.coalesce("out_content", "content").alias("content"))
+    restored = payloads.transform_payloads(kept, {"deflated": zlib.decompress, "plain": bytes}, key="kind")
     return restored.select("page_id", "orig_size", "ok", F.md5("out_content").alias("fingerprint"))
 
 
@@ -513,6 +516,119 @@ def archive_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     return members.select("archive_path", "rel_path", "file_size", F.md5("payload").alias("fingerprint"))
 
 
+# ---- archives that are nested, damaged or overwrite their own files -------------
+
+
+def _zip_of(rows: DataFrame, group: str, name: str, content: str) -> DataFrame:
+    """One archive per group, as (path, content)."""
+    named = rows.select(F.col(group).alias("archive_path"), F.col(name).alias("rel_path"), F.col(content).alias("content"))
+    return pack_archives(named).select(F.col("archive_path").alias("path"), "content")
+
+
+def _nested_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Pages in archives of PACK_SIZE, and those by fives in outer archives."""
+    inner = _packed_pages(spark, d)
+    number = F.regexp_extract("path", r"(\d+)", 1).cast("bigint")
+    named = inner.select(
+        F.concat(F.lit("outer/"), F.floor(number / 5), F.lit(".zip")).alias("group"), F.concat(F.lit("in/"), number, F.lit("/part.zip")).alias("name"), "content"
+    )
+    return _zip_of(named, "group", "name", "content")
+
+
+def nested_expansion(spark: SparkSession, d: str) -> DataFrame:
+    """Archives in archives, unpacked again: every page comes back beside the archive that held it."""
+    members = expanded_members(expand_archives(_nested_pages(spark, d)))
+    return members.select("archive_path", "container", "rel_path", "depth", F.md5("payload").alias("fingerprint"))
+
+
+def unopened_depth(spark: SparkSession, d: str) -> DataFrame:
+    """The same with a limit of one level: each inner archive is a failed one, and none of its pages is lost silently."""
+    verdicts = expanded_verdicts(expand_archives(_nested_pages(spark, d), max_depth=1))
+    return verdicts.select("archive_path", "container", "depth", "member_count", "violation")
+
+
+def _damage_first_byte(content: bytes) -> bytes:
+    """Changes the first packed byte of the first file, so that its checksum fails."""
+    at, out = 0, bytearray(content)
+    while out[at : at + 4] == b"PK\x03\x04":
+        size = int.from_bytes(out[at + 18 : at + 22], "little")
+        start = at + 30 + int.from_bytes(out[at + 26 : at + 28], "little")
+        if size:
+            out[start] ^= 0xFF
+            break
+        at = start
+    return bytes(out)
+
+
+def damaged_members(spark: SparkSession, d: str) -> DataFrame:
+    """One member of each archive damaged on purpose: it is reported, all others come back."""
+    broken = payloads.transform_payloads(_packed_pages(spark, d).withColumn("kind", F.lit("zip")), {"zip": _damage_first_byte}, key="kind")
+    expanded = saved_table(expand_archives(broken.select("path", F.col("out_content").alias("content"))), "expanded")
+    lost = unreadable_members(expanded).groupBy("archive_path").agg(F.count(F.lit(1)).alias("unreadable"))
+    read = expanded_members(expanded).groupBy("archive_path").agg(F.count(F.lit(1)).alias("readable"))
+    verdicts = expanded_verdicts(expanded).select("archive_path", "violation")
+    return verdicts.join(lost, "archive_path", "left").join(read, "archive_path", "left")
+
+
+def member_collisions(spark: SparkSession, d: str) -> DataFrame:
+    """Every archive holds pages and an archive with newer versions of the same: the inner ones are written last."""
+    pages = src.payloads(spark, d).select(
+        F.concat(F.lit("twice/"), F.expr(f"page_id div {PACK_SIZE}"), F.lit(".zip")).alias("group"), F.concat("page_id", F.lit(".html")).alias("name"), "content"
+    )
+    newer = pages.where(F.substring_index("name", ".", 1).cast("bigint") % 2 == 0).withColumn("content", F.concat("content", F.lit("<!-- new -->").cast("binary")))
+    inner = _zip_of(newer, "group", "name", "content").select(F.col("path").alias("group"), F.lit("update.zip").alias("name"), "content")
+    members = expanded_members(expand_archives(_zip_of(pages.unionByName(inner), "group", "name", "content")))
+    return members.select("archive_path", "rel_path", "depth", F.md5("payload").alias("fingerprint"))
+
+
+# ---- folders, audit tables and label files ---------------------------------------
+
+
+def folder_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """Pages written as files into the shared folder, scanned and read back."""
+    root = new_shared_path(spark, "folder")
+    named = src.payloads(spark, d).select(F.concat(F.lit("p"), F.col("page_id") % 10, F.lit("/"), "page_id", F.lit(".html")).alias("output_path"), "content")
+    saved_table(write_payloads(named, root), "written")
+    files = scan_files(spark, root, with_content=True)
+    return files.select("rel_path", "name", "ext", "size", F.md5("content").alias("fingerprint"))
+
+
+def folder_intake(spark: SparkSession, d: str) -> DataFrame:
+    """The same files as a stream of new ones."""
+    root, out, checkpoint = (new_shared_path(spark, label) for label in ("intake", "taken", "taken-progress"))
+    named = src.payloads(spark, d).select(F.concat("page_id", F.lit(".html")).alias("output_path"), "content")
+    saved_table(write_payloads(named, root), "written")
+    stream = monitor.watch_folder(spark, root).select(F.substring_index("path", "/", -1).alias("name"), "ext", "size", F.md5("content").alias("fingerprint"))
+    query = stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).format("parquet").start(out)
+    query.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(out)
+
+
+def audit_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """The audit table written as CSV into the shared folder and read back."""
+    path = new_shared_path(spark, "audit")
+    write_audit(audit_rows(spark, d), path)
+    return read_audit(spark, path)
+
+
+def labels_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """Label files of two languages, made of all parts, written as JSON and read back as a catalog."""
+    root = new_shared_path(spark, "labels")
+    parts = src.read(spark, d, "part").select(F.concat(F.lit("part_"), "p_partkey").alias("key"), F.col("p_name").alias("text"))
+    for lang, rows in (("en", parts), ("ja", parts.where(F.substring("key", 6, 20).cast("bigint") % 3 == 0))):
+        # A label file is one JSON object; its size is that of a catalog of texts, one row here.
+        entries = rows.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("key", "text")))).cast("binary").alias("content"))
+        saved_table(write_payloads(entries.withColumn("output_path", F.lit(f"{lang}.json")), root), "written")
+    return read_labels(spark, root)
+
+
+def observed_totals(spark: SparkSession, d: str) -> DataFrame:
+    """Counts of all results, observed while they are written for something else."""
+    counted, observation = monitor.observed(src.results(spark, d))
+    counted.write.format("noop").mode("overwrite").save()
+    return spark.createDataFrame([observation.get], "files_done bigint, orig_total bigint, out_total bigint")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -525,6 +641,8 @@ QUERIES = {
         first_use_top50, mask_join, distinct_lists, cleanup_counts, cleanup_everything, cleanup_empty_dirs,
         target_counts, snapshot_select, tree_diff, progress_rank, event_dispatch, job_state, stream_job_state,
         stream_dedupe, payload_recompress, payload_roundtrip, payload_transform, archive_listing, archive_roundtrip,
+        nested_expansion, unopened_depth, damaged_members, member_collisions, folder_roundtrip, folder_intake, audit_roundtrip,
+        labels_roundtrip, observed_totals,
     )
 }
 QUERIES["stage_plan"] = QUERIES.pop("stage_plan_text")

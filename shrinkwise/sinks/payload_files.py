@@ -1,10 +1,8 @@
-"""Writing payload bytes under an output root that every executor can reach as a mounted folder."""
+"""Writing payload bytes under an output root given as a path or URI that every executor can reach."""
 
 from __future__ import annotations
 
-import os
-import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -12,6 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from shrinkwise.session import saved_table
+from shrinkwise.sources.storage import below, open_root, replace_file
+
 WRITTEN_SCHEMA = T.StructType(
     [
         T.StructField("output_path", T.StringType()),
@@ -19,64 +20,26 @@ WRITTEN_SCHEMA = T.StructType(
         T.StructField("error", T.StringType()),
     ]
 )
+PART_WRITTEN_SCHEMA = T.StructType([*WRITTEN_SCHEMA.fields, T.StructField("start", T.LongType()), T.StructField("parts", T.LongType())])
+COPY_BYTES = 4 * 1024 * 1024
 
 
-def _target(root: str, relative: str) -> str:
-    full = os.path.normpath(os.path.join(root, relative))
-    if os.path.commonpath([root, full]) != root or full == root:
-        raise ValueError(f"output path leaves the output root: {relative}")
-    os.makedirs(os.path.dirname(full), exist_ok=True)
-    return full
-
-
-def _replace_file(root: str, relative: str, data: bytes) -> None:
-    """Write beside the target and rename, so a retried or speculative task leaves a whole file."""
-    target = _target(root, relative)
-    scratch = f"{target}.{uuid.uuid4().hex}.part"
-    try:
-        with open(scratch, "wb") as handle:
-            handle.write(data)
-        os.replace(scratch, target)
-    finally:
-        if os.path.exists(scratch):
-            os.remove(scratch)
-
-
-def _write_at(root: str, relative: str, start: int, total: int, data: bytes) -> None:
-    """Put one part of a larger file in place; the same bytes at the same offset on every retry.
-
-    Every part sets the final length, so nothing of an older, longer file stays behind.
-    """
-    descriptor = os.open(_target(root, relative), os.O_CREAT | os.O_WRONLY, 0o644)
-    try:
-        os.ftruncate(descriptor, total)
-        view = memoryview(data)
-        while view:
-            written = os.pwrite(descriptor, view, start)
-            view, start = view[written:], start + written
-    finally:
-        os.close(descriptor)
-
-
-def _writer(root: str, path: str, content: str, in_place: bool = False):
-    schema = to_arrow_schema(WRITTEN_SCHEMA)
-    root = os.path.abspath(root)
+def _reporting(schema: T.StructType, write: Callable[[dict], int], carried: tuple[str, ...] = ()):
+    """Runs `write` on each row and reports its bytes or its error; one failing file does not fail the task."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        arrow = to_arrow_schema(schema)
         for batch in batches:
             rows = []
-            for i, where in enumerate(batch.column(path).to_pylist()):
-                data = batch.column(content)[i].as_py() or b""
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                report = {"output_path": row["output_path"], "bytes_written": None, "error": None, **{c: row[c] for c in carried}}
                 try:
-                    if in_place:
-                        start, total = (batch.column(c)[i].as_py() for c in ("start", "archive_bytes"))
-                        _write_at(root, where, start, total, data)
-                    else:
-                        _replace_file(root, where, data)
-                    rows.append({"output_path": where, "bytes_written": len(data), "error": None})
+                    report["bytes_written"] = write(row)
                 except Exception as exc:  # noqa: BLE001 - reported in the row
-                    rows.append({"output_path": where, "bytes_written": None, "error": f"{type(exc).__name__}: {exc}"})
-            yield pa.RecordBatch.from_pylist(rows, schema=schema)
+                    report["error"] = f"{type(exc).__name__}: {exc}"
+                rows.append(report)
+            yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
     return work
 
@@ -84,16 +47,57 @@ def _writer(root: str, path: str, content: str, in_place: bool = False):
 def write_payloads(df: DataFrame, out_root: str, path: str = "output_path", content: str = "content") -> DataFrame:
     """Write each row's bytes to `out_root/path`; returns (output_path, bytes_written, error).
 
-    The returned frame must be consumed for the writes to happen; consuming it twice writes the
-    same files twice.
+    `out_root` is a local or mounted path or a URI (file, hdfs, s3, gs); a URI whose scheme is unknown gives an
+    error in every row and writes nothing. The returned frame must be consumed for the writes to happen;
+    consuming it twice writes the same files twice.
     """
-    return df.select(path, content).mapInArrow(_writer(out_root, path, content), WRITTEN_SCHEMA)
+
+    def write(row: dict) -> int:
+        where, base = open_root(out_root)
+        return replace_file(where, below(base, row["output_path"]), [row["content"] or b""])
+
+    rows = df.select(F.col(path).alias("output_path"), F.col(content).alias("content"))
+    return rows.mapInArrow(_reporting(WRITTEN_SCHEMA, write), WRITTEN_SCHEMA)
+
+
+def _part_folder(target: str) -> str:
+    return f"{target}.parts"
 
 
 def write_archive_parts(parts: DataFrame, out_root: str) -> DataFrame:
-    """Write the output of pack_archives; parts of one large archive are placed in parallel."""
-    single = parts.where(F.col("parts") == 1)
-    several = parts.where(F.col("parts") > 1).select("archive_path", "content", "start", "archive_bytes")
-    return write_payloads(single, out_root, "archive_path", "content").unionByName(
-        several.mapInArrow(_writer(out_root, "archive_path", "content", in_place=True), WRITTEN_SCHEMA)
-    )
+    """Write the output of pack_archives; returns a row per archive (output_path, bytes_written, error).
+
+    All parts are written in parallel in one pass: an archive of one part to its place, others to a scratch folder
+    beside it. An archive whose parts are all there is then joined by copying, a few megabytes at a time, and renamed,
+    so its path never shows half an archive. The parts are written when this is called, the joins when the
+    returned frame is consumed.
+    """
+
+    def write(row: dict) -> int:
+        where, base = open_root(out_root)
+        target = below(base, row["output_path"])
+        if row["parts"] > 1:
+            target = f"{_part_folder(target)}/{row['start']}"
+        return replace_file(where, target, [row["content"]])
+
+    def join(row: dict) -> int:
+        if row["failed"]:
+            raise OSError(row["failed"])
+        where, base = open_root(out_root)
+        target = below(base, row["output_path"])
+
+        def pieces() -> Iterator[bytes]:
+            for start in sorted(row["starts"]):
+                with where.open_input_stream(f"{_part_folder(target)}/{start}") as part:
+                    while data := part.read(COPY_BYTES):
+                        yield data
+
+        size = replace_file(where, target, pieces())
+        where.delete_dir(_part_folder(target))
+        return size
+
+    rows = parts.select(F.col("archive_path").alias("output_path"), "content", "start", "parts")
+    done = saved_table(rows.mapInArrow(_reporting(PART_WRITTEN_SCHEMA, write, ("start", "parts")), PART_WRITTEN_SCHEMA), "parts")
+    single = done.where("parts = 1").select(*WRITTEN_SCHEMA.names)
+    several = done.where("parts > 1").groupBy("output_path").agg(F.collect_list("start").alias("starts"), F.max("error").alias("failed"))
+    return single.unionByName(several.mapInArrow(_reporting(WRITTEN_SCHEMA, join), WRITTEN_SCHEMA))

@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 import io
-import posixpath
 import zipfile
-from collections import OrderedDict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -15,7 +13,10 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from shrinkwise.config import ARCHIVE_EXT, MAX_NESTING, Quota
-from shrinkwise.operators.archives import FILE_TYPE_MASK, OVER_BYTES, OVER_MEMBERS, SYMLINK_TYPE
+from shrinkwise.operators.archives import first_violation
+from shrinkwise.session import saved_table
+
+UNREADABLE, UNREADABLE_MEMBER, NESTING_LIMIT, OVER_TOTAL = "unreadable", "unreadable_member", "nesting_limit", "nested_size"
 
 LISTING_SCHEMA = T.StructType(
     [
@@ -111,111 +112,113 @@ def register_archive_members(spark: SparkSession, name: str = "archive_members")
     spark.udtf.register(name, F.udtf(ArchiveMembers, returnType=returns))
 
 
-def _parts(name: str) -> list[str]:
-    return [p for p in name.replace("\\", "/").split("/") if p not in ("", ".")]
-
-
-def _name_reason(name: str) -> str | None:
-    """The member-name rule of operators.archives.name_violation, for archives met inside archives."""
-    parts = _parts(name)
-    if name.replace("\\", "/").startswith("/"):
-        return "absolute_path"
-    if ".." in parts:
-        return "path_traversal"
-    return "drive_path" if parts and ":" in parts[0] else None
+LEVEL_SCHEMA = T.StructType(
+    [
+        T.StructField("archive_path", T.StringType()),
+        T.StructField("container", T.StringType()),
+        T.StructField("depth", T.IntegerType()),
+        T.StructField("idx", T.IntegerType()),
+        T.StructField("name", T.StringType()),
+        T.StructField("file_size", T.LongType()),
+        T.StructField("external_attr", T.LongType()),
+        T.StructField("error", T.StringType()),
+    ]
+)
+CONTAINER = ["archive_path", "container"]
 
 
-def _reject_reason(infos: list[zipfile.ZipInfo], quota: Quota) -> str | None:
-    if len(infos) > quota.max_members:
-        return OVER_MEMBERS
-    running = 0
-    for info in infos:
-        running += max(0, info.file_size)
-        if running > quota.max_bytes:
-            return OVER_BYTES
-        if (info.external_attr >> 16) & FILE_TYPE_MASK == SYMLINK_TYPE:
-            return "symlink"
-        reason = _name_reason(info.filename)
-        if reason:
-            return reason
-    return None
+def _level_listing(level: DataFrame) -> DataFrame:
+    """Members of every container; a first row with idx -1 stands for the container, with its error if unreadable."""
+    schema = to_arrow_schema(LEVEL_SCHEMA)
 
+    def listed(batch: pa.RecordBatch) -> Iterator[dict]:
+        for archive, container, depth, blob in zip(*(batch.column(c) for c in ("archive_path", "container", "depth", "content")), strict=True):
+            data, infos, error = blob.as_py(), [], None
+            try:
+                with zipfile.ZipFile(io.BytesIO(data)) as opened:
+                    infos = opened.infolist()
+            except Exception as exc:  # noqa: BLE001 - reported in the row
+                error = f"{type(exc).__name__}: {exc}"
+            own = {"archive_path": archive.as_py(), "container": container.as_py(), "depth": depth.as_py()}
+            yield {**own, "idx": -1, "file_size": len(data or b""), "error": error}
+            for idx, info in enumerate(infos):
+                yield {**own, "idx": idx, "name": info.filename, "file_size": info.file_size, "external_attr": info.external_attr}
 
-def _is_archive(target: str) -> bool:
-    return target.lower().endswith(f".{ARCHIVE_EXT}")
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from _batches(listed(batch), schema)
 
+    return level.select(*CONTAINER, "depth", "content").mapInArrow(work, LEVEL_SCHEMA)
 
-class _Containers:
-    """The archives inside one top-level archive, opened on demand.
 
-    Only the last few stay open, so memory follows the nesting, not the number of inner archives.
-    `origin` tells in which container, at which index, an inner archive lies.
-    """
+def _judged(listed: DataFrame, quota: Quota, earlier: DataFrame | None) -> DataFrame:
+    """A verdict per container: first_violation on its members, then the limit on the sum over all levels."""
+    members = listed.where("idx >= 0").select(F.struct(*CONTAINER).alias("archive_path"), "idx", "name", "file_size", "external_attr")
+    found = first_violation(members, quota).select("archive_path.*", "member_count", "total_bytes", "violation")
+    heads = listed.where("idx = -1").select(*CONTAINER, "depth", "file_size", F.col("error").alias("_error"))
+    judged = heads.join(found, CONTAINER, "left").withColumns(
+        {
+            "error": F.when(F.col("_error").isNotNull(), UNREADABLE).otherwise(F.col("violation")),
+            "total_bytes": F.coalesce("total_bytes", F.lit(0)),
+        }
+    )
+    if earlier is not None:
+        here = judged.where("error is null").select("archive_path", "total_bytes")
+        spent = earlier.where("error is null").select("archive_path", "total_bytes").unionByName(here)
+        spent = spent.groupBy("archive_path").agg(F.sum("total_bytes").alias("_spent")).where(F.col("_spent") > quota.max_total_bytes)
+        judged = judged.join(spent, "archive_path", "left")
+        judged = judged.withColumn("error", F.when(F.col("error").isNull() & F.col("_spent").isNotNull(), OVER_TOTAL).otherwise(F.col("error")))
+    count = F.when(F.col("error").isNull(), F.coalesce("member_count", F.lit(0))).otherwise(0).cast("bigint")
+    return judged.select(*CONTAINER, "depth", "file_size", count.alias("member_count"), "total_bytes", "error")
+
+
+def _placed(listed: DataFrame, judged: DataFrame) -> DataFrame:
+    """Files of accepted containers at the path where they land: beside the archive that held them."""
+    parts = F.filter(F.split(F.replace("name", F.lit("\\"), F.lit("/")), "/"), lambda x: (x != "") & (x != "."))
+    folder = F.when(F.contains("container", F.lit("/")), F.regexp_replace("container", "/[^/]*$", ""))
+    files = listed.where("idx >= 0 and not endswith(name, '/')").withColumn("_parts", parts).where(F.size("_parts") > 0)
+    files = files.join(judged.where("error is null").select(*CONTAINER), CONTAINER, "left_semi")
+    target = F.concat_ws("/", folder, F.array_join("_parts", "/"))
+    return files.select(*CONTAINER, "depth", "idx", "file_size", target.alias("target")).withColumn(
+        "is_archive", F.lower("target").endswith(f".{ARCHIVE_EXT}")
+    )
 
-    KEEP_OPEN = 4
 
-    def __init__(self, blob: bytes):
-        self.blob = blob
-        self.origin: dict[str, tuple[str, int]] = {}
-        self.recent: OrderedDict[str, zipfile.ZipFile] = OrderedDict()
+def _last_written(placed: DataFrame) -> DataFrame:
+    """Of members at one path the one written last: the deeper level, then the later container and member."""
+    last = placed.groupBy("archive_path", "target").agg(F.max(F.struct("depth", "container", "idx", "file_size")).alias("_last"))
+    return last.select("archive_path", "target", "_last.*")
 
-    def open(self, container: str) -> zipfile.ZipFile:
-        if container not in self.recent:
-            data = self.read(*self.origin[container]) if container else self.blob
-            self.recent[container] = zipfile.ZipFile(io.BytesIO(data))
-            if len(self.recent) > self.KEEP_OPEN:
-                self.recent.popitem(last=False)
-        self.recent.move_to_end(container)
-        return self.recent[container]
 
-    def members(self, container: str) -> list[zipfile.ZipInfo]:
-        return self.open(container).infolist()
+def _read_members(contents: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Bytes of the wanted members; one that cannot be read has an error instead."""
+    lists = wanted.groupBy(*CONTAINER).agg(F.sort_array(F.collect_list(F.struct("idx", "target", "depth", "file_size"))).alias("wanted"))
+    schema = to_arrow_schema(EXPANDED_SCHEMA)
 
-    def read(self, container: str, idx: int) -> bytes:
-        opened = self.open(container)
-        return opened.read(opened.infolist()[idx])
+    def rows(batch: pa.RecordBatch) -> Iterator[dict]:
+        for archive, container, blob, wanted in zip(*(batch.column(i) for i in range(4)), strict=True):
+            opened, failed = None, None
+            try:
+                opened = zipfile.ZipFile(io.BytesIO(blob.as_py()))
+            except Exception as exc:  # noqa: BLE001 - reported in the rows
+                failed = f"{type(exc).__name__}: {exc}"
+            for member in wanted.as_py():
+                payload, error = None, failed
+                if opened is not None:
+                    try:
+                        payload = opened.read(opened.infolist()[member["idx"]])
+                    except Exception as exc:  # noqa: BLE001 - reported in the row
+                        error = f"{type(exc).__name__}: {exc}"
+                yield {
+                    "archive_path": archive.as_py(), "kind": "member", "container": container.as_py(), "rel_path": member["target"],
+                    "depth": member["depth"], "idx": member["idx"], "file_size": member["file_size"], "payload": payload, "error": error,
+                }
 
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from _batches(rows(batch), schema, "payload")
 
-def _expand(archive: str, blob: bytes, quota: Quota, max_depth: int) -> Iterator[dict]:
-    """Rows of one top-level archive. Members land beside the archive that held them, later ones
-    replace earlier ones at the same path, and a broken inner archive fails alone."""
-    containers = _Containers(blob)
-    tree: dict[str, tuple[str, int, int, int]] = {}  # target -> container, idx, depth, size
-    waiting = [("", len(blob))]
-    for depth in range(max_depth):
-        for container, size in waiting:
-            try:
-                infos = containers.members(container)
-                reason = _reject_reason(infos, quota)
-            except Exception:  # noqa: BLE001 - any broken file is one failed archive
-                infos, reason = [], "unreadable"
-            if reason is not None:
-                infos = []
-            yield {
-                "archive_path": archive, "kind": "archive", "container": container, "depth": depth,
-                "file_size": size, "member_count": len(infos), "error": reason,
-            }
-            folder = posixpath.dirname(container)
-            for idx, info in enumerate(infos):
-                parts = _parts(info.filename)
-                if parts and not info.is_dir():
-                    tree[posixpath.join(folder, *parts)] = (container, idx, depth, info.file_size)
-        fresh = sorted(t for t in tree if _is_archive(t) and t not in containers.origin)
-        containers.origin.update({t: tree[t][:2] for t in fresh})
-        waiting = [(t, tree[t][3]) for t in fresh]
-        if not waiting:
-            break
-    files = [(place, target) for target, place in tree.items() if not _is_archive(target)]
-    for (container, idx, depth, size), target in sorted(files):
-        payload, error = None, None
-        try:
-            payload = containers.read(container, idx)
-        except Exception as exc:  # noqa: BLE001 - reported in the row
-            error = f"{type(exc).__name__}: {exc}"
-        yield {
-            "archive_path": archive, "kind": "member", "container": container, "rel_path": target,
-            "depth": depth, "idx": idx, "file_size": size, "payload": payload, "error": error,
-        }
+    return contents.join(lists, CONTAINER).select(*CONTAINER, "content", "wanted").mapInArrow(work, EXPANDED_SCHEMA)
 
 
 def expand_archives(
@@ -229,28 +232,59 @@ def expand_archives(
 
     kind = 'archive': one verdict per archive met (error null when accepted, member_count incl.
     directories). kind = 'member': the surviving files with their bytes; one that cannot be read has
-    an error instead. The unit of work is one top-level archive; its members are emitted one by one
-    in size-limited batches, and inner archives are opened a few at a time.
-    """
-    schema = to_arrow_schema(EXPANDED_SCHEMA)
+    an error instead. Archives below `max_depth` are not opened and have the error `nesting_limit`.
 
-    def rows(batch: pa.RecordBatch) -> Iterator[dict]:
-        for archive, blob in zip(batch.column(path), batch.column(content), strict=True):
-            yield from _expand(archive.as_py(), blob.as_py(), quota, max_depth)
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield from _batches(rows(batch), schema, "payload")
-
-    return archives.select(path, content).mapInArrow(work, EXPANDED_SCHEMA)
+    Members are listed level by level and judged by first_violation before anything is read; only archives inside
+    accepted ones are then read to be listed in turn. The listings, verdicts and inner archives of each level are
+    tables in the shared folder, so calling this runs a few jobs per level of nesting; files are read
+    when the returned frame is.
+    """
+    level = archives.select(F.col(path).alias("archive_path"), F.lit("").alias("container"), F.lit(0).alias("depth"), F.col(content).alias("content"))
+    contents, verdicts, tree, opened = level, None, None, None
+    for depth in range(max_depth):
+        listed = saved_table(_level_listing(level), "listing")
+        judged = saved_table(_judged(listed, quota, verdicts), "verdicts")
+        verdicts = judged if verdicts is None else verdicts.unionByName(judged)
+        placed = saved_table(_placed(listed, judged), "members")
+        tree = placed if tree is None else tree.unionByName(placed)
+        inner = _last_written(placed.where("is_archive"))
+        if opened is not None:
+            inner = inner.join(opened, ["archive_path", "target"], "left_anti")
+        inner = saved_table(inner, "inner")
+        if inner.isEmpty():
+            break
+        found = inner.select("archive_path", "target")
+        opened = found if opened is None else opened.unionByName(found)
+        if depth + 1 == max_depth:
+            unopened = inner.select(
+                "archive_path", F.col("target").alias("container"), F.lit(max_depth).alias("depth"), "file_size",
+                F.lit(0).cast("bigint").alias("member_count"), F.lit(0).cast("bigint").alias("total_bytes"), F.lit(NESTING_LIMIT).alias("error"),
+            )
+            verdicts = verdicts.unionByName(unopened)
+            break
+        read = _read_members(level, inner)
+        level = saved_table(
+            read.select("archive_path", F.col("rel_path").alias("container"), (F.col("depth") + 1).alias("depth"), F.col("payload").alias("content")),
+            "level",
+        )
+        contents = contents.unionByName(level)
+    files = _read_members(contents, _last_written(tree.where("not is_archive")))
+    heads = verdicts.withColumn("kind", F.lit("archive")) if verdicts is not None else files.where(F.lit(False))
+    blank = {f.name: F.lit(None).cast(f.dataType).alias(f.name) for f in EXPANDED_SCHEMA if f.name not in heads.columns}
+    return files.unionByName(heads.select(*[blank.get(f.name, f.name) for f in EXPANDED_SCHEMA]))
 
 
 def expanded_members(expanded: DataFrame) -> DataFrame:
     return expanded.where((F.col("kind") == "member") & F.col("error").isNull())
 
 
+def unreadable_members(expanded: DataFrame) -> DataFrame:
+    """Members of accepted archives that could not be read, with their errors."""
+    return expanded.where((F.col("kind") == "member") & F.col("error").isNotNull())
+
+
 def expanded_verdicts(expanded: DataFrame) -> DataFrame:
-    """One row per archive met, in the shape archive_outcomes reads."""
-    return expanded.where(F.col("kind") == "archive").select(
-        "archive_path", "container", "depth", "member_count", F.col("error").alias("violation")
-    )
+    """One row per archive met, in the shape archive_outcomes reads; one with an unreadable member has failed."""
+    damaged = unreadable_members(expanded).select(*CONTAINER).distinct().withColumn("_damaged", F.lit(UNREADABLE_MEMBER))
+    heads = expanded.where(F.col("kind") == "archive").join(damaged, CONTAINER, "left")
+    return heads.select(*CONTAINER, "depth", "member_count", F.coalesce("error", "_damaged").alias("violation"))

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import struct
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shrinkwise.config import FALLBACK_LANGUAGE, RASTER_EXTS
 from shrinkwise.functions.paths import base_name, file_extension, relative_path
 from shrinkwise.operators.routing import not_archive
+from shrinkwise.sources.storage import read_head
 from shrinkwise.sources.tables import AUDIT_SCHEMA
 
 ARCHIVE_GLOB = "*.[zZ][iI][pP]"
@@ -23,7 +28,12 @@ def _files(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    return reader.load(root)
+    try:
+        return reader.load(root)
+    except AnalysisException as exc:
+        if exc.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], BINARY_FILE_SCHEMA)  # a folder that is not there holds no files
 
 
 def _described(files: DataFrame, root: str, with_content: bool) -> DataFrame:
@@ -63,29 +73,62 @@ def scan_archives(spark: SparkSession, root: str, with_content: bool = True) ->
     return _described(_files(spark, root, ARCHIVE_GLOB), root, with_content)
 
 
+IMAGE_SCHEMA = "path string, ext string, width int, height int, channels int, mode string, decodable boolean"
+#: The size of a raster stands within its first bytes, but for what a camera puts in front.
+HEAD_BYTES = 512 * 1024
+# PNG colour types and JPEG component counts, and JPEG's frame markers.
+PNG_MODES = {0: ("L", 1), 2: ("RGB", 3), 3: ("P", 1), 4: ("LA", 2), 6: ("RGBA", 4)}
+JPEG_MODES = {1: "L", 3: "RGB", 4: "CMYK"}
+FRAME_MARKERS = frozenset((*range(0xC0, 0xD0),)) - {0xC4, 0xC8, 0xCC}
+
+
+def image_header(head: bytes) -> tuple[int, int, int, str] | None:
+    """Width, height, channels and mode of a PNG or JPEG file from its first bytes; None if it is neither."""
+    if head[:8] == b"\x89PNG\r\n\x1a\n" and head[12:16] == b"IHDR" and len(head) >= 26:
+        width, height, _, colour = struct.unpack(">2I2B", head[16:26])
+        return (width, height, PNG_MODES[colour][1], PNG_MODES[colour][0]) if colour in PNG_MODES else None
+    at = 2
+    while head[:2] == b"\xff\xd8" and at + 9 < len(head) and head[at] == 0xFF:
+        marker, size = head[at + 1], int.from_bytes(head[at + 2 : at + 4], "big")
+        if marker in FRAME_MARKERS:
+            height, width, parts = struct.unpack(">2HB", head[at + 5 : at + 10])
+            return (width, height, parts, JPEG_MODES[parts]) if parts in JPEG_MODES else None
+        at += 2 + size if marker != 0xFF else 1
+    return None
+
+
 def scan_images(spark: SparkSession, root: str, drop_invalid: bool = False) -> DataFrame:
-    """Width, height and channels of raster files; undecodable ones show -1 unless dropped."""
-    images = (
-        spark.read.format("image")
-        .option("recursiveFileLookup", "true")
-        .option("dropInvalid", str(drop_invalid).lower())
-        .load(root)
-    )
-    path = _without_scheme(F.col("image.origin"))
-    return images.select(
-        path.alias("path"),
-        file_extension(path).alias("ext"),
-        F.col("image.width").alias("width"),
-        F.col("image.height").alias("height"),
-        F.col("image.nChannels").alias("channels"),
-        (F.col("image.width") > 0).alias("decodable"),
-    )
+    """Width, height, channels and mode of raster files, from their headers; no pixel is decoded.
+
+    Files are listed by Spark and opened by path on executors for their first bytes only. What is no PNG or JPEG
+    file, or cannot be opened, shows -1 unless dropped.
+    """
+    files = _described(_files(spark, root, suffix_glob(RASTER_EXTS)), root, False).select("path", "ext")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for path, ext in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                try:
+                    found = image_header(read_head(path, HEAD_BYTES))
+                except Exception:  # noqa: BLE001 - shown as undecodable
+                    found = None
+                width, height, channels, mode = found or (-1, -1, -1, None)
+                rows.append((path, ext, width, height, channels, mode, found is not None))
+            columns = [pa.array(c) for c in zip(*rows, strict=True)]
+            names = ("path", "ext", "width", "height", "channels", "mode", "decodable")
+            kinds = (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.bool_())
+            yield pa.record_batch([c.cast(k) for c, k in zip(columns, kinds, strict=True)], names=list(names))
+
+    images = files.mapInArrow(work, IMAGE_SCHEMA)
+    return images.where("decodable") if drop_invalid else images
 
 
 def read_labels(spark: SparkSession, folder: str, languages: Iterable[str] | None = None) -> DataFrame:
     """(lang, key, text) from one JSON object per `<lang>.json`; all values must be text.
 
-    A file that is not an object of texts fails the query when it is read.
+    A file that is no JSON object gives no rows, so that lookups fall back to English; the English one fails the
+    query when it is read, and so does a value that is no text in any.
     """
     raw = spark.read.option("wholetext", "true").option("pathGlobFilter", "*.json").text(folder)
     lang = F.regexp_extract(F.col("_metadata.file_name"), r"^(.+)\.json$", 1)
@@ -96,7 +139,7 @@ def read_labels(spark: SparkSession, folder: str, languages: Iterable[str] | Non
     entries = F.try_variant_get("doc", "$", "map<string,variant>")
     checked = typed.select(
         "lang",
-        F.when(entries.isNull(), F.raise_error(F.concat(F.lit("label file is not an object: "), "lang")).cast("map<string,variant>"))
+        F.when(entries.isNull() & (F.col("lang") == FALLBACK_LANGUAGE), F.raise_error(F.concat(F.lit("label file is not an object: "), "lang")).cast("map<string,variant>"))
         .otherwise(entries)
         .alias("entries"),
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping
 
-from pyspark.sql import DataFrame, Observation, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -67,9 +67,9 @@ def job_state(events: DataFrame, tie: str = "event_id") -> DataFrame:
     )
 
 
-def once_per_path(df: DataFrame, watermark: str | None = None, path: str = "path", ts: str = "ts") -> DataFrame:
-    """First sight of each path. With a watermark the remembered paths expire, else they are kept
-    for as long as the stream lives."""
+def once_per_path(df: DataFrame, watermark: str | None = "7 days", path: str = "path", ts: str = "ts") -> DataFrame:
+    """First sight of each path. Remembered paths expire after the watermark; with None they are kept for as long
+    as the stream lives, and so is its state."""
     if watermark is None:
         return df.dropDuplicates([path])
     return df.withWatermark(ts, watermark).dropDuplicatesWithinWatermark([path])
@@ -144,11 +144,13 @@ def publish_state(states: DataFrame, out: str, checkpoint: str, once: bool = Tru
 
 
 def latest_state(spark: SparkSession, out: str, key: str = "job_id") -> DataFrame:
-    """The last published row of each key."""
-    newest = Window.partitionBy(key).orderBy(F.desc("batch"))
-    return (
-        spark.read.parquet(out)
-        .withColumn("_rank", F.row_number().over(newest))
-        .where(F.col("_rank") == 1)
-        .drop("_rank", "batch")
-    )
+    """The last published row of each key, by one aggregation that shrinks the history before it is shuffled."""
+    history = spark.read.parquet(out)
+    columns = [c for c in history.columns if c != "batch"]
+    last = history.groupBy(key).agg(F.max_by(F.struct(*columns), "batch").alias("_last"))
+    return last.select("_last.*")
+
+
+def compact_state(spark: SparkSession, out: str, compacted: str, key: str = "job_id") -> None:
+    """Write the last row of each key as a history of one batch; a new stream may go on from there."""
+    latest_state(spark, out, key).write.mode("errorifexists").parquet(f"{compacted}/batch=0")

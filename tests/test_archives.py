@@ -21,11 +21,15 @@ def frame(spark, blobs):
     return spark.createDataFrame(list(blobs.items()), "path string, content binary")
 
 
-def test_name_verdicts_agree_in_both_places(spark):
+VERDICTS = [
+    None, "path_traversal", "absolute_path", "drive_path", "path_traversal", "path_traversal", "absolute_path", None, None, None,
+    "path_traversal", "drive_path", None, "drive_path",
+]
+
+
+def test_name_verdicts(spark):
     df = spark.createDataFrame([(i, n) for i, n in enumerate(NAMES)], "i int, name string").orderBy("i")
-    got = [r[0] for r in df.select(archives.name_violation("name")).collect()]
-    assert got == [archive_files._name_reason(n) for n in NAMES]
-    assert got[:8] == [None, "path_traversal", "absolute_path", "drive_path", "path_traversal", "path_traversal", "absolute_path", None]
+    assert [r[0] for r in df.select(archives.name_violation("name")).collect()] == VERDICTS
 
 
 def test_symlink_beats_name(spark):
@@ -35,39 +39,46 @@ def test_symlink_beats_name(spark):
     assert [r.violation for r in archives.member_verdict(df).collect()] == ["symlink", "symlink", None]
 
 
-def brute_first_violation(rows, quota):
-    if len(rows) > quota.max_members:
-        return "member_count", None
-    total = 0
-    for _, name, size, attr in sorted(rows):
-        total += max(0, size)
-        if total > quota.max_bytes:
-            return "total_size", name
-        if attr == SYMLINK:
-            return "symlink", name
-        reason = archive_files._name_reason(name)
-        if reason:
-            return reason, name
-    return None, None
+MEMBERS = "archive_path string, idx int, name string, file_size bigint, external_attr bigint"
+
 
+def test_first_violations_of_small_archives(spark):
+    small = {
+        "fine": [("a", 4, 0), ("b", 6, 0)],
+        "many": [("a", 1, 0), ("../b", 1, 0), ("c", 1, 0), ("d", 1, 0)],
+        "large": [("a", 6, 0), ("b", 5, 0), ("/c", 1, 0)],
+        "large and unsafe at once": [("a", 6, 0), ("../b", 5, 0)],
+        "unsafe before large": [("a", 6, 0), ("../b", 1, 0), ("c", 9, 0)],
+        "link": [("a", 1, 0), ("../b", 1, SYMLINK)],
+        "negative sizes": [("a", -9, 0), ("b", 10, 0)],
+    }
+    rows = [(a, i, *m) for a, members in small.items() for i, m in enumerate(members)]
+    checked = archives.first_violation(spark.createDataFrame(rows, MEMBERS), Quota(max_members=3, max_bytes=10)).collect()
+    assert {r.archive_path: (r.violation, r.violating_member) for r in checked} == {
+        "fine": (None, None), "many": ("member_count", None), "large": ("total_size", "b"), "large and unsafe at once": ("total_size", "../b"),
+        "unsafe before large": ("path_traversal", "../b"), "link": ("symlink", "../b"), "negative sizes": (None, None),
+    }
 
-def test_first_violation_matches_brute_force_with_a_hot_archive(spark):
+
+def test_first_violation_of_many_archives_whatever_the_limits_and_the_row_order(spark):
     rng = random.Random(11)
     quota = Quota(max_members=12, max_bytes=300)
-    groups = {}
-    for a in range(150):
-        members = 400 if a == 0 else rng.randint(1, 14)
-        groups[f"a{a}"] = [
-            (i, rng.choice(["ok.txt"] * 12 + ["../x", "/x", "C:x"]), rng.randint(-5, 60), rng.choice([0] * 15 + [SYMLINK]))
-            for i in range(members)
-        ]
-    rows = [(a, *r) for a, g in groups.items() for r in g]
-    df = spark.createDataFrame(rows, "archive_path string, idx int, name string, file_size bigint, external_attr bigint")
+    rows = [
+        (f"a{a}", i, rng.choice(["ok.txt"] * 12 + ["../x", "/x", "C:x"]), rng.randint(-5, 60), rng.choice([0] * 15 + [SYMLINK]))
+        for a in range(150)
+        for i in range(400 if a == 0 else rng.randint(1, 14))
+    ]
+    results = []
     for heavy_rows in (2_000_000, 20):
-        checked = archives.first_violation(df, quota, heavy_rows=heavy_rows)
-        got = {r.archive_path: (r.violation, r.violating_member) for r in checked.collect()}
-        assert got == {a: brute_first_violation(g, quota) for a, g in groups.items()}
-    outcome = archives.archive_outcomes(archives.first_violation(df, quota)).first()
+        rng.shuffle(rows)
+        df = spark.createDataFrame(rows, MEMBERS)
+        results.append({r.archive_path: r for r in archives.first_violation(df, quota, heavy_rows=heavy_rows).collect()})
+    assert results[0] == results[1] and len(results[0]) == 150
+    for r in results[0].values():
+        members = {(m[2], m[4]) for m in rows if m[0] == r.archive_path}
+        safe = all(name == "ok.txt" and attr == 0 for name, attr in members)
+        assert (r.violation is None) == (safe and r.member_count <= 12 and r.total_bytes <= 300)
+    outcome = archives.archive_outcomes(archives.first_violation(spark.createDataFrame(rows, MEMBERS), quota)).first()
     assert outcome.extracted + outcome.failed == 150 and outcome.result == "partial"
 
 
@@ -127,8 +138,14 @@ def test_quota_and_depth(spark):
     for level in range(4):
         deep = zip_bytes({f"l{level}.zip": deep, f"t{level}.txt": b"t"})
     assert outcome_of(spark, deep)[0] == 5
-    extracted, failed, members, _ = outcome_of(spark, deep, max_depth=2)
-    assert (extracted, failed, sorted(members)) == (2, 0, ["t2.txt", "t3.txt"])
+    extracted, failed, members, reasons = outcome_of(spark, deep, max_depth=2)
+    assert (extracted, failed, sorted(members), reasons) == (2, 1, ["t2.txt", "t3.txt"], ["nesting_limit"])
+
+
+def test_the_sum_over_all_levels_is_limited(spark):
+    blob = zip_bytes({"in.zip": zip_bytes({"a": b"1" * 400}), "b": b"2"})
+    assert outcome_of(spark, blob, quota=Quota(max_total_bytes=300)) == (1, 1, {"b": b"2"}, ["nested_size"])
+    assert outcome_of(spark, blob, quota=Quota(max_total_bytes=3000))[:2] == (2, 0)
 
 
 def test_many_inner_archives_are_reopened_on_demand(spark):
@@ -142,7 +159,9 @@ def test_a_damaged_member_is_reported_alone(spark):
     blob = bytearray(zip_bytes({"good.txt": b"good", "bad.txt": b"payload-to-damage"}))
     at = blob.index(b"bad.txt") + len(b"bad.txt") + 2
     blob[at] ^= 0xFF
-    rows = {r.rel_path: r for r in expand_archives(frame(spark, {"a.zip": bytes(blob)})).where("kind = 'member'").collect()}
+    expanded = expand_archives(frame(spark, {"a.zip": bytes(blob)}))
+    rows = {r.rel_path: r for r in expanded.where("kind = 'member'").collect()}
+    assert [r.violation for r in expanded_verdicts(expanded).collect()] == ["unreadable_member"]
     assert bytes(rows["good.txt"].payload) == b"good" and rows["good.txt"].error is None
     assert rows["bad.txt"].payload is None and rows["bad.txt"].error
 

@@ -50,34 +50,19 @@ def test_soft_masks(spark):
     assert (rows[50].output_format, rows[50].soft_mask_applied) == ("JPEG", True)
 
 
-def brute(placements, images):
-    """Plain loop over one document after another, in page order."""
-    table = {(i[0], i[1]): i for i in images}
-    seen, out = {}, {}
-    for doc, page, seq, xref, rw, rh in sorted(placements, key=lambda p: (p[0], p[1], p[2])):
-        key, where = (doc, xref), (doc, page, seq)
-        if xref is None or xref <= 0:
-            out[where] = "skip_xref_missing"
-            continue
-        if key in seen:
-            out[where] = f"skip_already_processed:{seen[key]}"
-            continue
-        image = table.get(key)
-        if not (rw and rh and rw > 0 and rh > 0):
-            result = "zero_rect"
-        elif image is None:
-            result = "no_extract"
-        elif image[2].lower() in ("jbig2", "jpx"):
-            result = "unsupported_ext"
-        elif image[3] <= 0:
-            result = "pil_open_failed"
-        elif image[9] is None:
-            result = "pending"
-        else:
-            result = "replaced" if image[9] < image[5] else "not_smaller"
-        seen[key] = result
-        out[where] = result if result in ("replaced", "pending") else f"skip_{result}"
-    return out
+def test_every_status_once(spark):
+    images = [
+        (1, 1, "jpeg", 50, 40, 100, False, 0, 255, 60), (1, 2, "jpeg", 50, 40, 100, False, 0, 255, 100), (1, 3, "JBIG2", 50, 40, 100, False, 0, 255, 5),
+        (1, 4, "png", -1, 40, 100, False, 0, 255, 5), (1, 5, "png", 50, 40, 100, False, 0, 255, None), (1, 6, "png", 50, 40, 100, False, 0, 255, 5),
+    ]
+    placed = [1, 2, 3, 4, 5, 6, 7, 0, None, -3, 1, 6]
+    boxes = {5: (0.0, 9.0), 11: (9.0, 9.0)}  # the first use of image 6 is empty, the second is not
+    rows = [(1, 1, i, xref, *boxes.get(i, (10.0, 10.0))) for i, xref in enumerate(placed)]
+    got = [r.status for r in decisions(spark, rows, images).orderBy("seq").collect()]
+    assert got == [
+        "replaced", "skip_not_smaller", "skip_unsupported_ext", "skip_pil_open_failed", "pending", "skip_zero_rect", "skip_no_extract",
+        "skip_xref_missing", "skip_xref_missing", "skip_xref_missing", "skip_already_processed:replaced", "skip_already_processed:zero_rect",
+    ]
 
 
 @pytest.fixture(scope="module")
@@ -98,12 +83,19 @@ def random_estate():
     return placements, images
 
 
-@pytest.mark.parametrize("heavy_rows", [2_000_000, 25])
-def test_statuses_match_a_plain_loop_also_with_a_hot_image(spark, random_estate, heavy_rows):
+def test_each_image_is_decided_at_its_first_use_also_with_a_hot_image(spark, random_estate):
     placements, images = random_estate
-    rows = decisions(spark, placements, images, heavy_rows=heavy_rows).collect()
-    assert len(rows) == len(placements)
-    assert {(r.doc_id, r.page, r.seq): r.status for r in rows} == brute(placements, images)
+    first, again = ({(r.doc_id, r.page, r.seq): r for r in decisions(spark, placements, images, heavy_rows=n).collect()} for n in (2_000_000, 25))
+    assert {k: r.status for k, r in first.items()} == {k: r.status for k, r in again.items()} and len(first) == len(placements)
+    by_image = {}
+    for key in sorted(first):
+        by_image.setdefault((key[0], first[key].xref), []).append(first[key].status)
+    for (_, xref), statuses in by_image.items():
+        if xref is None or xref <= 0:
+            assert set(statuses) == {"skip_xref_missing"}
+        else:
+            result = statuses[0].removeprefix("skip_")
+            assert not result.startswith("already") and set(statuses[1:]) <= {f"skip_already_processed:{result}"}
 
 
 def test_counters_agree_with_the_labelled_rows(spark, random_estate):

@@ -10,8 +10,9 @@ from conftest import png_bytes, tree_sizes, write_tree, zip_bytes
 from pyspark import cloudpickle
 
 from shrinkwise.config import JobRequest
-from shrinkwise.plans.job import CollidingOutputs, OverlappingRoots, archives_to_repack, run_job
+from shrinkwise.plans.job import CollidingOutputs, OverlappingRoots, archives_to_repack, job_events, run_job
 from shrinkwise.sources.scan import read_audit
+from shrinkwise.streaming.monitor import dispatch_events, job_state
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -106,6 +107,28 @@ def test_bad_archives_fail_alone(spark, folders):
     assert "p/deep/x.png" in tree_sizes(folders[1])
 
 
+def test_an_unreadable_member_fails_with_an_audit_row(spark, folders):
+    blob = bytearray(zip_bytes({"good.jpg": b"g" * 20, "bad.jpg": b"payload-to-damage"}))
+    blob[blob.index(b"bad.jpg") + len(b"bad.jpg") + 2] ^= 0xFF
+    write_tree(folders[0], {"d.zip": bytes(blob)})
+    report = run_job(spark, request(folders, mirror=True), {"jpg": shrink})
+    assert tuple(report.archives.first())[:2] == (1, 1) and report.archives.first().result == "partial"
+    row = report.results.where("audit_input = 'd.zip::bad.jpg'").first()
+    assert row.ok is False and row.error and row.final_action == "csv_action_failed"
+    assert {r.input_path for r in report.audit.collect()} >= {"d.zip::bad.jpg", "d.zip::good.jpg"}
+    out = tree_sizes(folders[1])
+    assert out["d/good.jpg"] == 10 and "d/bad.jpg" not in out
+
+
+def test_events_of_a_job(spark, folders):
+    report = run_job(spark, request(folders, mirror=True), {"jpg": shrink})
+    events = job_events(report.results, "j1")
+    state = job_state(events).first()
+    assert (state.job_id, state.files_done, state.latest_status, state.errors) == ("j1", report.results.count(), "status_complete", 0)
+    assert (state.orig_total, state.out_total) == tuple(report.totals.first())[1:3]
+    assert dispatch_events(events).where("target = 'progress'").agg({"pct": "max"}).first()[0] == 100
+
+
 def test_colliding_outputs_stop_the_job(spark, folders):
     write_tree(folders[0], {"subpack/myzip/img/photo.jpg": b"other"})
     with pytest.raises(CollidingOutputs, match="photo.jpg"):

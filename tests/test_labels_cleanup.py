@@ -50,3 +50,13 @@ def test_tree_diff(spark):
     got = {r.rel_path: (r.before_size, r.after_size, r.change) for r in cleanup.tree_diff(before, after).collect()}
     assert got == {"b": (2, 5, "resized"), "c": (3, None, "removed"), "d": (None, 4, "added")}
     assert cleanup.tree_diff(before, before).count() == 0
+    unknown = spark.createDataFrame([("a", None), ("b", 2), ("gone", None)], schema)
+    changed = {r.rel_path: r.change for r in cleanup.tree_diff(unknown, after).collect()}
+    assert changed == {"a": "resized", "b": "resized", "gone": "removed", "d": "added"}
+    assert cleanup.tree_diff(unknown, unknown).count() == 0
+
+
+def test_two_texts_for_one_label(spark):
+    texts = catalog(spark, [("en", "a", "A"), ("en", "a", "B"), ("ja", "a", "あ")])
+    asked = spark.createDataFrame([("a", "en"), ("a", "ja")], "k string, l string")
+    assert sorted(r.label for r in labels.label(asked, "k", "l", texts).collect()) == ["B", "あ"]

@@ -4,6 +4,8 @@ import pytest
 from oracle_compare import compare, connect
 
 import __spark_entry__ as entry_point
+from shrinkwise.plans.oracle import ORACLE
+from shrinkwise.plans.queries import QUERIES
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -19,17 +21,11 @@ def test_flagship_runs(spark):
     assert entry_point.entry(spark).count() > 0
 
 
-def test_all_but_one_query_has_sql():
-    assert set(entry_point.queries()) - set(entry_point.oracle_sql()) == {"payload_recompress"}
+def test_every_query_has_sql():
+    assert set(QUERIES) == set(ORACLE)
     assert set(entry_point.oracle_sql()) <= set(entry_point.queries())
 
 
-@pytest.mark.parametrize("name", sorted(entry_point.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query_equals_sql(spark, duck, name):
     assert compare(entry_point.queries()[name](spark, SF_DIR), duck, entry_point.oracle_sql()[name]) == []
-
-
-def test_recompression_shrinks_pages(spark):
-    rows = entry_point.queries()["payload_recompress"](spark, SF_DIR).collect()
-    assert len(rows) == 50 and all(r.ok and r.kept_size <= r.orig_size for r in rows)
-    assert sum(r.kept_size for r in rows) < sum(r.orig_size for r in rows)

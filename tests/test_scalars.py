@@ -15,24 +15,25 @@ def column_values(spark, rows, schema, column):
     return [r[0] for r in df.orderBy("pos").select(column).collect()]
 
 
-def plain_size_text(n):
-    if n < 0:
-        return "-" + plain_size_text(-n)
-    for unit in ("B", "KB", "MB", "GB", "TB"):
-        if n < 1024:
-            return f"{n:.1f}{unit}"
-        n /= 1024
-    return f"{n:.1f}PB"
+SIZES = {
+    0: "0.0B", 1: "1.0B", 1023: "1023.0B", 1024: "1.0KB", 1280: "1.2KB", 1331: "1.3KB", 1536: "1.5KB", 1048575: "1024.0KB", 1048576: "1.0MB",
+    5_242_880: "5.0MB", 1_073_741_824: "1.0GB", 1_610_612_736: "1.5GB", 1_099_511_627_776: "1.0TB", 1_125_899_906_842_624: "1.0PB",
+    2_305_843_009_213_693_952: "2048.0PB", -5: "-5.0B", -1280: "-1.2KB", -1_048_576: "-1.0MB",
+}
 
 
-def test_human_readable_matches_plain_python(spark):
+def test_human_readable_sizes(spark):
+    got = column_values(spark, [(s,) for s in SIZES], "n bigint", scalars.human_readable("n"))
+    assert got == list(SIZES.values())
+
+
+def test_human_readable_tells_the_size_to_a_tenth_of_its_unit(spark):
     rng = random.Random(3)
-    sizes = [0, 1, 1023, 1024, 1280, 1048575, -1280, -5]
-    sizes += [rng.randint(0, 2 ** rng.randint(1, 61)) for _ in range(3000)]
-    sizes += [1024**k * j // 4 for k in range(1, 6) for j in range(1, 60)]
-    got = column_values(spark, [(s,) for s in sizes], "n bigint", scalars.human_readable("n"))
-    assert got == [plain_size_text(s) for s in sizes]
-    assert got[4] == "1.2KB" and got[5] == "1024.0KB"
+    sizes = [rng.randint(0, 2 ** rng.randint(1, 49)) for _ in range(1000)]
+    units = {"B": 0, "KB": 1, "MB": 2, "GB": 3, "TB": 4}
+    for size, text in zip(sizes, column_values(spark, [(s,) for s in sizes], "n bigint", scalars.human_readable("n")), strict=True):
+        number, unit = float(text.rstrip("BKMGT")), text.lstrip("-.0123456789")
+        assert abs(number * 1024 ** units[unit] - size) <= 0.0501 * 1024 ** units[unit] and number <= 1024
 
 
 def test_fmt1_rounds_the_binary_value_half_even(spark):
@@ -54,42 +55,31 @@ def test_size_summary_texts(spark):
     assert raw[1].endswith("+-5.0%)")
 
 
-def plain_resize(w, h, spec):
-    if spec.mode == "long_edge":
-        if spec.long_edge <= 0:
-            return w, h
-        scale = spec.long_edge / max(w, h)
-        return max(1, int(w * scale)), max(1, int(h * scale))
-    if spec.width <= 0 and spec.height <= 0:
-        return w, h
-    if not spec.keep_aspect:
-        return spec.width or w, spec.height or h
-    if spec.width and spec.height:
-        scale = min(spec.width / w, spec.height / h)
-        return max(1, int(w * scale)), max(1, int(h * scale))
-    if spec.width:
-        return spec.width, max(1, int(h * (spec.width / w)))
-    return max(1, int(w * (spec.height / h))), spec.height
-
-
-@pytest.mark.parametrize(
-    "spec",
-    [
-        ResizeSpec("long_edge", long_edge=500),
-        ResizeSpec("long_edge", long_edge=0),
-        ResizeSpec(width=640, height=480),
-        ResizeSpec(width=333),
-        ResizeSpec(height=201),
-        ResizeSpec(width=300, keep_aspect=False),
-        ResizeSpec(width=300, height=7, keep_aspect=False),
-        ResizeSpec(),
-    ],
-)
-def test_resize_geometry(spark, spec):
+RESIZED = [
+    (ResizeSpec("long_edge", long_edge=500), {(2000, 1000): (500, 250), (1, 1): (500, 500), (1, 5000): (1, 500), (300, 400): (375, 500)}),
+    (ResizeSpec("long_edge", long_edge=0), {(2000, 1000): (2000, 1000), (7, 9): (7, 9)}),
+    (ResizeSpec(width=640, height=480), {(1280, 960): (640, 480), (2000, 1000): (640, 320), (1000, 2000): (240, 480)}),
+    (ResizeSpec(width=300), {(600, 200): (300, 100), (1000, 3): (300, 1), (150, 60): (300, 120)}),
+    (ResizeSpec(height=200), {(600, 400): (300, 200), (3, 1000): (1, 200), (50, 100): (100, 200)}),
+    (ResizeSpec(width=300, keep_aspect=False), {(600, 200): (300, 200), (10, 10): (300, 10)}),
+    (ResizeSpec(width=300, height=7, keep_aspect=False), {(600, 200): (300, 7), (1, 1): (300, 7)}),
+    (ResizeSpec(), {(600, 200): (600, 200)}),
+]
+
+
+@pytest.mark.parametrize(("spec", "cases"), RESIZED)
+def test_resize_geometry(spark, spec, cases):
+    got = column_values(spark, list(cases), "w int, h int", scalars.resize_dims("w", "h", spec))
+    assert [tuple(g) for g in got] == list(cases.values())
+
+
+def test_resizing_keeps_the_ratio_and_hits_the_long_edge(spark):
     rng = random.Random(5)
-    dims = [(2000, 1000), (1, 1), (1, 5000)] + [(rng.randint(1, 9000), rng.randint(1, 9000)) for _ in range(400)]
-    got = column_values(spark, dims, "w int, h int", scalars.resize_dims("w", "h", spec))
-    assert [tuple(g) for g in got] == [plain_resize(w, h, spec) for w, h in dims]
+    dims = [(rng.randint(1, 9000), rng.randint(1, 9000)) for _ in range(400)]
+    got = column_values(spark, dims, "w int, h int", scalars.resize_dims("w", "h", ResizeSpec("long_edge", long_edge=720)))
+    for (w, h), (new_w, new_h) in zip(dims, got, strict=True):
+        assert 719 <= max(new_w, new_h) <= 720 and min(new_w, new_h) >= 1
+        assert abs(new_w - w * 720 / max(w, h)) <= 1 and abs(new_h - h * 720 / max(w, h)) <= 1
 
 
 def test_resize_can_refuse_to_enlarge(spark):
@@ -165,8 +155,12 @@ def test_template(spark):
     rows = [("{name} is {size}",), ("{name} {other}",), ("{name} {",), ("none",), ("{size:.1f}%{name}",), ("{0}",), (None,)]
     filled = scalars.fill_template("t", name=F.lit("{size}"), size=F.lit(3))
     assert column_values(spark, rows, "t string", filled) == [
-        "{size} is 3", "{name} {other}", "{name} {", "none", "3%{size}", "{0}", None,
+        "{size} is 3", "{name} {other}", "{name} {", "none", "3.0%{size}", "{0}", None,
     ]
+    rows = [("{{name}} {size}",), ("{{{size}}}",), ("}} {{",), ("{{name}",)]
+    assert column_values(spark, rows, "t string", filled) == ["{name} 3", "{3}", "} {", "{{name}"]
+    texts = scalars.fill_template("t", saved=F.lit("about 5"), pct=F.lit(2.25))
+    assert column_values(spark, [("{saved:.1f} {pct:.1f}",)], "t string", texts) == ["about 5 2.2"]
 
 
 def test_error_cleanup(spark):

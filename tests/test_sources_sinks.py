@@ -42,8 +42,29 @@ def test_content_is_read_only_on_request(spark, tree):
 def test_image_headers(spark, tree):
     rows = {r.path.rsplit("/", 1)[-1]: r for r in scan.scan_images(spark, tree).collect()}
     assert (rows["p.png"].width, rows["p.png"].height, rows["p.png"].decodable) == (24, 18, True)
-    assert rows["bad.png"].width == -1 and not rows["bad.png"].decodable
-    assert scan.scan_images(spark, tree, drop_invalid=True).count() == 1
+    assert rows["p.png"].mode == "RGB" and rows["bad.png"].width == -1 and not rows["bad.png"].decodable
+    jpeg = b"\xff\xd8\xff\xe0\x00\x04ab\xff\xc2\x00\x0b\x08" + (18).to_bytes(2, "big") + (24).to_bytes(2, "big") + b"\x03" + bytes(9)
+    assert scan.image_header(jpeg) == (24, 18, 3, "RGB") and scan.image_header(jpeg[:9]) is None and scan.image_header(b"") is None
+    assert "a.JPG" in rows and scan.scan_images(spark, tree, drop_invalid=True).count() == 1
+
+
+def test_a_missing_folder_holds_no_files(spark, tmp_path):
+    missing = str(tmp_path / "missing")
+    assert scan.scan_files(spark, missing).collect() == [] == scan.scan_archives(spark, missing).collect()
+
+
+def test_a_broken_label_file_falls_back_to_english(spark, tmp_path):
+    (tmp_path / "en.json").write_text('{"a": "A"}')
+    (tmp_path / "ja.json").write_text("{")
+    assert [tuple(r) for r in scan.read_labels(spark, str(tmp_path)).collect()] == [("en", "a", "A")]
+
+
+def test_an_unknown_scheme_writes_nothing(spark, tmp_path, monkeypatch):
+    monkeypatch.chdir(tmp_path)
+    df = spark.createDataFrame([("a/b.bin", b"123")], "output_path string, content binary")
+    assert "nowhere" in write_payloads(df, "nowhere://host/out").first().error
+    assert write_payloads(df, f"file:{tmp_path}/there").first().error is None
+    assert tree_sizes(tmp_path) == {"there/a/b.bin": 3}
 
 
 def test_labels(spark, tmp_path):
@@ -90,13 +111,14 @@ def test_payload_files(spark, tmp_path):
     assert tree_sizes(tmp_path) == {"out/a/b.bin": 3, "out/c": 0}
 
 
-def test_archive_parts_are_written_in_place(spark, tmp_path):
+def test_archive_parts_are_joined_and_renamed(spark, tmp_path):
     import zipfile
 
     rows = [("packs/big.zip", f"{i:03}.bin", bytes([i % 251]) * i) for i in range(200)] + [("small.zip", "x", b"1")]
     df = spark.createDataFrame(rows, "archive_path string, rel_path string, content binary")
     write_tree(tmp_path, {"packs/big.zip": b"old" * 100_000})
-    assert write_archive_parts(pack_archives(df, part_bytes=2000), str(tmp_path)).where("error is not null").count() == 0
+    written = write_archive_parts(pack_archives(df, part_bytes=2000), str(tmp_path)).collect()
+    assert sorted(r.output_path for r in written) == ["packs/big.zip", "small.zip"] and not any(r.error for r in written)
     sizes = {r.archive_path: r.archive_bytes for r in pack_archives(df, part_bytes=2000).collect()}
     assert tree_sizes(tmp_path) == sizes
     with zipfile.ZipFile(tmp_path / "packs/big.zip") as big, zipfile.ZipFile(tmp_path / "small.zip") as small:
@@ -111,6 +133,23 @@ def test_recompression_keeps_only_smaller_results(spark):
     assert rows["n"].ok is None and not rows["n"].accepted
 
 
+def test_files_are_read_once_and_originals_pass_through(spark):
+    df = spark.createDataFrame([(i, "ab"[i % 2], bytes([i]) * i) for i in range(40)], "id int, ext string, content binary")
+
+    def handler(data):
+        if len(data) > 30:
+            raise ValueError("too long")
+        return data[:1]
+
+    done = payloads.transform_payloads(df, {"a": handler}, keep_original=True)
+    plan = done._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Union" not in plan
+    for r in done.collect():
+        shrunk = r.ext == "a" and r.id <= 30
+        assert bytes(r.out_content) == bytes([r.id]) * (min(r.id, 1) if shrunk else r.id)
+        assert r.ok == ((r.id <= 30) if r.ext == "a" else None) and r.finished_at is not None
+
+
 def test_one_failing_file_does_not_stop_the_others(spark):
     def handler(data):
         if data == b"boom":

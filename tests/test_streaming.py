@@ -40,7 +40,7 @@ def test_paths_are_seen_once_across_batches(spark, event_stream, tmp_path):
     def collect(frame, _):
         seen.extend(r.path for r in frame.select("path").collect())
 
-    monitor.on_batch(monitor.once_per_path(named), collect, str(tmp_path / "progress")).awaitTermination()
+    monitor.on_batch(monitor.once_per_path(named, watermark=None), collect, str(tmp_path / "progress")).awaitTermination()
     assert sorted(seen) == sorted(r[0] for r in table.select(F.col("user_id").cast("string")).distinct().collect())
     expiring = monitor.once_per_path(named, watermark="60 days")
     seen.clear()
