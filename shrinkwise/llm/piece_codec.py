@@ -19,12 +19,14 @@ from shrinkwise.session import saved_table
 CHUNK = 1 << 16
 #: No piece is longer than this.
 LONGEST = 16
-REMEMBERED_WORDS = 1 << 20
+REMEMBERED_WORDS = 5 << 18
 SPACE = "▁"
 #: States besides pieces: a character without a piece, the start of a text, its end.
 BYTES, START, END = (1 << 20) + 1, (1 << 20) + 2, (1 << 20) + 3
 #: Where no piece can cross: before a space mark that follows something else.
 _WORDS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+#: Texts in which spaces stand at an end or beside each other, or that have marks of their own.
+_UNEVEN = re.compile(f"^ | $|  |{SPACE}")
 _SYNC = re.compile(f"(?<=[^{SPACE}])(?={SPACE})")
 
 
@@ -132,18 +134,29 @@ def decode_files(encoded: DataFrame, model: PieceModel, rel_path: str = "rel_pat
     """
     shipped = encoded.sparkSession.sparkContext.broadcast(vars(model))
 
-    def setup() -> list[bytes]:
+    def setup() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         m = PieceModel(**shipped.value)
         strings = [p.replace(SPACE, " ").encode() for p in m.pieces]
         strings[:3] = [b"", b"", b""]
         strings[m.first_byte : m.first_byte + 256] = [bytes([b]) for b in range(256)]
-        return strings
-
-    def run(batch: pa.RecordBatch, strings: list[bytes]) -> dict[str, object]:
+        sizes = np.array([*map(len, strings), 0])
+        return np.frombuffer(b"".join(strings), np.uint8), np.cumsum(sizes) - sizes, sizes
+
+    def run(batch: pa.RecordBatch, table: tuple[np.ndarray, np.ndarray, np.ndarray]) -> dict[str, object]:
+        letters, starts, sizes = table
+        lists = batch.column(3)
+        ids = lists.flatten().fill_null(-1).to_numpy(zero_copy_only=False)
+        ids = np.where((ids >= 0) & (ids < len(sizes) - 1), ids, len(sizes) - 1)
+        # All texts at once: where each byte of the result stands in the table of pieces.
+        size = sizes[ids]
+        ends = np.cumsum(size)
+        data = letters[np.repeat(starts[ids] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
+        counts = np.array([0 if n is None else n for n in lists.value_lengths().to_pylist()])
+        bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])].tolist()
         texts = []
-        for start, ids in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-            data = b"".join([strings[i] for i in ids or () if i is not None and 0 <= i < len(strings)])
-            texts.append((data[1:] if start == 0 and data[:1] == b" " else data).decode(errors="replace"))
+        for start, a, b in zip(batch.column(2).to_pylist(), bounds, bounds[1:]):
+            own = data[a:b]
+            texts.append((own[1:] if start == 0 and own[:1] == b" " else own).decode(errors="replace"))
         return {rel_path: batch.column(0), "chunk": batch.column(1), "start": batch.column(2), "text": texts}
 
     return map_batches(encoded.select(rel_path, "chunk", "start", "ids"), run, fields(encoded, [rel_path], "chunk bigint, start bigint, text string"), setup)
@@ -225,24 +238,41 @@ class Encoder:
     def __init__(self, model: PieceModel, words: dict[str, bytes] | None = None):
         self.model, self.words = model, {} if words is None else words
         self.apart: dict[int, bool] = {}
-        self.reach: dict[str, int] = {}
-        for piece in model.ids:
-            self.reach[piece[0]] = max(self.reach.get(piece[0], 0), len(piece))
+        self.mark = model.ids.get(SPACE, -1)
+        # A trie: letters lead on, the empty string to a piece that ends there.
+        self.trie: dict = {}
+        for piece, i in model.ids.items():
+            node = self.trie
+            for letter in piece:
+                node = node.setdefault(letter, {})
+            node[""] = i
 
     def texts(self, texts: list[str]) -> list[bytes]:
-        return [self.marked(marked(t)) for t in texts]
+        """Ids of texts as 32-bit integers."""
+        for memory in (self.words, self.apart):
+            if len(memory) > REMEMBERED_WORDS:
+                memory.clear()
+        # A word of a text with single spaces only is remembered without the mark in front of it.
+        plain = [bool(t) and not _UNEVEN.search(t) for t in texts]
+        words = [t.split(" ") if p else () for t, p in zip(texts, plain, strict=True)]
+        known = self.words
+        for word in set().union(*words).difference(known):
+            known[word] = self.word(SPACE + word)
+        return [b"".join(map(known.__getitem__, w)) if p else self.marked(marked(t)) for t, p, w in zip(texts, plain, words, strict=True)]
 
     def marked(self, text: str) -> bytes:
-        known = self.words
-        if len(known) > REMEMBERED_WORDS:
-            known.clear()
-        out = []
+        """Ids of a text that starts with a mark, or is empty, and has marks for spaces."""
+        known, out = self.words, []
         for word in _WORDS.findall(text):
-            if (code := known.get(word)) is None:
-                code = known[word] = self.code(self.path(self.walk(word, 0, START, len(word)), 0, len(word)), word)
+            key = word[1:] if word[1:2] != SPACE else word
+            if (code := known.get(key)) is None:
+                code = known[key] = self.word(word)
             out.append(code)
         return b"".join(out)
 
+    def word(self, word: str) -> bytes:
+        return self.code(self.path(self.walk(word, 0, START, len(word)), 0, len(word)), word)
+
     def stay_apart(self, a: int, b: int) -> bool:
         """Whether merging the characters of both pieces ends with just these two.
 
@@ -276,19 +306,23 @@ class Encoder:
         Pieces start before `stop` and may end after it. One piece at most ends at each place: the last one of the
         encoding of what is read so far.
         """
-        ids, found = self.model.ids, {at: (before, -1)}
+        found, trie, apart, n = {at: (before, -1)}, self.trie, self.apart, len(s)
         for i in range(at, stop):
-            if i not in found:
+            if (here := found.get(i)) is None:
                 continue
-            previous = found[i][0]
-            reach = self.reach.get(s[i])
-            if not reach:
+            previous, node, j = here[0], trie, i
+            if s[i] not in trie:
                 found[i + 1] = (BYTES, i)
                 continue
-            free = previous >= BYTES
-            for j in range(i + 1, min(i + reach, len(s)) + 1):
-                piece = ids.get(s[i:j])
-                if piece is not None and (free or self.stay_apart(previous, piece)):
+            while j < n and (node := node.get(s[j])) is not None:
+                j += 1
+                if (piece := node.get("")) is not None and j not in found:
+                    if previous < BYTES:
+                        fits = apart.get(previous << 21 | piece)
+                        if fits is None:
+                            fits = self.stay_apart(previous, piece)
+                        if not fits:
+                            continue
                     found[j] = (piece, i)
         return found
 
@@ -302,10 +336,12 @@ class Encoder:
 
     def code(self, path: list[tuple[int, int]], s: str) -> bytes:
         """Ids of a path; space marks by themselves are joined as far as there are pieces for it, the first ones first."""
+        pieces = [piece for piece, _ in path]
+        if BYTES not in pieces and self.mark not in pieces:
+            return array("i", pieces).tobytes()
         m, ids, marks = self.model, array("i"), 0
-        mark = m.ids.get(SPACE, -1)
         for piece, at in [*path, (None, 0)]:
-            if piece == mark:
+            if piece == self.mark:
                 marks += 1
                 continue
             while marks:
@@ -361,7 +397,7 @@ class Encoder:
                 piece = self.model.ids.get(whole[i:j])
                 if piece is not None:
                     yield piece * 32 + j - at
-        if before[-1] not in self.reach:
+        if before[-1] not in self.trie:
             yield BYTES * 32
 
     def _exits(self, found: dict[int, tuple[int, int]], start: int, n: int, last: bool, before: int = START) -> list[int]:
