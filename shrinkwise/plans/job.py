@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterable, Mapping
 from dataclasses import dataclass
 from datetime import datetime
 
@@ -29,7 +29,7 @@ from shrinkwise.sinks.archive_files import pack_archives
 from shrinkwise.sinks.audit import audit_headers, audit_or_skip, audit_rows, default_audit_name
 from shrinkwise.sinks.payload_files import write_archive_parts, write_payloads
 from shrinkwise.sources.archive_files import expand_archives, expanded_verdicts
-from shrinkwise.sources.scan import scan_archives, scan_files
+from shrinkwise.sources.scan import MAX_CONTENT, list_tree, read_contents
 
 
 @dataclass(frozen=True)
@@ -66,35 +66,22 @@ def _archive_copies(archives: DataFrame) -> DataFrame:
         F.col("archive_output_path").alias("output_path"),
         "ext",
         F.col("size").alias("orig_size"),
-        "content",
+        F.col("path").alias("source"),
         F.concat(F.lit("zip_archive="), F.col("rel_path")).alias("notes"),
     )
 
 
-def _plain_files(spark: SparkSession, request: JobRequest) -> DataFrame:
-    """Files outside archives; without mirroring, bytes of types nobody handles are never read."""
-    files = scan_files(spark, request.input_dir, True, None if request.mirror else COMPRESSIBLE_EXTS)
-    if not request.mirror:
-        others = scan_files(spark, request.input_dir).where(~compressible("ext"))
-        files = files.unionByName(others.withColumn("content", F.lit(None).cast("binary")))
-    return files.select(
-        *[F.col("rel_path").alias(c) for c in ("audit_input", "audit_output", "output_path")],
-        "ext",
-        F.col("size").alias("orig_size"),
-        "content",
-        F.lit("").alias("notes"),
-    )
-
+def plan_tasks(spark: SparkSession, request: JobRequest, types: Iterable[str] = COMPRESSIBLE_EXTS) -> tuple[DataFrame, DataFrame | None]:
+    """All tasks, and the expansion verdicts when archives are opened.
 
-def plan_tasks(spark: SparkSession, request: JobRequest) -> tuple[DataFrame, DataFrame | None]:
-    """All tasks with their bytes, and the expansion verdicts when archives are opened."""
-    archives = scan_archives(spark, request.input_dir)
+    The folder is listed once. Only files of the given types, and archives that are opened, are read into rows; all
+    others, and archives that are copied, keep just the path of their `source`.
+    """
+    listed = saved_table(list_tree(spark, request.input_dir), "manifest")
+    archives, files = listed.where(~not_archive("ext")), listed.where(not_archive("ext"))
     none = archives.where(F.lit(False))
-    opened = expand_archives(
-        (archives if request.extract else none).select(F.col("rel_path").alias("path"), "content"),
-        request.max_nesting,
-        request.quota,
-    )
+    blobs = read_contents(archives if request.extract else none)
+    opened = expand_archives(blobs.select(F.col("rel_path").alias("path"), "content"), request.max_nesting, request.quota)
     verdicts = None
     if request.extract:
         opened = saved_table(opened, "expanded")
@@ -114,8 +101,17 @@ def plan_tasks(spark: SparkSession, request: JobRequest) -> tuple[DataFrame, Dat
         F.col("error").alias("read_error"),
     )
     copied = request.mirror and not request.repack_archives
-    copies = _archive_copies(archives if copied else none)
-    return build_tasks(_plain_files(spark, request), members.where(not_archive("ext")), copies), verdicts
+    wanted = F.col("ext").isin(*types) & (F.col("size") <= MAX_CONTENT)
+    read = read_contents(files.where(wanted)).unionByName(files.where(~wanted), allowMissingColumns=True)
+    plain = read.select(
+        *[F.col("rel_path").alias(c) for c in ("audit_input", "audit_output", "output_path")],
+        "ext",
+        F.col("size").alias("orig_size"),
+        "content",
+        F.col("path").alias("source"),
+        F.lit("").alias("notes"),
+    )
+    return build_tasks(plain, members.where(not_archive("ext")), _archive_copies(archives if copied else none)), verdicts
 
 
 def run_job(
@@ -134,7 +130,7 @@ def run_job(
     """
     check_roots(spark, request)
     started_at = started_at or datetime.now()
-    tasks, verdicts = plan_tasks(spark, request)
+    tasks, verdicts = plan_tasks(spark, request, [t for t in handlers if t in COMPRESSIBLE_EXTS])
     clash = output_collisions(tasks.select("output_path", F.col("audit_input").alias("source_path"))).first()
     if clash is not None:
         raise CollidingOutputs(f"{clash.output_path} would be written by {clash.writers} sources")
@@ -155,9 +151,11 @@ def run_job(
     )
     results = saved_table(done.drop("out_content", "key", "read_error"), "results")
 
-    outputs = results.where(F.col("written_content").isNotNull())
+    # What has no bytes in its row is copied from its source: files nobody handles, and archives.
+    from_source = F.lit(request.mirror) & F.col("source").isNotNull()
+    outputs = results.where(F.col("written_content").isNotNull() | from_source)
     in_archive = (F.col("origin") == "member") & F.lit(request.repack_archives)
-    written = write_payloads(outputs.where(~in_archive), request.output_dir, "output_path", "written_content")
+    written = write_payloads(outputs.where(~in_archive), request.output_dir, "output_path", "written_content", "source")
     if request.repack_archives:
         packed_files = outputs.where(in_archive)
         paths = archive_plan(packed_files).select(

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from shrinkwise.session import saved_table
-from shrinkwise.sources.storage import below, open_root, replace_file
+from shrinkwise.sources.storage import below, open_root, pieces_of, replace_file
 
 WRITTEN_SCHEMA = T.StructType(
     [
@@ -21,7 +21,6 @@ WRITTEN_SCHEMA = T.StructType(
     ]
 )
 PART_WRITTEN_SCHEMA = T.StructType([*WRITTEN_SCHEMA.fields, T.StructField("start", T.LongType()), T.StructField("parts", T.LongType())])
-COPY_BYTES = 4 * 1024 * 1024
 
 
 def _reporting(schema: T.StructType, write: Callable[[dict], int], carried: tuple[str, ...] = ()):
@@ -44,19 +43,24 @@ def _reporting(schema: T.StructType, write: Callable[[dict], int], carried: tupl
     return work
 
 
-def write_payloads(df: DataFrame, out_root: str, path: str = "output_path", content: str = "content") -> DataFrame:
+def write_payloads(
+    df: DataFrame, out_root: str, path: str = "output_path", content: str = "content", source: str | None = None
+) -> DataFrame:
     """Write each row's bytes to `out_root/path`; returns (output_path, bytes_written, error).
 
-    `out_root` is a local or mounted path or a URI (file, hdfs, s3, gs); a URI whose scheme is unknown gives an
-    error in every row and writes nothing. The returned frame must be consumed for the writes to happen;
-    consuming it twice writes the same files twice.
+    With `source`, rows without bytes are copied from the path in that column, a few megabytes at a time, so files
+    of any size are copied without becoming rows. `out_root` is a local or mounted path or a URI (file, hdfs, s3,
+    gs); a URI whose scheme is unknown gives an error in every row and writes nothing. The returned frame must be
+    consumed for the writes to happen; consuming it twice writes the same files twice.
     """
 
     def write(row: dict) -> int:
         where, base = open_root(out_root)
-        return replace_file(where, below(base, row["output_path"]), [row["content"] or b""])
+        copied = row["content"] is None and row["source"] is not None
+        return replace_file(where, below(base, row["output_path"]), pieces_of(row["source"]) if copied else [row["content"] or b""])
 
-    rows = df.select(F.col(path).alias("output_path"), F.col(content).alias("content"))
+    origin = F.col(source) if source else F.lit(None).cast("string")
+    rows = df.select(F.col(path).alias("output_path"), F.col(content).alias("content"), origin.alias("source"))
     return rows.mapInArrow(_reporting(WRITTEN_SCHEMA, write), WRITTEN_SCHEMA)
 
 
@@ -86,13 +90,8 @@ def write_archive_parts(parts: DataFrame, out_root: str) -> DataFrame:
         where, base = open_root(out_root)
         target = below(base, row["output_path"])
 
-        def pieces() -> Iterator[bytes]:
-            for start in sorted(row["starts"]):
-                with where.open_input_stream(f"{_part_folder(target)}/{start}") as part:
-                    while data := part.read(COPY_BYTES):
-                        yield data
-
-        size = replace_file(where, target, pieces())
+        whole = (p for start in sorted(row["starts"]) for p in pieces_of(f"{_part_folder(below(out_root, row['output_path']))}/{start}"))
+        size = replace_file(where, target, whole)
         where.delete_dir(_part_folder(target))
         return size
 

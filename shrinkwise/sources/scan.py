@@ -2,52 +2,98 @@
 
 from __future__ import annotations
 
+import posixpath
 import struct
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.errors import AnalysisException
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from shrinkwise.config import FALLBACK_LANGUAGE, RASTER_EXTS
-from shrinkwise.functions.paths import base_name, file_extension, relative_path
+from shrinkwise.functions.paths import base_name, file_extension
 from shrinkwise.operators.routing import not_archive
-from shrinkwise.sources.storage import read_head
+from shrinkwise.session import saved_table
+from shrinkwise.sources.storage import open_root, read_head
 from shrinkwise.sources.tables import AUDIT_SCHEMA
 
 ARCHIVE_GLOB = "*.[zZ][iI][pP]"
 BINARY_FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
+LISTED_SCHEMA = T.StructType(
+    [
+        T.StructField("rel_path", T.StringType()),
+        T.StructField("is_dir", T.BooleanType()),
+        T.StructField("size", T.LongType()),
+        T.StructField("modified", T.TimestampType()),
+    ]
+)
+#: Bytes of a file that may become a value; longer ones are listed, copied by path, and never read into rows.
+MAX_CONTENT = 2_000_000_000
+FLUSH_BYTES = 32 * 1024 * 1024
 
 
-def _without_scheme(path):
-    return F.regexp_replace(path, "^file:/+", "/")
-
-
-def _files(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame:
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
-    try:
-        return reader.load(root)
-    except AnalysisException as exc:
-        if exc.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], BINARY_FILE_SCHEMA)  # a folder that is not there holds no files
-
-
-def _described(files: DataFrame, root: str, with_content: bool) -> DataFrame:
-    path = _without_scheme(F.col("path"))
-    base = root if "://" in root else root.removeprefix("file:")
-    columns = [
-        path.alias("path"),
-        relative_path(path, base).alias("rel_path"),
-        base_name(path).alias("name"),
-        file_extension(path).alias("ext"),
-        F.col("length").alias("size"),
-        F.col("modificationTime").alias("modified"),
-    ]
-    return files.select(*columns, *(["content"] if with_content else []))
+def list_tree(spark: SparkSession, root: str) -> DataFrame:
+    """All files below `root`, hidden ones too: path, rel_path, name, ext, size, modified.
+
+    Executors list folder by folder, a level of the tree at a time, into tables in the shared folder; the driver
+    sees only whether a level had folders. `root` is a path or a URI that pyarrow opens (file, hdfs, s3, gs). A
+    folder that is not there holds no files.
+    """
+    arrow = to_arrow_schema(LISTED_SCHEMA)
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        where, base = open_root(root)
+        for batch in batches:
+            for folder in batch.column(0).to_pylist():
+                inside = where.get_file_info(fs.FileSelector(posixpath.join(base, folder) if folder else base, allow_not_found=True))
+                rows = [(posixpath.join(folder, i.base_name), i.type == fs.FileType.Directory, i.size, i.mtime) for i in inside]
+                columns = [pa.array([r[k] for r in rows], type=f.type) for k, f in enumerate(arrow)]
+                yield pa.record_batch(columns, schema=arrow)
+
+    level, found = spark.createDataFrame([("",)], "folder string"), None
+    while True:
+        here = saved_table(level.repartition("folder").mapInArrow(listed, LISTED_SCHEMA), "listing")
+        found = here if found is None else found.unionByName(here)
+        level = here.where("is_dir").select(F.col("rel_path").alias("folder"))
+        if level.isEmpty():
+            break
+    path = F.concat(F.lit(root.rstrip("/") + "/"), "rel_path")
+    files = found.where("not is_dir")
+    return files.select(path.alias("path"), "rel_path", base_name("rel_path").alias("name"), file_extension("rel_path").alias("ext"), "size", "modified")
+
+
+def read_contents(files: DataFrame, path: str = "path", size: str = "size") -> DataFrame:
+    """Adds `content` and `read_error`: each file is opened by its path and read whole on an executor.
+
+    A file above MAX_CONTENT, or one that cannot be read, has no content and its error.
+    """
+    schema = T.StructType([*files.schema.fields, T.StructField("content", T.BinaryType()), T.StructField("read_error", T.StringType())])
+    arrow = to_arrow_schema(schema)
+
+    def read(where: str, length: int) -> tuple[bytes | None, str | None]:
+        try:
+            if length > MAX_CONTENT:
+                raise ValueError(f"file of {length} bytes is too large to be read")
+            return read_head(where, None), None
+        except Exception as exc:  # noqa: BLE001 - reported in the row
+            return None, f"{type(exc).__name__}: {exc}"
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            first, held, size_held = 0, [], 0
+            for i, (where, length) in enumerate(zip(batch.column(path).to_pylist(), batch.column(size).to_pylist(), strict=True)):
+                held.append(read(where, length))
+                size_held += len(held[-1][0] or b"")
+                if size_held >= FLUSH_BYTES or i + 1 == batch.num_rows:
+                    more = [pa.array([h[k] for h in held], type=arrow.field(n).type) for k, n in enumerate(("content", "read_error"))]
+                    columns = [*batch.slice(first, len(held)).columns, *more]
+                    yield pa.record_batch([c.cast(f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
+                    first, held, size_held = i + 1, [], 0
+
+    return files.mapInArrow(work, schema)
 
 
 def suffix_glob(exts: Iterable[str]) -> str:
@@ -59,18 +105,20 @@ def suffix_glob(exts: Iterable[str]) -> str:
 def scan_files(
     spark: SparkSession, root: str, with_content: bool = False, exts: Iterable[str] | None = None
 ) -> DataFrame:
-    """All files below `root` except archives. Bytes are read only with `with_content`.
+    """All files below `root` except archives, hidden ones too; `exts` keeps some types.
 
-    `exts` limits the listing itself, so files of other types are never opened. Spark skips names
-    that start with '_' or '.'.
+    Files are listed by list_tree and opened only with `with_content`, which adds content and read_error.
     """
-    files = _files(spark, root, suffix_glob(exts) if exts is not None else None)
-    return _described(files, root, with_content).where(not_archive("ext"))
+    files = list_tree(spark, root).where(not_archive("ext"))
+    if exts is not None:
+        files = files.where(F.col("ext").isin(*exts))
+    return read_contents(files) if with_content else files
 
 
 def scan_archives(spark: SparkSession, root: str, with_content: bool = True) -> DataFrame:
     """ZIP files below `root`, whatever the case of their suffix."""
-    return _described(_files(spark, root, ARCHIVE_GLOB), root, with_content)
+    files = list_tree(spark, root).where(~not_archive("ext"))
+    return read_contents(files) if with_content else files
 
 
 IMAGE_SCHEMA = "path string, ext string, width int, height int, channels int, mode string, decodable boolean"
@@ -100,10 +148,10 @@ def image_header(head: bytes) -> tuple[int, int, int, str] | None:
 def scan_images(spark: SparkSession, root: str, drop_invalid: bool = False) -> DataFrame:
     """Width, height, channels and mode of raster files, from their headers; no pixel is decoded.
 
-    Files are listed by Spark and opened by path on executors for their first bytes only. What is no PNG or JPEG
+    Files are opened by path on executors for their first bytes only. What is no PNG or JPEG
     file, or cannot be opened, shows -1 unless dropped.
     """
-    files = _described(_files(spark, root, suffix_glob(RASTER_EXTS)), root, False).select("path", "ext")
+    files = list_tree(spark, root).where(F.col("ext").isin(*RASTER_EXTS)).select("path", "ext")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -6,9 +6,11 @@ import os
 import posixpath
 import re
 import uuid
+from collections.abc import Iterable, Iterator
 
 from pyarrow import fs
 
+COPY_BYTES = 4 * 1024 * 1024
 _ONE_SLASH = re.compile(r"^file:/(?!/)")
 
 
@@ -19,13 +21,21 @@ def open_root(root: str) -> tuple[fs.FileSystem, str]:
     return fs.LocalFileSystem(), os.path.abspath(root)
 
 
-def read_head(path: str, size: int) -> bytes:
-    """The first bytes of a file; the rest is never read."""
+def read_head(path: str, size: int | None) -> bytes:
+    """The first bytes of a file, or all of them with None; the rest is never read."""
     where, inner = open_root(path)
     with where.open_input_file(inner) as file:
         return file.read(size)
 
 
+def pieces_of(path: str) -> Iterator[bytes]:
+    """A file's bytes, a few megabytes at a time."""
+    where, inner = open_root(path)
+    with where.open_input_stream(inner) as file:
+        while data := file.read(COPY_BYTES):
+            yield data
+
+
 def below(base: str, relative: str) -> str:
     """Path of an output below the output root; one that would leave it is refused."""
     inner = posixpath.normpath(relative)
@@ -34,7 +44,7 @@ def below(base: str, relative: str) -> str:
     return posixpath.join(base, inner)
 
 
-def replace_file(where: fs.FileSystem, target: str, pieces) -> int:
+def replace_file(where: fs.FileSystem, target: str, pieces: Iterable[bytes]) -> int:
     """Writes beside the target and renames, so a retried or speculative task leaves a whole file. Returns its size."""
     where.create_dir(posixpath.dirname(target), recursive=True)
     scratch, size = f"{target}.{uuid.uuid4().hex}.part", 0

@@ -30,13 +30,28 @@ def test_scans(spark, tree):
     assert {r.rel_path for r in scan.scan_archives(spark, tree, with_content=False).collect()} == {"d/e/z.ZIP", "d/y.zip"}
 
 
-def test_content_is_read_only_on_request(spark, tree):
+def test_hidden_names_are_files_too(spark, tmp_path):
+    write_tree(tmp_path, {"_x/a.txt": b"1", ".hidden": b"22", "d/_b.ZIP": b"x", "d/.e/f.jpg": b"333"})
+    assert {r.rel_path: r.size for r in scan.scan_files(spark, str(tmp_path)).collect()} == {"_x/a.txt": 1, ".hidden": 2, "d/.e/f.jpg": 3}
+    assert [r.rel_path for r in scan.scan_archives(spark, f"file:{tmp_path}").collect()] == ["d/_b.ZIP"]
+
+
+def test_content_is_read_only_on_request(spark, tree, monkeypatch):
     plain = scan.scan_files(spark, tree)
     assert "content" not in plain.columns
-    plan = plain._jdf.queryExecution().executedPlan().toString()
-    assert "content" not in plan[plan.index("ReadSchema") :]
     with_bytes = scan.scan_files(spark, tree, with_content=True).where("rel_path = 'd/b.txt'").first()
-    assert bytes(with_bytes.content) == b"12"
+    assert bytes(with_bytes.content) == b"12" and with_bytes.read_error is None
+    gone = scan.read_contents(plain.withColumn("path", F.lit("/nowhere/at/all"))).first()
+    assert gone.content is None and "FileNotFoundError" in gone.read_error
+    large = scan.read_contents(plain.withColumn("size", F.lit(3_000_000_000).cast("bigint"))).first()
+    assert large.content is None and "too large" in large.read_error
+
+
+def test_rows_without_bytes_are_copied_from_their_source(spark, tree, tmp_path_factory):
+    out = tmp_path_factory.mktemp("copies")
+    files = scan.scan_files(spark, tree).select("rel_path", "path", F.lit(None).cast("binary").alias("content"))
+    assert write_payloads(files, str(out), "rel_path", "content", "path").where("error is not null").count() == 0
+    assert tree_sizes(out) == {"a.JPG": 4, "d/b.txt": 2, "p.png": len(png_bytes(24, 18)), "bad.png": 2}
 
 
 def test_image_headers(spark, tree):
