@@ -70,7 +70,11 @@ def block_names(texts: DataFrame, block: int = BLOCK) -> DataFrame:
 
 
 def _named(rows: DataFrame, by: list[str]) -> DataFrame:
-    """Replaces the columns `by` with the place of their value among the sorted distinct ones."""
-    names = rows.select(*by).distinct().orderBy(*by).withColumn("name", F.monotonically_increasing_id())
+    """Replaces the columns `by` with the place of their value among the sorted distinct ones.
+
+    Distinct values are dealt by their hash, sorted in each partition and numbered through: no ranges of whole blocks
+    are sampled to the driver, and values that begin alike do not meet in one task.
+    """
+    names = rows.select(*by).distinct().sortWithinPartitions(*by).withColumn("name", F.monotonically_increasing_id())
     named = rows.join(saved_table(names, "names"), by)
     return saved_table(named.select("_row", "pos", "name"), "level")
