@@ -18,6 +18,7 @@ from shrinkwise.functions.scalars import dpi_dims, effective_dpi
 from shrinkwise.operators.skew import HEAVY_ROWS, spread_join
 
 KEYS = ["doc_id", "xref"]
+XREF_MISSING = "xref_missing"
 ORDER = ("page", "seq")
 OPTIONAL_IMAGE_COLUMNS = {"is_cmyk": "boolean", "quantizer": "string", "fallback_reason": "string"}
 DETAIL_COLUMNS = [
@@ -41,38 +42,31 @@ def _readable(width: Column, height: Column) -> Column:
 def mask_join(images: DataFrame, heavy_rows: int = HEAVY_ROWS) -> DataFrame:
     """Each image with the state of its soft mask.
 
-    Adds soft_mask_xref, soft_mask_applied, soft_mask_error and has_transparency. Images without a
-    mask skip the join; a mask shared by very many images does not gather them in one task.
+    Adds soft_mask_xref, soft_mask_applied, soft_mask_error and has_transparency. One join serves all images,
+    those without a mask too; a mask shared by very many images does not gather them in one task.
     """
     for name, kind in OPTIONAL_IMAGE_COLUMNS.items():
         if name not in images.columns:
             images = images.withColumn(name, F.lit(None).cast(kind))
     own_alpha = F.coalesce(F.col("has_alpha"), F.lit(False))
     wants_mask = F.coalesce(F.col("smask") > 0, F.lit(False))
-    plain = images.where(~wants_mask).select(
-        "*",
-        F.lit(0).cast("bigint").alias("soft_mask_xref"),
-        F.lit(False).alias("soft_mask_applied"),
-        F.lit(None).cast("string").alias("soft_mask_error"),
-        own_alpha.alias("has_transparency"),
-    )
     masks = images.select(
         "doc_id",
-        F.col("xref").alias("smask"),
+        F.col("xref").alias("_mask"),
         F.lit(True).alias("_found"),
         _readable(F.col("width"), F.col("height")).alias("_opens"),
         F.col("min_level").alias("_level"),
     )
-    masked = spread_join(images.where(wants_mask), masks, ["doc_id", "smask"], ["xref"], "left", heavy_rows)
+    asked = images.withColumn("_mask", F.when(wants_mask, F.col("smask")))
+    joined = spread_join(asked, masks, ["doc_id", "_mask"], ["xref"], "left", heavy_rows)
     found, opens = F.coalesce(F.col("_found"), F.lit(False)), F.coalesce(F.col("_opens"), F.lit(False))
-    masked = masked.select(
+    return joined.select(
         *images.columns,
-        F.col("smask").cast("bigint").alias("soft_mask_xref"),
-        opens.alias("soft_mask_applied"),
-        F.when(~found, "smask_extract_failed").when(~opens, "smask_open_failed").alias("soft_mask_error"),
-        F.when(opens, F.coalesce(F.col("_level") < 255, F.lit(True))).otherwise(own_alpha).alias("has_transparency"),
+        F.when(wants_mask, F.col("smask")).otherwise(0).cast("bigint").alias("soft_mask_xref"),
+        (wants_mask & opens).alias("soft_mask_applied"),
+        F.when(wants_mask & ~found, "smask_extract_failed").when(wants_mask & ~opens, "smask_open_failed").alias("soft_mask_error"),
+        F.when(wants_mask & opens, F.coalesce(F.col("_level") < 255, F.lit(True))).otherwise(own_alpha).alias("has_transparency"),
     )
-    return plain.unionByName(masked)
 
 
 def _first_places(placements: DataFrame, order_by: Sequence[str]) -> DataFrame:
@@ -88,19 +82,28 @@ def decide_images(
     order_by: Sequence[str] = ORDER,
     heavy_rows: int = HEAVY_ROWS,
 ) -> DataFrame:
-    """One row per (doc_id, xref): its first valid use decides for all of them.
+    """One row per (doc_id, xref) that is a reference: its first use decides for all of them. See _decided."""
+    decided = _decided(placements, images, target_dpi, order_by, heavy_rows)
+    return decided.where(F.col("result") != XREF_MISSING)
+
+
+def _decided(
+    placements: DataFrame, images: DataFrame, target_dpi: int, order_by: Sequence[str], heavy_rows: int
+) -> DataFrame:
+    """One row per (doc_id, xref), also where xref is no reference; placements are read once.
 
     The first use comes from an aggregation (partial minimum before the shuffle), so expensive
     work is planned once per image however often it is placed. `order_by` must be unique in a
     document.
     """
-    first = _first_places(_valid(placements), order_by)
+    first = _first_places(placements, order_by)
     described = mask_join(images, heavy_rows).withColumn("_found", F.lit(True))
     joined = first.join(described, KEYS, "left")
     rect_w, rect_h = F.col("_first.rect_w"), F.col("_first.rect_h")
     ext = F.lower(F.coalesce(F.col("ext"), F.lit("")))
     result = (
-        F.when(~F.coalesce((rect_w > 0) & (rect_h > 0), F.lit(False)), "zero_rect")
+        F.when(~F.coalesce(F.col("xref") > 0, F.lit(False)), XREF_MISSING)
+        .when(~F.coalesce((rect_w > 0) & (rect_h > 0), F.lit(False)), "zero_rect")
         .when(F.col("_found").isNull(), "no_extract")
         .when(ext.isin(*UNSUPPORTED_IMAGE_EXTS), "unsupported_ext")
         .when(~_readable(F.col("width"), F.col("height")), "pil_open_failed")
@@ -121,7 +124,7 @@ def decide_images(
     r = F.col("result")
     decided = decided.withColumns(
         {
-            "_extracted": ~r.isin("zero_rect", "no_extract"),
+            "_extracted": ~r.isin("zero_rect", "no_extract", XREF_MISSING),
             "_opened": r.isin("pending", "replaced", "not_smaller"),
         }
     )
@@ -183,7 +186,7 @@ def image_decisions(
     lookup = decided.select(*KEYS, "first_use_at", "result", detail, F.col("uses").alias("_rows"))
     valid = _valid(placements)
     # Reading `_first` as well keeps this the aggregation of decide_images, so its shuffle is reused.
-    counts = _first_places(valid, order_by).where(F.col("_first").isNotNull())
+    counts = _first_places(placements, order_by).where(F.col("_first").isNotNull())
     counts = counts.select(*KEYS, F.col("uses").alias("_rows"))
     rows = spread_join(valid, lookup, KEYS, list(order_by), "left", heavy_rows, counts)
     rows = rows.withColumn("first_use", F.struct(*order_by) == F.col("first_use_at"))
@@ -218,17 +221,18 @@ def image_counters(
     `replaced` are at once the document's placement total and its number of changed images.
     `documents` (doc_id, pages) adds the page count and the documents without any image.
     """
-    decided = decide_images(placements, images, order_by=order_by, heavy_rows=heavy_rows)
+    decided = _decided(placements, images, TARGET_DPI, order_by, heavy_rows)
     r = F.col("result")
+    missing = r == XREF_MISSING
     masked = F.coalesce(F.col("soft_mask_xref") > 0, F.lit(False))
     png = F.coalesce(F.col("output_format") == "PNG", F.lit(False))
     pngquant = F.coalesce(F.col("quantizer") == "pngquant", F.lit(False))
     per_image = decided.select(
         "doc_id",
         F.col("uses").alias("image_infos_seen"),
-        F.lit(1).alias("unique_xrefs_seen"),
-        F.lit(0).alias("skip_xref_missing"),
-        (F.col("uses") - 1).alias("skip_already_processed"),
+        (~missing).cast("int").alias("unique_xrefs_seen"),
+        F.when(missing, F.col("uses")).otherwise(0).alias("skip_xref_missing"),
+        F.when(missing, 0).otherwise(F.col("uses") - 1).alias("skip_already_processed"),
         *[(r == name).cast("int").alias(f"skip_{name}") for name in SKIP_RESULTS],
         F.coalesce(F.col("is_cmyk"), F.lit(False)).cast("int").alias("cmyk_converted"),
         masked.cast("int").alias("soft_mask_seen"),
@@ -239,12 +243,7 @@ def image_counters(
         (r == "replaced").cast("int").alias("replaced"),
     )
     counters = per_image.columns[1:]
-    without_image = _missing(placements).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
-    missing = without_image.select(
-        "doc_id",
-        *[(F.col("n") if c in ("image_infos_seen", "skip_xref_missing") else F.lit(0)).alias(c) for c in counters],
-    )
-    counted = per_image.unionByName(missing)
+    counted = per_image
     pages = []
     if documents is not None:
         empty = documents.select("doc_id", "pages", *[F.lit(0).alias(c) for c in counters])
@@ -293,40 +292,29 @@ def first_uses(
 
     Read from the per-image decisions, so repeats are never labelled or joined.
     """
-    decided = decide_images(placements, images, target_dpi, order_by, heavy_rows)
-    shown = decided.select(
+    decided = _decided(placements, images, target_dpi, order_by, heavy_rows)
+    return decided.select(
         "doc_id",
         *[F.col(f"first_use_at.{c}").alias(c) for c in order_by],
         "xref",
-        F.lit(True).alias("first_use"),
+        (F.col("result") != XREF_MISSING).alias("first_use"),
         _first_status().alias("status"),
         *DETAIL_COLUMNS,
     )
-    missing = _first_places(_missing(placements), order_by).select(
-        "doc_id",
-        *[F.col(f"_first.{c}").alias(c) for c in order_by],
-        "xref",
-        F.lit(False).alias("first_use"),
-        F.lit("skip_xref_missing").alias("status"),
-    )
-    return shown.unionByName(missing, allowMissingColumns=True)
 
 
 def first_use_detail(
-    decisions: DataFrame, n: int = DETAIL_ROWS, order_by: Sequence[str] = ORDER
+    decisions: DataFrame, n: int = DETAIL_ROWS, order_by: Sequence[str] = ORDER, one_per_image: bool = False
 ) -> DataFrame:
     """The first row of each image of a document, the first `n` of those.
 
-    Takes `image_decisions` or the much smaller `first_uses`. Both ranks are limits Spark applies
-    in every task before the shuffle.
+    Takes `image_decisions`, or the much smaller `first_uses` with `one_per_image`, which needs no rank per image.
+    Ranks are limits Spark applies in every task before the shuffle.
     """
-    candidates = decisions.where(F.col("first_use") | (F.col("status") == "skip_xref_missing"))
-    per_image = Window.partitionBy(*KEYS).orderBy(*order_by)
-    per_doc = Window.partitionBy("doc_id").orderBy(*order_by)
-    return (
-        candidates.withColumn("_use", F.row_number().over(per_image))
-        .where(F.col("_use") == 1)
-        .withColumn("detail_rank", F.row_number().over(per_doc))
-        .where(F.col("detail_rank") <= n)
-        .drop("_use")
-    )
+    candidates = decisions
+    if not one_per_image:
+        candidates = decisions.where(F.col("first_use") | (F.col("status") == f"skip_{XREF_MISSING}"))
+        use = F.row_number().over(Window.partitionBy(*KEYS).orderBy(*order_by))
+        candidates = candidates.withColumn("_use", use).where(F.col("_use") == 1).drop("_use")
+    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(*order_by))
+    return candidates.withColumn("detail_rank", rank).where(F.col("detail_rank") <= n)

@@ -354,7 +354,7 @@ def image_summary(spark: SparkSession, d: str) -> DataFrame:
 
 def first_use_top50(spark: SparkSession, d: str) -> DataFrame:
     shown = imageplan.first_uses(*_placed(spark, d), order_by=src.PLACEMENT_ORDER)
-    detail = imageplan.first_use_detail(shown, 50, src.PLACEMENT_ORDER)
+    detail = imageplan.first_use_detail(shown, 50, src.PLACEMENT_ORDER, one_per_image=True)
     return detail.select("doc_id", *src.PLACEMENT_ORDER, "xref", "status", "detail_rank")
 
 
