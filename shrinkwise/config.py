@@ -61,6 +61,13 @@ class JobRequest:
     language: str = FALLBACK_LANGUAGE
     quota: Quota = field(default_factory=Quota)
     max_nesting: int = MAX_NESTING
+    jpeg_quality: int = 75
+    png_quality: int = 70
+    target_dpi: int = TARGET_DPI
+    pdf_engine: str = "native"
+    pdf_mode: str = "both"
+    pdf_lossless: bool = False
+    resize: ResizeSpec | None = None
 
     @property
     def repack_archives(self) -> bool:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Callable, Iterator, Mapping
 from datetime import datetime
+from inspect import signature
 from itertools import groupby
 
 import pyarrow as pa
@@ -15,7 +16,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from shrinkwise.operators.routing import keep_smaller
 
-Handler = Callable[[bytes], bytes]
+#: bytes -> bytes, or bytes and the row's planned settings -> bytes.
+Handler = Callable[..., bytes]
 
 RESULT_FIELDS = [
     T.StructField("out_content", T.BinaryType()),
@@ -26,10 +28,19 @@ RESULT_FIELDS = [
 ]
 
 
-def _run(handler: Handler, content: bytes) -> tuple[bytes | None, int | None, bool, str | None]:
+def takes_settings(handler: Handler) -> bool:
+    """Whether a handler has a second parameter; handlers without a readable signature (zlib's) get bytes only."""
+    try:
+        required = [p for p in signature(handler).parameters.values() if p.default is p.empty and p.kind in (p.POSITIONAL_ONLY, p.POSITIONAL_OR_KEYWORD)]
+    except (TypeError, ValueError):
+        return False
+    return len(required) > 1
+
+
+def _run(handler: Handler, *given: object) -> tuple[bytes | None, int | None, bool, str | None]:
     """One file failing must not fail the task."""
     try:
-        result = handler(content)
+        result = handler(*given)
         return result, len(result), True, None
     except Exception as exc:  # noqa: BLE001 - reported in the row
         return None, None, False, f"{type(exc).__name__}: {exc}"
@@ -42,25 +53,31 @@ def transform_payloads(
     content: str = "content",
     keep_unhandled: bool = True,
     keep_original: bool = False,
+    settings: str | None = None,
 ) -> DataFrame:
     """Apply `handlers[ext](bytes) -> bytes`; adds out_content, out_size, ok, error, finished_at.
 
     One pass over the rows, so every file is read and handled once; bytes that have no handler pass through the
     worker in their Arrow buffers, without a copy. Those rows have ok = null. The original bytes are replaced
     by out_content; with `keep_original` that holds the original where there is no result (ok is then false or
-    null and out_size null). finished_at is the time when a row was done. Other columns are carried along.
+    null and out_size null). finished_at is the time when a row was done. A handler with two parameters gets
+    the row's `settings`, a struct column, as a dict; that column is not returned. Other columns are carried along.
     """
-    carried = [f for f in df.schema.fields if f.name != content]
+    carried = [f for f in df.schema.fields if f.name not in (content, settings)]
     schema = T.StructType(carried + RESULT_FIELDS)
     arrow_schema = to_arrow_schema(schema)
     names = [f.name for f in carried]
     table = dict(handlers)
+    planned = {kind for kind, handler in table.items() if settings and takes_settings(handler)}
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kinds, blobs = batch.column(key).to_pylist(), batch.column(content)
             handled = [i for i, kind in enumerate(kinds) if kind in table and blobs[i].is_valid]
-            done = {i: (*_run(table[kinds[i]], blobs[i].as_py()), datetime.now()) for i in handled}
+            done = {}
+            for i in handled:
+                more = (batch.column(settings)[i].as_py(),) if kinds[i] in planned else ()
+                done[i] = (*_run(table[kinds[i]], blobs[i].as_py(), *more), datetime.now())
             none = (None, None, None, None, datetime.now())
             rows = [done.get(i, none) for i in range(batch.num_rows)]
             if keep_original and len(done) < batch.num_rows:

@@ -9,9 +9,9 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shrinkwise.config import COMPRESSIBLE_EXTS, JobRequest
+from shrinkwise.config import COMPRESSIBLE_EXTS, JobRequest, ResizeSpec
 from shrinkwise.functions.paths import archive_plan, audit_paths, file_extension, paths_overlap
-from shrinkwise.functions.scalars import size_summary
+from shrinkwise.functions.scalars import clamp_dpi, clamp_quality, size_summary
 from shrinkwise.operators.accounting import job_totals, progress
 from shrinkwise.operators.archives import archive_outcomes, repack_candidates
 from shrinkwise.operators.payloads import Handler, transform_payloads
@@ -22,6 +22,7 @@ from shrinkwise.operators.routing import (
     final_action,
     not_archive,
     output_collisions,
+    plan_stages,
     route,
 )
 from shrinkwise.session import saved_table
@@ -114,6 +115,25 @@ def plan_tasks(spark: SparkSession, request: JobRequest, types: Iterable[str] =
     return build_tasks(plain, members.where(not_archive("ext")), _archive_copies(archives if copied else none)), verdicts
 
 
+def planned_settings(tasks: DataFrame, request: JobRequest) -> DataFrame:
+    """Adds `settings`, what a handler needs to know besides the bytes: quality and resolution within their limits,
+    the stages of a PDF, and how to resize. Planned as columns, so that it can be looked at before a job runs."""
+    quality = clamp_quality(F.when(F.col("ext") == "png", request.png_quality).otherwise(request.jpeg_quality), 75, is_text=False)
+    engine = {"_engine": F.lit(request.pdf_engine), "_mode": F.lit(request.pdf_mode), "_lossless": F.lit(request.pdf_lossless)}
+    staged = plan_stages(tasks.withColumns(engine), "_engine", "_mode", "_lossless").drop(*engine)
+    resize = request.resize or ResizeSpec()
+    wanted = F.struct(
+        quality.alias("quality"),
+        clamp_dpi(F.lit(request.target_dpi)).alias("target_dpi"),
+        F.when(F.col("ext") == "pdf", F.col("stages")).alias("stages"),
+        F.when(
+            F.lit(request.resize is not None),
+            F.struct(*[F.lit(getattr(resize, c)).alias(c) for c in ("mode", "long_edge", "width", "height", "keep_aspect", "allow_upscale")]),
+        ).alias("resize"),
+    )
+    return staged.withColumn("settings", wanted).drop("stages")
+
+
 def run_job(
     spark: SparkSession,
     request: JobRequest,
@@ -121,7 +141,8 @@ def run_job(
     labels: DataFrame | None = None,
     started_at: datetime | None = None,
 ) -> JobReport:
-    """Run the job and return what happened. `handlers` maps an extension to bytes -> bytes.
+    """Run the job and return what happened. `handlers` maps an extension to bytes -> bytes, or to
+    bytes and planned_settings -> bytes.
 
     A file whose handler fails keeps ok = false; mirroring then copies the original. An archive member that cannot
     be read also has ok = false and its error, and nothing is copied. Files the job has no handler for count
@@ -137,7 +158,7 @@ def run_job(
 
     copy = F.col("origin") == "archive_copy"
     work = route(tasks).withColumn("key", F.when(~copy & compressible("ext"), F.col("ext")))
-    done = transform_payloads(work, handlers, key="key", keep_original=True)
+    done = transform_payloads(planned_settings(work, request), handlers, key="key", keep_original=True, settings="settings")
     unread = F.col("read_error").isNotNull()
     done = done.withColumns(
         {"ok": F.when(unread, False).otherwise(F.col("ok")), "error": F.coalesce("read_error", "error"), "processed": F.coalesce("ok", F.lit(False))}

@@ -9,7 +9,7 @@ import pytest
 from conftest import png_bytes, tree_sizes, write_tree, zip_bytes
 from pyspark import cloudpickle
 
-from shrinkwise.config import JobRequest
+from shrinkwise.config import JobRequest, ResizeSpec
 from shrinkwise.plans.job import CollidingOutputs, OverlappingRoots, archives_to_repack, job_events, run_job
 from shrinkwise.sources.scan import read_audit
 from shrinkwise.streaming.monitor import dispatch_events, job_state
@@ -85,6 +85,20 @@ def test_fallback_copy_and_audit(spark, folders):
     assert {r.error for r in report.results.where("ok = false").collect()} == {"ValueError: cannot read image"}
 
 
+def told(data, settings):
+    return repr(sorted(settings.items())).encode()[: len(data) * 10]
+
+
+def test_handlers_are_told_the_planned_settings(spark, folders):
+    write_tree(folders[0], {"a.pdf": b"p" * 300, "b.png": b"q" * 300})
+    spec = request(folders, extract=False, jpeg_quality=300, png_quality=40, target_dpi=9000, pdf_mode="lossy", resize=ResizeSpec("long_edge", long_edge=500))
+    run_job(spark, spec, {"jpg": told, "pdf": told, "png": told})
+    said = {n: (folders[1] / n).read_text() for n in ("normal.jpg", "a.pdf", "b.png")}
+    assert "('quality', 100)" in said["normal.jpg"] and "('quality', 40)" in said["b.png"]
+    assert "('stages', ['lossy'])" in said["a.pdf"] and "('stages', None)" in said["b.png"]
+    assert all("('target_dpi', 2400)" in text and "'long_edge': 500" in text for text in said.values())
+
+
 def test_archive_copy_is_audited(spark, folders):
     report = run_job(spark, request(folders, extract=False, mirror=True), {"jpg": shrink})
     row = report.audit.where("ext = 'zip'").first()
