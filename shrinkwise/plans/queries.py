@@ -512,7 +512,7 @@ def archive_listing(spark: SparkSession, d: str) -> DataFrame:
 
 def archive_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     """Pack all pages, unpack the archives again, and fingerprint every member."""
-    members = expanded_members(expand_archives(_packed_pages(spark, d)))
+    members = expanded_members(expand_archives(saved_table(_packed_pages(spark, d), "packed")))
     return members.select("archive_path", "rel_path", "file_size", F.md5("payload").alias("fingerprint"))
 
 
@@ -522,7 +522,7 @@ def archive_roundtrip(spark: SparkSession, d: str) -> DataFrame:
 def _zip_of(rows: DataFrame, group: str, name: str, content: str) -> DataFrame:
     """One archive per group, as (path, content)."""
     named = rows.select(F.col(group).alias("archive_path"), F.col(name).alias("rel_path"), F.col(content).alias("content"))
-    return pack_archives(named).select(F.col("archive_path").alias("path"), "content")
+    return saved_table(pack_archives(named).select(F.col("archive_path").alias("path"), "content"), "packed")
 
 
 def _nested_pages(spark: SparkSession, d: str) -> DataFrame:
@@ -563,7 +563,8 @@ def _damage_first_byte(content: bytes) -> bytes:
 def damaged_members(spark: SparkSession, d: str) -> DataFrame:
     """One member of each archive damaged on purpose: it is reported, all others come back."""
     broken = payloads.transform_payloads(_packed_pages(spark, d).withColumn("kind", F.lit("zip")), {"zip": _damage_first_byte}, key="kind")
-    expanded = saved_table(expand_archives(broken.select("path", F.col("out_content").alias("content"))), "expanded")
+    broken = saved_table(broken.select("path", F.col("out_content").alias("content")), "packed")
+    expanded = saved_table(expand_archives(broken), "expanded")
     lost = unreadable_members(expanded).groupBy("archive_path").agg(F.count(F.lit(1)).alias("unreadable"))
     read = expanded_members(expanded).groupBy("archive_path").agg(F.count(F.lit(1)).alias("readable"))
     verdicts = expanded_verdicts(expanded).select("archive_path", "violation")

@@ -1,8 +1,8 @@
 """Regrouping files into ZIP archives of any size without holding an archive in one task.
 
-Members are deflated where they are. Only their sizes are then ordered to find each member's
-offset, and the compressed bytes are shuffled once, to the (archive, part) they belong to. A part
-is a consecutive stretch of the file of about `part_bytes`; most archives have exactly one.
+Members are deflated where they are. An archive that surely fits one part of `part_bytes` is put together in one
+group. Of larger ones only the members' sizes are ordered to find each member's offset, and the compressed bytes
+are shuffled once, to the (archive, part) they belong to, a consecutive stretch of the file.
 """
 
 from __future__ import annotations
@@ -162,6 +162,32 @@ def _assemble(group: pa.Table) -> pa.Table:
     return pa.Table.from_pylist([part], schema=to_arrow_schema(PART_SCHEMA))
 
 
+def _ancestors(name: str) -> set[str]:
+    """Folders above a name, each ending in '/'; a name that ends so is a folder itself."""
+    parts = name.split("/")[:-1]
+    return {folder + "/" for k in range(1, len(parts) + 1) if (folder := "/".join(parts[:k]))}
+
+
+def _whole_archive(group: pa.Table) -> pa.Table:
+    """An archive that fits one part, from all of its entries: the same bytes as the planned segments make."""
+    rows = group.to_pylist()
+    files = sorted((r for r in rows if not r["name"].endswith("/")), key=lambda r: r["name"])
+    folders = sorted(set().union(*(_ancestors(r["name"]) for r in rows)))
+    blank = {"crc": 0, "raw_size": 0, "packed_size": 0, "packed": None}
+    local, central, at = [], [], 0
+    for row in [*({**blank, "name": folder} for folder in folders), *files]:
+        local.append(_local_entry(row))
+        central.append(_central_entry({**row, "far": False, "entry_offset": at}))
+        at += len(local[-1])
+    directory = b"".join(central)
+    content = b"".join([*local, directory, _end_record(len(local), len(directory), at)])
+    part = {
+        "archive_path": rows[0]["archive_path"], "part": 0, "parts": 1, "start": 0, "file_count": len(files),
+        "archive_bytes": len(content), "content": content,
+    }
+    return pa.Table.from_pylist([part], schema=to_arrow_schema(PART_SCHEMA))
+
+
 def _with_dirs(entries: DataFrame) -> DataFrame:
     """Sizes of all entries, one row each: the files and every folder above them or given as 'x/'."""
     sizes = entries.select("archive_path", "name", "crc", "raw_size", "packed_size")
@@ -193,6 +219,20 @@ def pack_archives(
     numbers rise but may skip where one member is longer than a part.
     """
     entries = saved_table(_deflated(files.select(F.col(group).alias("archive_path"), F.col(name), F.col(content))), "entries")
+    # What an entry and the folders above it may add to an archive, at most.
+    slashes = F.length("name") - F.length(F.replace("name", F.lit("/"), F.lit(""))) + 1
+    most = F.col("packed_size") + slashes * (2 * F.octet_length("name") + LOCAL_HEADER + CENTRAL_HEADER + OFFSET_EXTRA)
+    bounds = entries.groupBy("archive_path").agg(F.sum(most).alias("most"), F.sum(slashes).alias("names"))
+    fits = (F.col("most") + END_RECORD + LONG_END_RECORDS < part_bytes) & (F.col("names") < LIMIT_16)
+    large = saved_table(bounds.where(~fits).select("archive_path"), "large")
+    if large.isEmpty():
+        return entries.groupBy("archive_path").applyInArrow(_whole_archive, PART_SCHEMA)
+    small = entries.join(large, "archive_path", "left_anti").groupBy("archive_path").applyInArrow(_whole_archive, PART_SCHEMA)
+    return small.unionByName(_large_archives(entries.join(large, "archive_path", "left_semi"), part_bytes))
+
+
+def _large_archives(entries: DataFrame, part_bytes: int) -> DataFrame:
+    """Parts of archives that need not fit one task: offsets by running sums, bytes shuffled once to their part."""
     sized = _with_dirs(entries).withColumns(
         {
             "name_bytes": F.octet_length("name").cast("bigint"),

@@ -237,7 +237,7 @@ def expand_archives(
     Members are listed level by level and judged by first_violation before anything is read; only archives inside
     accepted ones are then read to be listed in turn. The listings, verdicts and inner archives of each level are
     tables in the shared folder, so calling this runs a few jobs per level of nesting; files are read
-    when the returned frame is.
+    when the returned frame is. `archives` is read twice, once to be listed: save it first if it is costly to make.
     """
     level = archives.select(F.col(path).alias("archive_path"), F.lit("").alias("container"), F.lit(0).alias("depth"), F.col(content).alias("content"))
     contents, verdicts, tree, opened = level, None, None, None
@@ -247,6 +247,8 @@ def expand_archives(
         verdicts = judged if verdicts is None else verdicts.unionByName(judged)
         placed = saved_table(_placed(listed, judged), "members")
         tree = placed if tree is None else tree.unionByName(placed)
+        if placed.where("is_archive").isEmpty():
+            break
         inner = _last_written(placed.where("is_archive"))
         if opened is not None:
             inner = inner.join(opened, ["archive_path", "target"], "left_anti")

@@ -204,6 +204,16 @@ def test_large_archives_come_in_parts_that_join(spark):
     assert all(f.read("one.txt") == b"hello" for a, f in files.items() if a != "big.zip")
 
 
+def test_small_and_large_archives_are_made_alike(spark):
+    names = ["b.txt", "a/ü.txt", "a/c/d.bin", "z/", "a/c/", "a.d/x", "ab", "a-b/y"]
+    rows = [("t.zip", n, None if n.endswith("/") else n.encode() * 9) for n in names]
+    parts, _ = packed(spark, rows, part_bytes=300)
+    (whole,), files = packed(spark, rows)
+    assert len(parts) > 1 and b"".join(p.content for p in sorted(parts, key=lambda p: p.part)) == whole.content
+    assert (whole.file_count, whole.archive_bytes) == (6, len(whole.content)) == (parts[0].file_count, parts[0].archive_bytes)
+    assert files["t.zip"].testzip() is None
+
+
 def test_more_entries_than_the_short_count_holds(spark):
     df = spark.range(66_000).select(
         F.lit("many.zip").alias("archive_path"),
