@@ -56,8 +56,21 @@ def shared_dir(spark: SparkSession) -> str:
     return (configured or sc.getCheckpointDir()).rstrip("/")
 
 
+def _own_folder(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/shrinkwise/{spark.sparkContext.applicationId}"
+
+
 def new_shared_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/shrinkwise/{label}-{uuid.uuid4().hex}"
+    return f"{_own_folder(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def clear_tables(spark: SparkSession) -> None:
+    """Remove the intermediate tables of this application from the shared folder.
+
+    For the end of a job: frames and reports that read those tables can no longer be computed afterwards.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def pinned(df: DataFrame) -> DataFrame:
