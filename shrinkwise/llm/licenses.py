@@ -64,6 +64,14 @@ _NOTICE = re.compile(r"(?:licensed|licenced|released|distributed|published|provi
 _OR_LATER = re.compile(r" (?:or any later version|or later|or newer|or at your option any later version)$")
 
 
+class Known(NamedTuple):
+    """A known sentence or a notice, and the places of its first and last piece."""
+
+    first: int
+    last: int
+    name: str
+
+
 class Finding(NamedTuple):
     """A licence, the place of the first sentence that says so, and how many do."""
 
@@ -75,11 +83,12 @@ class Finding(NamedTuple):
 def scan_licenses(files: DataFrame, rel_path: str = "rel_path", text: str = "text") -> DataFrame:
     """Licences that every file's text names or quotes: (rel_path, licenses, findings, n_open), a row per input row.
 
-    A text is split into sentences, also at line ends where that gives a known one. A normalised sentence (lower
-    case, signs and white space as single spaces) maps to the identifier of a known licence sentence or to the
-    notice of a licence by name. The identifiers, in order, are matched against licence rules: from each place,
-    the first rule whose sentences follow there, with at most `GAP` unknown ones between, is a finding and uses
-    them up; a notice is a rule by itself. `licenses` is the distinct licences in order of name, `findings` has
+    A text is split into sentences, also at line ends where a run of lines is a known one. A normalised sentence
+    (lower case, signs and white space as single spaces) maps to the identifier of a known licence sentence or to
+    the notice of a licence by name. Known sentences that hold points or colons are split in the same way, and
+    their pieces are put together again where they follow each other. The identifiers, in order, are matched
+    against licence rules: from each place, the first rule whose sentences follow there, with at most `GAP`
+    unknown ones between, is a finding and uses them up; a notice is a rule by itself. `licenses` is the distinct licences in order of name, `findings` has
     (license, sentence, n_sentences) in order of place, `n_open` counts known sentences that no rule used.
 
     Null and empty texts have no findings. Rows that share a rel_path are scanned each by itself; rel_path may be
@@ -104,7 +113,13 @@ GAP = 2
 
 
 def known_sentences() -> dict[str, str]:
-    return {normalised(s): name for name, s in SENTENCES.items()}
+    """Identifiers of normalised sentences; of those with breaks inside, each piece is its own identifier."""
+    split = {name: _pieces(s) for name, s in SENTENCES.items()}
+    return {p: name if len(pieces) == 1 else p for name, pieces in split.items() for p in pieces}
+
+
+def _pieces(sentence: str) -> tuple[str, ...]:
+    return tuple(normalised(p) for p in _BREAK.split(sentence))
 
 
 def normalised(sentence: str) -> str:
@@ -131,26 +146,58 @@ def scan(text: str, known: dict[str, str]) -> tuple[list[Finding], int]:
     if not _HINT.search(text):
         return [], 0
     ids: list[tuple[int, str]] = []
-    place = 0
-    for sentence in _BREAK.split(text):
-        if _HINT.search(sentence) or any(c in sentence for c in ("You may", "you may")):
+    for place, sentence in enumerate(_BREAK.split(text)):
+        if _HINT.search(sentence) or any(c in sentence for c in ("You may", "you may")) or normalised(sentence) in known:
             joined = identifier(sentence, known)
-            names = [joined] if joined else [identifier(line, known) for line in _LINES.split(sentence)]
-            ids += [(place, name) for name in names if name]
-        place += 1
+            ids += [(place, name) for name in ([joined] if joined else _in_lines(_LINES.split(sentence), known))]
     findings, at, left = [], 0, 0
-    while at < len(ids):
-        rule = next(((name, len(seq)) for name, seq in RULES if _follows(ids[at : at + len(seq)], seq)), None)
-        if ids[at][1].startswith("notice:"):
-            rule = ids[at][1].removeprefix("notice:"), 1
+    found = _assembled(ids)
+    while at < len(found):
+        rule = next(((name, len(seq)) for name, seq in RULES if _follows(found[at : at + len(seq)], seq)), None)
+        if found[at].name.startswith("notice:"):
+            rule = found[at].name.removeprefix("notice:"), 1
         if rule:
-            findings.append(Finding(rule[0], ids[at][0], rule[1]))
+            findings.append(Finding(rule[0], found[at].first, rule[1]))
         else:
             left += 1
         at += rule[1] if rule else 1
     return findings, left
 
 
-def _follows(ids: list[tuple[int, str]], sequence: tuple[str, ...]) -> bool:
-    names = tuple(name for _, name in ids)
-    return names == sequence and all(b - a <= GAP + 1 for (a, _), (b, _) in zip(ids, ids[1:]))
+def _in_lines(lines: list[str], known: dict[str, str]) -> list[str]:
+    """Identifiers of a sentence's runs of lines that are known, and of single lines."""
+    names, at = [], 0
+    while len(lines) > 1 and at < len(lines):
+        name, to, plain = identifier(lines[at], known), at + 1, normalised(lines[at])
+        while not name and plain and to < len(lines) and any(k.startswith(plain) for k in known):
+            to += 1
+            plain = normalised("\n".join(lines[at:to]))
+            name = known.get(plain)
+        names += [name] if name else []
+        at = to if name else at + 1
+    return names
+
+
+#: Sentences that are split, the longest first.
+_SPLIT = tuple(sorted(((name, p) for name, p in ((n, _pieces(s)) for n, s in SENTENCES.items()) if len(p) > 1), key=lambda x: -len(x[1])))
+
+
+def _assembled(ids: list[tuple[int, str]]) -> list[Known]:
+    """Known sentences and notices; pieces that do not make up a sentence are none."""
+    out, at = [], 0
+    whole = frozenset(SENTENCES)
+    while at < len(ids):
+        first, name = ids[at]
+        if name in whole or name.startswith("notice:"):
+            out.append(Known(first, first, name))
+            at += 1
+            continue
+        found = next((x for x in _SPLIT if [(p - first, n) for p, n in ids[at : at + len(x[1])]] == list(enumerate(x[1]))), None)
+        if found:
+            out.append(Known(first, first + len(found[1]) - 1, found[0]))
+        at += len(found[1]) if found else 1
+    return out
+
+
+def _follows(ids: list[Known], sequence: tuple[str, ...]) -> bool:
+    return tuple(i.name for i in ids) == sequence and all(b.first - a.last <= GAP + 1 for a, b in zip(ids, ids[1:]))

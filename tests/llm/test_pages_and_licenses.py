@@ -1,8 +1,10 @@
 """Main text of pages and licence findings on hand-made cases."""
 
+import re
+
 import pytest
 
-from shrinkwise.llm.licenses import SENTENCES, known_sentences, scan, scan_licenses
+from shrinkwise.llm.licenses import RULES, SENTENCES, known_sentences, scan, scan_licenses
 from shrinkwise.llm.main_text import extract_main_text, fit_block_labeller
 from shrinkwise.llm.page_blocks import page_blocks
 from shrinkwise.llm.queries import QUERIES
@@ -62,6 +64,34 @@ def test_notices_and_quoted_licences():
     assert licenses_in("No licence is named here, and nothing is licensed under terms.") == []
 
 
+@pytest.mark.parametrize("before", ["", "// Copyright 2020 Some One\n//\n"])
+@pytest.mark.parametrize(("license_id", "sequence"), RULES)
+def test_every_rule_finds_its_header(license_id, sequence, before):
+    wrapped = [re.sub(r"((?:\S+ ){6})", r"\1\n// ", SENTENCES[name]) for name in sequence]
+    found, left = scan(f"{before}// " + ".\n// ".join(wrapped) + ".\n// More words here.", known_sentences())
+    assert [(f.license, f.n_sentences) for f in found] == [(license_id, len(sequence))] and left == 0
+
+
+@pytest.mark.parametrize("name", SENTENCES)
+def test_every_sentence_is_known(name):
+    found, left = scan(f"Words. {SENTENCES[name]}. Words", known_sentences())
+    assert len(found) + left == 1 and all(f.sentence == 1 for f in found)
+
+
+def test_headers_with_points_and_colons_inside():
+    gpl = (
+        "#!/bin/sh\n# Copyright (C) 2020 Some One\n#\n# This program is free software{} you can redistribute it and/or modify\n# it under the terms of the GNU General"
+        " Public License as published by\n# the Free Software Foundation{} either version {} of the License, or\n# (at your option) any later version.\n#\n# This program is"
+        " distributed in the hope that it will be useful,\n# but WITHOUT ANY WARRANTY; without even the implied warranty of\n# MERCHANTABILITY.\n"
+    )
+    known = known_sentences()
+    assert scan(gpl.format(":", ",", 3), known) == ([("GPL-3.0-or-later", 0, 2)], 0)
+    assert scan(gpl.format(";", ";", 2), known) == ([("GPL-2.0-or-later", 0, 2)], 0)
+    mpl = "/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed with this\n * file, You can obtain one. */"
+    assert scan(mpl, known) == ([("MPL-2.0", 0, 1)], 0)
+    assert scan("This program is free software. It has version. 2.0. It has a warranty.", known) == ([], 0)
+
+
 def test_sentences_that_no_rule_uses_are_counted(spark):
     files = spark.createDataFrame([(1, SENTENCES["bsd-names"] + "."), (2, None)], "rel_path bigint, text string")
     assert {r.rel_path: (r.licenses, r.n_open) for r in scan_licenses(files).collect()} == {1: ([], 1), 2: ([], 0)}
