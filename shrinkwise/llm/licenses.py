@@ -58,9 +58,9 @@ RULES = (
 _SIGNS = re.compile(r"[^a-z0-9.+\s-]+")
 _BREAK = re.compile(r"(?:(?<!dentifier)[.;:!?]+(?=\s|$)|\n\s*\n)")
 _LINES = re.compile(r"\n+")
-#: Any known sentence and any notice has one of these; texts without them are not split.
-_HINT = re.compile(r"licen[sc]|spdx|permission|redistribut|warranty|copyright notice|copyright holder|public domain|compliance|free software", re.IGNORECASE)
 _NOTICE = re.compile(r"(?:licensed|licenced|released|distributed|published|provided|available|covered|governed) under (?:the )?(?:terms of (?:the )?)?(.+)$|spdx-license-identifier (.+)$")
+#: Every match of `_NOTICE` holds one of these.
+_NOTICE_WORDS = ("ed under ", "able under ", "spdx-license-identifier ")
 _OR_LATER = re.compile(r" (?:or any later version|or later|or newer|or at your option any later version)$")
 
 
@@ -132,7 +132,7 @@ def identifier(sentence: str, known: dict[str, str]) -> str | None:
     plain = normalised(sentence)
     if plain in known:
         return known[plain]
-    if notice := _NOTICE.search(plain):
+    if any(w in plain for w in _NOTICE_WORDS) and (notice := _NOTICE.search(plain)):
         name = notice[1] or notice[2]
         base = _OR_LATER.sub("", name)
         license_id = next((NAMES[n] for n in (base, base.replace("-", " "), base.removesuffix(" license")) if n in NAMES), None)
@@ -143,13 +143,10 @@ def identifier(sentence: str, known: dict[str, str]) -> str | None:
 
 def scan(text: str, known: dict[str, str]) -> tuple[list[Finding], int]:
     """Findings of a text and the number of known sentences left over."""
-    if not _HINT.search(text):
-        return [], 0
     ids: list[tuple[int, str]] = []
     for place, sentence in enumerate(_BREAK.split(text)):
-        if _HINT.search(sentence) or any(c in sentence for c in ("You may", "you may")) or normalised(sentence) in known:
-            joined = identifier(sentence, known)
-            ids += [(place, name) for name in ([joined] if joined else _in_lines(_LINES.split(sentence), known))]
+        joined = identifier(sentence, known)
+        ids += [(place, name) for name in ([joined] if joined else _in_lines(_LINES.split(sentence), known))]
     findings, at, left = [], 0, 0
     found = _assembled(ids)
     while at < len(found):

@@ -4,7 +4,7 @@ import re
 
 import pytest
 
-from shrinkwise.llm.licenses import RULES, SENTENCES, known_sentences, scan, scan_licenses
+from shrinkwise.llm.licenses import NAMES, RULES, SENTENCES, known_sentences, scan, scan_licenses
 from shrinkwise.llm.main_text import extract_main_text, fit_block_labeller
 from shrinkwise.llm.page_blocks import page_blocks
 from shrinkwise.llm.queries import QUERIES
@@ -92,6 +92,17 @@ def test_headers_with_points_and_colons_inside():
     assert scan("This program is free software. It has version. 2.0. It has a warranty.", known) == ([], 0)
 
 
+@pytest.mark.parametrize("verb", "licensed licenced released distributed published provided available covered governed".split())
+def test_every_name_is_found_after_every_verb(verb):
+    for name, license_id in NAMES.items():
+        for terms in ("", "the ", "the terms of the "):
+            assert licenses_in(f"Some words here. It is {verb} under {terms}{name.upper()}. More words.") == [license_id], (verb, terms, name)
+
+
+def test_every_name_is_found_after_its_tag():
+    assert [licenses_in(f"SPDX-License-Identifier: {name}\n") for name in NAMES] == [[v] for v in NAMES.values()]
+
+
 def test_sentences_that_no_rule_uses_are_counted(spark):
     files = spark.createDataFrame([(1, SENTENCES["bsd-names"] + "."), (2, None)], "rel_path bigint, text string")
     assert {r.rel_path: (r.licenses, r.n_open) for r in scan_licenses(files).collect()} == {1: ([], 1), 2: ([], 0)}
