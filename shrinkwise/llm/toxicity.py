@@ -132,13 +132,17 @@ def learn_lexicon(sample: DataFrame) -> dict[str, float]:
     best = scored.where((F.col("odds") >= LEAST_ODDS) & (F.col("g") >= LEAST_EVIDENCE)).orderBy(F.desc("g"), "term").limit(50 * LEXICON_TERMS).collect()
     chosen: dict[str, float] = {}
     for row in sorted(best, key=lambda r: (-round(r["g"], 6), r["term"].endswith("*"), -len(r["term"]))):
-        stem = row["term"].rstrip("*")
-        related = any(stem.startswith(c.rstrip("*")) or c.startswith(stem) for c in chosen if c[:3] == stem[:3])
-        if not related and len(chosen) < LEXICON_TERMS:
-            chosen[row["term"]] = row["odds"]
+        term = row["term"]
+        if not any(_covers(c, term) or _covers(term, c) for c in chosen) and len(chosen) < LEXICON_TERMS:
+            chosen[term] = row["odds"]
     return chosen
 
 
+def _covers(term: str, other: str) -> bool:
+    """Whether a beginning stands at the beginning of another term; a whole word covers no other."""
+    return term.endswith("*") and other.startswith(term[:-1])
+
+
 def plain(word: str) -> str:
     """Lower case, without what is no letter at the ends."""
     return _EDGES.sub("", word.lower())

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shrinkwise.llm.queries import QUERIES
-from shrinkwise.llm.toxicity import QUOTED_WEIGHT, Matcher, accepts, context_weight, start, step
+from shrinkwise.llm.toxicity import QUOTED_WEIGHT, Matcher, accepts, context_weight, learn_lexicon, start, step
 
 SF_DIR = "/root/testdata/sf0.1"
 
@@ -44,6 +44,20 @@ def test_words_match_exactly_by_beginning_by_signs_and_misspelled():
     assert [matcher.weight(w) > 0 for w in ("idiott", "1d1ot", "idi0t", "idot", "patriot")] == [True, True, True, True, False]
 
 
+def learned(spark, toxic_words, clean_words=("kind",)):
+    """Lexicon of files with one of the words each among plain ones."""
+    rows = [(f"some plain words here {w} and more", y) for y, words in ((1, toxic_words), (0, clean_words)) for w in words for _ in range(60)]
+    return learn_lexicon(spark.createDataFrame(rows, "text string, label int"))
+
+
+def test_a_whole_word_drops_no_longer_or_shorter_term(spark):
+    # Clean words with the same beginnings keep those from being chosen.
+    lexicon = learned(spark, ["ass", "ass", "asshole", "asshole", "asshole", "scum"], ["assume", "assign", "asshort", "assholder"])
+    matcher = Matcher(lexicon)
+    assert {"ass", "asshole"} <= lexicon.keys() and "ass*" not in lexicon
+    assert [matcher.exact(w) > 0 for w in ("ass", "asshole", "assume", "assign")] == [True, True, False, False]
+
+
 def test_quoted_words_weigh_less_than_used_ones():
     words = 'he wrote "you are an idiot" on paper and left'.split()
     assert context_weight(words, 5) == QUOTED_WEIGHT
