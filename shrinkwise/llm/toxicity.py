@@ -93,7 +93,7 @@ def score_toxicity(files: DataFrame, model: ToxicityModel, rel_path: str = "rel_
 
 def learn_lexicon(sample: DataFrame) -> dict[str, float]:
     """Terms and their weights, the log of how much more often toxic texts use them; a term that ends in *
-    stands for a word's beginning."""
+    stands for a word's beginning, and the sample's words that begin so are terms with the same weight."""
 
     def run(batch: pa.RecordBatch) -> dict[str, object] | None:
         seen: Counter[tuple[str, int]] = Counter()
@@ -135,6 +135,14 @@ def learn_lexicon(sample: DataFrame) -> dict[str, float]:
         term = row["term"]
         if not any(_covers(c, term) or _covers(term, c) for c in chosen) and len(chosen) < LEXICON_TERMS:
             chosen[term] = row["odds"]
+    # The automaton goes to whole words: those that toxic texts have behind a beginning get its weight, and no other match.
+    stems = {k: [c for c in chosen if c.endswith("*") and len(c) == k + 1] for k in STEM_LENGTHS}
+    begun = [F.concat(F.substring("term", 1, k), F.lit("*")) for k in STEM_LENGTHS]
+    behind = [F.when(b.isin(stems[k]), b) for k, b in zip(STEM_LENGTHS, begun, strict=True) if stems[k]]
+    if behind:
+        words = terms.where(f"once_1 > 0 and length(term) >= {MISSPELLED_FROM} and not endswith(term, '*')").where(F.log(rates[1] / rates[0]) >= LEAST_ODDS)
+        for word, stem in words.select("term", F.coalesce(*behind).alias("stem")).where("stem is not null").collect():
+            chosen[word] = chosen[stem]
     return chosen
 
 

@@ -58,6 +58,14 @@ def test_a_whole_word_drops_no_longer_or_shorter_term(spark):
     assert [matcher.exact(w) > 0 for w in ("ass", "asshole", "assume", "assign")] == [True, True, False, False]
 
 
+def test_misspellings_match_behind_a_learned_beginning(spark):
+    lexicon = learned(spark, ["idiot", "idiot", "idiots", "scum"])
+    matcher = Matcher(lexicon)
+    assert any(c.endswith("*") and "idiots".startswith(c[:-1]) for c in lexicon)
+    assert [matcher.weight(w) > 0 for w in ("idiot", "idiots", "idxot", "ideot", "idots", "ideots", "ixxots")] == [True] * 6 + [False]
+    assert matcher.weight("idiots") == matcher.weight("idiot") > matcher.weight("idxot")
+
+
 def test_quoted_words_weigh_less_than_used_ones():
     words = 'he wrote "you are an idiot" on paper and left'.split()
     assert context_weight(words, 5) == QUOTED_WEIGHT
