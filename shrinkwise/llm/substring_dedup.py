@@ -13,13 +13,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shrinkwise.llm.common import batch_of, fields, map_batches, saved_texts
+from shrinkwise.operators.skew import spread_join
 from shrinkwise.session import saved_table
 
 #: Words of a window.
 WINDOW = 35
 #: Words of the sequences among which a window's minimiser is found.
 GRAM = 4
-#: Super-k-mers of one minimiser above which its windows travel one by one, to several buckets.
+#: Super-k-mers of one minimiser above which its windows are counted one by one, by their digests.
 BUCKET = 4096
 #: A minimiser's hash and its place share 64 bits; longer texts are gone through in overlapping parts.
 PLACE_BITS = 20
@@ -47,7 +48,8 @@ def remove_repeated_passages(
     counted over all texts, go on. Equal super-k-mers (SHA-256) are counted: with a second copy all their
     windows are repeated. Of minimisers with different super-k-mers, or one that overlaps itself, one packed
     string per kind travels to the minimiser's bucket, where its windows are sorted and counted with the
-    copies' weight. A minimiser with more than `bucket` kinds sends its windows one by one, dealt by their hash.
+    copies' weight. Windows of a minimiser with more than `bucket` kinds are counted by their SHA-256 instead, in
+    an aggregation, so no task holds more than a bucket.
 
     Null and empty texts have no words. Rows are told apart by rel_path and text; equal rows repeat each
     other, so all of their windows go. Other columns are ignored, whatever their names. No rows give none.
@@ -151,30 +153,32 @@ def _bucket_spans(suspects: DataFrame, kinds: DataFrame, window: int, bucket: in
     """Spans (_id, first, last) of repeated windows in super-k-mers that have no second copy."""
     values = kinds.groupBy("value").agg(F.count(F.lit(1)).alias("n"), F.max("weight").alias("most"))
     values = values.where("n > 1 or most > 1")
-    shares = F.when(F.col("n") > bucket, F.ceil(F.col("n") * window / bucket)).otherwise(1).cast("int")
-    sent = kinds.join(saved_table(values.select("value", shares.alias("shares")), "values"), "value").groupBy("_id")
-    sent = sent.agg(F.collect_list(F.struct("value", "first", "last", "copies", "shares")).alias("sent"))
+    values = saved_table(values.select("value", (F.col("n") > bucket).alias("large")), "values")
     # Equal rows have the same _id and the same text: one of them is enough to cut from.
-    sent = suspects.dropDuplicates(["_id"]).select("_id", "_text").join(saved_table(sent, "sent"), "_id")
-
-    def cut(batch: pa.RecordBatch) -> dict[str, object]:
-        rows, packed, out = [], [], []
-        for i, (text, all_sent) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
-            words = text.encode().split()
-            for s in all_sent:
-                whole = s["shares"] == 1
-                step = s["last"] - s["first"] + 1 if whole else 1
-                for first in range(s["first"], s["last"] + 1, step):
-                    string = b" ".join(words[first : first + step - 1 + window])
-                    share = 0 if whole else xxhash.xxh64_intdigest(string) % s["shares"]
-                    rows.append(i)
-                    packed.append(string)
-                    out.append((s["value"], share, first, s["copies"]))
-        columns = dict(zip(("value", "share", "first", "copies"), np.array(out, np.int64).reshape(-1, 4).T, strict=True))
-        return {"_id": batch.column(0).take(pa.array(rows, pa.int64())), "packed": packed, **columns}
-
-    schema = fields(suspects, ["_id"], "packed binary, value bigint, share bigint, first bigint, copies bigint")
-    packed = map_batches(sent, cut, schema).repartition("value", "share").sortWithinPartitions("value", "share")
+    texts = suspects.dropDuplicates(["_id"]).select("_id", "_text")
+
+    def cut(large: bool) -> DataFrame:
+        """Super-k-mers of the minimisers that are large or not, as strings, or each window's digest."""
+
+        def run(batch: pa.RecordBatch) -> dict[str, object]:
+            rows, strings, out = [], [], []
+            for i, (text, all_sent) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                words = text.encode().split()
+                for s in all_sent:
+                    step = 1 if large else s["last"] - s["first"] + 1
+                    for first in range(s["first"], s["last"] + 1, step):
+                        string = b" ".join(words[first : first + step - 1 + window])
+                        rows.append(i)
+                        strings.append(hashlib.sha256(string).digest() if large else string)
+                        out.append((s["value"], first, s["copies"]))
+            columns = dict(zip(("value", "first", "copies"), np.array(out, np.int64).reshape(-1, 3).T, strict=True))
+            return {"_id": batch.column(0).take(pa.array(rows, pa.int64())), "packed": strings, **columns}
+
+        sent = kinds.join(values.where("large" if large else "not large").select("value"), "value").groupBy("_id")
+        sent = saved_table(sent.agg(F.collect_list(F.struct("value", "first", "last", "copies")).alias("sent")), "sent")
+        return map_batches(texts.join(sent, "_id"), run, fields(suspects, ["_id"], "packed binary, value bigint, first bigint, copies bigint"))
+
+    packed = cut(False).repartition("value").sortWithinPartitions("value")
     schema = fields(suspects, ["_id"], "first bigint, last bigint")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,16 +188,24 @@ def _bucket_spans(suspects: DataFrame, kinds: DataFrame, window: int, bucket: in
         for batch in batches:
             out = []
             for row in batch.to_pylist():
-                if (row["value"], row["share"]) != at:
+                if row["value"] != at:
                     out += repeated_windows(held, window)
-                    held, at = [], (row["value"], row["share"])
+                    held, at = [], row["value"]
                 held.append(row)
             if out:
                 yield batch_of(dict(zip(("_id", "first", "last"), zip(*out), strict=True)), arrow)
         if out := repeated_windows(held, window):
             yield batch_of(dict(zip(("_id", "first", "last"), zip(*out), strict=True)), arrow)
 
-    return packed.mapInArrow(count, schema)
+    spans = packed.mapInArrow(count, schema)
+    if values.where("large").isEmpty():
+        return spans
+    singles = saved_table(cut(True), "singles")
+    again = singles.groupBy("value", "packed").agg(F.sum("copies").alias("n"), F.count(F.lit(1)).alias("_rows")).where("n >= 2").select("value", "packed", "_rows")
+    again = saved_table(again, "windows")
+    # Other copies of a kind are repeated anyway; a window found everywhere is spread over tasks.
+    hits = spread_join(singles.where("copies = 1"), again, ["value", "packed"], ["_id", "first"], "inner", counts=again)
+    return spans.union(hits.select("_id", "first", F.col("first").alias("last")))
 
 
 def repeated_windows(rows: list[dict], window: int) -> list[tuple[dict, int, int]]:

@@ -8,6 +8,7 @@ from collections import Counter
 import numpy as np
 import xxhash
 
+from shrinkwise.llm import substring_dedup
 from shrinkwise.llm.components import connected
 from shrinkwise.llm.embedding_pairs import embedding_near_duplicates
 from shrinkwise.llm.exact_dedup import exact_duplicates
@@ -114,6 +115,21 @@ def test_repeated_passages_equal_brute_force(spark):
     assert out[40].n_removed == 120 and out[44].n_removed == 0 and out[42].n_removed == 35
 
 
+def test_no_task_holds_all_copies_of_a_window(spark, monkeypatch):
+    def held(rows, window, inner=substring_dedup.repeated_windows):
+        if len(rows) > 50:
+            raise ValueError(f"{len(rows)} rows in one group")
+        return inner(rows, window)
+
+    monkeypatch.setattr(substring_dedup, "repeated_windows", held)
+    passage = [f"p{i}" for i in range(WINDOW + 4)]
+    texts = [[f"a{i}"] * 2 + [f"b{i}-{k}" for k in range(40)] + passage + [f"c{i}-{k}" for k in range(40)] for i in range(300)]
+    files = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "rel_path bigint, text string")
+    out = remove_repeated_passages(files, bucket=50).collect()
+    assert len(out) == 300 and {(r.n_words, r.n_removed) for r in out} == {(82 + len(passage), len(passage))}
+    assert all(r.kept.split() == [w for w in texts[r.rel_path] if w[0] != "p"] for r in out)
+
+
 def test_an_untouched_text_can_stay_as_it_was(spark):
     files = spark.createDataFrame([(1, "a  b\nc", "en")], "rel_path bigint, text string, lang string")
     assert remove_repeated_passages(files, whole=True, carry=["lang"]).first() == (1, 3, 0, "a  b\nc", "en")
