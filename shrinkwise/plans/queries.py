@@ -612,15 +612,20 @@ def audit_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     return read_audit(spark, path)
 
 
+#: Numbers of parts that share a label catalog.
+CATALOG_PARTS = 1000
+
+
 def labels_roundtrip(spark: SparkSession, d: str) -> DataFrame:
-    """Label files of two languages, made of all parts, written as JSON and read back as a catalog."""
+    """Label files of two languages, made of all parts, written as JSON and read back as catalogs of bounded size."""
     root = new_shared_path(spark, "labels")
-    parts = src.read(spark, d, "part").select(F.concat(F.lit("part_"), "p_partkey").alias("key"), F.col("p_name").alias("text"))
-    for lang, rows in (("en", parts), ("ja", parts.where(F.substring("key", 6, 20).cast("bigint") % 3 == 0))):
-        # A label file is one JSON object; its size is that of a catalog of texts, one row here.
-        entries = rows.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("key", "text")))).cast("binary").alias("content"))
-        saved_table(write_payloads(entries.withColumn("output_path", F.lit(f"{lang}.json")), root), "written")
-    return read_labels(spark, root)
+    number = F.col("p_partkey")
+    parts = src.read(spark, d, "part").select(F.expr(f"p_partkey div {CATALOG_PARTS}").alias("catalog"), number, F.concat(F.lit("part_"), number).alias("key"), F.col("p_name").alias("text"))
+    both = parts.withColumn("lang", F.explode(F.when(number % 3 == 0, F.array(F.lit("en"), F.lit("ja"))).otherwise(F.array(F.lit("en")))))
+    entries = F.to_json(F.map_from_entries(F.collect_list(F.struct("key", "text")))).cast("binary")
+    files = both.groupBy("catalog", "lang").agg(entries.alias("content"))
+    saved_table(write_payloads(files.select(F.concat("catalog", F.lit("/"), "lang", F.lit(".json")).alias("output_path"), "content"), root), "written")
+    return read_labels(spark, f"{root}/*")
 
 
 def observed_totals(spark: SparkSession, d: str) -> DataFrame:

@@ -1,5 +1,9 @@
+import json
+
 from shrinkwise.config import INPUT_CLEANUP_EXTS
 from shrinkwise.operators import cleanup, labels
+from shrinkwise.plans import queries
+from shrinkwise.sinks.payload_files import write_payloads
 
 
 def catalog(spark, rows):
@@ -60,3 +64,13 @@ def test_two_texts_for_one_label(spark):
     texts = catalog(spark, [("en", "a", "A"), ("en", "a", "B"), ("ja", "a", "あ")])
     asked = spark.createDataFrame([("a", "en"), ("a", "ja")], "k string, l string")
     assert sorted(r.label for r in labels.label(asked, "k", "l", texts).collect()) == ["B", "あ"]
+
+
+def test_label_files_do_not_grow_with_the_parts(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(queries, "write_payloads", lambda files, root: written.append(files) or write_payloads(files, root))
+    rows = queries.labels_roundtrip(spark, "/root/testdata/sf0.01").collect()
+    sizes = [len(json.loads(bytes(r.content))) for r in written[0].collect() + [r for w in written[1:] for r in w.collect()]]
+    parts = spark.read.parquet("/root/testdata/sf0.01/part.parquet").collect()
+    assert max(sizes) <= 1000 and sum(sizes) == len(rows) and len(parts) > 1000
+    assert {(r.lang, r.key, r.text) for r in rows} == {(lang, f"part_{p.p_partkey}", p.p_name) for p in parts for lang in ("en", "ja") if lang == "en" or p.p_partkey % 3 == 0}
