@@ -27,10 +27,8 @@ BATCH = 32
 SEED = 11
 #: Blocks that go through the network at once, about.
 BLOCKS_AT_ONCE = 20_000
-#: A block's vector knows its first words; the text itself is never cut.
-FIRST_WORDS = 24
-FIRST_LETTERS = 400
 REMEMBERED = 1 << 17
+WORDS_AT_ONCE = 1 << 14
 
 # Names of tags, classes and ids that pages commonly give to what is not their article, and to it.
 ASIDE_NAMES = tuple(
@@ -171,7 +169,8 @@ class Vectors:
 
     def __init__(self) -> None:
         self.paths: dict[tuple, np.ndarray] = {}
-        self.words: dict[str, np.ndarray] = {}
+        self.words: dict[str, int] = {}
+        self.signs = np.zeros((REMEMBERED, WORD_SIZE), np.int8)
 
     def path(self, path: tuple[tuple[str, ...], ...]) -> np.ndarray:
         """Sum over the tokens of a path, those of the innermost tag once more by themselves."""
@@ -186,20 +185,27 @@ class Vectors:
             self.paths[path] = vector
         return vector
 
-    def word(self, word: str) -> np.ndarray:
-        if (vector := self.words.get(word)) is None:
-            if len(self.words) >= REMEMBERED:
+    def sum_of(self, words: list[str]) -> np.ndarray:
+        """Sum of the vectors of words, a bounded number at a time."""
+        total = np.zeros(WORD_SIZE)
+        for at in range(0, len(words), WORDS_AT_ONCE):
+            some = words[at : at + WORDS_AT_ONCE]
+            if len(self.words) + len(some) > REMEMBERED:
                 self.words.clear()
-            vector = self.words[word] = _hashed(word, WORD_SIZE, WORD_SIZE)
-        return vector
+            for word in some:
+                if word not in self.words:
+                    self.signs[len(self.words)] = _hashed(word, WORD_SIZE, WORD_SIZE)
+                    self.words[word] = len(self.words)
+            total += self.signs[[self.words[w] for w in some]].sum(axis=0, dtype=np.int64)
+        return total
 
     def blocks(self, blocks: list[Block]) -> np.ndarray:
-        """A row per block: its path, its first words, and its size, links and signs."""
+        """A row per block: its path, all of its words, and its size, links and signs."""
         rows = np.zeros((len(blocks), PATH_SIZE + WORD_SIZE + 5))
         for row, block in zip(rows, blocks, strict=True):
-            words = block.text[:FIRST_LETTERS].lower().split(" ", FIRST_WORDS)[:FIRST_WORDS]
+            words = block.text.lower().split(" ")
             row[:PATH_SIZE] = self.path(block.path)
-            row[PATH_SIZE : PATH_SIZE + WORD_SIZE] = sum(map(self.word, words)) / (4 * len(words))
+            row[PATH_SIZE : PATH_SIZE + WORD_SIZE] = self.sum_of(words) / (4 * len(words))
             size = len(block.text)
             row[-5:] = np.log1p(size) / 5, min(1.0, block.linked / size), block.text[-1] in ".!?", len(words) < 4, 1
         return rows

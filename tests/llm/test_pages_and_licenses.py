@@ -2,11 +2,12 @@
 
 import re
 
+import numpy as np
 import pytest
 
 from shrinkwise.llm.licenses import NAMES, RULES, SENTENCES, known_sentences, scan, scan_licenses
-from shrinkwise.llm.main_text import extract_main_text, fit_block_labeller
-from shrinkwise.llm.page_blocks import page_blocks
+from shrinkwise.llm.main_text import PATH_SIZE, WORD_SIZE, Vectors, _hashed, extract_main_text, fit_block_labeller
+from shrinkwise.llm.page_blocks import Block, page_blocks
 from shrinkwise.llm.queries import QUERIES
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -47,6 +48,16 @@ def test_given_pages_keep_their_articles(spark):
         assert r.text == "\n".join(inside) and r.n_chars == len(r.text)
 
 
+def test_a_block_is_known_by_all_of_its_words():
+    path, filler = (("html",), ("body",), ("div",)), " ".join(f"w{i % 50}" for i in range(60_000))
+    vectors = Vectors()
+    one, other, again = (vectors.blocks([Block(f"{filler} {end}", path, 0)])[0] for end in ("cookie", "advert", "cookie"))
+    assert (one != other).any() and (one == again).all()
+    words = [f"x{i}" for i in range(200)] * 2
+    mean = sum(_hashed(w, WORD_SIZE, WORD_SIZE) for w in words) / (4 * len(words))
+    assert np.allclose(vectors.blocks([Block(" ".join(words), path, 0)])[0][PATH_SIZE : PATH_SIZE + WORD_SIZE], mean)
+
+
 def licenses_in(text):
     return [f.license for f in scan(text, known_sentences())[0]]
 
