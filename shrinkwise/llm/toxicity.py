@@ -199,7 +199,7 @@ class Matcher:
 
     def __init__(self, lexicon: dict[str, float]):
         self.trie: dict = {}
-        self.halves: set[str] = set()
+        self.halves: dict[int, set[str]] = {}
         self.known: dict[str, float] = {}
         for term, weight in lexicon.items():
             stem, node = term.rstrip("*"), self.trie
@@ -208,8 +208,7 @@ class Matcher:
             node["begins" if term.endswith("*") else "is"] = weight
             if not term.endswith("*") and len(stem) >= MISSPELLED_FROM:
                 # One change leaves one half of a term as it was, at the word's start or at its end.
-                self.halves |= {stem[: len(stem) // 2] + ">", "<" + stem[len(stem) // 2 :]}
-        self.half_lengths = sorted({len(h) - 1 for h in self.halves})
+                self.halves.setdefault(len(stem), set()).update((stem[: len(stem) // 2] + ">", "<" + stem[len(stem) // 2 :]))
 
     def hits(self, words: list[str]) -> list[tuple[int, float]]:
         """Places and weights of the words that match."""
@@ -232,8 +231,10 @@ class Matcher:
         signs = word.lower().strip(".,;:?()[]").translate(LETTER_SIGNS)
         if signs != word.lower() and signs.isalpha() and (weight := self.exact(signs)):
             return weight * MISSPELLED_WEIGHT
-        if any(letters[:k] + ">" in self.halves or "<" + letters[-k:] in self.halves for k in self.half_lengths):
-            return self.misspelled(letters) * MISSPELLED_WEIGHT
+        for size in range(len(letters) - 1, len(letters) + 2):
+            halves, k = self.halves.get(size, ()), size // 2
+            if letters[:k] + ">" in halves or "<" + letters[k - size :] in halves:
+                return self.misspelled(letters) * MISSPELLED_WEIGHT
         return 0.0
 
     def exact(self, letters: str) -> float:
