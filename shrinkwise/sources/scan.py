@@ -122,8 +122,6 @@ def scan_archives(spark: SparkSession, root: str, with_content: bool = True) ->
 
 
 IMAGE_SCHEMA = "path string, ext string, width int, height int, channels int, mode string, decodable boolean"
-#: The size of a raster stands within its first bytes, but for what a camera puts in front.
-HEAD_BYTES = 512 * 1024
 # PNG colour types and JPEG component counts, and JPEG's frame markers.
 PNG_MODES = {0: ("L", 1), 2: ("RGB", 3), 3: ("P", 1), 4: ("LA", 2), 6: ("RGBA", 4)}
 JPEG_MODES = {1: "L", 3: "RGB", 4: "CMYK"}
@@ -145,10 +143,28 @@ def image_header(head: bytes) -> tuple[int, int, int, str] | None:
     return None
 
 
+def file_image_header(path: str) -> tuple[int, int, int, str] | None:
+    """image_header of a file, whatever stands before its frame: segments of a JPEG file are skipped unread."""
+    where, inner = open_root(path)
+    with where.open_input_file(inner) as file:
+        head = file.read(26)
+        if head[:2] != b"\xff\xd8":
+            return image_header(head)
+        at = 2
+        while True:
+            file.seek(at)
+            head = file.read(10)
+            if len(head) < 10 or head[0] != 0xFF:
+                return None
+            if head[1] in FRAME_MARKERS:
+                return image_header(b"\xff\xd8" + head)
+            at += 2 + int.from_bytes(head[2:4], "big") if head[1] != 0xFF else 1
+
+
 def scan_images(spark: SparkSession, root: str, drop_invalid: bool = False) -> DataFrame:
     """Width, height, channels and mode of raster files, from their headers; no pixel is decoded.
 
-    Files are opened by path on executors for their first bytes only. What is no PNG or JPEG
+    Files are opened by path on executors, for their first bytes and the starts of JPEG segments only. What is no PNG or JPEG
     file, or cannot be opened, shows -1 unless dropped.
     """
     files = list_tree(spark, root).where(F.col("ext").isin(*RASTER_EXTS)).select("path", "ext")
@@ -158,7 +174,7 @@ def scan_images(spark: SparkSession, root: str, drop_invalid: bool = False) -> D
             rows = []
             for path, ext in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 try:
-                    found = image_header(read_head(path, HEAD_BYTES))
+                    found = file_image_header(path)
                 except Exception:  # noqa: BLE001 - shown as undecodable
                     found = None
                 width, height, channels, mode = found or (-1, -1, -1, None)

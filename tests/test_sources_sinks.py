@@ -175,3 +175,15 @@ def test_one_failing_file_does_not_stop_the_others(spark):
     rows = {r.id: (r.ok, r.out_size, r.error) for r in payloads.transform_payloads(df, {"a": handler}).collect()}
     assert rows == {1: (False, None, "RuntimeError: broken"), 2: (True, 1, None), 3: (None, None, None)}
     assert payloads.transform_payloads(df, {"a": handler}, keep_unhandled=False).count() == 2
+
+
+def test_a_frame_behind_large_segments_is_found(tmp_path):
+    from shrinkwise.sources.scan import file_image_header
+
+    frame = b"\xff\xc0\x00\x11\x08" + (30).to_bytes(2, "big") + (40).to_bytes(2, "big") + b"\x03" + bytes(9)
+    segment = b"\xff\xe1\xff\xff" + bytes(0xFFFD)
+    for n in (0, 1, 20):
+        (tmp_path / "a.jpg").write_bytes(b"\xff\xd8" + n * segment + frame + b"\xff\xd9")
+        assert file_image_header(str(tmp_path / "a.jpg")) == (40, 30, 3, "RGB")
+    (tmp_path / "a.jpg").write_bytes(b"\xff\xd8" + 20 * segment)
+    assert file_image_header(str(tmp_path / "a.jpg")) is None
