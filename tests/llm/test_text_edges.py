@@ -4,11 +4,14 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
+from shrinkwise.llm.contamination import mark_contaminated
 from shrinkwise.llm.embedding_pairs import embedding_near_duplicates
 from shrinkwise.llm.exact_dedup import exact_duplicates
+from shrinkwise.llm.fill_in_middle import fill_in_middle, restore_files
 from shrinkwise.llm.licenses import scan_licenses
 from shrinkwise.llm.main_text import extract_main_text, fit_block_labeller
 from shrinkwise.llm.packing import pack_files
+from shrinkwise.llm.periodic_runs import find_periodic_runs
 from shrinkwise.llm.piece_codec import decode_files, encode_files, load_piece_model
 from shrinkwise.llm.quality import score_quality
 from shrinkwise.llm.simhash import simhash_near_duplicates
@@ -57,6 +60,9 @@ OPERATORS = {
     "licenses": scan_licenses,
     "main_text": main_text,
     "quality": quality,
+    "contamination": lambda files: mark_contaminated(files, files, item_id="rel_path"),
+    "periodic_runs": find_periodic_runs,
+    "fill_in_middle": lambda files: restore_files(fill_in_middle(files)),
 }
 
 
