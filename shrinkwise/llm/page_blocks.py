@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 from html.parser import HTMLParser
 from typing import NamedTuple
 
@@ -26,27 +27,81 @@ _NAME = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s")
 
 
+class Path:
+    """Tags around a block, as the innermost one and the path outside of it: equal paths of a tree are one object.
+
+    `fresh` are the tokens (tag, class and id names) that no outer tag has. `vector` is for whoever reads paths.
+    """
+
+    __slots__ = ("outer", "tokens", "fresh", "inner", "vector")
+
+    def __init__(self, outer: Path | None, tokens: tuple[str, ...], fresh: tuple[str, ...]):
+        self.outer, self.tokens, self.fresh = outer, tokens, fresh
+        self.inner: dict[tuple[str, ...], Path] = {}
+        self.vector = None
+
+    def tags(self) -> list[tuple[str, ...]]:
+        """Tokens of every tag, from the outside in."""
+        found, at = [], self
+        while at.outer is not None:
+            found.append(at.tokens)
+            at = at.outer
+        return found[::-1]
+
+
+class PathTree:
+    """Paths met so far, from an empty one on."""
+
+    def __init__(self) -> None:
+        self.root, self.size = Path(None, (), ()), 0
+
+    def within(self, outer: Path, tokens: tuple[str, ...], open_tokens: dict[str, int]) -> Path:
+        """The path one tag further in; `open_tokens` tells which tokens its outer path has."""
+        if (found := outer.inner.get(tokens)) is None:
+            fresh = tuple({t: None for t in tokens if not open_tokens.get(t)})
+            found = outer.inner[tokens] = Path(outer, tokens, fresh)
+            self.size += 1
+        return found
+
+    def path(self, tags: Iterable[tuple[str, ...]]) -> Path:
+        """The path of some tags from the outside in."""
+        at, seen = self.root, {}
+        for tokens in tags:
+            at = self.within(at, tokens, seen)
+            seen.update(dict.fromkeys(tokens, 1))
+        return at
+
+
 class Block(NamedTuple):
-    """Text without needless white space, tokens of the tags around it from the outside in, letters in links."""
+    """Text without needless white space, the tags around it, letters in links."""
 
     text: str
-    path: tuple[tuple[str, ...], ...]
+    path: Path
     linked: int
 
 
 class _Reader(HTMLParser):
-    def __init__(self) -> None:
+    """Collects blocks. Places of open tags are kept by name, so what a tag closes is known without a search."""
+
+    def __init__(self, tree: PathTree) -> None:
         super().__init__(convert_charrefs=True)
-        self.blocks: list[Block] = []
-        self.open: list[tuple[str, tuple[str, ...]]] = []
+        self.tree, self.blocks = tree, []
+        self.open: list[tuple[str, Path]] = []
+        self.places: dict[str, list[int]] = {}
+        self.scopes: list[int] = []
+        self.tokens: dict[str, int] = {}
         self.held: list[str] = []
         self.linked = self.links = self.silent = 0
 
+    def path(self) -> Path:
+        return self.open[-1][1] if self.open else self.tree.root
+
     def flush(self) -> None:
-        text = " ".join("".join(self.held).split())
-        if text:
-            self.blocks.append(Block(text, tuple(tokens for _, tokens in self.open), self.linked))
-        self.held, self.linked = [], 0
+        if self.held:
+            text = " ".join("".join(self.held).split())
+            if text:
+                self.blocks.append(Block(text, self.path(), self.linked))
+            self.held, self.linked = [], 0
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in BLOCK_TAGS:
@@ -59,17 +114,25 @@ class _Reader(HTMLParser):
             self.held.append(" ")
         if tag in VOID_TAGS:
             return
-        names = " ".join(v or "" for k, v in attrs if k in ("class", "id", "role"))
-        self.open.append((tag, (tag, *(f".{n}" for n in _NAME.findall(names.lower())))))
+        tokens = (tag,)
+        for k, v in attrs:
+            if v and k in ("class", "id", "role"):
+                tokens += tuple([f".{n}" for n in _NAME.findall(v.lower())])
+        path = self.tree.within(self.path(), tokens, self.tokens)
+        self.places.setdefault(tag, []).append(len(self.open))
+        if tag in SCOPES:
+            self.scopes.append(len(self.open))
+        self.open.append((tag, path))
+        for t in tokens:
+            self.tokens[t] = self.tokens.get(t, 0) + 1
         self.links += tag == "a"
         self.silent += tag in SILENT_TAGS
 
     def handle_endtag(self, tag: str) -> None:
         if tag in BLOCK_TAGS:
             self.flush()
-        if any(t == tag for t, _ in self.open):
-            while self._pop() != tag:
-                pass
+        if self.places.get(tag):
+            self._pop_to(self.places[tag][-1])
 
     def handle_data(self, data: str) -> None:
         if not self.silent:
@@ -79,24 +142,28 @@ class _Reader(HTMLParser):
 
     def _close(self, tags: tuple[str, ...]) -> None:
         """Closes the innermost of the tags within the nearest scope, and what is open in it."""
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i][0] in tags:
-                while len(self.open) > i:
-                    self._pop()
-                return
-            if self.open[i][0] in SCOPES:
-                return
-
-    def _pop(self) -> str:
-        tag, _ = self.open.pop()
-        self.links -= tag == "a"
-        self.silent -= tag in SILENT_TAGS
-        return tag
-
-
-def page_blocks(html: str | None) -> list[Block]:
-    """Blocks of a page in order. Character references are decoded; markup that is never closed ends with the page."""
-    reader = _Reader()
+        at = max((self.places[t][-1] for t in tags if self.places.get(t)), default=-1)
+        if at >= 0 and (not self.scopes or at > self.scopes[-1]):
+            self._pop_to(at)
+
+    def _pop_to(self, place: int) -> None:
+        while len(self.open) > place:
+            tag, path = self.open.pop()
+            self.places[tag].pop()
+            if tag in SCOPES:
+                self.scopes.pop()
+            for t in path.tokens:
+                self.tokens[t] -= 1
+            self.links -= tag == "a"
+            self.silent -= tag in SILENT_TAGS
+
+
+def page_blocks(html: str | None, tree: PathTree | None = None) -> list[Block]:
+    """Blocks of a page in order. Character references are decoded; markup that is never closed ends with the page.
+
+    Pages that are read with one `tree` share their paths.
+    """
+    reader = _Reader(tree or PathTree())
     reader.feed(html or "")
     reader.close()
     reader.flush()

@@ -1,13 +1,17 @@
 """Main text of pages and licence findings on hand-made cases."""
 
 import re
+import time
+import tracemalloc
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from shrinkwise.llm.licenses import NAMES, RULES, SENTENCES, known_sentences, scan, scan_licenses
 from shrinkwise.llm.main_text import PATH_SIZE, WORD_SIZE, Vectors, _hashed, extract_main_text, fit_block_labeller
-from shrinkwise.llm.page_blocks import Block, page_blocks
+from shrinkwise.llm import main_text
+from shrinkwise.llm.page_blocks import Block, PathTree, page_blocks
 from shrinkwise.llm.queries import QUERIES
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -17,7 +21,7 @@ TEXT = "A sentence of the article with a good number of words in it."
 def test_blocks_decode_join_and_split():
     html = "<ul><li>one<li>two &amp; &eacute;</ul><p>a <b>b</b>\n c<br>d<p>e<script>var x='<p>no</p>'</script><!-- no --><div>f</div>g"
     assert [b.text for b in page_blocks(html)] == ["one", "two & é", "a b c d", "e", "f", "g"]
-    assert [b.path[-1] for b in page_blocks(html)[:3]] == [("li",), ("li",), ("p",)]
+    assert [b.path.tokens for b in page_blocks(html)[:3]] == [("li",), ("li",), ("p",)]
     assert page_blocks(None) == [] and page_blocks("<p>") == []
 
 
@@ -39,22 +43,70 @@ def test_other_templates(spark, labeller, opening, closing):
     assert extract_main_text(files, labeller).first().text == f"Heading\n{TEXT}\nShort."
 
 
+def test_a_long_page_in_turns_has_the_labels_of_one_turn(labeller, monkeypatch):
+    rng = np.random.default_rng(1)
+    parts = ["<nav><a>Menu</a></nav>", f"<article><p>{TEXT}</p>", "</article>", f"<aside><p>{TEXT}</p></aside>", f"<div>{TEXT}</div>"]
+    pages = [page_blocks("".join(rng.choice(parts, size=n))) for i in range(4) for n in (3, 40, 900)]
+    whole = labeller.labels(pages, main_text.Vectors())
+    for most in (7, 64, 1000):
+        monkeypatch.setattr(main_text, "BLOCKS_AT_ONCE", most)
+        again = labeller.labels(pages, main_text.Vectors())
+        assert all((a == b).all() for a, b in zip(whole, again, strict=True))
+
+
+@pytest.mark.parametrize("shape", ["unclosed", "deep list", "long"])
+def test_memory_and_time_are_in_proportion_to_a_page(labeller, shape):
+    html = {
+        "unclosed": '<div class="c">x ' * 20_000,
+        "deep list": "<ul>" + "<b>" * 20_000 + "<li>x</li>" * 20_000,
+        "long": "<p>some words here.</p>" * 20_000,
+    }[shape]
+    started, vectors = time.monotonic(), main_text.Vectors()
+    tracemalloc.start()
+    blocks = page_blocks(html, vectors.tree)
+    labels = labeller.labels([blocks], vectors)[0]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(labels) == len(blocks) == 20_000
+    assert peak < 60e6 and time.monotonic() - started < 120
+
+
+def test_training_takes_bounded_excerpts_of_repeated_huge_pages(spark):
+    page = "<article><p>" + "many words " * 40_000 + "</p></article>" + "<div>" * 3000 + "deep"
+    files = spark.range(60).select(F.lit("same.html").alias("rel_path"), F.lit(page).alias("content"))
+    seen = []
+    labeller = fit_block_labeller(files, sample_pages=8)
+    assert labeller.weights
+    original, main_text._train = main_text._train, lambda pages, tree: seen.append(pages)
+    try:
+        fit_block_labeller(files, sample_pages=8)
+    finally:
+        main_text._train = original
+    assert len(seen[0]) == 8 and max(len(b.text) for p in seen[0] for b in p) <= main_text.SAMPLE_CHARS
+
+
+def test_bytes_of_scanned_pages_are_decoded(spark, labeller):
+    html = f"<html><body><article><p>{TEXT} naïve</p></article></body></html>"
+    files = spark.createDataFrame([("a", html.encode()), ("b", html.encode("cp1252")), ("c", None)], "rel_path string, content binary")
+    assert {r.rel_path: r.text for r in extract_main_text(files, labeller).collect()} == {"a": f"{TEXT} naïve", "b": f"{TEXT} naïve", "c": ""}
+
+
 def test_given_pages_keep_their_articles(spark):
     rows = QUERIES["op8_main_text"](spark, SF_DIR).collect()
     pages = {r.page_id: r.html for r in spark.read.parquet(f"{SF_DIR}/pages.parquet").collect()}
     assert len(rows) == len(pages)
     for r in rows:
-        inside = [b.text for b in page_blocks(pages[r.page_id]) if ("article",) in b.path]
+        inside = [b.text for b in page_blocks(pages[r.page_id]) if ("article",) in b.path.tags()]
         assert r.text == "\n".join(inside) and r.n_chars == len(r.text)
 
 
 def test_a_block_is_known_by_all_of_its_words():
-    path, filler = (("html",), ("body",), ("div",)), " ".join(f"w{i % 50}" for i in range(60_000))
+    path, filler = PathTree().path((("html",), ("body",), ("div",))), " ".join(f"w{i % 50}" for i in range(60_000))
     vectors = Vectors()
     one, other, again = (vectors.blocks([Block(f"{filler} {end}", path, 0)])[0] for end in ("cookie", "advert", "cookie"))
     assert (one != other).any() and (one == again).all()
     words = [f"x{i}" for i in range(200)] * 2
-    mean = sum(_hashed(w, WORD_SIZE, WORD_SIZE) for w in words) / (4 * len(words))
+    mean = sum(_hashed([w], WORD_SIZE)[0].astype(int) for w in words) / (4 * len(words))
     assert np.allclose(vectors.blocks([Block(" ".join(words), path, 0)])[0][PATH_SIZE : PATH_SIZE + WORD_SIZE], mean)
 
 
