@@ -13,7 +13,8 @@ def labelled_sample(files: DataFrame, labels: DataFrame, rel_path: str, text: st
     """(key, text, label, weight): at most `most` labelled files of each label, 0 and 1, chosen by a hash of rel_path.
 
     weight is how many labelled rows each row stands for. The sample's keys are bounded by 2 x `most` rows, so they
-    are broadcast and the texts are filtered where they are read. Labels other than 0 and 1, and null keys, are left out.
+    are broadcast and the texts are filtered where they are read. Where files or labels share keys, those rows are numbered
+    and `most` of each label stay. Labels other than 0 and 1, and null keys, are left out.
     """
     known = labels.where(F.col(label).isin(0, 1) & F.col(rel_path).isNotNull())
     known = known.select(F.col(rel_path).alias("key"), F.col(label).cast("int").alias("label"))
@@ -26,7 +27,11 @@ def labelled_sample(files: DataFrame, labels: DataFrame, rel_path: str, text: st
         parts = [known.limit(0).withColumn("weight", F.lit(1.0))]
     chosen = parts[0].union(parts[1]) if len(parts) > 1 else parts[0]
     texts = files.select(F.col(rel_path).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return saved_table(texts.join(F.broadcast(chosen), "key"), "sample")
+    found = texts.join(F.broadcast(chosen), "key").withColumn("number", F.monotonically_increasing_id())
+    found = saved_table(found, "labelled")
+    numbers = [found.where(F.col("label") == y).select("number").orderBy(F.xxhash64("key", "number"), "number").limit(most) for y in (0, 1)]
+    kept = found.join(F.broadcast(numbers[0].union(numbers[1])), "number", "left_semi")
+    return saved_table(kept.select("key", "text", "label", "weight"), "sample")
 
 
 def logistic_fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-2, rounds: int = 50) -> np.ndarray:

@@ -43,8 +43,8 @@ def pack_files(
     """Packs every file's token ids, END_ID last, into sequences of at most `capacity` ids.
 
     Returns a row per piece: (rel_path, start, length, ids_crc32, doc_tokens, sequence_id, offset). A text is
-    cut after every `capacity` ids, so all pieces but a text's last fill a sequence. Pieces are dealt into
-    random groups by a hash of (rel_path, start), about `group_pieces` in each, and each group is packed by
+    cut after every `capacity` ids, so all pieces but a text's last fill a sequence. Pieces are numbered and dealt into
+    random groups by a hash of their numbers, about `group_pieces` in each also where rel_path repeats, and each group is packed by
     first-fit decreasing: longest piece first, into the first sequence with room, which a tournament tree
     over the rooms finds in logarithmic time. Offsets run without gaps from 0; padding follows the pieces
     and comes to less than one sequence in a group besides what no piece fits.
@@ -55,18 +55,20 @@ def pack_files(
     """
     pieces = saved_table(_pieces(files, tokenizer, rel_path, text, capacity), "pieces")
     groups = max(1, -(-pieces.count() // group_pieces))
-    group = F.pmod(F.xxhash64(rel_path, "start"), F.lit(groups)).alias("_group")
+    numbered = pieces.select(F.monotonically_increasing_id().alias("_piece"), rel_path, "start", "length", "ids_crc32", "doc_tokens")
+    group = F.pmod(F.xxhash64("_piece"), F.lit(groups))
     schema = fields(pieces, [rel_path], "start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = pa.Table.from_batches(list(batches))
+        # In the order of numbers, so that a task that is run again packs alike.
+        rows = pa.Table.from_batches(list(batches)).sort_by("_piece").drop_columns(["_piece"])
         lengths, at = rows.column("length").to_numpy(), rows.column("_group")[0].as_py()
         bins, offsets = first_fit_decreasing(lengths, capacity)
         out = rows.drop_columns(["_group"])
         out = out.append_column("sequence_id", pa.array((np.int64(at) << 32) + bins, pa.int64()))
         yield from out.append_column("offset", pa.array(offsets, pa.int64())).to_batches()
 
-    return pieces.select(rel_path, "start", "length", "ids_crc32", "doc_tokens", group).groupBy("_group").applyInArrow(pack, schema)
+    return numbered.withColumn("_group", group).groupBy("_group").applyInArrow(pack, schema)
 
 
 def _pieces(files: DataFrame, tokenizer: str, rel_path: str, text: str, capacity: int) -> DataFrame:

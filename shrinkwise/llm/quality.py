@@ -22,6 +22,9 @@ DIMENSIONS = 96
 NONZERO = 6
 #: Words with vectors of their own at most; others share the vector of their form.
 VOCABULARY = 8_000
+#: Forms with vectors at most, the most frequent ones, and the characters of a form; longer forms share its beginning.
+FORMS = 16_000
+FORM_CHARS = 12
 #: Words before and after a word that make its context.
 REACH = 2
 HIDDEN = 24
@@ -82,14 +85,14 @@ def index_vector(word: str) -> np.ndarray:
 def form(word: str) -> str:
     """Kinds of characters in their order, each run once; signs as they are."""
     word = _LETTERS.sub("a", word)
-    return "~" + _DIGITS.sub("0", _CAPITALS.sub("A", word))[:12]
+    return "~" + _DIGITS.sub("0", _CAPITALS.sub("A", word))[:FORM_CHARS]
 
 
 def word_vectors(sample: DataFrame) -> dict[str, np.ndarray]:
     """Vectors of the most frequent words of the sample, and of their forms.
 
     Workers count neighbours of words in their texts; Spark adds the counts up. Contexts are the words around a
-    word, by their form if they are rare; both tables are bounded by the sample and the vocabulary.
+    word, by their form if they are rare. The words are bounded by VOCABULARY and the forms by FORMS, whatever the texts.
     """
     words = sample.select(F.explode(F.split("text", r"\s+")).alias("word")).where("word != ''")
     ranked = words.groupBy("word").count().orderBy(F.desc("count"), "word").limit(VOCABULARY)
@@ -104,7 +107,7 @@ def word_vectors(sample: DataFrame) -> dict[str, np.ndarray]:
             names = [w if w in known else f for w, f in zip(words, forms, strict=True)]
             texts.append([np.array([places.setdefault(w, len(places)) for w in own], np.int64) for own in (names, forms)])
         index = np.array([index_vector(w) for w in places]).reshape(-1, DIMENSIONS)
-        totals = np.zeros_like(index)
+        totals, as_form = np.zeros_like(index), np.zeros(len(index), np.int64)
         for names, forms in texts:
             around = np.zeros((len(names), DIMENSIONS))
             for k in range(1, min(REACH, len(names) - 1) + 1):
@@ -112,12 +115,15 @@ def word_vectors(sample: DataFrame) -> dict[str, np.ndarray]:
                 around[k:] += index[names[:-k]]
             for own in (names, forms):
                 add_rows(totals, own, around)
-        return {"word": list(places), "vector": totals.tolist()}
+            as_form += np.bincount(forms, minlength=len(index))
+        return {"word": list(places), "own": [w in known for w in places], "n": as_form, "vector": totals.tolist()}
 
-    parts = map_batches(sample.select("text").repartition(8), run, fields(sample, [], "word string, vector array<double>"))
-    sums = parts.groupBy("word").agg(*[F.sum(F.col("vector")[i]).alias(f"v{i}") for i in range(DIMENSIONS)])
+    parts = map_batches(sample.select("text").repartition(8), run, fields(sample, [], "word string, own boolean, n bigint, vector array<double>"))
+    sums = parts.groupBy("word").agg(F.max("own").alias("own"), F.sum("n").alias("n"), *[F.sum(F.col("vector")[i]).alias(f"v{i}") for i in range(DIMENSIONS)])
+    sums = saved_table(sums, "vectors")
+    kept = sums.where("own").unionByName(sums.where("not own").orderBy(F.desc("n"), "word").limit(FORMS)).drop("own", "n")
     out = {}
-    for row in saved_table(sums, "vectors").collect():
+    for row in kept.orderBy("word").collect():
         vector = np.array(row[1:])
         out[row[0]] = (vector / max(np.linalg.norm(vector), 1e-9) + 0.5 * index_vector(row[0])).astype(np.float32)
     return out

@@ -20,8 +20,12 @@ from shrinkwise.session import saved_table
 WINDOW = 35
 #: Words of the sequences among which a window's minimiser is found.
 GRAM = 4
-#: Super-k-mers of one minimiser above which its windows are counted one by one, by their digests.
-BUCKET = 4096
+#: Windows in the different super-k-mers of one minimiser above which they are counted one by one, by their digests.
+BUCKET = 1 << 16
+#: Windows of a super-k-mer at most; one that goes on, where few words repeat, is cut into stretches.
+STRETCH = 512
+#: Bytes of a word above which its SHA-256 stands for it in a bucket.
+LONG_WORD = 64
 #: A minimiser's hash and its place share 64 bits; longer texts are gone through in overlapping parts.
 PLACE_BITS = 20
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -48,8 +52,8 @@ def remove_repeated_passages(
     counted over all texts, go on. Equal super-k-mers (SHA-256) are counted: with a second copy all their
     windows are repeated. Of minimisers with different super-k-mers, or one that overlaps itself, one packed
     string per kind travels to the minimiser's bucket, where its windows are sorted and counted with the
-    copies' weight. Windows of a minimiser with more than `bucket` kinds are counted by their SHA-256 instead, in
-    an aggregation, so no task holds more than a bucket.
+    copies' weight. Windows of a minimiser whose kinds have more than `bucket` windows are counted by their SHA-256 instead, in
+    an aggregation, so no task holds more than a bucket; a kind has at most STRETCH windows.
 
     Null and empty texts have no words. Rows are told apart by rel_path and text; equal rows repeat each
     other, so all of their windows go. Other columns are ignored, whatever their names. No rows give none.
@@ -109,8 +113,14 @@ def _part_kmers(words: list[bytes], window: int, at: int) -> np.ndarray:
     right = sliding_min(mixed | (top - place), window - gram + 1)
     value = left >> np.uint64(PLACE_BITS)
     first = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]]))
-    last = np.concatenate([first[1:], [len(value)]]) - 1
-    weight = 1 + ((left[first] & top) != top - (right[last] & top))
+    size = np.diff(np.append(first, len(value)))
+    weight = 1 + ((left[first] & top) != top - (right[first + size - 1] & top))
+    # Stretches keep the weight of the whole: it has its minimiser more than once.
+    stretches = -(-size // STRETCH)
+    of = np.repeat(np.arange(len(first)), stretches)
+    nth = np.arange(len(of)) - np.repeat(np.cumsum(stretches) - stretches, stretches)
+    last = np.minimum(first[of] + (nth + 1) * STRETCH, first[of] + size[of]) - 1
+    first, weight = first[of] + nth * STRETCH, weight[of]
     return np.stack([value[first].astype(np.int64), first + at, last + at, weight])
 
 
@@ -151,9 +161,10 @@ def _kinds(suspects: DataFrame, window: int) -> tuple[DataFrame, DataFrame]:
 
 def _bucket_spans(suspects: DataFrame, kinds: DataFrame, window: int, bucket: int) -> DataFrame:
     """Spans (_id, first, last) of repeated windows in super-k-mers that have no second copy."""
-    values = kinds.groupBy("value").agg(F.count(F.lit(1)).alias("n"), F.max("weight").alias("most"))
+    windows = F.sum(F.col("last") - F.col("first") + 1).alias("windows")
+    values = kinds.groupBy("value").agg(F.count(F.lit(1)).alias("n"), windows, F.max("weight").alias("most"))
     values = values.where("n > 1 or most > 1")
-    values = saved_table(values.select("value", (F.col("n") > bucket).alias("large")), "values")
+    values = saved_table(values.select("value", (F.col("windows") > bucket).alias("large")), "values")
     # Equal rows have the same _id and the same text: one of them is enough to cut from.
     texts = suspects.dropDuplicates(["_id"]).select("_id", "_text")
 
@@ -163,7 +174,7 @@ def _bucket_spans(suspects: DataFrame, kinds: DataFrame, window: int, bucket: in
         def run(batch: pa.RecordBatch) -> dict[str, object]:
             rows, strings, out = [], [], []
             for i, (text, all_sent) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
-                words = text.encode().split()
+                words = [w if len(w) <= LONG_WORD else b"\t" + hashlib.sha256(w).hexdigest().encode() for w in text.encode().split()]
                 for s in all_sent:
                     step = 1 if large else s["last"] - s["first"] + 1
                     for first in range(s["first"], s["last"] + 1, step):

@@ -18,8 +18,9 @@ from shrinkwise.session import saved_table
 
 #: Labelled files of each label from which the lexicon and the scorer are learned, at most.
 SAMPLE_ROWS = 3000
-#: Terms in the lexicon at most; toxic files that have a term, and its evidence (the G statistic of its uses), at least.
+#: Terms in the lexicon at most, and terms, or words behind a beginning, that are looked at for it; toxic files that have a term, and its evidence (the G statistic of its uses), at least.
 LEXICON_TERMS = 400
+CANDIDATES = 20_000
 LEAST_FILES = 4
 LEAST_EVIDENCE = 40.0
 LEAST_ODDS = 1.5
@@ -129,7 +130,7 @@ def learn_lexicon(sample: DataFrame) -> dict[str, float]:
     gain = lambda y, part: F.when(F.col(f"all_{y}") > 0, F.col(f"all_{y}") * F.log(F.col(f"all_{y}") / (both * part))).otherwise(0.0)
     scored = terms.where(f"term != '' and once_1 >= {LEAST_FILES}")
     scored = scored.select("term", (2 * (gain(1, share) + gain(0, 1 - share))).alias("g"), F.log(rates[1] / rates[0]).alias("odds"))
-    best = scored.where((F.col("odds") >= LEAST_ODDS) & (F.col("g") >= LEAST_EVIDENCE)).orderBy(F.desc("g"), "term").limit(50 * LEXICON_TERMS).collect()
+    best = scored.where((F.col("odds") >= LEAST_ODDS) & (F.col("g") >= LEAST_EVIDENCE)).orderBy(F.desc("g"), "term").limit(CANDIDATES).collect()
     chosen: dict[str, float] = {}
     for row in sorted(best, key=lambda r: (-round(r["g"], 6), r["term"].endswith("*"), -len(r["term"]))):
         term = row["term"]
@@ -141,7 +142,8 @@ def learn_lexicon(sample: DataFrame) -> dict[str, float]:
     behind = [F.when(b.isin(stems[k]), b) for k, b in zip(STEM_LENGTHS, begun, strict=True) if stems[k]]
     if behind:
         words = terms.where(f"once_1 > 0 and length(term) >= {MISSPELLED_FROM} and not endswith(term, '*')").where(F.log(rates[1] / rates[0]) >= LEAST_ODDS)
-        for word, stem in words.select("term", F.coalesce(*behind).alias("stem")).where("stem is not null").collect():
+        words = words.select("term", "once_1", F.coalesce(*behind).alias("stem")).where("stem is not null")
+        for word, _, stem in words.orderBy(F.desc("once_1"), "term").limit(CANDIDATES).collect():
             chosen[word] = chosen[stem]
     return chosen
 

@@ -130,6 +130,28 @@ def test_no_task_holds_all_copies_of_a_window(spark, monkeypatch):
     assert all(r.kept.split() == [w for w in texts[r.rel_path] if w[0] != "p"] for r in out)
 
 
+def test_a_long_repeated_word_is_cut_into_stretches():
+    runs = substring_dedup.super_kmers([b"word"] * 100_000, WINDOW)
+    value, first, last, weight = runs
+    assert (last - first + 1).max() <= substring_dedup.STRETCH and set(weight.tolist()) == {2} and len(set(value.tolist())) == 1
+    assert first[0] == 0 and last[-1] == 100_000 - WINDOW and (first[1:] == last[:-1] + 1).all()
+
+
+def test_no_bucket_has_more_windows_than_its_bound(spark, monkeypatch):
+    def held(rows, window, inner=substring_dedup.repeated_windows):
+        if sum(len(r["packed"].split(b" ")) - window + 1 for r in rows) > 2000:
+            raise ValueError("too many windows in one group")
+        return inner(rows, window)
+
+    monkeypatch.setattr(substring_dedup, "repeated_windows", held)
+    long = "x" * 5000
+    texts = [[f"a{i}", *["word"] * (9000 + i)] for i in range(4)] + [[f"b{i}", *[long, "y"] * 40] for i in range(2)] + [[f"u{i}" for i in range(60)]]
+    files = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "rel_path bigint, text string")
+    out = {r.rel_path: r for r in remove_repeated_passages(files, bucket=2000).collect()}
+    assert [(out[i].n_words, out[i].n_removed, out[i].kept) for i in range(4)] == [(9001 + i, 9000 + i, f"a{i}") for i in range(4)]
+    assert [(out[i].n_removed, out[i].kept) for i in (4, 5, 6)] == [(80, "b0"), (80, "b1"), (0, " ".join(texts[6]))]
+
+
 def test_an_untouched_text_can_stay_as_it_was(spark):
     files = spark.createDataFrame([(1, "a  b\nc", "en")], "rel_path bigint, text string, lang string")
     assert remove_repeated_passages(files, whole=True, carry=["lang"]).first() == (1, 3, 0, "a  b\nc", "en")

@@ -1,8 +1,12 @@
 """Learned scores on held-out labels, and the matching behind them."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
+from shrinkwise.llm import quality
+from shrinkwise.llm.learning import labelled_sample
 from shrinkwise.llm.queries import QUERIES
 from shrinkwise.llm.toxicity import QUOTED_WEIGHT, Matcher, accepts, context_weight, learn_lexicon, start, step
 
@@ -25,6 +29,22 @@ def test_held_out_labels_are_told_apart(spark, query, label, least):
     assert scored.where("predicted != cast(score >= 0.3 as int)").count() == 0
 
 
+def test_a_sample_is_bounded_where_files_and_labels_repeat(spark):
+    files = spark.range(3000).select((F.col("id") % 3).alias("rel_path"), F.concat_ws(" ", F.lit("text"), "id").alias("text"))
+    labels = spark.createDataFrame([(0, 1), (0, 1), (1, 0), (2, 0), (None, 1), (2, 7)], "rel_path bigint, toxic int")
+    sample = labelled_sample(files, labels, "rel_path", "text", "toxic", 100)
+    assert {r.label: r["count"] for r in sample.groupBy("label").count().collect()} == {0: 100, 1: 100}
+
+
+def test_forms_of_junk_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(quality, "FORMS", 50)
+    junk = "".join(chr(0x2200 + k) for k in range(40))
+    rng = random.Random(2)
+    texts = [" ".join("".join(rng.choices(junk, k=6)) for _ in range(50)) + " plain Words 12" for _ in range(40)]
+    vectors = quality.word_vectors(spark.createDataFrame([(t,) for t in texts], "text string"))
+    assert len(vectors) == 50 + 3 and {"~a", "~0", "plain", "Words", "12"} <= vectors.keys()
+
+
 def test_the_automaton_accepts_one_change():
     def read(word, term):
         state = start(word)

@@ -6,6 +6,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 import sentencepiece
 from tokenizers import Tokenizer
 
@@ -60,6 +61,12 @@ def test_packed_sequences_hold_every_id_once(spark, group):
         assert [a for a, _ in ends] == [0, *[b for _, b in ends[:-1]]] and ends[-1][1] <= 256
 
 
+def test_repeated_and_null_paths_are_dealt_over_groups(spark):
+    files = spark.range(3000).select(F.when(F.col("id") % 2 == 0, "same").alias("rel_path"), F.concat_ws(" ", F.lit("word"), "id").alias("text"))
+    sequences = pack_files(files, WORDS, capacity=64, group_pieces=100).groupBy((F.col("sequence_id") / 2**32).cast("int")).count()
+    assert sequences.count() == 30 and sequences.agg(F.max("count")).first()[0] < 160
+
+
 @pytest.fixture(scope="module")
 def model():
     return load_piece_model(PIECES)
