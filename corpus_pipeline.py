@@ -21,10 +21,13 @@ from shrinkwise.llm.toxicity import fit_toxicity, score_toxicity
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """Documents as files: rel_path is the doc_id with the row's place, which orders repeated ids."""
+def numbered(docs: DataFrame, label: str) -> DataFrame:
+    """Documents as files: rel_path is the doc_id with the row's place, which tells repeated ids apart.
+
+    They are a table in the shared folder, so that every later scan sees a row with the same place.
+    """
     place = F.monotonically_increasing_id().alias("place")
-    return docs.select(F.struct("doc_id", place).alias("rel_path"), *COLUMNS)
+    return saved_texts(docs.select(F.struct("doc_id", place).alias("rel_path"), *COLUMNS), label)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,14 +40,14 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents with equal texts, the one with the largest doc_id."""
-    files = numbered(docs)
+    files = numbered(docs, "exact")
     copies = exact_duplicates(files.select("rel_path", "text")).where("not kept").select("rel_path")
     return files.join(copies.hint("merge"), "rel_path", "left_anti").select(*COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates by SimHash, the document with the smallest doc_id."""
-    files = numbered(docs)
+    files = numbered(docs, "near")
     groups = simhash_near_duplicates(files.select("rel_path", "text"))
     copies = groups.where("rel_path != component_id").select("rel_path")
     return files.join(copies.hint("merge"), "rel_path", "left_anti").select(*COLUMNS)
