@@ -75,14 +75,17 @@ def _archive_copies(archives: DataFrame) -> DataFrame:
 def plan_tasks(spark: SparkSession, request: JobRequest, types: Iterable[str] = COMPRESSIBLE_EXTS) -> tuple[DataFrame, DataFrame | None]:
     """All tasks, and the expansion verdicts when archives are opened.
 
-    The folder is listed once. Only files of the given types, and archives that are opened, are read into rows; all
-    others, and archives that are copied, keep just the path of their `source`.
+    The folder is listed once. Only files of the given types are read into rows, dealt to tasks by their bytes; all
+    others, and archives that are copied, keep just the path of their `source`. Archives are opened by path: members of the
+    given types are read by their offsets, all others keep their place in the archive as `source`.
     """
     listed = saved_table(list_tree(spark, request.input_dir), "manifest")
     archives, files = listed.where(~not_archive("ext")), listed.where(not_archive("ext"))
     none = archives.where(F.lit(False))
-    blobs = read_contents(archives if request.extract else none)
-    opened = expand_archives(blobs.select(F.col("rel_path").alias("path"), "content"), request.max_nesting, request.quota)
+    # Repacking needs the bytes of all members; otherwise only handlers do, and the rest are copied from their archives.
+    wanted_types = None if request.repack_archives else list(types)
+    found_archives = (archives if request.extract else none).select(F.col("rel_path").alias("archive"), F.col("path").alias("place"))
+    opened = expand_archives(found_archives, request.max_nesting, request.quota, path="archive", source="place", exts=wanted_types)
     verdicts = None
     if request.extract:
         opened = saved_table(opened, "expanded")
@@ -98,6 +101,7 @@ def plan_tasks(spark: SparkSession, request: JobRequest, types: Iterable[str] =
         file_extension("rel_path").alias("ext"),
         F.col("file_size").alias("orig_size"),
         F.col("payload").alias("content"),
+        "source",
         "notes",
         F.col("error").alias("read_error"),
     )
@@ -161,7 +165,12 @@ def run_job(
     done = transform_payloads(planned_settings(work, request), handlers, key="key", keep_original=True, settings="settings")
     unread = F.col("read_error").isNotNull()
     done = done.withColumns(
-        {"ok": F.when(unread, False).otherwise(F.col("ok")), "error": F.coalesce("read_error", "error"), "processed": F.coalesce("ok", F.lit(False))}
+        {
+            "ok": F.when(unread, False).otherwise(F.col("ok")),
+            "error": F.coalesce("read_error", "error"),
+            "processed": F.coalesce("ok", F.lit(False)),
+            "source": F.when(~unread, F.col("source")),
+        }
     )
     done = final_action(done, F.lit(request.mirror) & ~unread).withColumns(
         {

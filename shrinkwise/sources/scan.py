@@ -2,21 +2,25 @@
 
 from __future__ import annotations
 
+import os
 import posixpath
 import struct
 from collections.abc import Iterable, Iterator
+from datetime import UTC, datetime
+from itertools import islice
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from shrinkwise.config import FALLBACK_LANGUAGE, RASTER_EXTS
 from shrinkwise.functions.paths import base_name, file_extension
+from shrinkwise.operators.balance import by_bytes
 from shrinkwise.operators.routing import not_archive
-from shrinkwise.session import saved_table
+from shrinkwise.session import new_shared_path
 from shrinkwise.sources.storage import open_root, read_head
 from shrinkwise.sources.tables import AUDIT_SCHEMA
 
@@ -33,13 +37,16 @@ LISTED_SCHEMA = T.StructType(
 #: Bytes of a file that may become a value; longer ones are listed, copied by path, and never read into rows.
 MAX_CONTENT = 2_000_000_000
 FLUSH_BYTES = 32 * 1024 * 1024
+#: Entries of a folder in one batch.
+LISTED_PAGE = 10_000
 
 
 def list_tree(spark: SparkSession, root: str) -> DataFrame:
     """All files below `root`, hidden ones too: path, rel_path, name, ext, size, modified.
 
-    Executors list folder by folder, a level of the tree at a time, into tables in the shared folder; the driver
-    sees only whether a level had folders. `root` is a path or a URI that pyarrow opens (file, hdfs, s3, gs). A
+    Executors list folder by folder, a level of the tree at a time; the folders of a level are dealt over all shuffle
+    partitions. All levels are one table in the shared folder; the driver sees only how many folders a level had. A
+    folder's entries are taken a page at a time. `root` is a path or a URI that pyarrow opens (file, hdfs, s3, gs). A
     folder that is not there holds no files.
     """
     arrow = to_arrow_schema(LISTED_SCHEMA)
@@ -48,27 +55,47 @@ def list_tree(spark: SparkSession, root: str) -> DataFrame:
         where, base = open_root(root)
         for batch in batches:
             for folder in batch.column(0).to_pylist():
-                inside = where.get_file_info(fs.FileSelector(posixpath.join(base, folder) if folder else base, allow_not_found=True))
-                rows = [(posixpath.join(folder, i.base_name), i.type == fs.FileType.Directory, i.size, i.mtime) for i in inside]
-                columns = [pa.array([r[k] for r in rows], type=f.type) for k, f in enumerate(arrow)]
-                yield pa.record_batch(columns, schema=arrow)
-
-    level, found = spark.createDataFrame([("",)], "folder string"), None
-    while True:
-        here = saved_table(level.repartition("folder").mapInArrow(listed, LISTED_SCHEMA), "listing")
-        found = here if found is None else found.unionByName(here)
-        level = here.where("is_dir").select(F.col("rel_path").alias("folder"))
-        if level.isEmpty():
-            break
+                found = folder_entries(where, posixpath.join(base, folder) if folder else base)
+                while rows := [(posixpath.join(folder, name), *rest) for name, *rest in islice(found, LISTED_PAGE)]:
+                    columns = [pa.array([r[k] for r in rows], type=f.type) for k, f in enumerate(arrow)]
+                    yield pa.record_batch(columns, schema=arrow)
+
+    table, tasks = new_shared_path(spark, "listing"), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    level, depth, dirs = spark.createDataFrame([("",)], "folder string"), 0, 1
+    while dirs:
+        seen, here = Observation(), f"{table}/level={depth}"
+        found = level.repartition(min(tasks, dirs), "folder").mapInArrow(listed, LISTED_SCHEMA)
+        found.observe(seen, F.count_if("is_dir").alias("dirs")).write.parquet(here)
+        dirs, depth = seen.get["dirs"], depth + 1
+        level = spark.read.schema(LISTED_SCHEMA).parquet(here).where("is_dir").select(F.col("rel_path").alias("folder"))
     path = F.concat(F.lit(root.rstrip("/") + "/"), "rel_path")
-    files = found.where("not is_dir")
+    files = spark.read.schema(LISTED_SCHEMA).parquet(table).where("not is_dir")
     return files.select(path.alias("path"), "rel_path", base_name("rel_path").alias("name"), file_extension("rel_path").alias("ext"), "size", "modified")
 
 
+def folder_entries(where: fs.FileSystem, folder: str) -> Iterator[tuple[str, bool, int, datetime]]:
+    """(name, whether a folder, size, modified) of what is in a folder; local folders are never held whole."""
+    if not isinstance(where, fs.LocalFileSystem):
+        for i in where.get_file_info(fs.FileSelector(folder, allow_not_found=True)):
+            yield i.base_name, i.type == fs.FileType.Directory, i.size, i.mtime
+        return
+    try:
+        found = os.scandir(folder)
+    except FileNotFoundError:
+        return
+    with found:
+        for entry in found:
+            try:
+                about = entry.stat()
+            except FileNotFoundError:  # Gone meanwhile, or a link to nothing.
+                continue
+            yield entry.name, entry.is_dir(), about.st_size, datetime.fromtimestamp(about.st_mtime, UTC)
+
+
 def read_contents(files: DataFrame, path: str = "path", size: str = "size") -> DataFrame:
     """Adds `content` and `read_error`: each file is opened by its path and read whole on an executor.
 
-    A file above MAX_CONTENT, or one that cannot be read, has no content and its error.
+    Files are dealt to tasks by their bytes (by_bytes), however few rows of metadata they are. A file above MAX_CONTENT, or one that cannot be read, has no content and its error.
     """
     schema = T.StructType([*files.schema.fields, T.StructField("content", T.BinaryType()), T.StructField("read_error", T.StringType())])
     arrow = to_arrow_schema(schema)
@@ -93,7 +120,7 @@ def read_contents(files: DataFrame, path: str = "path", size: str = "size") -> D
                     yield pa.record_batch([c.cast(f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
                     first, held, size_held = i + 1, [], 0
 
-    return files.mapInArrow(work, schema)
+    return by_bytes(files, size, (path,)).mapInArrow(work, schema)
 
 
 def suffix_glob(exts: Iterable[str]) -> str:
@@ -167,7 +194,7 @@ def scan_images(spark: SparkSession, root: str, drop_invalid: bool = False) -> D
     Files are opened by path on executors, for their first bytes and the starts of JPEG segments only. What is no PNG or JPEG
     file, or cannot be opened, shows -1 unless dropped.
     """
-    files = list_tree(spark, root).where(F.col("ext").isin(*RASTER_EXTS)).select("path", "ext")
+    files = list_tree(spark, root).where(F.col("ext").isin(*RASTER_EXTS)).select("path", "ext", F.lit(0).cast("bigint").alias("cost"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -184,7 +211,7 @@ def scan_images(spark: SparkSession, root: str, drop_invalid: bool = False) -> D
             kinds = (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.bool_())
             yield pa.record_batch([c.cast(k) for c, k in zip(columns, kinds, strict=True)], names=list(names))
 
-    images = files.mapInArrow(work, IMAGE_SCHEMA)
+    images = by_bytes(files, "cost").drop("cost").mapInArrow(work, IMAGE_SCHEMA)
     return images.where("decodable") if drop_invalid else images
 
 

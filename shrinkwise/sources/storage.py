@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import posixpath
 import re
@@ -10,6 +11,8 @@ from collections.abc import Iterable, Iterator
 
 from pyarrow import fs
 
+from shrinkwise.sources.zip_directory import member_pieces
+
 COPY_BYTES = 4 * 1024 * 1024
 _ONE_SLASH = re.compile(r"^file:/(?!/)")
 
@@ -28,8 +31,36 @@ def read_head(path: str, size: int | None) -> bytes:
         return file.read(size)
 
 
+class RangedFile:
+    """A file of which only the asked-for ranges are read."""
+
+    def __init__(self, path: str):
+        where, inner = open_root(path)
+        self.file = where.open_input_file(inner)
+        self.size = self.file.size()
+
+    def read_at(self, offset: int, length: int) -> bytes:
+        self.file.seek(offset)
+        return self.file.read(length)
+
+    def __enter__(self) -> RangedFile:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.file.close()
+
+
+#: Begins the source of a file that is a member of an archive: its place there follows as JSON.
+MEMBER_SCHEME = "zip-member:"
+
+
 def pieces_of(path: str) -> Iterator[bytes]:
-    """A file's bytes, a few megabytes at a time."""
+    """The bytes of a file, or of an archive's member, a few megabytes at a time."""
+    if path.startswith(MEMBER_SCHEME):
+        place = json.loads(path[len(MEMBER_SCHEME) :])
+        with RangedFile(place.pop("source")) as archive:
+            yield from member_pieces(archive.read_at, **place)
+        return
     where, inner = open_root(path)
     with where.open_input_stream(inner) as file:
         while data := file.read(COPY_BYTES):
