@@ -271,6 +271,23 @@ plan AS (
             FROM member_files WHERE ext <> 'zip')"""
 
 
+def _settings_plan() -> str:
+    """Written paths under all settings of extract, mirror and repack."""
+    parts = []
+    for bits in range(8):
+        extract, mirror, repack = bits & 4, bits & 2, bits & 1
+        head = f"SELECT {bool(extract)} AS extract, {bool(mirror)} AS mirror, {bool(repack)} AS repack, "
+        kept = "" if mirror else f" AND ext IN {COMPRESSIBLE}"
+        parts.append(f"{head} rel_path AS output_path, 'file' AS origin, rel_path AS source_path FROM estate WHERE ext <> 'zip'{kept}")
+        if mirror and not (extract and repack):
+            parts.append(f"{head} rel_path, 'archive_copy', rel_path FROM estate WHERE ext = 'zip'")
+        if extract and repack:
+            parts.append(f"{head} archive_path, 'repacked_archive', archive_path FROM (SELECT DISTINCT archive_path FROM member_files WHERE ext <> 'zip'{kept})")
+        elif extract:
+            parts.append(f"{head} {FOLDER} || '/' || rel_path, 'member', archive_path || '::' || rel_path FROM member_files WHERE ext <> 'zip'{kept}")
+    return " UNION ALL ".join(parts)
+
+
 def _resize(name: str, spec: str) -> str:
     """Width and height columns of one resize setting; blank for unreadable images."""
     width, height = {
@@ -567,6 +584,28 @@ ORACLE = {
     "folder_roundtrip": """
       SELECT 'p' || (page_id % 10) || '/' || page_id || '.html' AS rel_path, page_id || '.html' AS name, 'html' AS ext,
              CAST(strlen(html) AS BIGINT) AS size, md5(html) AS fingerprint FROM pages""",
+    "folder_listing": """
+      SELECT CASE WHEN page_id % 3 = 0 THEN '_x' ELSE 'd' END || (page_id % 12) || '/' || name AS rel_path, name, ext, CAST(strlen(html) AS BIGINT) AS size
+      FROM (SELECT *, CASE WHEN page_id % 5 = 0 THEN '.' ELSE '' END || page_id || ['.html', '.HTM', ''][CAST(page_id % 3 AS INT) + 1] AS name,
+                   ['html', 'htm', ''][CAST(page_id % 3 AS INT) + 1] AS ext FROM pages)
+      WHERE ext <> '' AND strlen(html) > 1000""",
+    "folder_changes": """
+      SELECT CASE WHEN page_id % 3 = 0 THEN '_x' ELSE 'd' END || (page_id % 12) || '/' || CASE WHEN page_id % 5 = 0 THEN '.' ELSE '' END || page_id
+               || ['.html', '.HTM', ''][CAST(page_id % 3 AS INT) + 1] AS rel_path,
+             CAST(strlen(html) AS BIGINT) AS size, md5(html) AS fingerprint FROM pages
+      UNION ALL SELECT 'late/' || page_id, CAST(2 * strlen(html) AS BIGINT), md5(html || html) FROM pages WHERE page_id % 4 = 0""",
+    "image_headers": """
+      SELECT 'p' || (page_id % 7) || '/' || page_id || ['.png', '.JPG', '.jpeg'][kind + 1] AS name, ['png', 'jpg', 'jpeg'][kind + 1] AS ext,
+             CAST(CASE WHEN kind = 2 THEN -1 ELSE page_id % 4000 + 1 END AS INT) AS width,
+             CAST(CASE WHEN kind = 2 THEN -1 ELSE length(html) % 60000 + 1 END AS INT) AS height,
+             CASE kind WHEN 2 THEN -1 WHEN 0 THEN 4 - page_id % 2 ELSE 3 - 2 * (page_id % 2) END AS channels,
+             CASE kind WHEN 0 THEN CASE page_id % 2 WHEN 0 THEN 'RGBA' ELSE 'RGB' END WHEN 1 THEN CASE page_id % 2 WHEN 0 THEN 'RGB' ELSE 'L' END END AS mode,
+             kind <> 2 AS decodable
+      FROM (SELECT *, CAST(page_id % 3 AS INT) AS kind FROM pages)""",
+    "output_plan_settings": f"""WITH {ESTATE},{MEMBER_FILES}, plan AS ({_settings_plan()})
+      SELECT extract, mirror, repack, origin, count(*) AS paths, count(DISTINCT output_path) AS distinct_paths,
+             CAST(sum(length(output_path) + length(source_path)) AS BIGINT) AS letters, min(output_path) AS first_path, max(output_path) AS last_path
+      FROM plan GROUP BY extract, mirror, repack, origin""",
     "folder_intake": """
       SELECT page_id || '.html' AS name, 'html' AS ext, CAST(strlen(html) AS BIGINT) AS size, md5(html) AS fingerprint FROM pages""",
     "labels_roundtrip": """
@@ -576,3 +615,5 @@ ORACLE = {
       SELECT count(*) AS files_done, CAST(sum(orig_size) AS BIGINT) AS orig_total, CAST(sum(out_size) AS BIGINT) AS out_total FROM results""",
 }
 ORACLE["audit_roundtrip"] = ORACLE["audit_rows"]
+ORACLE["archive_scan"] = ORACLE["archive_listing"]
+ORACLE["nested_files"] = ORACLE["nested_expansion"]

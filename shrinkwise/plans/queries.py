@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import functools
+import itertools
+import time
 import zlib
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shrinkwise.config import INPUT_CLEANUP_EXTS, OUTPUT_CLEANUP_EXTS, Quota, ResizeSpec
@@ -17,7 +20,8 @@ from shrinkwise.sinks.audit import audit_rows as audit_table
 from shrinkwise.sinks.audit import write_audit
 from shrinkwise.sinks.payload_files import write_payloads
 from shrinkwise.sources.archive_files import expand_archives, expanded_members, expanded_verdicts, list_members, unreadable_members
-from shrinkwise.sources.scan import read_audit, read_labels, scan_files
+from shrinkwise.sources.folder_source import FOLDER_FORMAT, INTAKE_FORMAT, register_folder_sources
+from shrinkwise.sources.scan import read_audit, read_contents, read_labels, scan_archives, scan_files, scan_images
 from shrinkwise.streaming import monitor
 
 # Limits that the archives of the driver tables do reach; the library defaults are far above them.
@@ -605,6 +609,94 @@ def folder_intake(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(out)
 
 
+def _written_pages(spark: SparkSession, d: str) -> str:
+    """Root of a folder with every page as a file; every third folder and every fifth file has a hidden name."""
+    root, n = new_shared_path(spark, "folder"), F.col("page_id")
+    folder = F.concat(F.when(n % 3 == 0, "_x").otherwise("d"), n % 12, F.lit("/"))
+    name = F.concat(F.when(n % 5 == 0, ".").otherwise(""), n, src.pick([".html", ".HTM", ""], n))
+    saved_table(write_payloads(src.payloads(spark, d).select(F.concat(folder, name).alias("output_path"), "content"), root), "written")
+    return root
+
+
+def folder_listing(spark: SparkSession, d: str) -> DataFrame:
+    """The folder source with tests on type and size, which are decided where files are listed."""
+    register_folder_sources(spark)
+    files = spark.read.format(FOLDER_FORMAT).load(_written_pages(spark, d))
+    return files.where(F.col("ext").isin("html", "htm") & (F.col("size") > 1000)).select("rel_path", "name", "ext", "size")
+
+
+def folder_changes(spark: SparkSession, d: str) -> DataFrame:
+    """The folder as a stream: all files, hidden ones too, then, started again, only those that are new or changed."""
+    register_folder_sources(spark)
+    root, out, checkpoint = _written_pages(spark, d), new_shared_path(spark, "taken"), new_shared_path(spark, "taken-progress")
+    stream = spark.readStream.format(INTAKE_FORMAT).load(root).select("path", "rel_path", "size")
+
+    def take() -> None:
+        query = stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).format("parquet").start(out)
+        query.awaitTermination()
+
+    take()
+    time.sleep(0.01)  # A change at the very time of the last file could not be told from it.
+    n = F.col("page_id")
+    changed = src.payloads(spark, d).where(n % 4 == 0).select(F.concat(F.lit("late/"), n).alias("output_path"), F.concat("content", "content").alias("content"))
+    saved_table(write_payloads(changed, root), "written")
+    take()
+    taken = read_contents(spark.read.schema(stream.schema).parquet(out))
+    return taken.select("rel_path", "size", F.md5("content").alias("fingerprint"))
+
+
+def _header(page: Column, html: Column) -> Column:
+    """First bytes of a picture with the page's number as its width and the length of its text as its height."""
+    four = lambda c: F.lpad(F.hex(c.cast("bigint")), 8, "0")
+    two = lambda c: F.lpad(F.hex(c.cast("bigint")), 4, "0")
+    width, height = page % 4000 + 1, F.length(html) % 60000 + 1
+    png = F.concat(F.lit("89504E470D0A1A0A0000000D49484452"), four(width), four(height), F.when(page % 2 == 0, "0806").otherwise("0802"), F.lit("00000000000000"))
+    segment = F.concat(F.lit("FFD8FFE1"), two(F.length(html) % 60000 + 2), F.hex(F.substring(html.cast("binary"), F.lit(1), F.length(html) % 60000)))
+    jpeg = F.concat(F.lit("FFD8FFE10002"), F.lit("FFC0001108"), two(height), two(width), F.when(page % 2 == 0, "03").otherwise("01"), F.lit("011100"))
+    return F.unhex(F.when(page % 3 == 0, png).when(page % 3 == 1, jpeg).otherwise(segment))
+
+
+def image_headers(spark: SparkSession, d: str) -> DataFrame:
+    """Pictures made of pages, written as files; their sizes are read from headers. Every third is no picture."""
+    root, pages = new_shared_path(spark, "pictures"), src.read(spark, d, "pages")
+    name = F.concat(F.lit("p"), F.col("page_id") % 7, F.lit("/"), "page_id", src.pick([".png", ".JPG", ".jpeg"], F.col("page_id")))
+    saved_table(write_payloads(pages.select(name.alias("output_path"), _header(F.col("page_id"), F.col("html")).alias("content")), root), "written")
+    found = scan_images(spark, root)
+    return found.select(F.substring_index("path", "/", -2).alias("name"), "ext", "width", "height", "channels", "mode", "decodable")
+
+
+def _written_archives(spark: SparkSession, packed: DataFrame) -> DataFrame:
+    """Archives written as files and found again by a scan, without their contents."""
+    root = new_shared_path(spark, "archives")
+    saved_table(write_payloads(packed.select(F.col("path").alias("output_path"), "content"), root), "written")
+    return scan_archives(spark, root, with_content=False)
+
+
+def archive_scan(spark: SparkSession, d: str) -> DataFrame:
+    """Directories of archives in a folder, by ranged reads."""
+    listed = list_members(_written_archives(spark, _packed_pages(spark, d)), "rel_path", source="path")
+    return listed.select("archive_path", "idx", "name", "file_size", "error")
+
+
+def nested_files(spark: SparkSession, d: str) -> DataFrame:
+    """Nested archives in a folder: members by ranged reads, by their offsets."""
+    archives = _written_archives(spark, _nested_pages(spark, d))
+    members = expanded_members(expand_archives(archives, path="rel_path", source="path"))
+    return members.select("archive_path", "container", "rel_path", "depth", F.md5("payload").alias("fingerprint"))
+
+
+def output_plan_settings(spark: SparkSession, d: str) -> DataFrame:
+    """How many paths each of the settings of extract, mirror and repack writes, by origin, and a checksum of them."""
+    plans = []
+    for extract, mirror, repack in itertools.product((False, True), repeat=3):
+        plan = routing.plan_outputs(src.estate(spark, d), src.member_files(spark, d), extract, mirror, repack)
+        plans.append(plan.select(*[F.lit(v).alias(c) for c, v in (("extract", extract), ("mirror", mirror), ("repack", repack))], "*"))
+    rows = functools.reduce(DataFrame.unionByName, plans)
+    letters = F.sum(F.length("output_path") + F.length("source_path")).alias("letters")
+    ends = F.min("output_path").alias("first_path"), F.max("output_path").alias("last_path")
+    return rows.groupBy("extract", "mirror", "repack", "origin").agg(F.count(F.lit(1)).alias("paths"), F.countDistinct("output_path").alias("distinct_paths"), letters, *ends)
+
+
 def audit_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     """The audit table written as CSV into the shared folder and read back."""
     path = new_shared_path(spark, "audit")
@@ -648,6 +740,7 @@ QUERIES = {
         target_counts, snapshot_select, tree_diff, progress_rank, event_dispatch, job_state, stream_job_state,
         stream_dedupe, payload_recompress, payload_roundtrip, payload_transform, archive_listing, archive_roundtrip,
         nested_expansion, unopened_depth, damaged_members, member_collisions, folder_roundtrip, folder_intake, audit_roundtrip,
+        folder_listing, folder_changes, image_headers, archive_scan, nested_files, output_plan_settings,
         labels_roundtrip, observed_totals,
     )
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import posixpath
 import struct
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from datetime import UTC, datetime
 from itertools import islice
 
@@ -73,23 +73,37 @@ def list_tree(spark: SparkSession, root: str) -> DataFrame:
     return files.select(path.alias("path"), "rel_path", base_name("rel_path").alias("name"), file_extension("rel_path").alias("ext"), "size", "modified")
 
 
-def folder_entries(where: fs.FileSystem, folder: str) -> Iterator[tuple[str, bool, int, datetime]]:
-    """(name, whether a folder, size, modified) of what is in a folder; local folders are never held whole."""
+def folder_entries(
+    where: fs.FileSystem, folder: str, wanted: Callable[[str], bool] | None = None, about: bool = True
+) -> Iterator[tuple[str, bool, int | None, datetime | None]]:
+    """(name, whether a folder, size, modified) of what is in a folder; local folders are never held whole.
+
+    Files whose name is not wanted are left out before anything else is asked about them; so are size and time of
+    all files without `about`.
+    """
     if not isinstance(where, fs.LocalFileSystem):
         for i in where.get_file_info(fs.FileSelector(folder, allow_not_found=True)):
-            yield i.base_name, i.type == fs.FileType.Directory, i.size, i.mtime
+            is_dir = i.type == fs.FileType.Directory
+            if is_dir or wanted is None or wanted(i.base_name):
+                yield i.base_name, is_dir, i.size, i.mtime
         return
     try:
-        found = os.scandir(folder)
+        found = os.scandir(folder or "/")
     except FileNotFoundError:
         return
     with found:
         for entry in found:
+            is_dir = entry.is_dir()
+            if not is_dir and wanted is not None and not wanted(entry.name):
+                continue
+            if not about:
+                yield entry.name, is_dir, None, None
+                continue
             try:
-                about = entry.stat()
+                known = entry.stat()
             except FileNotFoundError:  # Gone meanwhile, or a link to nothing.
                 continue
-            yield entry.name, entry.is_dir(), about.st_size, datetime.fromtimestamp(about.st_mtime, UTC)
+            yield entry.name, is_dir, known.st_size, datetime.fromtimestamp(known.st_mtime, UTC)
 
 
 def read_contents(files: DataFrame, path: str = "path", size: str = "size") -> DataFrame:
