@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator, Mapping
 from datetime import datetime
 from inspect import signature
 from itertools import groupby
+from time import monotonic
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -19,6 +20,9 @@ from shrinkwise.operators.routing import keep_smaller
 #: bytes -> bytes, or bytes and the row's planned settings -> bytes.
 Handler = Callable[..., bytes]
 
+#: Time after which a task reports what it has done.
+REPORT_SECONDS = 1.0
+
 RESULT_FIELDS = [
     T.StructField("out_content", T.BinaryType()),
     T.StructField("out_size", T.LongType()),
@@ -46,6 +50,13 @@ def _run(handler: Handler, *given: object) -> tuple[bytes | None, int | None, bo
         return None, None, False, f"{type(exc).__name__}: {exc}"
 
 
+def _report(batch: pa.RecordBatch, i: int, row: tuple, task: str) -> dict[str, object]:
+    known = {c: batch.column(c)[i].as_py() for c in (task, "orig_size", "read_error") if c in batch.schema.names}
+    error = known.get("read_error")
+    ok = False if error is not None else row[2]
+    return {"task_id": known[task], "orig_size": known.get("orig_size"), "out_size": row[1], "ok": ok, "error": error or row[3], "finished_at": row[4]}
+
+
 def transform_payloads(
     df: DataFrame,
     handlers: Mapping[str, Handler],
@@ -54,6 +65,8 @@ def transform_payloads(
     keep_unhandled: bool = True,
     keep_original: bool = False,
     settings: str | None = None,
+    on_done: Callable[[list[dict[str, object]]], None] | None = None,
+    task: str = "audit_input",
 ) -> DataFrame:
     """Apply `handlers[ext](bytes) -> bytes`; adds out_content, out_size, ok, error, finished_at.
 
@@ -62,6 +75,9 @@ def transform_payloads(
     by out_content; with `keep_original` that holds the original where there is no result (ok is then false or
     null and out_size null). finished_at is the time when a row was done. A handler with two parameters gets
     the row's `settings`, a struct column, as a dict; that column is not returned. Other columns are carried along.
+
+    `on_done` is called in the tasks while they work, about every REPORT_SECONDS and at the end of a batch, with the rows done since:
+    task_id (the column `task`), orig_size, out_size, ok, error and finished_at. A task that is run again reports again.
     """
     carried = [f for f in df.schema.fields if f.name not in (content, settings)]
     schema = T.StructType(carried + RESULT_FIELDS)
@@ -74,12 +90,19 @@ def transform_payloads(
         for batch in batches:
             kinds, blobs = batch.column(key).to_pylist(), batch.column(content)
             handled = [i for i, kind in enumerate(kinds) if kind in table and blobs[i].is_valid]
-            done = {}
+            done: dict[int, tuple] = {}
+            waiting, reported = [], monotonic()
             for i in handled:
                 more = (batch.column(settings)[i].as_py(),) if kinds[i] in planned else ()
                 done[i] = (*_run(table[kinds[i]], blobs[i].as_py(), *more), datetime.now())
+                waiting.append(i)
+                if on_done is not None and monotonic() - reported >= REPORT_SECONDS:
+                    on_done([_report(batch, k, done[k], task) for k in waiting])
+                    waiting, reported = [], monotonic()
             none = (None, None, None, None, datetime.now())
             rows = [done.get(i, none) for i in range(batch.num_rows)]
+            if on_done is not None and (left := [*waiting, *(i for i in range(batch.num_rows) if i not in done)]):
+                on_done([_report(batch, k, rows[k], task) for k in left])
             if keep_original and len(done) < batch.num_rows:
                 # Runs of rows that keep their bytes are slices of the input; nothing of them becomes a Python object.
                 keeps = [i not in done or rows[i][0] is None for i in range(batch.num_rows)]

@@ -25,6 +25,16 @@ LABELS = [
     ("ja", "kind.click", "クリック"),
     ("ja", "kind.view", "閲覧"),
 ]
+# Message templates in English, and some of them in Japanese.
+MESSAGES = [
+    ("en", "worker_size_before_after", "Before: {orig} -> After: {out}{delta}"),
+    ("en", "worker_size_delta_saved", " (saved: {saved}, -{saved_pct:.1f}%)"),
+    ("en", "worker_size_delta_grown", " (increased: {saved}, +{saved_pct:.1f}%)"),
+    ("en", "worker_size_delta_unchanged", " (no change)"),
+    ("ja", "worker_size_before_after", "前 {orig} 後 {out}{delta}"),
+    ("ja", "worker_size_delta_saved", "、削減 {saved} ({saved_pct:.1f}%)"),
+    ("ja", "worker_size_delta_unchanged", "、変化なし"),
+]
 LANGUAGE_TEXTS = ["ja", "en-US", " JA_jp ", "fr", "", "EN"]
 
 
@@ -206,3 +216,8 @@ def label_catalog(spark: SparkSession) -> DataFrame:
     """A small two-language catalog with gaps in the second language."""
     rows = ", ".join(f"('{lang}', '{key}', '{text}')" for lang, key, text in LABELS)
     return spark.sql(f"SELECT * FROM VALUES {rows} AS labels(lang, key, text)")
+
+
+def message_catalog(spark: SparkSession) -> DataFrame:
+    """Templates of result messages; the second language lacks one."""
+    return spark.createDataFrame(MESSAGES, "lang string, key string, text string")

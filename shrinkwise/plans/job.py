@@ -25,12 +25,13 @@ from shrinkwise.operators.routing import (
     plan_stages,
     route,
 )
-from shrinkwise.session import saved_table
+from shrinkwise.session import new_shared_path, saved_table
 from shrinkwise.sinks.archive_files import pack_archives
 from shrinkwise.sinks.audit import audit_headers, audit_or_skip, audit_rows, default_audit_name
 from shrinkwise.sinks.payload_files import write_archive_parts, write_payloads
 from shrinkwise.sources.archive_files import expand_archives, expanded_verdicts
 from shrinkwise.sources.scan import MAX_CONTENT, list_tree, read_contents
+from shrinkwise.streaming.live_events import DoneLog, done_events, read_done
 
 
 @dataclass(frozen=True)
@@ -43,6 +44,7 @@ class JobReport:
     written: DataFrame
     audit: DataFrame
     audit_error: str | None
+    events: DataFrame
 
 
 class OverlappingRoots(ValueError):
@@ -144,13 +146,17 @@ def run_job(
     handlers: Mapping[str, Handler],
     labels: DataFrame | None = None,
     started_at: datetime | None = None,
+    job_id: str = "job",
+    events_folder: str | None = None,
 ) -> JobReport:
     """Run the job and return what happened. `handlers` maps an extension to bytes -> bytes, or to
     bytes and planned_settings -> bytes.
 
     A file whose handler fails keeps ok = false; mirroring then copies the original. An archive member that cannot
     be read also has ok = false and its error, and nothing is copied. Files the job has no handler for count
-    as not processed. Audit rows carry the time when their file was done. Results are written to the shared folder once, and
+    as not processed. Tasks log what they have done into `events_folder`, by default one in the shared folder, where watch_done
+    sees it while the job runs; `events` are those of the attempts that counted, with texts in the request's language if
+    there are labels. Audit rows carry the time when their file was done. Results are written to the shared folder once, and
     outputs, archives, audit and totals are all read from there.
     """
     check_roots(spark, request)
@@ -160,9 +166,10 @@ def run_job(
     if clash is not None:
         raise CollidingOutputs(f"{clash.output_path} would be written by {clash.writers} sources")
 
+    events_folder = events_folder or new_shared_path(spark, "events")
     copy = F.col("origin") == "archive_copy"
     work = route(tasks).withColumn("key", F.when(~copy & compressible("ext"), F.col("ext")))
-    done = transform_payloads(planned_settings(work, request), handlers, key="key", keep_original=True, settings="settings")
+    done = transform_payloads(planned_settings(work, request), handlers, key="key", keep_original=True, settings="settings", on_done=DoneLog(events_folder, job_id))
     unread = F.col("read_error").isNotNull()
     done = done.withColumns(
         {
@@ -209,6 +216,7 @@ def run_job(
         written=written,
         audit=audit,
         audit_error=audit_error,
+        events=done_events(read_done(spark, events_folder, results), labels, request.language),
     )
 
 

@@ -617,3 +617,30 @@ ORACLE = {
 ORACLE["audit_roundtrip"] = ORACLE["audit_rows"]
 ORACLE["archive_scan"] = ORACLE["archive_listing"]
 ORACLE["nested_files"] = ORACLE["nested_expansion"]
+
+_DIFFERENCE = {
+    lang: f"""CASE WHEN orig_size > out_size THEN '{saved[0]}' || {_human("abs(orig_size - out_size)")} || '{saved[1]}' || printf('%.1f', {_pct("orig_size", "out_size")}) || '{saved[2]}'
+                   WHEN orig_size < out_size THEN ' (increased: ' || {_human("abs(orig_size - out_size)")} || ', +' || printf('%.1f', abs({_pct("orig_size", "out_size")})) || '%)'
+                   ELSE '{same}' END"""
+    for lang, saved, same in (("en", (" (saved: ", ", -", "%)"), " (no change)"), ("ja", ("、削減 ", " (", "%)"), "、変化なし"))
+}
+ORACLE["result_messages"] = f"""WITH {RESULTS},
+  asked AS (SELECT *, CASE WHEN doc_id % 6 IN (0, 2) THEN 'ja' ELSE 'en' END AS lang FROM results)
+  SELECT doc_id, rel_path || ' | ' || CASE lang
+      WHEN 'en' THEN 'Before: ' || {_human("orig_size")} || ' -> After: ' || {_human("out_size")} || {_DIFFERENCE["en"]}
+      ELSE '前 ' || {_human("orig_size")} || ' 後 ' || {_human("out_size")} || {_DIFFERENCE["ja"]} END AS message FROM asked"""
+ORACLE["nested_roots"] = """WITH r AS (
+    SELECT DISTINCT CASE doc_id % 5 WHEN 0 THEN source WHEN 1 THEN source || '/' || lang ELSE source || '/' || lang || '/' || (n_chars // 1000) END AS root
+    FROM documents)
+  SELECT o.root AS outer, i.root AS inner, len(string_split(i.root, '/')) - len(string_split(o.root, '/')) AS levels
+  FROM r o JOIN r i ON starts_with(i.root, o.root || '/')"""
+ORACLE["live_job_events"] = """
+  SELECT 'pages' AS job_id, count(*) AS files_done, CAST(sum(CASE WHEN good THEN strlen(html) ELSE 0 END) AS BIGINT) AS orig_total,
+         CAST(sum(CASE WHEN good THEN strlen(html) + CASE page_id % 3 WHEN 0 THEN 1 ELSE 0 END ELSE 0 END) AS BIGINT) AS out_total,
+         count(*) FILTER (WHERE page_id % 3 = 1 AND NOT good) AS errors
+  FROM (SELECT *, page_id % 3 = 0 OR (page_id % 3 = 1 AND strlen(html) % 2 = 0) AS good FROM pages)"""
+ORACLE["tree_diff_folders"] = f"""WITH {MANIFEST},
+  later AS (SELECT rel_path, CASE WHEN TRY_CAST(split_part(rel_path, '/', 3) AS BIGINT) % 9 = 0 THEN size + 1 ELSE size END AS size FROM manifest
+            UNION ALL SELECT 'logs/' || conv_id || '-' || turn || '.txt', CAST(strlen(text) AS BIGINT) FROM conversations)
+  SELECT a.rel_path, b.size AS before_size, a.size AS after_size, CASE WHEN b.rel_path IS NULL THEN 'added' ELSE 'resized' END AS change
+  FROM later a LEFT JOIN manifest b ON a.rel_path = b.rel_path WHERE b.rel_path IS NULL OR a.size <> b.size"""

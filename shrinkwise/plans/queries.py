@@ -12,17 +12,22 @@ from pyspark.sql import functions as F
 
 from shrinkwise.config import INPUT_CLEANUP_EXTS, OUTPUT_CLEANUP_EXTS, Quota, ResizeSpec
 from shrinkwise.functions import paths, scalars
-from shrinkwise.operators import accounting, archives, cleanup, imageplan, labels, payloads, routing
+from shrinkwise.operators import accounting, archives, cleanup, imageplan, labels, messages, payloads, routing
+from shrinkwise.operators.folder_digests import tree_diff_by_folders
+from shrinkwise.operators.roots import containing_roots
 from shrinkwise.plans import adapters as src
 from shrinkwise.session import new_shared_path, saved_table
 from shrinkwise.sinks.archive_files import pack_archives
 from shrinkwise.sinks.audit import audit_rows as audit_table
 from shrinkwise.sinks.audit import write_audit
+from shrinkwise.sinks.committed_files import write_committed
 from shrinkwise.sinks.payload_files import write_payloads
 from shrinkwise.sources.archive_files import expand_archives, expanded_members, expanded_verdicts, list_members, unreadable_members
 from shrinkwise.sources.folder_source import FOLDER_FORMAT, INTAKE_FORMAT, register_folder_sources
 from shrinkwise.sources.scan import read_audit, read_contents, read_labels, scan_archives, scan_files, scan_images
 from shrinkwise.streaming import monitor
+from shrinkwise.streaming.live_events import DoneLog, done_events, read_done
+from shrinkwise.streaming.seen_paths import SETTINGS, admit_paths
 
 # Limits that the archives of the driver tables do reach; the library defaults are far above them.
 QUOTA = Quota(max_members=10, max_bytes=500_000_000)
@@ -449,20 +454,49 @@ def stream_job_state(spark: SparkSession, d: str) -> DataFrame:
 
 
 def stream_dedupe(spark: SparkSession, d: str) -> DataFrame:
+    """Paths of the table as a stream, each let in once within a day, with state that expires."""
     out, checkpoint = new_shared_path(spark, "seen"), new_shared_path(spark, "seen-progress")
-    paths_seen = _event_stream(spark, d).select(F.col("ts").cast("timestamp").alias("ts"), F.concat(F.lit("job/"), "user_id", F.lit("/"), "event_type").alias("path"))
-    first = monitor.once_per_path(paths_seen, watermark="3650 days").select("path")
-    query = (
-        first.writeStream.outputMode("append")
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .format("parquet")
-        .start(out)
-    )
-    query.awaitTermination()
+    paths_seen = _event_stream(spark, d).select(F.concat(F.lit("job/"), "user_id", F.lit("/"), "event_type").alias("path"))
+    first = admit_paths(paths_seen, modified=None, ttl="1 day").select("path")
+    first.writeStream.outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).format("parquet").start(out).awaitTermination()
+    for setting in SETTINGS:
+        spark.conf.unset(setting)
     return spark.read.schema(first.schema).parquet(out)
 
 
+def nested_roots(spark: SparkSession, d: str) -> DataFrame:
+    """Which folders of the documents lie in which, among all of them and their parents."""
+    doc = F.col("doc_id")
+    folder = F.concat_ws("/", "source", "lang", F.expr("n_chars div 1000"))
+    root = F.when(doc % 5 == 0, F.col("source")).when(doc % 5 == 1, F.concat_ws("/", "source", "lang")).when(doc % 5 == 2, F.concat(folder, F.lit("/./"))).otherwise(folder)
+    return containing_roots(src.read(spark, d, "documents").select(root.alias("root")))
+
+
+def tree_diff_folders(spark: SparkSession, d: str) -> DataFrame:
+    """The documents with every file of some folders changed; only those folders are compared file by file."""
+    before = src.manifest(spark, d).select("rel_path", "size")
+    grown = F.split_part("rel_path", F.lit("/"), F.lit(3)).try_cast("bigint") % 9 == 0
+    after = before.withColumn("size", F.when(grown, F.col("size") + 1).otherwise(F.col("size")))
+    added = src.read(spark, d, "conversations").select(F.concat(F.lit("logs/"), "conv_id", F.lit("-"), "turn", F.lit(".txt")).alias("rel_path"), F.octet_length("text").cast("bigint").alias("size"))
+    return tree_diff_by_folders(before, after.unionByName(added))
+
+
+def result_messages(spark: SparkSession, d: str) -> DataFrame:
+    """Messages of all results, each in one of several languages."""
+    lang = src.pick(src.LANGUAGE_TEXTS, F.col("doc_id"))
+    return messages.result_messages(src.results(spark, d), src.message_catalog(spark), lang, base="rel_path").select("doc_id", "message")
+
+
+def live_job_events(spark: SparkSession, d: str) -> DataFrame:
+    """The state of a job by the events that its tasks wrote while they ran, over every page as a file."""
+    folder, n = new_shared_path(spark, "events"), F.col("page_id")
+    files = src.payloads(spark, d).withColumns({"ext": src.pick(["txt", "even", "bin"], n), "audit_input": n.cast("string"), "orig_size": F.octet_length("content").cast("bigint")})
+    done = payloads.transform_payloads(files, {"txt": _append_line, "even": _even_only}, on_done=DoneLog(folder, "pages"))
+    results = saved_table(done.drop("out_content"), "results")
+    state = monitor.job_state(done_events(read_done(spark, folder, results)))
+    return state.select("job_id", "files_done", "orig_total", "out_total", "errors")
+
+
 # ---- payload bytes ---------------------------------------------------------
 
 
@@ -593,7 +627,7 @@ def folder_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     """Pages written as files into the shared folder, scanned and read back."""
     root = new_shared_path(spark, "folder")
     named = src.payloads(spark, d).select(F.concat(F.lit("p"), F.col("page_id") % 10, F.lit("/"), "page_id", F.lit(".html")).alias("output_path"), "content")
-    saved_table(write_payloads(named, root), "written")
+    write_committed(named, root)
     files = scan_files(spark, root, with_content=True)
     return files.select("rel_path", "name", "ext", "size", F.md5("content").alias("fingerprint"))
 
@@ -740,7 +774,7 @@ QUERIES = {
         target_counts, snapshot_select, tree_diff, progress_rank, event_dispatch, job_state, stream_job_state,
         stream_dedupe, payload_recompress, payload_roundtrip, payload_transform, archive_listing, archive_roundtrip,
         nested_expansion, unopened_depth, damaged_members, member_collisions, folder_roundtrip, folder_intake, audit_roundtrip,
-        folder_listing, folder_changes, image_headers, archive_scan, nested_files, output_plan_settings,
+        folder_listing, folder_changes, nested_roots, tree_diff_folders, result_messages, live_job_events, image_headers, archive_scan, nested_files, output_plan_settings,
         labels_roundtrip, observed_totals,
     )
 }

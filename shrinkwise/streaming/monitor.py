@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -151,6 +152,26 @@ def latest_state(spark: SparkSession, out: str, key: str = "job_id") -> DataFram
     return last.select("_last.*")
 
 
-def compact_state(spark: SparkSession, out: str, compacted: str, key: str = "job_id") -> None:
-    """Write the last row of each key as a history of one batch; a new stream may go on from there."""
-    latest_state(spark, out, key).write.mode("errorifexists").parquet(f"{compacted}/batch=0")
+def compact_state(spark: SparkSession, out: str, key: str = "job_id") -> None:
+    """Fold all batches but the last into the one before it, in place; the stream goes on with the same checkpoint.
+
+    For the time between two runs of the stream. The last batch is left alone, as a stream that was stopped in it writes it anew.
+    Rows of keys that the batch before it lacks are added to that one, then older batches go; if this ends
+    halfway, nothing is lost, as every older row is still there or stands in the newer batch.
+    """
+    *older, last = sorted(r[0] for r in spark.read.parquet(out).select("batch").distinct().collect())
+    if len(older) < 2:
+        return
+    history = spark.read.parquet(out).where(F.col("batch") < last)
+    columns = [c for c in history.columns if c != "batch"]
+    newest = history.groupBy(key).agg(F.max_by(F.struct(*columns), "batch").alias("_last"), F.max("batch").alias("_batch"))
+    scratch, into = f"{out}/_compacted-{uuid.uuid4().hex}", f"{out}/batch={older[-1]}"
+    newest.where(F.col("_batch") < older[-1]).select("_last.*").write.parquet(scratch)
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    files = path(out).getFileSystem(spark._jsc.hadoopConfiguration())
+    for part in files.listStatus(path(scratch)):
+        if part.getPath().getName().startswith("part-"):
+            files.rename(part.getPath(), path(into))
+    for batch in older[:-1]:
+        files.delete(path(f"{out}/batch={batch}"), True)
+    files.delete(path(scratch), True)
