@@ -21,7 +21,7 @@ WINDOW = 35
 #: Words of the sequences among which a window's minimiser is found.
 GRAM = 4
 #: Windows in the different super-k-mers of one minimiser above which they are counted one by one, by their digests.
-BUCKET = 1 << 16
+BUCKET = 1 << 17
 #: Windows of a super-k-mer at most; one that goes on, where few words repeat, is cut into stretches.
 STRETCH = 512
 #: Bytes of a word above which its SHA-256 stands for it in a bucket.
