@@ -564,6 +564,8 @@ ORACLE = {
              NULL AS error FROM entries""",
     "archive_roundtrip": f"""WITH {PACKED_PAGES}
       SELECT archive_path, rel_path, CAST(strlen(html) AS BIGINT) AS file_size, md5(html) AS fingerprint FROM packed""",
+    "archive_from_files": f"""WITH {PACKED_PAGES}
+      SELECT archive_path, rel_path, CAST(strlen(html) AS BIGINT) AS file_size, md5(html) AS fingerprint FROM packed""",
     "payload_recompress": """
       SELECT page_id, url AS path, CAST(strlen(html) AS BIGINT) AS orig_size, true AS judged, true AS not_larger, true AS ok, NULL AS error FROM pages""",
     "nested_expansion": f"""

@@ -24,7 +24,7 @@ from shrinkwise.sinks.committed_files import write_committed
 from shrinkwise.sinks.payload_files import write_payloads
 from shrinkwise.sources.archive_files import expand_archives, expanded_members, expanded_verdicts, list_members, unreadable_members
 from shrinkwise.sources.folder_source import FOLDER_FORMAT, INTAKE_FORMAT, register_folder_sources
-from shrinkwise.sources.scan import read_audit, read_contents, read_labels, scan_archives, scan_files, scan_images
+from shrinkwise.sources.scan import list_tree, read_audit, read_contents, read_labels, scan_archives, scan_files, scan_images
 from shrinkwise.streaming import monitor
 from shrinkwise.streaming.live_events import DoneLog, done_events, read_done
 from shrinkwise.streaming.seen_paths import SETTINGS, admit_paths
@@ -32,6 +32,8 @@ from shrinkwise.streaming.seen_paths import SETTINGS, admit_paths
 # Limits that the archives of the driver tables do reach; the library defaults are far above them.
 QUOTA = Quota(max_members=10, max_bytes=500_000_000)
 PACK_SIZE = 200
+# Bytes of a block where pages are packed from files: most pages are several blocks.
+SMALL_BLOCK = 1024
 
 
 # ---- accounting and routing ------------------------------------------------
@@ -554,6 +556,21 @@ def archive_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     return members.select("archive_path", "rel_path", "file_size", F.md5("payload").alias("fingerprint"))
 
 
+def archive_from_files(spark: SparkSession, d: str) -> DataFrame:
+    """Pages as files of a folder, packed from their paths in blocks by many tasks, and unpacked again."""
+    root = new_shared_path(spark, "sources")
+    pages = src.payloads(spark, d).select(F.concat("page_id", F.lit(".html")).alias("output_path"), "content")
+    saved_table(write_payloads(pages, root), "written")
+    number = F.substring_index("rel_path", ".", 1).cast("bigint")
+    files = list_tree(spark, root).select(
+        F.concat(F.lit("pages/"), F.expr(f"cast(substring_index(rel_path, '.', 1) as bigint) div {PACK_SIZE}"), F.lit(".zip")).alias("archive_path"),
+        F.concat(F.lit("html/"), number % 7, F.lit("/"), "rel_path").alias("rel_path"), F.lit(None).cast("binary").alias("content"), F.col("path").alias("source"), "size",
+    )
+    packed = pack_archives(files, source="source", block_bytes=SMALL_BLOCK).select(F.col("archive_path").alias("path"), "content")
+    members = expanded_members(expand_archives(saved_table(packed, "packed")))
+    return members.select("archive_path", "rel_path", "file_size", F.md5("payload").alias("fingerprint"))
+
+
 # ---- archives that are nested, damaged or overwrite their own files -------------
 
 
@@ -772,7 +789,7 @@ QUERIES = {
         unprocessed_archives, image_decisions, placement_status, image_counters, decision_counts, image_summary,
         first_use_top50, mask_join, distinct_lists, cleanup_counts, cleanup_everything, cleanup_empty_dirs,
         target_counts, snapshot_select, tree_diff, progress_rank, event_dispatch, job_state, stream_job_state,
-        stream_dedupe, payload_recompress, payload_roundtrip, payload_transform, archive_listing, archive_roundtrip,
+        stream_dedupe, payload_recompress, payload_roundtrip, payload_transform, archive_listing, archive_roundtrip, archive_from_files,
         nested_expansion, unopened_depth, damaged_members, member_collisions, folder_roundtrip, folder_intake, audit_roundtrip,
         folder_listing, folder_changes, nested_roots, tree_diff_folders, result_messages, live_job_events, image_headers, archive_scan, nested_files, output_plan_settings,
         labels_roundtrip, observed_totals,

@@ -1,15 +1,21 @@
 import io
 import random
+import struct
 import zipfile
+import zlib
 
+import pytest
 from conftest import zip_bytes
 from pyspark.sql import functions as F
 
 from shrinkwise.config import Quota
 from shrinkwise.operators import archives
-from shrinkwise.sinks.archive_files import pack_archives
+from shrinkwise.sinks import archive_files as sink
+from shrinkwise.sinks.archive_files import PART_BYTES, pack_archives
+from shrinkwise.sinks.deflated_blocks import moved_crc, source_blocks
 from shrinkwise.sources import archive_files
 from shrinkwise.sources.archive_files import expand_archives, expanded_members, expanded_verdicts, list_members
+from shrinkwise.sources.zip_directory import entries
 
 SYMLINK = 0o120777 << 16
 NAMES = [
@@ -227,8 +233,6 @@ def test_more_entries_than_the_short_count_holds(spark):
 
 
 def test_far_offsets_use_the_long_form():
-    from shrinkwise.sinks import archive_files as sink
-
     row = {"name": "a.txt", "crc": 1, "packed_size": 2, "raw_size": 3, "far": True, "entry_offset": 5 << 32}
     record = sink._central_entry(row)
     assert len(record) == sink.CENTRAL_HEADER + 5 + sink.OFFSET_EXTRA
@@ -236,6 +240,73 @@ def test_far_offsets_use_the_long_form():
     assert sink._end_record(1, len(record), 5 << 32).startswith(b"PK\x06\x06")
 
 
+@pytest.mark.parametrize("cuts", [[], [0], [1, 5], [3, 3, 900], list(range(1, 4000, 37))])
+def test_checksums_of_stretches_make_that_of_the_whole(cuts):
+    data = random.Random(3).randbytes(4000)
+    edges = [0, *cuts, len(data)]
+    whole = 0
+    for start, end in zip(edges, edges[1:]):
+        whole ^= moved_crc(zlib.crc32(data[start:end]), len(data) - end)
+    assert whole == zlib.crc32(data)
+
+
+def test_checksums_move_over_more_than_four_gigabytes():
+    zeros, crc = bytes(1 << 20), zlib.crc32(b"head")
+    for _ in range(64):
+        crc = zlib.crc32(zeros, crc)
+    behind = 64 << 20
+    assert moved_crc(zlib.crc32(b"head"), behind) ^ zlib_zeros(behind) == crc
+    assert moved_crc(moved_crc(7, 3 << 32), 5) == moved_crc(7, (3 << 32) + 5)
+
+
+def zlib_zeros(n):
+    crc = 0
+    for _ in range(n >> 20):
+        crc = zlib.crc32(bytes(1 << 20), crc)
+    return crc
+
+
+def test_one_member_is_deflated_by_many_tasks(spark, tmp_path):
+    rng = random.Random(4)
+    files = {"large.bin": rng.randbytes(300_000), "lines.txt": b"the same line again\n" * 20_000, "empty.bin": b"", "exact.bin": rng.randbytes(8192)}
+    for name, data in files.items():
+        (tmp_path / name).write_bytes(data)
+    rows = [("a.zip", f"d/{n}", None, str(tmp_path / n), len(b)) for n, b in files.items()] + [("a.zip", "row.txt", b"in its row" * 900, None, None)]
+    df = spark.createDataFrame(rows, "archive_path string, rel_path string, content binary, source string, size bigint")
+    files["row.txt"] = b"in its row" * 900
+    blocks = source_blocks(df.where("source is not null").withColumnRenamed("rel_path", "name"), 4096, 300_000)
+    tasks = blocks.where("name = 'd/large.bin'").select(F.spark_partition_id().alias("task"), "block").collect()
+    assert len(tasks) == 74 and len({t.task for t in tasks}) > 10
+    made = {}
+    for part_bytes in (20_000, PART_BYTES):
+        parts = pack_archives(df, source="source", block_bytes=4096, task_bytes=2 << 20, part_bytes=part_bytes).collect()
+        made[part_bytes] = b"".join(p.content for p in sorted(parts, key=lambda p: p.part))
+        assert part_bytes == PART_BYTES or (len(parts) > 15 and max(len(p.content) for p in parts) < 20_000 + 4200)
+    opened = zipfile.ZipFile(io.BytesIO(made[20_000]))
+    assert opened.testzip() is None and {n.split("/")[-1]: opened.read(n) for n in opened.namelist() if not n.endswith("/")} == files
+    assert made[20_000] == made[PART_BYTES]
+
+
+def test_a_source_that_became_shorter_makes_no_archive(spark, tmp_path):
+    (tmp_path / "x").write_bytes(b"short")
+    df = spark.createDataFrame([("a.zip", "x", None, str(tmp_path / "x"), 99)], "archive_path string, rel_path string, content binary, source string, size bigint")
+    with pytest.raises(Exception, match="shorter than its 99 bytes"):
+        pack_archives(df, source="source")
+
+
+@pytest.mark.parametrize("far", [False, True])
+def test_members_beyond_four_gigabytes_have_long_sizes(far):
+    row = {"name": "a", "crc": 1, "packed_size": 6 << 32, "raw_size": 7 << 32, "far": far, "entry_offset": 5 << 32 if far else 9, "packed": None}
+    local, central = sink._local_entry(row), sink._central_entry(row)
+    assert len(local) == sink.LOCAL_HEADER + 1 + sink.SIZES_EXTRA and local[18:26] == b"\xff" * 8
+    assert struct.unpack("<2H2Q", local[-20:]) == (1, 16, 7 << 32, 6 << 32)
+    assert len(central) == sink.CENTRAL_HEADER + 1 + (28 if far else 20)
+    # Read back by the library's own reader: the entry and its end record, with nothing before them.
+    end = sink._end_record(1, len(central), 50 << 32)
+    (found,) = entries(lambda at, n: (central + end)[max(at - (50 << 32), 0) :][:n], (50 << 32) + len(central) + len(end))
+    assert (found.file_size, found.packed_size, found.offset) == (7 << 32, 6 << 32, row["entry_offset"])
+
+
 def test_seen_and_repack_selection(spark):
     all_archives = spark.createDataFrame([("a",), ("b",), ("c",)], "archive_path string")
     some = spark.createDataFrame([("a", 1), ("a", 2), ("c", 1)], "archive_path string, n int")
