@@ -10,6 +10,38 @@ ORACLE: dict[str, str] = {
         select doc_id, keep_id, group_size, doc_id = keep_id as kept, sha256(t) as text_sha256
         from n join g using (t)
     """,
+    "op4_substring_dedup": r"""
+        with d as materialized (
+            select row_number() over () as r, doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) as w from documents
+        ),
+        windows as (
+            select r, i, sha256(array_to_string(w[i : i + 34], ' ')) as g
+            from (select r, w, unnest(range(1, len(w) - 33)) as i from d where len(w) >= 35)
+        ),
+        again as (select r, i from (select r, i, count(*) over (partition by g) as n from windows) where n > 1),
+        gone as (select distinct r, unnest(range(i, i + 35)) as p from again),
+        words as (select r, unnest(w) as word, unnest(range(1, len(w) + 1)) as p from d),
+        kept as (select r, count(*) as n, string_agg(word, ' ' order by p) as t from words anti join gone using (r, p) group by r)
+        select doc_id, len(w)::bigint as n_words, len(w) - coalesce(n, 0) as n_removed, sha256(coalesce(t, '')) as kept_sha256
+        from d left join kept using (r)
+    """,
+    "op10_embedding_pairs": """
+        with recursive v as materialized (
+            select row_number() over () as r, vec_id, label, embedding::double[] as e, sqrt(list_inner_product(e, e)) as size
+            from embeddings where label is not null and embedding is not null
+        ),
+        good as (select * from v where isfinite(size) and size > 0),
+        pairs as materialized (
+            select a.vec_id as a, b.vec_id as b from good a join good b on a.label = b.label and a.r <> b.r and len(a.e) = len(b.e)
+            where list_inner_product(a.e, b.e) / (a.size * b.size) >= 0.98
+        ),
+        reach(a, b) as (select a, b from pairs union select reach.a, pairs.b from reach join pairs on reach.b = pairs.a),
+        least as (select a, min(b) as b from reach group by a),
+        degrees as (select a, count(*) as n from pairs group by a)
+        select vec_id, coalesce(n, 0) as n_links, least(vec_id, coalesce(least.b, vec_id)) as component_id,
+            vec_id <= coalesce(least.b, vec_id) as kept
+        from embeddings left join least on vec_id = least.a left join degrees on vec_id = degrees.a
+    """,
     "op11_decontamination": f"""
         with d as (select row_number() over () as r, doc_id, {_LETTERS} as w from documents),
         b as (select item_id, {_LETTERS} as w from benchmark),

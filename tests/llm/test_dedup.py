@@ -172,7 +172,7 @@ def test_embedding_pairs_equal_brute_force(spark):
     assert len(links) > 50
     expected = sorted((rows[n][0], degree[n], rows[least[n]][0]) for n in range(len(rows)))
     table = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int")
-    for tile in (512, 5):
-        out = embedding_near_duplicates(table, tile=tile).collect()
+    for tile, block in ((4096, 512), (5, 512), (40, 7)):
+        out = embedding_near_duplicates(table, tile=tile, block=block).collect()
         assert sorted((r.vec_id, r.n_links, r.component_id) for r in out) == expected
         assert all(r.kept == (r.vec_id == r.component_id) for r in out)

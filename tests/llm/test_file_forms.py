@@ -22,7 +22,7 @@ SF_DIR = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
-@pytest.mark.parametrize("name", ["op11_decontamination", "op13_fill_in_middle"])
+@pytest.mark.parametrize("name", ["op4_substring_dedup", "op10_embedding_pairs", "op11_decontamination", "op13_fill_in_middle"])
 def test_queries_equal_their_sql(spark, name):
     con = connect(SF_DIR)
     assert compare(QUERIES[name](spark, SF_DIR), con, ORACLE[name]) == []
