@@ -6,6 +6,7 @@ import re
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +21,8 @@ CHUNK = 1 << 16
 #: No piece is longer than this.
 LONGEST = 16
 REMEMBERED_WORDS = 5 << 18
+#: Neighbouring matrices multiplied in one group.
+FAN = 32
 SPACE = "▁"
 #: States besides pieces: a character without a piece, the start of a text, its end.
 BYTES, START, END = (1 << 20) + 1, (1 << 20) + 2, (1 << 20) + 3
@@ -81,7 +84,9 @@ def _last_merge(text: str, every: dict[str, int], rank: list[float]) -> tuple[in
     return None
 
 
-def encode_files(files: DataFrame, model: PieceModel, rel_path: str = "rel_path", text: str = "text", chunk: int = CHUNK) -> DataFrame:
+def encode_files(
+    files: DataFrame, model: PieceModel, rel_path: str = "rel_path", text: str = "text", chunk: int = CHUNK, fan: int = FAN
+) -> DataFrame:
     """Piece ids of every text: (rel_path, chunk, start, ids), a row for each chunk of each input row.
 
     The ids of all chunks of a text in order are the model's encoding of it: a space mark in front, spaces as
@@ -91,9 +96,11 @@ def encode_files(files: DataFrame, model: PieceModel, rel_path: str = "rel_path"
     encoding is a max-plus path problem with weight 0 for neighbours that stay apart and minus infinity for others.
     Longer texts are split into chunks of about `chunk` characters. A state at a boundary is the piece over or before it
     and how far it reaches beyond; each chunk, in any task, yields its transfer matrix between such states,
-    of which only entries of 0 are kept. Matrices of a text are combined from the left, the path's states are read
-    back from the right, and then every chunk is traced back by itself between its two states. Within a
-    chunk no piece crosses the start of a word, so words in between are solved once each and remembered.
+    of which only entries of 0 are kept. The product of matrices is associative: `fan` neighbours at a time are
+    multiplied, in any task, then as many of those products, until a text has few; on the way back each group learns
+    the states at its two ends and hands them on to its members. So a text of any length needs no group larger than
+    `fan`. Then every chunk is traced back by itself between its two states. Within a chunk no piece crosses the
+    start of a word, so words in between are solved once each and remembered.
 
     Null and empty texts have one chunk without ids. Rows that share a rel_path are encoded each on its own; to tell
     their chunks apart give a struct with a number as rel_path. Other columns are ignored. No rows give no rows.
@@ -112,9 +119,7 @@ def encode_files(files: DataFrame, model: PieceModel, rel_path: str = "rel_path"
     short = map_batches(rows.where(~long), whole, schema, make)
     giants = saved_table(_chunks(rows.where(long), chunk), "chunks")
     matrices = saved_table(map_batches(giants, lambda batch, e: _matrices(batch, e), fields(giants, ["row", "chunk", "chunks"], "pairs array<bigint>"), make), "matrices")
-    # Only a chunk's two states come back from here, and only pairs of states go in.
-    states = matrices.groupBy("row").applyInArrow(_states, "row bigint, chunk bigint, entry bigint, exit bigint")
-    traced = map_batches(giants.join(saved_table(states, "states"), ["row", "chunk"]), lambda batch, e: _traced(batch, e), schema, make)
+    traced = map_batches(giants.join(_boundary_states(matrices, fan), ["row", "chunk"]), lambda batch, e: _traced(batch, e), schema, make)
     coded = short.select("key", F.lit(0).cast("bigint").alias("chunk"), F.lit(0).cast("bigint").alias("start"), "ids")
     traced = saved_table(traced, "traced")
     counts = traced.select("row", "chunk", F.size("ids").alias("n"))
@@ -206,20 +211,61 @@ def _matrices(batch: pa.RecordBatch, encoder: Encoder) -> dict[str, object]:
     return {**{c: batch.column(c) for c in ("row", "chunk", "chunks")}, "pairs": pairs}
 
 
-def _states(matrices: pa.Table) -> pa.Table:
-    """The two states of each chunk of a text on the one path with weight 0."""
-    rows = sorted(matrices.to_pylist(), key=lambda r: r["chunk"])
-    path = best_path([list(zip(r["pairs"][::2], r["pairs"][1::2], strict=True)) for r in rows])
+def _boundary_states(matrices: DataFrame, fan: int) -> DataFrame:
+    """(row, chunk, entry, exit): the two states of each chunk on its text's one path with weight 0."""
+    group = F.floor(F.col("chunk") / fan).alias("group")
+    levels = [matrices.select("row", "chunk", "pairs")]
+    most = matrices.agg(F.max("chunks")).first()[0] or 0
+    while most > fan:
+        products = levels[-1].groupBy("row", group).applyInArrow(_product, "row bigint, chunk bigint, pairs array<bigint>")
+        levels.append(saved_table(products, "products"))
+        most = -(-most // fan)
+    states = None
+    for level in reversed(levels):
+        members = level.select("row", "chunk", "pairs", group)
+        if states is None:
+            members = members.select("*", F.lit(START).cast("bigint").alias("entry"), F.lit(END).cast("bigint").alias("exit"))
+        else:
+            members = members.join(states.withColumnRenamed("chunk", "group"), ["row", "group"])
+        inner = members.groupBy("row", "group").applyInArrow(_states, "row bigint, chunk bigint, entry bigint, exit bigint")
+        states = saved_table(inner, "states")
+    return states
+
+
+def _neighbours(members: pa.Table) -> tuple[list[dict], list[list[tuple[int, int]]]]:
+    rows = sorted(members.to_pylist(), key=lambda r: r["chunk"])
+    return rows, [list(zip(r["pairs"][::2], r["pairs"][1::2], strict=True)) for r in rows]
+
+
+def _product(key: tuple[pa.Scalar, ...], members: pa.Table) -> pa.Table:
+    """The matrix of a group of neighbours, under the group's number."""
+    pairs = reduce(product, _neighbours(members)[1])
+    schema = pa.schema([("row", pa.int64()), ("chunk", pa.int64()), ("pairs", pa.list_(pa.int64()))])
+    return pa.table({"row": [key[0].as_py()], "chunk": [key[1].as_py()], "pairs": [[s for pair in pairs for s in pair]]}, schema=schema)
+
+
+def product(a: list[tuple[int, int]], b: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Max-plus product of two matrices, each given as its pairs of weight 0."""
+    onward: dict[int, list[int]] = {}
+    for middle, end in b:
+        onward.setdefault(middle, []).append(end)
+    return sorted({(entry, end) for entry, middle in a for end in onward.get(middle, ())})
+
+
+def _states(members: pa.Table) -> pa.Table:
+    """The two states of each member of a group, between the group's own."""
+    rows, matrices = _neighbours(members)
+    path = best_path(matrices, rows[0]["entry"], rows[0]["exit"])
     out = [(r["row"], r["chunk"], *states) for r, states in zip(rows, path, strict=True)]
     return pa.table(dict(zip(("row", "chunk", "entry", "exit"), zip(*out), strict=True)), schema=pa.schema([(c, pa.int64()) for c in ("row", "chunk", "entry", "exit")]))
 
 
-def best_path(matrices: list[list[tuple[int, int]]]) -> list[tuple[int, int]]:
-    """Entry and exit of each matrix on the path from START to END; a matrix is its pairs of weight 0."""
-    reached = [{START}]
+def best_path(matrices: list[list[tuple[int, int]]], start: int = START, end: int = END) -> list[tuple[int, int]]:
+    """Entry and exit of each matrix on the path between two states; a matrix is its pairs of weight 0."""
+    reached = [{start}]
     for pairs in matrices:
         reached.append({b for a, b in pairs if a in reached[-1]})
-    state, path = END, []
+    state, path = end, []
     for pairs, before in zip(reversed(matrices), reversed(reached[:-1]), strict=True):
         entry = next(a for a, b in pairs if b == state and a in before)
         path.append((entry, state))
@@ -357,7 +403,7 @@ class Encoder:
     def transfer(self, before: str, text: str, after: str, first: bool, last: bool) -> list[tuple[int, int]]:
         """Pairs of entry and exit states of a chunk that a path connects."""
         s, n = text + after, len(text)
-        syncs = self._syncs(before, text)
+        syncs = self._syncs(text)
         ends = self._exits(self.walk(s, syncs[-1], START, n), syncs[-1], n, last) if syncs else []
         out = []
         for entry in [START] if first else self._entries(before, s):
@@ -379,14 +425,14 @@ class Encoder:
         to = n if end == END else n + end % 32
         if over >= to:
             return b""
-        syncs = [p for p in self._syncs("", text) if p >= over]
+        syncs = [p for p in self._syncs(text) if p >= over]
         if not syncs:
             return self.code(self.path(self.walk(s, over, piece, n), over, to), s)
         head = self.code(self.path(self.walk(s, over, piece, syncs[0]), over, syncs[0]), s)
         tail = self.code(self.path(self.walk(s, syncs[-1], START, n), syncs[-1], to), s)
         return head + self.marked(s[syncs[0] : syncs[-1]]) + tail
 
-    def _syncs(self, before: str, text: str) -> list[int]:
+    def _syncs(self, text: str) -> list[int]:
         return [m.start() for m in _SYNC.finditer(text)]
 
     def _entries(self, before: str, s: str) -> Iterator[int]:

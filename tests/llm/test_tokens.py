@@ -2,6 +2,7 @@
 
 import random
 import zlib
+from functools import reduce
 
 import numpy as np
 import public_tokenizers
@@ -11,7 +12,7 @@ import sentencepiece
 from tokenizers import Tokenizer
 
 from shrinkwise.llm.packing import Remembered, first_fit_decreasing, pack_files
-from shrinkwise.llm.piece_codec import Encoder, best_path, chunk_bounds, decode_files, encode_files, load_piece_model, marked
+from shrinkwise.llm.piece_codec import END, START, Encoder, best_path, chunk_bounds, decode_files, encode_files, load_piece_model, marked, product
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -86,15 +87,24 @@ def test_chunks_combine_to_the_whole(model):
         for size in (1, 3, 7, 20) if s else ():
             bounds = chunk_bounds(s, size)
             chunks = [(s[max(0, a - 16) : a], s[a:b], s[b : b + 16]) for a, b in zip(bounds, bounds[1:])]
-            path = best_path([encoder.transfer(*c, i == 0, i == len(chunks) - 1) for i, c in enumerate(chunks)])
+            matrices = [encoder.transfer(*c, i == 0, i == len(chunks) - 1) for i, c in enumerate(chunks)]
+            path = best_path(matrices)
+            assert reduce(product, matrices) == [(START, END)]
+            # Whatever neighbours are multiplied first, the product is the same.
+            left = [reduce(product, matrices[at : at + 3]) for at in range(0, len(matrices), 3)]
+            assert reduce(lambda b, a: product(a, b), reversed(left)) == [(START, END)]
+            ends = [(states[0][0], states[-1][1]) for states in (path[at : at + 3] for at in range(0, len(path), 3))]
+            assert best_path(left) == ends
+            assert [s for k, e in enumerate(ends) for s in best_path(matrices[3 * k : 3 * k + 3], *e)] == path
             assert b"".join(encoder.trace(c[1], c[2], *states) for c, states in zip(chunks, path, strict=True)) == encoder.texts([text])[0]
 
 
-def test_giant_texts_are_encoded_in_chunks_and_decoded_again(spark, model):
+@pytest.mark.parametrize("fan", [2, 5, 32])
+def test_giant_texts_are_encoded_in_chunks_and_decoded_again(spark, model, fan):
     texts = [*random_texts(30), "word after word " * 300, "oneverylongword" * 200, None, ""]
     files = spark.createDataFrame(list(enumerate(texts)), "rel_path bigint, text string")
     reference = sentencepiece.SentencePieceProcessor(model_file=PIECES)
-    encoded = encode_files(files, model, chunk=100)
+    encoded = encode_files(files, model, chunk=100, fan=fan)
     rows, decoded = encoded.collect(), decode_files(encoded, model).collect()
     for i, text in enumerate(texts):
         chunks = sorted((r for r in rows if r.rel_path == i), key=lambda r: r.chunk)
